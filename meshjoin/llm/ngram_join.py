@@ -30,8 +30,11 @@ from . import kernels as K
 from .components import connected_components
 from .scratch import Scratch
 
-#: A token in so many prefixes at least is frequent.
-FREQUENT = 64
+#: A token in so many (wide) prefixes at least is frequent.
+FREQUENT = 16
+#: The prefixes that are stored are wider than needed by this half, so that most documents that hold frequent tokens
+#: find enough rare ones in them.
+WIDE = 3
 #: Most frequent tokens that are broadcast (8 bytes each); the bar FREQUENT is doubled until they fit.
 MOST_FREQUENT = 1 << 20
 #: Tokens of the smaller document's tier to a class.
@@ -60,7 +63,7 @@ def _set_rows(batches):
             values, off = K.shingle_sets(part.column("text"))
             n = np.diff(off)
             d1, d2 = _digests(values, off)
-            short = np.where(n > 0, _missable(n) + 1, 0)
+            short = np.minimum(n, (_missable(n) + 1) * WIDE // 2)
             cut = np.concatenate(([0], np.cumsum(short)))
             pick = np.repeat(off[:-1] - cut[:-1], short) + np.arange(cut[-1])
             yield pa.RecordBatch.from_arrays(
@@ -83,8 +86,7 @@ def _signatures(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, n
     """Single-token and pair signatures of one document with sorted distinct tokens."""
     n = len(tokens)
     e = _missable(n)
-    at = np.searchsorted(frequent, tokens)
-    is_frequent = frequent[np.minimum(at, len(frequent) - 1)] == tokens if len(frequent) else np.zeros(n, bool)
+    is_frequent = _is_frequent(tokens, frequent)
     rare, hot = tokens[~is_frequent], tokens[is_frequent]
     if len(rare) > e:
         return rare[: e + 1], np.zeros(0, _U)
@@ -113,7 +115,17 @@ def _signatures(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, n
     return np.unique(np.concatenate(singles)), (np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, _U))
 
 
+def _is_frequent(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Tokens are counted and looked up by their upper 32 bits."""
+    if not len(frequent):
+        return np.zeros(len(tokens), bool)
+    short = (tokens >> _U(32)).astype(np.uint32)
+    return frequent[np.minimum(np.searchsorted(frequent, short), len(frequent) - 1)] == short
+
+
 def _signature_rows(frequent):
+    """Signatures of whole sets (node, tokens)."""
+
     def rows(batches):
         hot = frequent.value
         for batch in batches:
@@ -132,17 +144,49 @@ def _signature_rows(frequent):
     return rows
 
 
-def _frequent(counts: DataFrame, scratch: Scratch, name: str) -> tuple[np.ndarray, int]:
-    """The frequent tokens as a sorted array of at most MOST_FREQUENT, and the bar that keeps them so few."""
+def _prefix_rows(frequent, enough: bool):
+    """From stored prefixes (node, n, prefix): the first e + 1 rare tokens of documents that have as many there, or else (enough false) the other documents."""
+
+    def rows(batches):
+        hot = frequent.value
+        for batch in batches:
+            lists = batch.column("prefix")
+            off = np.asarray(lists.offsets).astype(np.int64)
+            flat = np.asarray(lists.values).view(_U)
+            base, off = off[0], off - off[0]
+            flat = flat[base : base + off[-1]]
+            need = _missable(np.asarray(batch.column("n"))) + 1
+            rare = ~_is_frequent(flat, hot)
+            total = np.concatenate(([0], np.cumsum(rare)))
+            full = total[off[1:]] - total[off[:-1]] >= need
+            node = np.asarray(batch.column("node"))
+            if not enough:
+                yield pa.RecordBatch.from_arrays([pa.array(node[~full])], names=["node"])
+                continue
+            size = np.diff(off)
+            rank = total[1:] - np.repeat(total[off[:-1]], size)
+            keep = rare & (rank <= np.repeat(need, size)) & np.repeat(full, size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, size)[keep]), pa.array(flat[keep].view(np.int64))], names=["node", "sig"])
+
+    return rows
+
+
+def _frequent(tokens: DataFrame, scratch: Scratch, name: str) -> np.ndarray:
+    """The frequent tokens (upper 32 bits, sorted, at most MOST_FREQUENT); the bar is doubled until they are so few."""
+    counts = tokens.groupBy(F.shiftright("token", 32).cast("int").alias("token")).count()
     kept = scratch.keep(counts.where(F.col("count") >= FREQUENT), name)
     tally = {r[0]: r[1] for r in kept.groupBy(F.floor(F.log2("count")).cast("int")).count().collect()}
-    level, total = max(tally, default=6) + 1, 0
+    level, total = 1 + max(tally, default=0), 0
     while tally and level > min(tally) and total + tally.get(level - 1, 0) <= MOST_FREQUENT:
         level -= 1
         total += tally.get(level, 0)
-    bar = max(FREQUENT, 1 << level)
-    found = kept.where(F.col("count") >= bar).select("token").toArrow().column(0).to_numpy()
-    return np.sort(found.astype(np.int64).view(_U)), bar
+    found = kept.where(F.col("count") >= 1 << level).select("token").toArrow().column(0).to_numpy()
+    return np.sort(found.astype(np.int32).view(np.uint32))
+
+
+def _lacking(prefixes: DataFrame, frequent: np.ndarray, scratch: Scratch, name: str) -> DataFrame:
+    hot = prefixes.sparkSession.sparkContext.broadcast(frequent)
+    return scratch.keep(prefixes.mapInArrow(_prefix_rows(hot, False), "node long"), name)
 
 
 def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -151,7 +195,7 @@ def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["wanted"]), "left_semi")
     full = texts.select("text").mapInArrow(_full_rows, "n long, d1 long, d2 long, tokens array<long>")
     keyed = nodes.select("node", "n", "d1", "d2").join(full, ["n", "d1", "d2"])
-    return keyed.groupBy("node").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    return keyed.groupBy("n", "d1", "d2").agg(F.first("node").alias("node"), F.first("tokens").alias("tokens")).select("node", "n", "tokens")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -187,20 +231,22 @@ def jaccard_components(docs: DataFrame, scratch: Scratch | None = None) -> DataF
     classes = scratch.keep(classes, "classes")
     prefixes = sets.where("n > 0").select(F.col("row_id").alias("node"), "n", "prefix").join(classes.select("node"), "node")
     prefixes = scratch.keep(prefixes, "prefixes")
-
-    # Frequent tokens: by their count in all prefixes, then by their count in the whole sets of the documents that hold one.
-    exploded = prefixes.select("node", F.explode("prefix").alias("token"))
-    first, _ = _frequent(exploded.groupBy("token").count(), scratch, "frequent-1")
-    hot = spark.sparkContext.broadcast(first)
-    affected = prefixes.select("node", "prefix").mapInArrow(_holders(hot), "node long")
-    affected = scratch.keep(affected, "affected")
-    touched = classes.join(affected, "node")
-    whole = scratch.keep(_texts_of(docs, touched), "affected-sets")
-    second, _ = _frequent(whole.select(F.explode("tokens").alias("token")).groupBy("token").count(), scratch, "frequent-2")
-    hot = spark.sparkContext.broadcast(np.union1d(first, second)[: 2 * MOST_FREQUENT])
-
-    plain = prefixes.join(affected, "node", "left_anti").select("node", F.explode("prefix").alias("sig"))
-    special = scratch.keep(whole.select("node", "tokens").mapInArrow(_signature_rows(hot), "node long, sig long, pair boolean"), "special")
+    rows = scratch.keep(sets.select("doc_id", "n", "d1", "d2"), "rows")
+    scratch.drop("sets")
+    scratch.release()
+
+    # Frequent tokens: by their count in all stored prefixes; then, for the documents with too few rare tokens there, by
+    # their count in these documents' whole sets. All signatures use the union of both.
+    first = _frequent(prefixes.select(F.explode("prefix").alias("token")), scratch, "frequent-1")
+    lacking = _lacking(prefixes, first, scratch, "lacking-1")
+    second = _frequent(_texts_of(docs, classes.join(lacking, "node")).select(F.explode("tokens").alias("token")), scratch, "frequent-2")
+    both = np.union1d(first, second)
+    hot = spark.sparkContext.broadcast(both)
+    lacking = _lacking(prefixes, both, scratch, "lacking-2")
+    special = _texts_of(docs, classes.join(lacking, "node")).select("node", "tokens")
+    special = scratch.keep(special.mapInArrow(_signature_rows(hot), "node long, sig long, pair boolean"), "special")
+    scratch.release()
+    plain = prefixes.mapInArrow(_prefix_rows(hot, True), "node long, sig long")
     singles = plain.unionByName(special.where("not pair").select("node", "sig"))
     pairs = special.where("pair").select("node", "sig")
 
@@ -214,6 +260,7 @@ def jaccard_components(docs: DataFrame, scratch: Scratch | None = None) -> DataF
     posts = scratch.keep(small.withColumn("pair", F.lit(False)).unionByName(large.withColumn("pair", F.lit(True))), "posts")
     scratch.drop("special")
     scratch.drop("prefixes")
+    scratch.release()
 
     members = scratch.keep(classes.join(posts.select("node").distinct(), "node"), "members")
     wanted = scratch.keep(_texts_of(docs, members), "wanted")
@@ -221,29 +268,12 @@ def jaccard_components(docs: DataFrame, scratch: Scratch | None = None) -> DataF
     labelled = classes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = labelled.groupBy("comp").agg(F.min("min_doc").alias("component_id"))
     found = labelled.join(smallest, "comp").select("n", "d1", "d2", "component_id")
-    out = sets.select("doc_id", "n", "d1", "d2").join(found, ["n", "d1", "d2"], "left")
+    out = rows.join(found, ["n", "d1", "d2"], "left")
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
-def _holders(frequent):
-    def rows(batches):
-        hot = frequent.value
-        for batch in batches:
-            if not len(hot) or not batch.num_rows:
-                continue
-            lists = batch.column("prefix")
-            off = np.asarray(lists.offsets).astype(np.int64)
-            flat = np.asarray(lists.values).view(_U)
-            hit = hot[np.minimum(np.searchsorted(hot, flat), len(hot) - 1)] == flat
-            total = np.concatenate(([0], np.cumsum(hit)))
-            keep = total[off[1:]] > total[off[:-1]]
-            yield pa.RecordBatch.from_arrays([batch.column("node").filter(pa.array(keep))], names=["node"])
-
-    return rows
-
-
 def _linked(posts: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """Components (node, comp) of all links inside the signatures' groups; see the module's text for the rounds."""
     sizes = sets.select("node", "n")
