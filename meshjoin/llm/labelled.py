@@ -51,7 +51,7 @@ def collected(rows: DataFrame, stats: Callable[[pa.Array], np.ndarray], width: i
     return x[order], y[order]
 
 
-def with_columns(docs: DataFrame, extra: T.StructType, kernel: Callable[[pa.Array], list[pa.Array]], keep: list[str] | None = None) -> DataFrame:
+def with_columns(docs: DataFrame, extra: T.StructType, kernel: Callable[[pa.Array], list[pa.Array]], keep: list[str] | None = None, limit: int = K.SLICE) -> DataFrame:
     """`docs` (the columns `keep`, or all) plus the columns that the kernel makes of `text`, slice by slice."""
     names = list(docs.columns) if keep is None else keep
     source = docs.select(*names, *([] if "text" in names else ["text"]))
@@ -60,7 +60,7 @@ def with_columns(docs: DataFrame, extra: T.StructType, kernel: Callable[[pa.Arra
 
     def rows(batches):
         for batch in batches:
-            for part in K.slices(batch):
+            for part in K.slices(batch, limit=limit):
                 yield pa.RecordBatch.from_arrays(
                     [part.column(part.schema.get_field_index(n)) for n in names] + kernel(part.column(part.schema.get_field_index("text"))), names=names + extra.names
                 )

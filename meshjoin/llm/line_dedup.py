@@ -21,14 +21,13 @@ from pyspark.sql.window import Window
 from .scratch import Scratch
 
 MIN_WORDS = 25
-CUT = r"(?<=[\n ])(?:(?<=\n)(?![\s])|(?=\p{Lu}(?!\p{Lu}))|(?<=\p{Ll}[.!?] )(?! ))"
+#: A cut consumes the one character that ends a line.
+CUT = r"[ \n](?:(?<=\n)(?!\s)|(?<= )(?:(?=\p{Lu}(?!\p{Lu}))|(?<=\p{Ll}[.!?] )(?! )))"
+#: The same cuts without consuming anything, so that the lines put together are the text.
+CUT_AFTER = r"(?<=[ \n])(?:(?<=\n)(?!\s)|(?<= )(?:(?=\p{Lu}(?!\p{Lu}))|(?<=\p{Ll}[.!?] )(?! )))"
 _BLANK = " \n\r\t"
 
 
-def _lines(text="text"):
-    return F.split(text, CUT, -1)
-
-
 def _place(column="text"):
     """The text's checksum in the upper half, to which a line's position is added: places sort as text, position."""
     return F.shiftleft(F.crc32(F.encode(column, "UTF-8")).cast("long") - F.lit(1 << 31), 32)
@@ -39,37 +38,39 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, scratch: Scratch
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "line-dedup")
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.col("text").cast("string").alias("text"))
-    rows = docs.where(F.col("text") != "").select("doc", _place().alias("text_place"), F.posexplode(_lines()).alias("pos", "line"))
+    rows = docs.where(F.col("text") != "").select("doc", _place().alias("text_place"), F.posexplode(F.split("text", CUT, -1)).alias("pos", "line"))
     line = F.rtrim(F.col("line"), F.lit(_BLANK))
     lines = rows.select(
-        "doc", (F.col("text_place") + F.col("pos")).alias("place"), F.size(F.split(line, " +")).alias("words"),
+        "doc", (F.col("text_place") + F.col("pos")).alias("place"), (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "))) + 1).alias("words"),
         F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("second"), line).alias("h2"),
     )
     lines = scratch.keep(lines, "lines")
     often = lines.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
     text = [F.col("doc"), F.shiftright("place", 32)]
     in_order = Window.partitionBy(*text).orderBy("place")
-    island = lines.join(often, ["h1", "h2"]).withColumn("island", F.col("place") - F.row_number().over(in_order))
-    island = island.withColumn("total", F.sum("words").over(Window.partitionBy(*text, "island")))
-    lines = scratch.keep(island.where(F.col("total") >= min_words).drop("island", "total"), "repeated")
+    lines = lines.join(often, ["h1", "h2"]).withColumn("island", F.col("place") - F.row_number().over(in_order))
+    lines = scratch.keep(_with_runs(lines, text, min_words), "repeated")
     scratch.drop("lines")
+    scratch.release()
 
     ranks = None
-    now, keys = lines.select("doc", "place", "h1", "h2"), ["h1", "h2"]
+    now, keys = lines.select("doc", "place", "reach", "h1", "h2"), ["h1", "h2"]
     top = max(0, min_words.bit_length() - 1)
     for k in range(top + 1):
         order = now.groupBy(*keys).count().where("count > 1").select(*keys)
         order = scratch.keep(order.orderBy(*keys).withColumn("rank", F.monotonically_increasing_id()), f"order-{k}")
-        level = scratch.keep(now.join(order, keys).select("doc", "place", "rank"), f"rank-{k}")
-        tagged = level.withColumn("level", F.lit(k))
+        level = scratch.keep(now.join(order, keys).select("doc", "place", "reach", "rank"), f"rank-{k}")
+        tagged = level.select("doc", "place", "rank", F.lit(k).alias("level"))
         ranks = tagged if ranks is None else ranks.unionByName(tagged)
         if k < top:
             ahead = Window.partitionBy(*text).orderBy("place").rangeBetween(1 << k, 1 << k)
-            now = level.withColumn("next", F.max("rank").over(ahead)).where("next is not null")
+            now = level.where(F.col("reach") >= 2 << k).withColumn("next", F.max("rank").over(ahead)).where("next is not null")
             keys = ["here", "next"]
-            now = now.withColumnRenamed("rank", "here")
+            now = now.select("doc", "place", "reach", F.col("rank").alias("here"), "next")
 
-    spans = _spans(lines, text, min_words, scratch)
+    forth = lines.where("forth > 0").select("doc", F.col("place").alias("start"), F.col("forth").alias("length"))
+    back = lines.where("back > 0").select("doc", (F.col("place") - F.col("back") + 1).alias("start"), F.col("back").alias("length"))
+    spans = forth.unionByName(back).distinct()
     half = F.expr("shiftleft(1L, level)")
     spans = spans.withColumn("level", F.floor(F.log2("length")).cast("int"))
     a = ranks.select("doc", F.col("place").alias("start"), "level", F.col("rank").alias("a"))
@@ -83,20 +84,24 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, scratch: Scratch
     return dead.groupBy("doc", "place").agg(F.array_distinct(F.flatten(F.collect_list("run"))).alias("dead"))
 
 
-def _spans(lines: DataFrame, text: list, min_words: int, scratch: Scratch) -> DataFrame:
-    """For each line, the shortest run of repeated neighbours with min_words words that starts there, and the one that ends there."""
-    by = Window.partitionBy(*text).orderBy("place")
-    item = F.struct("place", "words")
-    #: adds up words as long as the places are neighbours; `length` is set once there are enough
-    fold = """aggregate(%s, named_struct('sum', 0L, 'n', 0L, 'length', 0L), (x, y) ->
-        if(x.length > 0 or y.place <> place %s x.n, x, named_struct('sum', x.sum + y.words, 'n', x.n + 1,
-           'length', if(x.sum + y.words >= {w}, x.n + 1, 0L)))).length""".format(w=min_words)
-    rows = lines.select("doc", "place", "words").withColumn("ahead", F.collect_list(item).over(by.rowsBetween(0, min_words)))
-    rows = rows.withColumn("back", F.reverse(F.collect_list(item).over(by.rowsBetween(-min_words, 0))))
-    rows = rows.select("doc", "place", F.expr(fold % ("ahead", "+")).alias("forth"), F.expr(fold % ("back", "-")).alias("back"))
-    forth = rows.where("forth > 0").select("doc", F.col("place").alias("start"), F.col("forth").alias("length"))
-    back = rows.where("back > 0").select("doc", (F.col("place") - F.col("back") + 1).alias("start"), F.col("back").alias("length"))
-    return forth.unionByName(back).distinct()
+def _with_runs(lines: DataFrame, text: list, min_words: int) -> DataFrame:
+    """Keeps islands (repeated neighbours) of min_words words or more and adds, in lines, the shortest run with min_words
+    words that starts at a line (forth) and that ends there (back), 0 if there is none, and the longest of its island (reach).
+
+    A line has a word at least, so a run has min_words lines at most, and windows of that many sums tell its length.
+    """
+    island = Window.partitionBy(*text, "island")
+    along = island.orderBy("place")
+    rows = lines.withColumn("total", F.sum("words").over(island)).where(F.col("total") >= min_words)
+    rows = rows.withColumn("upto", F.sum("words").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("before", F.col("upto") - F.col("words"))
+    rows = rows.withColumn("ahead", F.collect_list("upto").over(along.rowsBetween(0, min_words - 1)))
+    rows = rows.withColumn("behind", F.collect_list("before").over(along.rowsBetween(1 - min_words, 0)))
+    forth = F.expr(f"size(filter(ahead, x -> x - before < {min_words})) + 1")
+    back = F.expr(f"size(filter(behind, x -> upto - x < {min_words})) + 1")
+    rows = rows.withColumn("forth", F.when(forth <= F.size("ahead"), forth).otherwise(0)).withColumn("back", F.when(back <= F.size("behind"), back).otherwise(0))
+    rows = rows.select("doc", "place", "island", "h1", "h2", "forth", "back")
+    return rows.withColumn("reach", F.max(F.greatest("forth", "back")).over(island)).drop("island")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, scratch: Scratch | None = None) -> DataFrame:
@@ -112,7 +117,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, scratch: Scratch |
     dead = dead.select(F.col("doc").alias("_doc"), F.col("place").alias("_place"), F.col("dead").alias("_dead"))
     text = F.col("text").cast("string")
     same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))) == dead["_doc"]) & (_place(docs["text"].cast("string")) == dead["_place"])
-    rows = docs.join(dead, same, "left").withColumn("_lines", F.when(F.col("_dead").isNotNull(), _lines(text)))
+    rows = docs.join(dead, same, "left").withColumn("_lines", F.when(F.col("_dead").isNotNull(), F.split(text, CUT_AFTER, -1)))
     kept = F.expr("array_join(transform(array_except(sequence(0, size(_lines) - 1), _dead), i -> _lines[i]), '')")
     return rows.select(
         *[F.when(F.col("_dead").isNotNull(), kept).otherwise(text).alias("text") if c == "text" else docs[c] for c in docs.columns],
