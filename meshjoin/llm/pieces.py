@@ -58,35 +58,37 @@ def build_trie(keys: list[bytes], values: list[int]) -> tuple[np.ndarray, np.nda
                 ends.append(-1)
             s = tree[s][b]
         ends[s] = v
-    size = 2 * len(tree) + 1024
+    size = 2 * len(tree) + 4096
     base, check, value = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
-    used = bytearray(size)
-    used[0] = 1
-    low = 1
+    free = np.ones(size, bool)
+    free[:257] = False  # the root, and no base below 1
+    low = 257
     todo = [(0, 0)]
-    k = 0
-    while k < len(todo):
-        node, at = todo[k]
-        k += 1
+    for node, at in todo:
         value[at] = ends[node]
-        kids = sorted(tree[node])
-        if not kids:
+        kids = np.array(sorted(tree[node]), np.int64)
+        if not len(kids):
             continue
-        while used[low]:
+        while not free[low]:
             low += 1
-        b = max(low - kids[0], 1)
-        while any(used[b + c] for c in kids):
-            b += 1
-            if b + 256 >= size:
-                grow = size
-                base, check, value = (np.concatenate((x, np.full(grow, fill, np.int32))) for x, fill in ((base, 0), (check, -1), (value, -1)))
-                used += bytearray(grow)
-                size += grow
+        if len(kids) == 1:
+            b = low - int(kids[0])
+        else:
+            begin = low
+            while True:
+                if begin + 2048 > size - 256:
+                    base, check, value, free = (np.concatenate((x, np.full(size, f, x.dtype))) for x, f in ((base, 0), (check, -1), (value, -1), (free, True)))
+                    size *= 2
+                tries = begin + np.flatnonzero(free[begin : begin + 1024]) - kids[0]
+                fits = free[tries[:, None] + kids].all(axis=1)
+                if fits.any():
+                    b = int(tries[np.argmax(fits)])
+                    break
+                begin += 1024
         base[at] = b
-        for c in kids:
-            used[b + c] = 1
-            check[b + c] = at
-            todo.append((tree[node][c], b + c))
+        free[b + kids] = False
+        check[b + kids] = at
+        todo += [(tree[node][int(c)], b + int(c)) for c in kids]
     return base, check, value
 
 
