@@ -2,16 +2,19 @@
 
 A document is the set of its distinct 5-word shingles (its tokens, 64-bit hashes). Two documents link
 when 100 * |A n B| >= 80 * |A u B|, so a document of n tokens may miss at most e = n - ceil(0.8 n) of
-them. Tokens are ordered rare before frequent (by hash inside each kind):
+them.
 
-* a rare token is a signature by itself;
-* frequent tokens fall into hash classes, and a signature is a pair of tokens of one class.
+* Rare tokens occur once in the corpus. As signatures they would match nothing, so they aren't written; a document
+  with more than e of them links with nothing and leaves at once, and any other one may miss only e - rare more.
+* Repeated tokens fall into hash classes, and a signature is a pair of tokens of one class. The prefix, in the
+  order of hashes, is extended until the sum over classes of max(0, tokens - 1) exceeds what may be missed.
+  Removing that many tokens leaves a pair, and as the order is global the partner indexes the pair as well, so
+  no link is lost. The number of classes follows the power-of-two size tier of the smaller document; a document
+  that may be the larger one of a pair also writes the signatures of the tier below.
+* Documents too small to reach the bound index single repeated tokens, too.
 
-The prefix of a document is extended until rare + sum over classes of max(0, tokens - 1) > e. Removing
-any e tokens then leaves a signature, and as the order is global the partner indexes it as well, so no
-link is lost. The number of classes follows the power-of-two size tier of the smaller document; a
-document that may be the larger one of a pair also writes the signatures of the tier below. Documents
-too small to reach the bound index single frequent tokens, too.
+Rarity is counted over all documents for the tokens whose hash is below COUNTED of the range, and kept as a bitmap of
+fixed size; a false "repeated" costs work, never a link.
 
 Groups of one signature aren't expanded into all pairs. Each group is linked in stars: the pairs with
 one leader are verified, components are drawn, and only members that are still in different components
@@ -24,25 +27,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import kernels as K
 from .components import connected_components
 from .scratch import Scratch
 
-#: A token in so many (wide) prefixes at least is frequent.
-FREQUENT = 16
-#: The prefixes that are stored are wider than needed by this half, so that most documents that hold frequent tokens
-#: find enough rare ones in them.
-WIDE = 3
-#: Most frequent tokens that are broadcast (8 bytes each); the bar FREQUENT is doubled until they fit.
-MOST_FREQUENT = 1 << 20
+#: Tokens with a hash below this share of the range are counted.
+COUNTED = 0.35
+#: Bits of the bitmap of repeated tokens, as a power of two: 8 MB whatever the corpus.
+BITMAP = 26
 #: Tokens of the smaller document's tier to a class.
 CLASS_SIZE = 8
 STAR_ROUNDS = 3
 
 _U = np.uint64
-_SETS = "row_id long, doc_id long, n long, d1 long, d2 long, prefix array<long>"
+_LIMIT = _U(int(COUNTED * 2**64))
 
 
 def _missable(n):
@@ -57,147 +56,118 @@ def _digests(values: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     )
 
 
-def _set_rows(batches):
+def _key_rows(batches):
     for batch in batches:
         for part in K.slices(batch):
             values, off = K.shingle_sets(part.column("text"))
-            n = np.diff(off)
             d1, d2 = _digests(values, off)
-            short = np.minimum(n, (_missable(n) + 1) * WIDE // 2)
-            cut = np.concatenate(([0], np.cumsum(short)))
-            pick = np.repeat(off[:-1] - cut[:-1], short) + np.arange(cut[-1])
-            yield pa.RecordBatch.from_arrays(
-                [part.column("row_id"), part.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1), pa.array(d2), K.list_array(values[pick], cut)],
-                names=["row_id", "doc_id", "n", "d1", "d2", "prefix"],
-            )
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(off), pa.int64()), pa.array(d1), pa.array(d2)], names=["doc_id", "n", "d1", "d2"])
 
 
-def _full_rows(batches):
+def _counted_rows(batches):
+    """The lower 32 bits of the tokens that are counted."""
     for batch in batches:
         for part in K.slices(batch):
-            values, off = K.shingle_sets(part.column("text"))
-            d1, d2 = _digests(values, off)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.diff(off), pa.int64()), pa.array(d1), pa.array(d2), K.list_array(values, off)], names=["n", "d1", "d2", "tokens"]
-            )
-
-
-def _signatures(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Single-token and pair signatures of one document with sorted distinct tokens."""
-    n = len(tokens)
-    e = _missable(n)
-    is_frequent = _is_frequent(tokens, frequent)
-    rare, hot = tokens[~is_frequent], tokens[is_frequent]
-    if len(rare) > e:
-        return rare[: e + 1], np.zeros(0, _U)
-    singles, pairs = [rare], []
-    high = int(n).bit_length() - 1
-    low = int((80 * n + 99) // 100).bit_length() - 1
-    for tier in {high, low}:
-        classes = max(1, (1 << tier) // CLASS_SIZE)
-        kind = K.mix(hot) % _U(classes)
-        order = np.argsort(kind, kind="stable")
-        sorted_kind = kind[order]
-        group_start = np.searchsorted(sorted_kind, sorted_kind)
-        rank = np.empty(len(hot), np.int64)
-        rank[order] = np.arange(len(hot)) - group_start
-        gain = np.cumsum(rank > 0)
-        need = e + 1 - len(rare)
-        reach = int(np.searchsorted(gain, need))
-        if reach >= len(hot):
-            singles.append(hot[: max(0, need)])
-        taken, kinds = hot[: reach + 1], kind[: reach + 1]
-        for c in np.unique(kinds):
-            x = taken[kinds == c]
-            if len(x) > 1:
-                i, j = np.triu_indices(len(x), 1)
-                pairs.append(K.mix(K.mix(x[i] + _U(tier + 1)) + x[j]))
-    return np.unique(np.concatenate(singles)), (np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, _U))
-
-
-def _is_frequent(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Tokens are counted and looked up by their upper 32 bits."""
-    if not len(frequent):
-        return np.zeros(len(tokens), bool)
-    short = (tokens >> _U(32)).astype(np.uint32)
-    return frequent[np.minimum(np.searchsorted(frequent, short), len(frequent) - 1)] == short
-
-
-def _signature_rows(frequent):
-    """Signatures of whole sets (node, tokens)."""
+            values, _ = K.shingle_sets(part.column("text"))
+            yield pa.RecordBatch.from_arrays([pa.array(values[values < _LIMIT].astype(np.uint32).view(np.int32))], names=["token"])
+
+
+def _repeated(docs: DataFrame) -> np.ndarray:
+    """Bitmap of the counted tokens that occur in two documents or more."""
+    tokens = docs.select("text").mapInArrow(_counted_rows, "token int")
+    again = tokens.groupBy("token").count().where("count > 1")
+    place = F.shiftrightunsigned("token", 32 - BITMAP)
+    words = again.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, shiftrightunsigned(token, {32 - BITMAP}) & 63)")).alias("bits"))
+    got = words.toArrow()  # 2 ** (BITMAP - 6) rows at most
+    out = np.zeros(1 << (BITMAP - 6), np.uint64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(_U)
+    return out
+
+
+def _is_rare(tokens: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    place = (tokens & _U(0xFFFFFFFF)) >> _U(32 - BITMAP)
+    seen = (bitmap[(place >> _U(6)).astype(np.int64)] >> (place & _U(63))) & _U(1)
+    return (tokens < _LIMIT) & (seen == 0)
+
+
+def _survivor_rows(repeated):
+    """Sets of the documents that can link: n, d1, d2, how many more tokens a partner may lack, all tokens. A task's copies of a set come once."""
 
     def rows(batches):
-        hot = frequent.value
+        bitmap, seen = repeated.value, set()
         for batch in batches:
-            tokens = batch.column("tokens")
-            off = np.asarray(tokens.offsets).astype(np.int64)
-            flat = np.asarray(tokens.values).view(_U)
-            node = batch.column("node").to_pylist()
-            for i in range(batch.num_rows):
-                one, two = _signatures(np.sort(flat[off[i] : off[i + 1]]), hot)
-                sig = np.concatenate((one, two))
+            for part in K.slices(batch):
+                values, off = K.shingle_sets(part.column("text"))
+                n = np.diff(off)
+                rare = K.segment_sums(_is_rare(values, bitmap).astype(np.int64), off)
+                spare = _missable(n) - rare
+                d1, d2 = _digests(values, off)
+                pick = []
+                for i in np.flatnonzero((n > 0) & (spare >= 0)):
+                    key = (n[i], d1[i], d2[i])
+                    if key not in seen:
+                        seen.add(key)
+                        pick.append(i)
+                pick = np.array(pick, np.int64)
+                at, cut = _segments(off[:-1][pick], n[pick])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(sig), node[i], np.int64)), pa.array(sig.view(np.int64)), pa.array(np.arange(len(sig)) >= len(one))],
-                    names=["node", "sig", "pair"],
+                    [pa.array(n[pick], pa.int64()), pa.array(d1[pick]), pa.array(d2[pick]), pa.array(spare[pick], pa.int64()), K.list_array(values[at], cut)],
+                    names=["n", "d1", "d2", "spare", "tokens"],
                 )
 
     return rows
 
 
-def _prefix_rows(frequent, enough: bool):
-    """From stored prefixes (node, n, prefix): the first e + 1 rare tokens of documents that have as many there, or else (enough false) the other documents."""
+def _segments(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    off = np.concatenate(([0], np.cumsum(size))).astype(np.int64)
+    return np.repeat(first - off[:-1], size) + np.arange(off[-1]), off
+
 
+def _signatures(tokens: np.ndarray, n: int, spare: int) -> np.ndarray:
+    """Signatures of a document of n tokens, of which the repeated ones are given in order and `spare` may be missing."""
+    singles, pairs = [], []
+    high = int(n).bit_length() - 1
+    low = int((80 * n + 99) // 100).bit_length() - 1
+    for tier in {high, low}:
+        kind = K.mix(tokens) % _U(max(1, (1 << tier) // CLASS_SIZE))
+        order = np.argsort(kind, kind="stable")
+        sorted_kind = kind[order]
+        rank = np.empty(len(tokens), np.int64)
+        rank[order] = np.arange(len(tokens)) - np.searchsorted(sorted_kind, sorted_kind)
+        reach = int(np.searchsorted(np.cumsum(rank > 0), spare + 1))
+        if reach >= len(tokens):
+            singles.append(tokens[: spare + 1])
+        rank, chosen = rank[: reach + 1], tokens[: reach + 1]
+        # tokens of one class in a row; each is paired with the earlier ones of its class
+        order = np.lexsort((rank, kind[: reach + 1]))
+        chosen, rank = chosen[order], rank[order]
+        for back in range(1, int(rank.max(initial=0)) + 1):
+            at = np.flatnonzero(rank >= back)
+            pairs.append(K.mix(K.mix(chosen[at - back] + _U(tier + 1)) + chosen[at]))
+    return np.unique(np.concatenate(singles + pairs)) if singles or pairs else np.zeros(0, _U)
+
+
+def _signature_rows(repeated):
     def rows(batches):
-        hot = frequent.value
+        bitmap = repeated.value
         for batch in batches:
-            lists = batch.column("prefix")
+            lists = batch.column("tokens")
             off = np.asarray(lists.offsets).astype(np.int64)
             flat = np.asarray(lists.values).view(_U)
-            base, off = off[0], off - off[0]
-            flat = flat[base : base + off[-1]]
-            need = _missable(np.asarray(batch.column("n"))) + 1
-            rare = ~_is_frequent(flat, hot)
-            total = np.concatenate(([0], np.cumsum(rare)))
-            full = total[off[1:]] - total[off[:-1]] >= need
-            node = np.asarray(batch.column("node"))
-            if not enough:
-                yield pa.RecordBatch.from_arrays([pa.array(node[~full])], names=["node"])
-                continue
-            size = np.diff(off)
-            rank = total[1:] - np.repeat(total[off[:-1]], size)
-            keep = rare & (rank <= np.repeat(need, size)) & np.repeat(full, size)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, size)[keep]), pa.array(flat[keep].view(np.int64))], names=["node", "sig"])
+            n, spare = np.asarray(batch.column("n")), np.asarray(batch.column("spare"))
+            found = []
+            for i in range(batch.num_rows):
+                x = flat[off[i] : off[i + 1]]
+                found.append(_signatures(x[~_is_rare(x, bitmap)], int(n[i]), int(spare[i])))
+            size = [len(f) for f in found]
+            if sum(size):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(np.asarray(batch.column(c)), size)) for c in ("node", "n", "d1")] + [pa.array(np.concatenate(found).view(np.int64))], names=["node", "n", "d1", "sig"]
+                )
 
     return rows
 
 
-def _frequent(tokens: DataFrame, scratch: Scratch, name: str) -> np.ndarray:
-    """The frequent tokens (upper 32 bits, sorted, at most MOST_FREQUENT); the bar is doubled until they are so few."""
-    counts = tokens.groupBy(F.shiftright("token", 32).cast("int").alias("token")).count()
-    kept = scratch.keep(counts.where(F.col("count") >= FREQUENT), name)
-    tally = {r[0]: r[1] for r in kept.groupBy(F.floor(F.log2("count")).cast("int")).count().collect()}
-    level, total = 1 + max(tally, default=0), 0
-    while tally and level > min(tally) and total + tally.get(level - 1, 0) <= MOST_FREQUENT:
-        level -= 1
-        total += tally.get(level, 0)
-    found = kept.where(F.col("count") >= 1 << level).select("token").toArrow().column(0).to_numpy()
-    return np.sort(found.astype(np.int32).view(np.uint32))
-
-
-def _lacking(prefixes: DataFrame, frequent: np.ndarray, scratch: Scratch, name: str) -> DataFrame:
-    hot = prefixes.sparkSession.sparkContext.broadcast(frequent)
-    return scratch.keep(prefixes.mapInArrow(_prefix_rows(hot, False), "node long"), name)
-
-
-def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Shingle sets of the nodes, recomputed from the texts of the documents that stand for them: node, n, tokens."""
-    ids = nodes.select(F.col("min_doc").alias("wanted")).distinct()
-    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["wanted"]), "left_semi")
-    full = texts.select("text").mapInArrow(_full_rows, "n long, d1 long, d2 long, tokens array<long>")
-    keyed = nodes.select("node", "n", "d1", "d2").join(full, ["n", "d1", "d2"])
-    return keyed.groupBy("n", "d1", "d2").agg(F.first("node").alias("node"), F.first("tokens").alias("tokens")).select("node", "n", "tokens")
-
-
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that link, by the exact sizes of their sets' intersections."""
     left = pairs.join(sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b")), "b")
@@ -221,53 +191,28 @@ def jaccard_components(docs: DataFrame, scratch: Scratch | None = None) -> DataF
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "ngram-join")
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sets = scratch.keep(
-        docs.withColumn("row_id", F.monotonically_increasing_id()).mapInArrow(_set_rows, _SETS), "sets"
-    )
-    classes = (
-        sets.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("row_id").alias("node"), F.min("doc_id").alias("min_doc"))
-    )
-    classes = scratch.keep(classes, "classes")
-    prefixes = sets.where("n > 0").select(F.col("row_id").alias("node"), "n", "prefix").join(classes.select("node"), "node")
-    prefixes = scratch.keep(prefixes, "prefixes")
-    rows = scratch.keep(sets.select("doc_id", "n", "d1", "d2"), "rows")
-    scratch.drop("sets")
-    scratch.release()
-
-    # Frequent tokens: by their count in all stored prefixes; then, for the documents with too few rare tokens there, by
-    # their count in these documents' whole sets. All signatures use the union of both.
-    first = _frequent(prefixes.select(F.explode("prefix").alias("token")), scratch, "frequent-1")
-    lacking = _lacking(prefixes, first, scratch, "lacking-1")
-    second = _frequent(_texts_of(docs, classes.join(lacking, "node")).select(F.explode("tokens").alias("token")), scratch, "frequent-2")
-    both = np.union1d(first, second)
-    hot = spark.sparkContext.broadcast(both)
-    lacking = _lacking(prefixes, both, scratch, "lacking-2")
-    special = _texts_of(docs, classes.join(lacking, "node")).select("node", "tokens")
-    special = scratch.keep(special.mapInArrow(_signature_rows(hot), "node long, sig long, pair boolean"), "special")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = scratch.keep(docs.mapInArrow(_key_rows, "doc_id long, n long, d1 long, d2 long"), "rows")
+    repeated = spark.sparkContext.broadcast(_repeated(docs))
+    survivors = docs.select("text").mapInArrow(_survivor_rows(repeated), "n long, d1 long, d2 long, spare long, tokens array<long>")
+    sets = scratch.keep(survivors.withColumn("node", F.monotonically_increasing_id()), "sets")
     scratch.release()
-    plain = prefixes.mapInArrow(_prefix_rows(hot, True), "node long, sig long")
-    singles = plain.unionByName(special.where("not pair").select("node", "sig"))
-    pairs = special.where("pair").select("node", "sig")
-
-    # Signatures of two documents or more. A rare token's group is small, so a window counts it in one shuffle;
-    # a group of pairs can be large, so it is counted with partial sums and joined back.
-    by_sig = Window.partitionBy("sig")
-    small = singles.select("sig", "node", F.min("node").over(by_sig).alias("low"), F.max("node").over(by_sig).alias("high"))
-    small = small.where("low < high").select("sig", "node")
-    shared = pairs.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("sig")
-    large = pairs.join(shared, "sig").select("sig", "node")
-    posts = scratch.keep(small.withColumn("pair", F.lit(False)).unionByName(large.withColumn("pair", F.lit(True))), "posts")
-    scratch.drop("special")
-    scratch.drop("prefixes")
+    posts = sets.mapInArrow(_signature_rows(repeated), "node long, n long, d1 long, sig long")
+    posts = scratch.keep(posts, "signatures")
+    shared = posts.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("sig")
+    posts = scratch.keep(posts.join(shared, "sig").withColumn("comp", F.col("node")), "posts-0")
+    scratch.drop("signatures")
     scratch.release()
-
-    members = scratch.keep(classes.join(posts.select("node").distinct(), "node"), "members")
-    wanted = scratch.keep(_texts_of(docs, members), "wanted")
-    comp = _linked(posts, wanted, scratch)
-    labelled = classes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    smallest = labelled.groupBy("comp").agg(F.min("min_doc").alias("component_id"))
-    found = labelled.join(smallest, "comp").select("n", "d1", "d2", "component_id")
+    comp = _linked(posts, sets.select("node", "n", "tokens"), scratch)
+
+    # a class is all rows with one set; its documents and those of all classes in its component
+    classes = rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("min_doc"))
+    drawn = sets.select("node", "n", "d1", "d2").join(comp, "node").groupBy("n", "d1", "d2").agg(F.min("comp").alias("comp"))
+    drawn = scratch.keep(drawn.join(classes, ["n", "d1", "d2"]), "drawn")
+    smallest = drawn.groupBy("comp").agg(F.min("min_doc").alias("component_id"))
+    linked = drawn.join(smallest, "comp").select("n", "d1", "d2", "component_id")
+    alone = classes.join(linked.select("n", "d1", "d2"), ["n", "d1", "d2"], "left_anti").select("n", "d1", "d2", F.col("min_doc").alias("component_id"))
+    found = linked.unionByName(alone)
     out = rows.join(found, ["n", "d1", "d2"], "left")
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
@@ -275,28 +220,32 @@ def jaccard_components(docs: DataFrame, scratch: Scratch | None = None) -> DataF
 
 
 def _linked(posts: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """Components (node, comp) of all links inside the signatures' groups; see the module's text for the rounds."""
-    sizes = sets.select("node", "n")
-    posts = posts.join(sizes, "node").select("sig", "node", "n")
-    posts = scratch.keep(posts.withColumn("comp", F.col("node")), "posts-0")
+    """Components (node, comp) of all links inside the signatures' groups (node, n, d1, sig, comp); see the module's text for the rounds."""
     links = None
     for k in range(STAR_ROUNDS + 1):
-        mixed = posts.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64(F.lit(k), "node"), "node", "n", "comp")).alias("lead")).where("lo < hi")
+        lead = F.min(F.struct(F.xxhash64(F.lit(k), "node"), "node", "n", "d1", "comp")).alias("lead")
+        mixed = posts.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), lead).where("lo < hi")
         if k < STAR_ROUNDS:
-            pairs = posts.join(mixed.select("sig", "lead"), "sig").where(
-                (F.col("comp") != F.col("lead.comp")) & (100 * F.least("n", "lead.n") >= 80 * F.greatest("n", "lead.n"))
-            ).select(F.col("lead.node").alias("a"), F.col("node").alias("b"))
+            pairs = posts.join(mixed.select("sig", "lead"), "sig").where((F.col("comp") != F.col("lead.comp")) & _near("n", "lead.n"))
+            pairs = pairs.select(F.col("lead.node").alias("a"), F.col("node").alias("b"), (F.col("d1") == F.col("lead.d1")).alias("equal"))
         else:
             rest = posts.join(mixed.select("sig"), "sig")
-            other = rest.select("sig", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
-            pairs = rest.join(other, "sig").where((F.col("comp") < F.col("comp_b")) & _near("n", "n_b")).select(F.col("node").alias("a"), "b")
-        found = scratch.keep(_verified(pairs.distinct(), sets), f"links-{k}")
+            other = rest.select("sig", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("d1").alias("d1_b"), F.col("comp").alias("comp_b"))
+            pairs = rest.join(other, "sig").where((F.col("comp") < F.col("comp_b")) & _near("n", "n_b"))
+            pairs = pairs.select(F.col("node").alias("a"), "b", (F.col("d1") == F.col("d1_b")).alias("equal"))
+        pairs = scratch.keep(pairs.distinct(), f"pairs-{k}")
+        found = _verified(pairs.where("not equal"), sets).unionByName(pairs.where("equal").select("a", "b"))
+        found = scratch.keep(found, f"links-{k}")
         links = found if links is None else links.unionByName(found)
         comp = connected_components(links, scratch, f"star{k}")
         if k < STAR_ROUNDS:
             now = posts.drop("comp").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            now = scratch.keep(now, f"now-{k}")
             mixed = now.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
-            posts = scratch.keep(now.join(mixed, "sig").select("sig", "node", "n", "comp"), f"posts-{k + 1}")
+            posts = scratch.keep(now.join(mixed, "sig").select("sig", "node", "n", "d1", "comp"), f"posts-{k + 1}")
+            scratch.drop(f"now-{k}")
+            scratch.drop(f"posts-{k}")
+            scratch.release()
             if posts.limit(1).count() == 0:
                 break
     return comp
