@@ -1,0 +1 @@
+"""Interference detection between triangle meshes as Spark plans."""
