@@ -1,113 +1,139 @@
-"""Geometry kernels as stages of SQL expressions.
+"""Geometry kernels on arrays, and their use on Arrow batches.
 
-A kernel is a list of stages, each a list of (name, expression); an expression may use names of earlier
-stages. Spark runs them as projections that stay in one code-generated span (with_stages). No filter may
-follow before an aggregation: it would be pushed down and the expressions copied into it, growing threefold a
-stage.
+Triangles are arrays (n, 3 corners, 3 axes), points are (n, 3). Run as projections, the kernels' hundred or so columns
+exceed what the JVM compiles, and a filter behind them is pushed through and copies them; as array kernels they run
+on whole batches and give back only the rows that count.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
 
-Stages = list[list[tuple[str, str]]]
-AXES = "xyz"
+import numpy as np
+import pyarrow as pa
 
 #: Squared normal of a degenerate triangle, snap distance in metres, smallest denominator.
-DEGENERATE, SNAP, TINY = "1e-20", "1e-6", "1e-30"
+DEGENERATE, SNAP, TINY = 1e-20, 1e-6, 1e-30
 
 
-def cross(a: str, b: str) -> dict[str, str]:
-    """Components of a cross product of vectors with columns {a}x, {a}y, {a}z."""
-    return {axis: f"{a}{p} * {b}{q} - {a}{q} * {b}{p}" for axis, p, q in (("x", "y", "z"), ("y", "z", "x"), ("z", "x", "y"))}
+def cross(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return np.stack([u[:, p] * v[:, q] - u[:, q] * v[:, p] for p, q in ((1, 2), (2, 0), (0, 1))], axis=1)
 
 
-def dot(a: str, b: str) -> str:
-    return " + ".join(f"{a}{x} * {b}{x}" for x in AXES)
+def dot(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return u[:, 0] * v[:, 0] + u[:, 1] * v[:, 1] + u[:, 2] * v[:, 2]
 
 
-def _plane(n: str, tri: str, of: str, out: str) -> tuple[Stages, list[str]]:
-    """Signed distances (times the normal's length) of the corners of triangle `of` from the plane of `tri`, snapped to 0."""
-    edges = [(f"{n}{e}{x}", f"{tri}{k}{x} - {tri}0{x}") for e, k in (("e", 1), ("f", 2)) for x in AXES]
-    normal = [(f"{n}{x}", expr) for x, expr in cross(f"{n}e", f"{n}f").items()]
-    size = [(f"{n}sq", dot(n, n)), (f"{n}at", dot(n, f"{tri}0"))]
-    raw = [(f"{out}r{k}", f"{dot(n, f'{of}{k}')} - {n}at") for k in range(3)]
-    snap = [(f"{out}{k}", f"CASE WHEN abs({out}r{k}) < {SNAP} * sqrt({n}sq) THEN 0e0 ELSE {out}r{k} END") for k in range(3)]
-    return [edges, normal, size, raw, snap], [f"{out}{k}" for k in range(3)]
+def _plane(tri: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Normal, its square, and the distances (times the normal's length) of the corners `of`, snapped to 0."""
+    n = cross(tri[:, 1] - tri[:, 0], tri[:, 2] - tri[:, 0])
+    square, at = dot(n, n), dot(n, tri[:, 0])
+    d = np.stack([dot(n, of[:, k]) - at for k in range(3)], axis=1)
+    return n, square, np.where(np.abs(d) < (SNAP * np.sqrt(square))[:, None], 0.0, d)
 
 
-def _crossing(p: str, d: str, out: str) -> Stages:
-    """Where a triangle with corner projections p0..p2 and plane distances d0..d2 crosses the plane: {out}s, {out}t, null if it doesn't.
+def _aside(d: np.ndarray) -> np.ndarray:
+    return (d > 0).all(axis=1) | (d < 0).all(axis=1)
 
-    The odd corner is the one alone on its side, else the first one on the plane; the others keep their order.
+
+_OTHERS = np.array([(1, 2), (0, 2), (0, 1)])
+
+
+def _crossing(p: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both ends of a triangle's cut with a plane on the line's axis, and whether there is one.
+
+    p: corners on the axis, d: distances from the plane. The odd corner is alone on its side, or else the first on the plane.
     """
-    odd = f"CASE WHEN {d}0 * {d}1 > 0 THEN 2 WHEN {d}0 * {d}2 > 0 THEN 1 WHEN {d}1 * {d}2 > 0 THEN 0 WHEN {d}0 = 0 THEN 0 WHEN {d}1 = 0 THEN 1 WHEN {d}2 = 0 THEN 2 END"
-    pick = lambda v, first, second, third: f"CASE {out}odd WHEN 0 THEN {v}{first} WHEN 1 THEN {v}{second} WHEN 2 THEN {v}{third} END"
-    named = [(f"{out}{who}{v}", pick(col, *at)) for who, at in (("o", (0, 1, 2)), ("a", (1, 0, 0)), ("b", (2, 2, 1))) for v, col in (("p", p), ("d", d))]
-    o, a, b = (f"{out}{w}" for w in "oab")
-    at = lambda x, y: f"CASE WHEN abs({x}d - {y}d) >= {TINY} THEN {x}p + ({y}p - {x}p) * {x}d / ({x}d - {y}d) END"
-    touch = f"CASE WHEN abs({a}d - {b}d) < {TINY} THEN NULL WHEN {a}d = 0 THEN {a}p ELSE {a}p + ({b}p - {a}p) * {a}d / ({a}d - {b}d) END"
-    return [
-        [(f"{out}odd", odd)], named,
-        [(f"{out}s", f"CASE WHEN {o}d = 0 AND {a}d * {b}d <= 0 THEN {o}p ELSE {at(a, o)} END"), (f"{out}t", f"CASE WHEN {o}d = 0 AND {a}d * {b}d <= 0 THEN {touch} ELSE {at(b, o)} END")],
-    ]
-
-
-def tri_tri(a: str = "a", b: str = "b") -> Stages:
-    """Triangle-triangle intersection (Moeller 1997) of corners {a}0x .. {a}2z and {b}0x .. {b}2z.
-
-    Adds hit (boolean) and the point px, py, pz (null without a hit). Touching counts; coplanar and degenerate pairs don't.
+    rows = np.arange(len(p))
+    together = [d[:, 0] * d[:, 1] > 0, d[:, 0] * d[:, 2] > 0, d[:, 1] * d[:, 2] > 0, d[:, 0] == 0, d[:, 1] == 0, d[:, 2] == 0]
+    odd = np.select(together, [2, 1, 0, 0, 1, 2], -1)
+    a, b = _OTHERS[odd].T
+    (po, do), (pa_, da), (pb, db) = ((p[rows, k], d[rows, k]) for k in (odd, a, b))
+    touch = (do == 0) & (da * db <= 0)
+    reach = lambda x, dx, y, dy: x + (y - x) * dx / np.where(np.abs(dx - dy) < TINY, 1.0, dx - dy)
+    first = np.where(touch, po, reach(pa_, da, po, do))
+    second = np.where(touch, np.where(da == 0, pa_, reach(pa_, da, pb, db)), reach(pb, db, po, do))
+    sound = np.where(touch, np.abs(da - db) >= TINY, (np.abs(da - do) >= TINY) & (np.abs(db - do) >= TINY))
+    return first, second, sound & (odd >= 0)
+
+
+def tri_tri(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Triangle-triangle intersection (Moeller 1997): hit, point and the overlap's length on the line's axis (nan without a hit).
+
+    Touching counts; coplanar and degenerate pairs don't. The point has the middle of the overlap on that axis.
     """
-    far, da = _plane("m", b, a, "da")
-    near, db = _plane("n", a, b, "db")
-    line = [(f"l{x}", expr) for x, expr in cross("n", "m").items()]
-    axis = "CASE WHEN abs(lx) >= abs(ly) AND abs(lx) >= abs(lz) THEN 0 WHEN abs(ly) >= abs(lz) THEN 1 ELSE 2 END"
-    on = lambda v: f"CASE axis WHEN 0 THEN {v}x WHEN 1 THEN {v}y ELSE {v}z END"
-    projected = [(f"p{t}{k}", on(f"{t}{k}")) for t in (a, b) for k in range(3)] + [("lk", on("l"))]
-    centre = [(f"c{x}", "(" + " + ".join(f"{t}{k}{x}" for t in (a, b) for k in range(3)) + ") / 6.0e0") for x in AXES]
-    ends = [("lo", "greatest(least(ias, iat), least(ibs, ibt))"), ("hi", "least(greatest(ias, iat), greatest(ibs, ibt))")]
-    aside = lambda d: " AND ".join(f"{x} > 0" for x in d) + " OR " + " AND ".join(f"{x} < 0" for x in d)
-    ok = (
-        f"msq >= {DEGENERATE} AND nsq >= {DEGENERATE} AND NOT ({aside(da)}) AND NOT ({' AND '.join(f'{x} = 0' for x in da)}) AND NOT ({aside(db)}) "
-        f"AND ias IS NOT NULL AND iat IS NOT NULL AND ibs IS NOT NULL AND ibt IS NOT NULL AND lo <= hi AND abs(lk) >= {TINY}"
-    )
-    point = [(f"p{x}", f"CASE WHEN hit THEN c{x} + l{x} * shift END") for x in AXES]
-    return [
-        *far, *near, line, [("axis", axis)], projected + centre, *_crossing(f"p{a}", "da", "ia"), *_crossing(f"p{b}", "db", "ib"), ends, [("hit", f"coalesce({ok}, FALSE)")],
-        [("shift", f"CASE WHEN hit THEN ((lo + hi) * 0.5e0 - ({on('c')})) / lk END")], point,
-    ]
-
-
-def closest_on_triangle(p: str = "p", t: str = "t") -> Stages:
-    """The point qx, qy, qz of triangle {t}0x .. {t}2z that is closest to {p}x, {p}y, {p}z, and the distance dist.
-
-    The seven regions of Ericson (Real-Time Collision Detection, 5.1.5) are tried in the order A, B, AB, C, AC, BC, inside.
+    if not len(a):
+        return np.zeros(0, bool), np.zeros((0, 3)), np.zeros(0)
+    with np.errstate(all="ignore"):
+        m, m_square, da = _plane(b, a)
+        n, n_square, db = _plane(a, b)
+        line = cross(n, m)
+        axis = np.abs(line).argmax(axis=1)  # the first of equal ones
+        rows = np.arange(len(a))
+        a1, a2, a_ok = _crossing(a[rows, :, axis], da)
+        b1, b2, b_ok = _crossing(b[rows, :, axis], db)
+        lo, hi = np.maximum(np.minimum(a1, a2), np.minimum(b1, b2)), np.minimum(np.maximum(a1, a2), np.maximum(b1, b2))
+        along = line[rows, axis]
+        hit = (m_square >= DEGENERATE) & (n_square >= DEGENERATE) & ~_aside(da) & ~(da == 0).all(axis=1) & ~_aside(db) & a_ok & b_ok & (lo <= hi) & (np.abs(along) >= TINY)
+        corners = np.concatenate((a, b), axis=1)
+        centre = (corners[:, 0] + corners[:, 1] + corners[:, 2] + corners[:, 3] + corners[:, 4] + corners[:, 5]) / 6.0
+        shift = ((lo + hi) * 0.5 - centre[rows, axis]) / np.where(hit, along, 1.0)
+        point = centre + line * shift[:, None]
+    return hit, np.where(hit[:, None], point, np.nan), np.where(hit, hi - lo, np.nan)
+
+
+def closest_on_triangle(p: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The points of the triangles closest to the points, and the distances.
+
+    Ericson (Real-Time Collision Detection, 5.1.5): regions A, B, AB, C, AC, BC, inside; the first that fits counts.
     """
-    rays = [(f"{name}{x}", f"{u}{x} - {v}{x}") for name, u, v in (("s", f"{t}1", f"{t}0"), ("w", f"{t}2", f"{t}0"), ("ga", p, f"{t}0"), ("gb", p, f"{t}1"), ("gc", p, f"{t}2")) for x in AXES]
-    dots = [(f"d{k}", dot(u, v)) for k, u, v in ((1, "s", "ga"), (2, "w", "ga"), (3, "s", "gb"), (4, "w", "gb"), (5, "s", "gc"), (6, "w", "gc"))]
-    areas = [("fc", "d1 * d4 - d3 * d2"), ("fb", "d5 * d2 - d1 * d6"), ("fa", "d3 * d6 - d5 * d4")]
-    safe = lambda num, den: f"({num}) / (CASE WHEN abs({den}) < {TINY} THEN {TINY} ELSE {den} END)"
-    region = (
-        "CASE WHEN d1 <= 0 AND d2 <= 0 THEN 0 WHEN d3 >= 0 AND d4 <= d3 THEN 1 WHEN fc <= 0 AND d1 >= 0 AND d3 <= 0 THEN 2 WHEN d6 >= 0 AND d5 <= d6 THEN 3 "
-        "WHEN fb <= 0 AND d2 >= 0 AND d6 <= 0 THEN 4 WHEN fa <= 0 AND d4 - d3 >= 0 AND d5 - d6 >= 0 THEN 5 ELSE 6 END"
-    )
-    share = [("kab", safe("d1", "(d1 - d3)")), ("kac", safe("d2", "(d2 - d6)")), ("kbc", safe("d4 - d3", "((d4 - d3) + (d5 - d6))")), ("kin", safe("1e0", "(fa + fb + fc)"))]
-    spot = [
-        (f"q{x}", f"CASE region WHEN 0 THEN {t}0{x} WHEN 1 THEN {t}1{x} WHEN 2 THEN {t}0{x} + kab * s{x} WHEN 3 THEN {t}2{x} WHEN 4 THEN {t}0{x} + kac * w{x} "
-         f"WHEN 5 THEN {t}1{x} + kbc * ({t}2{x} - {t}1{x}) ELSE {t}0{x} + s{x} * (fb * kin) + w{x} * (fc * kin) END") for x in AXES
-    ]
-    away = [(f"o{x}", f"q{x} - {p}{x}") for x in AXES]
-    return [rays, dots, areas, [("region", region), *share], spot, away, [("dist", f"sqrt({dot('o', 'o')})")]]
-
-
-def with_stages(df: DataFrame, stages: Stages) -> DataFrame:
-    for stage in stages:
-        df = df.selectExpr("*", *[f"{expr} AS {name}" for name, expr in stage])
-    return df
-
-
-def sql_stages(source: str, stages: Stages) -> str:
-    """The same projections as nested SQL over a source query."""
-    for k, stage in enumerate(stages):
-        source = f"SELECT *, {', '.join(f'{expr} AS {name}' for name, expr in stage)} FROM ({source}) AS stage{k}"
-    return source
+    a, b, c = t[:, 0], t[:, 1], t[:, 2]
+    s, w = b - a, c - a
+    d1, d2, d3, d4, d5, d6 = (dot(u, p - v) for v in (a, b, c) for u in (s, w))
+    fc, fb, fa = d1 * d4 - d3 * d2, d5 * d2 - d1 * d6, d3 * d6 - d5 * d4
+    share = lambda x, y: (x / np.where(np.abs(y) < TINY, TINY, y))[:, None]
+    with np.errstate(all="ignore"):
+        kin = share(np.ones(len(p)), fa + fb + fc)
+        spots = [
+            a, b, a + share(d1, d1 - d3) * s, c, a + share(d2, d2 - d6) * w, b + share(d4 - d3, (d4 - d3) + (d5 - d6)) * (c - b),
+            a + s * (fb[:, None] * kin) + w * (fc[:, None] * kin),
+        ]
+        regions = [
+            (d1 <= 0) & (d2 <= 0), (d3 >= 0) & (d4 <= d3), (fc <= 0) & (d1 >= 0) & (d3 <= 0), (d6 >= 0) & (d5 <= d6),
+            (fb <= 0) & (d2 >= 0) & (d6 <= 0), (fa <= 0) & (d4 - d3 >= 0) & (d5 - d6 >= 0),
+        ]
+        region = np.select(regions, range(6), 6)
+        q = np.select([(region == k)[:, None] for k in range(7)], spots)
+        return q, np.sqrt(dot(q - p, q - p))
+
+
+def columns(batch: pa.RecordBatch, names: list[str], shape: tuple[int, ...]) -> np.ndarray:
+    """Double columns of a batch as one array (rows, *shape)."""
+    return np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names], axis=1).reshape(-1, *shape)
+
+
+def hits_kernel(keys: list[str], a: str = "a", b: str = "b", only_hits: bool = True) -> Callable:
+    """For mapInArrow over keys and corners {a}0x .. {b}2z: the keys, hit (unless only hits are kept), px, py, pz."""
+    corners = {s: [f"{s}{k}{x}" for k in range(3) for x in "xyz"] for s in (a, b)}
+
+    def kernel(batches):
+        for batch in batches:
+            hit, point, _ = tri_tri(columns(batch, corners[a], (3, 3)), columns(batch, corners[b], (3, 3)))
+            cols = [batch.column(k) for k in keys] + ([] if only_hits else [pa.array(hit)]) + [pa.array(point[:, k], mask=~hit) for k in range(3)]
+            out = pa.RecordBatch.from_arrays(cols, names=keys + ([] if only_hits else ["hit"]) + ["px", "py", "pz"])
+            yield out.filter(pa.array(hit)) if only_hits else out
+
+    return kernel
+
+
+def closest_kernel(keys: list[str], within: float | None = None) -> Callable:
+    """For mapInArrow over keys, px, py, pz and corners t0x .. t2z: the keys, dist, qx, qy, qz; rows beyond `within` are left out."""
+    corners = [f"t{k}{x}" for k in range(3) for x in "xyz"]
+
+    def kernel(batches):
+        for batch in batches:
+            q, dist = closest_on_triangle(columns(batch, ["px", "py", "pz"], (3,)), columns(batch, corners, (3, 3)))
+            out = pa.RecordBatch.from_arrays([batch.column(k) for k in keys] + [pa.array(dist)] + [pa.array(q[:, k]) for k in range(3)], names=[*keys, "dist", "qx", "qy", "qz"])
+            yield out if within is None else out.filter(pa.array(dist <= within))
+
+    return kernel

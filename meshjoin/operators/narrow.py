@@ -1,16 +1,17 @@
 """Narrow phase: hard clashes by exact triangle tests, and clearances by point-to-surface distances.
 
 Candidates are joined with each side's triangles (or vertices), pruned against the other side's box before the two
-sides meet. The kernel's projections run inside one code-generated span and are aggregated per pair before anything
-is filtered.
+sides meet. The kernels run on Arrow batches and give back only hits and distances within the gap, which are then
+aggregated per pair.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.kernels import closest_on_triangle, tri_tri, with_stages
+from ..functions.kernels import closest_kernel, hits_kernel
 from ..schema import DEPTH_SEMANTICS, MAX_POINTS, MESH_BOX
 from .geometry import AXES, boxes_meet, triangles, vertices
 
@@ -38,28 +39,26 @@ def triangle_pairs(candidates: DataFrame, elements: DataFrame) -> DataFrame:
 
 
 def triangle_hits(pairs: DataFrame) -> DataFrame:
-    """pairs (triangle_pairs) plus hit and px, py, pz; don't filter it before an aggregation."""
-    return with_stages(pairs, tri_tri("a", "b"))
+    """The pairs (triangle_pairs) that intersect: gi_a, gi_b, tri_a, tri_b, px, py, pz."""
+    return pairs.mapInArrow(hits_kernel([*PAIR, "tri_a", "tri_b"]), "gi_a long, gi_b long, tri_a int, tri_b int, px double, py double, pz double")
 
 
 def hard_clashes(candidates: DataFrame, elements: DataFrame, with_point: bool = True) -> DataFrame:
     """One row for each candidate pair with a triangle hit: gi_a, gi_b, depth (metres, the least overlap of the mesh boxes), hits, point.
 
-    The point is the mean of the first 24 hits by triangle numbers; leave it out to spare the collection of hits.
+    The point is the mean of the first 24 hits by triangle numbers; leave it out to spare their ranking.
     """
     found = triangle_hits(triangle_pairs(candidates, elements))
-    aggs = [F.sum(F.when(F.col("hit"), 1).otherwise(0)).alias("hits")]
     if with_point:
-        spot = F.when(F.col("hit"), F.struct("tri_a", "tri_b", "px", "py", "pz"))
-        aggs.append(F.slice(F.array_sort(F.collect_list(spot)), 1, MAX_POINTS).alias("first"))
-    rows = found.groupBy(*PAIR).agg(*aggs).where("hits > 0")
+        found = found.withColumn("rank", F.row_number().over(Window.partitionBy(*PAIR).orderBy("tri_a", "tri_b")))
+        mean = [F.avg(F.when(F.col("rank") <= MAX_POINTS, F.col(f"p{x}"))) for x in AXES]
+        rows = found.groupBy(*PAIR).agg(F.count("*").alias("hits"), F.array(*mean).alias("point"))
+    else:
+        rows = found.groupBy(*PAIR).agg(F.count("*").alias("hits"))
     boxes = rows.join(_mesh_side(elements, "a"), "gi_a").join(_mesh_side(elements, "b"), "gi_b")
     over = [F.greatest(F.least(F.col(f"af{x}1"), F.col(f"bf{x}1")) - F.greatest(F.col(f"af{x}0"), F.col(f"bf{x}0")), F.lit(0.0)) for x in AXES]
     out = [*PAIR, F.least(*over).alias("depth"), "hits"]
-    if with_point:
-        mean = [F.expr(f"aggregate(first, 0e0, (s, h) -> s + h.p{x}) / size(first)") for x in AXES]
-        out.append(F.array(*mean).alias("point"))
-    return boxes.select(*out)
+    return boxes.select(*out, *(["point"] if with_point else []))
 
 
 def vertex_pairs(candidates: DataFrame, elements: DataFrame, gap_m: float) -> DataFrame:
@@ -85,7 +84,9 @@ def vertex_faces(candidates: DataFrame, elements: DataFrame, gap_m: float, point
         test = (F.col(f"p{x}") >= F.col(f"t{x}0") - gap_m) & (F.col(f"p{x}") <= F.col(f"t{x}1") + gap_m)
         near = test if near is None else near & test
     rows = candidates.select(*PAIR).join(v, f"gi_{points}").join(t, f"gi_{faces}").where(near)
-    found = with_stages(rows, closest_on_triangle("p", "t"))
+    keys = [*PAIR, "v_a", "v_b", "px", "py", "pz"]
+    rows = rows.select(*keys, *[f"t{c}" for c in _CORNERS])
+    found = rows.mapInArrow(closest_kernel(keys, gap_m), "gi_a long, gi_b long, v_a int, v_b int, px double, py double, pz double, dist double, qx double, qy double, qz double")
     return found.select(*PAIR, F.col("dist").alias("d"), F.lit(1 if points == "a" else 2).alias("stage"), "v_a", "v_b", *[((F.col(f"p{x}") + F.col(f"q{x}")) / 2).alias(f"m{x}") for x in AXES])
 
 
