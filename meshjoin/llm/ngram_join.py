@@ -4,8 +4,9 @@ A document is the set of its distinct 5-word shingles (its tokens, 64-bit hashes
 when 100 * |A n B| >= 80 * |A u B|, so a document of n tokens may miss at most e = n - ceil(0.8 n) of
 them.
 
-* Rare tokens occur once in the corpus. As signatures they would match nothing, so they aren't written; a document
-  with more than e of them links with nothing and leaves at once, and any other one may miss only e - rare more.
+* Rare tokens occur in one document only (copies count as one). As signatures they would match nothing, so they aren't
+  written; a document with more than e of them links with nothing and leaves, and any other one may miss only e - rare
+  more. After a first count over all documents, tokens are counted again among the documents that are left.
 * Repeated tokens fall into hash classes, and a signature is a pair of tokens of one class. The prefix, in the
   order of hashes, is extended until the sum over classes of max(0, tokens - 1) exceeds what may be missed.
   Removing that many tokens leaves a pair, and as the order is global the partner indexes the pair as well, so
@@ -13,19 +14,19 @@ them.
   that may be the larger one of a pair also writes the signatures of the tier below.
 * Documents too small to reach the bound index single repeated tokens, too.
 
-Rarity is counted over all documents for the tokens whose hash is below COUNTED of the range, and kept as a bitmap of
-fixed size; a false "repeated" costs work, never a link.
+The first count takes the tokens of all documents whose hash is below COUNTED of the range, the second one all tokens of
+those left. Repeated tokens are kept as a bitmap of fixed size; a false "repeated" costs work, never a link.
 
 Groups of one signature aren't expanded into all pairs. Each group is linked in stars: the pairs with
-one leader are verified, components are drawn, and only members that are still in different components
-meet another leader; what is left after the star rounds is compared pair by pair.
+one leader (first the one with the fewest rare tokens, which edited copies have) are verified, components are drawn,
+and only members that are still in different components meet another leader; what is left after the star rounds is compared pair by pair.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -75,7 +76,16 @@ def _counted_rows(batches):
 def _repeated(docs: DataFrame) -> np.ndarray:
     """Bitmap of the counted tokens that occur in two documents or more."""
     tokens = docs.select("text").mapInArrow(_counted_rows, "token int")
-    again = tokens.groupBy("token").count().where("count > 1")
+    return _bitmap(tokens.groupBy("token").count().where("count > 1"))
+
+
+def _repeated_among(sets: DataFrame) -> np.ndarray:
+    """Bitmap of the tokens that occur in two different sets or more."""
+    tokens = sets.select(F.explode("tokens").alias("token"), "d1").select(F.shiftright(F.shiftleft("token", 32), 32).cast("int").alias("token"), "d1")
+    return _bitmap(tokens.groupBy("token").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo < hi"))
+
+
+def _bitmap(again: DataFrame) -> np.ndarray:
     place = F.shiftrightunsigned("token", 32 - BITMAP)
     words = again.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, shiftrightunsigned(token, {32 - BITMAP}) & 63)")).alias("bits"))
     got = words.toArrow()  # 2 ** (BITMAP - 6) rows at most
@@ -84,10 +94,10 @@ def _repeated(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def _is_rare(tokens: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+def _is_rare(tokens: np.ndarray, bitmap: np.ndarray, limit: np.uint64 | None = None) -> np.ndarray:
     place = (tokens & _U(0xFFFFFFFF)) >> _U(32 - BITMAP)
     seen = (bitmap[(place >> _U(6)).astype(np.int64)] >> (place & _U(63))) & _U(1)
-    return (tokens < _LIMIT) & (seen == 0)
+    return seen == 0 if limit is None else (seen == 0) & (tokens < limit)
 
 
 def _survivor_rows(repeated):
@@ -99,7 +109,7 @@ def _survivor_rows(repeated):
             for part in K.slices(batch):
                 values, off = K.shingle_sets(part.column("text"))
                 n = np.diff(off)
-                rare = K.segment_sums(_is_rare(values, bitmap).astype(np.int64), off)
+                rare = K.segment_sums(_is_rare(values, bitmap, _LIMIT).astype(np.int64), off)
                 spare = _missable(n) - rare
                 d1, d2 = _digests(values, off)
                 pick = []
@@ -118,6 +128,25 @@ def _survivor_rows(repeated):
     return rows
 
 
+def _left_rows(repeated):
+    """Of survivors' sets (node, n, d1, d2, tokens), those that can still link, with rare tokens counted anew: plus rare and spare."""
+
+    def rows(batches):
+        bitmap = repeated.value
+        for batch in batches:
+            lists = batch.column("tokens")
+            off = np.asarray(lists.offsets).astype(np.int64)
+            flat = np.asarray(lists.values).view(_U)[off[0] : off[-1]]
+            n = np.asarray(batch.column("n"))
+            rare = K.segment_sums(_is_rare(flat, bitmap).astype(np.int64), off - off[0])
+            spare = _missable(n) - rare
+            keep = pa.array(spare >= 0)
+            out = batch.select(["node", "n", "d1", "d2", "tokens"]).append_column("rare", pa.array(rare)).append_column("spare", pa.array(spare))
+            yield out.filter(keep)
+
+    return rows
+
+
 def _segments(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     off = np.concatenate(([0], np.cumsum(size))).astype(np.int64)
     return np.repeat(first - off[:-1], size) + np.arange(off[-1]), off
@@ -162,7 +191,7 @@ def _signature_rows(repeated):
             size = [len(f) for f in found]
             if sum(size):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(np.asarray(batch.column(c)), size)) for c in ("node", "n", "d1")] + [pa.array(np.concatenate(found).view(np.int64))], names=["node", "n", "d1", "sig"]
+                    [pa.array(np.repeat(np.asarray(batch.column(c)), size)) for c in ("node", "n", "d1", "rare")] + [pa.array(np.concatenate(found).view(np.int64))], names=["node", "n", "d1", "rare", "sig"]
                 )
 
     return rows
@@ -176,9 +205,11 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return left.join(right, "a").where(100 * both >= 80 * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
 
 
-def _near(a: str, b: str):
-    """Sizes that allow a link."""
-    return 100 * F.least(a, b) >= 80 * F.greatest(a, b)
+def _near(a: str, b: str) -> Column:
+    """Whether sizes and rare tokens of two documents (columns n{a}, rare{a} and n{b}, rare{b}) allow a link: they share no rare token."""
+    col = lambda name, at: F.col(at.format(name))
+    most = F.least(col("n", a) - col("rare", a), col("n", b) - col("rare", b))
+    return 100 * most >= 80 * (col("n", a) + col("n", b) - most)
 
 
 def jaccard_components(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -195,12 +226,17 @@ def jaccard_components(docs: DataFrame, scratch: Scratch | None = None) -> DataF
     rows = scratch.keep(docs.mapInArrow(_key_rows, "doc_id long, n long, d1 long, d2 long"), "rows")
     repeated = spark.sparkContext.broadcast(_repeated(docs))
     survivors = docs.select("text").mapInArrow(_survivor_rows(repeated), "n long, d1 long, d2 long, spare long, tokens array<long>")
-    sets = scratch.keep(survivors.withColumn("node", F.monotonically_increasing_id()), "sets")
+    first = scratch.keep(survivors.withColumn("node", F.monotonically_increasing_id()), "sets-1")
+    scratch.release()
+    repeated = spark.sparkContext.broadcast(_repeated_among(first))
+    columns = "node long, n long, d1 long, d2 long, tokens array<long>, rare long, spare long"
+    sets = scratch.keep(first.select("node", "n", "d1", "d2", "tokens").mapInArrow(_left_rows(repeated), columns), "sets")
+    scratch.drop("sets-1")
     scratch.release()
-    posts = sets.mapInArrow(_signature_rows(repeated), "node long, n long, d1 long, sig long")
+    posts = sets.mapInArrow(_signature_rows(repeated), "node long, n long, d1 long, rare long, sig long")
     posts = scratch.keep(posts, "signatures")
     shared = posts.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("sig")
-    posts = scratch.keep(posts.join(shared, "sig").withColumn("comp", F.col("node")), "posts-0")
+    posts = scratch.keep(posts.join(shared.hint("shuffle_hash"), "sig").withColumn("comp", F.col("node")), "posts-0")
     scratch.drop("signatures")
     scratch.release()
     comp = _linked(posts, sets.select("node", "n", "tokens"), scratch)
@@ -220,32 +256,34 @@ def jaccard_components(docs: DataFrame, scratch: Scratch | None = None) -> DataF
 
 
 def _linked(posts: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """Components (node, comp) of all links inside the signatures' groups (node, n, d1, sig, comp); see the module's text for the rounds."""
-    links = None
+    """Components (node, comp) of all links inside the signatures' groups (node, n, d1, rare, sig, comp); see the module's text for the rounds."""
+    links = comp = None
     for k in range(STAR_ROUNDS + 1):
-        lead = F.min(F.struct(F.xxhash64(F.lit(k), "node"), "node", "n", "d1", "comp")).alias("lead")
-        mixed = posts.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), lead).where("lo < hi")
+        order = F.struct((F.col("rare") if k == 0 else F.lit(0)).alias("rare"), F.xxhash64(F.lit(k), "node").alias("draw"), F.struct("node", "n", "d1", "rare", "comp").alias("at"))
+        mixed = posts.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(order).alias("lead")).where("lo < hi")
         if k < STAR_ROUNDS:
-            pairs = posts.join(mixed.select("sig", "lead"), "sig").where((F.col("comp") != F.col("lead.comp")) & _near("n", "lead.n"))
-            pairs = pairs.select(F.col("lead.node").alias("a"), F.col("node").alias("b"), (F.col("d1") == F.col("lead.d1")).alias("equal"))
+            pairs = posts.join(mixed.select("sig", "lead"), "sig").where((F.col("comp") != F.col("lead.at.comp")) & _near("{}", "lead.at.{}"))
+            pairs = pairs.select(F.col("lead.at.node").alias("a"), F.col("node").alias("b"), (F.col("d1") == F.col("lead.at.d1")).alias("equal"))
         else:
             rest = posts.join(mixed.select("sig"), "sig")
-            other = rest.select("sig", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("d1").alias("d1_b"), F.col("comp").alias("comp_b"))
-            pairs = rest.join(other, "sig").where((F.col("comp") < F.col("comp_b")) & _near("n", "n_b"))
+            other = rest.select("sig", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("rare").alias("rare_b"), F.col("d1").alias("d1_b"), F.col("comp").alias("comp_b"))
+            pairs = rest.join(other, "sig").where((F.col("comp") < F.col("comp_b")) & _near("{}", "{}_b"))
             pairs = pairs.select(F.col("node").alias("a"), "b", (F.col("d1") == F.col("d1_b")).alias("equal"))
         pairs = scratch.keep(pairs.distinct(), f"pairs-{k}")
         found = _verified(pairs.where("not equal"), sets).unionByName(pairs.where("equal").select("a", "b"))
         found = scratch.keep(found, f"links-{k}")
+        scratch.release()
         links = found if links is None else links.unionByName(found)
+        if comp is not None and found.isEmpty():
+            continue  # nothing new to draw; the next round takes other leaders
         comp = connected_components(links, scratch, f"star{k}")
         if k < STAR_ROUNDS:
             now = posts.drop("comp").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
             now = scratch.keep(now, f"now-{k}")
             mixed = now.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
-            posts = scratch.keep(now.join(mixed, "sig").select("sig", "node", "n", "d1", "comp"), f"posts-{k + 1}")
+            posts = scratch.keep(now.join(mixed, "sig").select("sig", "node", "n", "d1", "rare", "comp"), f"posts-{k + 1}")
             scratch.drop(f"now-{k}")
-            scratch.drop(f"posts-{k}")
             scratch.release()
-            if posts.limit(1).count() == 0:
+            if posts.isEmpty():
                 break
     return comp
