@@ -48,7 +48,8 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, scratch: Scratch
     often = lines.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
     text = [F.col("doc"), F.shiftright("place", 32)]
     in_order = Window.partitionBy(*text).orderBy("place")
-    lines = lines.join(often, ["h1", "h2"]).withColumn("island", F.col("place") - F.row_number().over(in_order))
+    # the sides of unique keys are hashed, so that the long sides needn't be sorted
+    lines = lines.join(often.hint("shuffle_hash"), ["h1", "h2"]).withColumn("island", F.col("place") - F.row_number().over(in_order))
     lines = scratch.keep(_with_runs(lines, text, min_words), "repeated")
     scratch.drop("lines")
     scratch.release()
@@ -59,7 +60,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, scratch: Scratch
     for k in range(top + 1):
         order = now.groupBy(*keys).count().where("count > 1").select(*keys)
         order = scratch.keep(order.orderBy(*keys).withColumn("rank", F.monotonically_increasing_id()), f"order-{k}")
-        level = scratch.keep(now.join(order, keys).select("doc", "place", "reach", "rank"), f"rank-{k}")
+        level = scratch.keep(now.join(order.hint("shuffle_hash"), keys).select("doc", "place", "reach", "rank"), f"rank-{k}")
         tagged = level.select("doc", "place", "rank", F.lit(k).alias("level"))
         ranks = tagged if ranks is None else ranks.unionByName(tagged)
         if k < top:
@@ -78,7 +79,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, scratch: Scratch
     spans = spans.join(a, ["doc", "start", "level"]).withColumn("tail", F.col("start") + F.col("length") - half)
     spans = scratch.keep(spans.join(b, ["doc", "tail", "level"]).select("doc", "start", "length", "a", "b"), "spans")
     first = spans.groupBy("length", "a", "b").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("count")).where("count > 1").drop("count")
-    later = spans.join(first, ["length", "a", "b"]).where(F.struct("doc", "start") > F.col("first"))
+    later = spans.join(first.hint("shuffle_hash"), ["length", "a", "b"]).where(F.struct("doc", "start") > F.col("first"))
     run = F.expr("transform(sequence(0, cast(length as int) - 1), i -> cast(start - shiftleft(shiftright(start, 32), 32) as int) + i)")
     dead = later.select("doc", F.shiftleft(F.shiftright("start", 32), 32).alias("place"), run.alias("run"))
     return dead.groupBy("doc", "place").agg(F.array_distinct(F.flatten(F.collect_list("run"))).alias("dead"))
@@ -117,7 +118,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, scratch: Scratch |
     dead = dead.select(F.col("doc").alias("_doc"), F.col("place").alias("_place"), F.col("dead").alias("_dead"))
     text = F.col("text").cast("string")
     same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))) == dead["_doc"]) & (_place(docs["text"].cast("string")) == dead["_place"])
-    rows = docs.join(dead, same, "left").withColumn("_lines", F.when(F.col("_dead").isNotNull(), F.split(text, CUT_AFTER, -1)))
+    rows = docs.join(dead.hint("shuffle_hash"), same, "left").withColumn("_lines", F.when(F.col("_dead").isNotNull(), F.split(text, CUT_AFTER, -1)))
     kept = F.expr("array_join(transform(array_except(sequence(0, size(_lines) - 1), _dead), i -> _lines[i]), '')")
     return rows.select(
         *[F.when(F.col("_dead").isNotNull(), kept).otherwise(text).alias("text") if c == "text" else docs[c] for c in docs.columns],

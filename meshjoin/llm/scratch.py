@@ -36,6 +36,7 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        self.release()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
