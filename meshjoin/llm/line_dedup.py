@@ -25,6 +25,8 @@ MIN_WORDS = 25
 CUT = r"[ \n](?:(?<=\n)(?!\s)|(?<= )(?:(?=\p{Lu}(?!\p{Lu}))|(?<=\p{Ll}[.!?] )(?! )))"
 #: The same cuts without consuming anything, so that the lines put together are the text.
 CUT_AFTER = r"(?<=[ \n])(?:(?<=\n)(?!\s)|(?<= )(?:(?=\p{Lu}(?!\p{Lu}))|(?<=\p{Ll}[.!?] )(?! )))"
+#: Bits, as a power of two, of the bitmap that keeps untouched texts out of the last join: 512 kB whatever the corpus.
+BITMAP = 22
 _BLANK = " \n\r\t"
 
 
@@ -114,13 +116,28 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, scratch: Scratch |
     can become empty. Very long texts are processed whole; an empty table gives no rows.
     """
     scratch = scratch or Scratch(docs.sparkSession, "line-dedup")
+    before = len(scratch.kept)
     dead = scratch.keep(repeated_lines(docs, min_words, scratch), "dead")
+    for name in scratch.kept[before:-1]:
+        scratch.drop(name)
     dead = dead.select(F.col("doc").alias("_doc"), F.col("place").alias("_place"), F.col("dead").alias("_dead"))
+    # a bitmap of fixed size tells which texts can't have lines to delete, so that they aren't shuffled
+    words = dead.select(_bit("_doc", "_place").alias("bit")).groupBy(F.shiftright("bit", 6).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, CAST(bit & 63 AS INT)))").alias("_bits"))
     text = F.col("text").cast("string")
-    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))) == dead["_doc"]) & (_place(docs["text"].cast("string")) == dead["_place"])
-    rows = docs.join(dead.hint("shuffle_hash"), same, "left").withColumn("_lines", F.when(F.col("_dead").isNotNull(), F.split(text, CUT_AFTER, -1)))
+    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("_at", _place(text)).withColumn("_bit", _bit("_key", "_at"))
+    keyed = keyed.join(F.broadcast(words), F.shiftright("_bit", 6) == F.col("_word"), "left")
+    marked = F.expr("coalesce(shiftright(_bits, CAST(_bit & 63 AS INT)) & 1, 0) = 1")
+    clear = keyed.where(~marked).select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], F.lit(0).alias("lines_deleted"))
+    rows = keyed.where(marked).join(dead.hint("shuffle_hash"), (F.col("_key") == F.col("_doc")) & (F.col("_at") == F.col("_place")), "left")
+    rows = rows.withColumn("_lines", F.when(F.col("_dead").isNotNull(), F.split(text, CUT_AFTER, -1)))
     kept = F.expr("array_join(transform(array_except(sequence(0, size(_lines) - 1), _dead), i -> _lines[i]), '')")
-    return rows.select(
-        *[F.when(F.col("_dead").isNotNull(), kept).otherwise(text).alias("text") if c == "text" else docs[c] for c in docs.columns],
+    edited = rows.select(
+        *[F.when(F.col("_dead").isNotNull(), kept).otherwise(text).alias("text") if c == "text" else F.col(c) for c in docs.columns],
         F.when(F.col("_dead").isNull(), 0).otherwise(F.size("_dead")).alias("lines_deleted"),
     )
+    return clear.unionByName(edited)
+
+
+def _bit(doc: str, place: str):
+    """The place of a text in the bitmap of texts with lines to delete."""
+    return F.pmod(F.xxhash64(doc, place), F.lit(1 << BITMAP))

@@ -31,11 +31,13 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        self.kept: list[str] = []
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        self.kept.append(name)
         self.release()
         return self.spark.read.schema(df.schema).parquet(path)
 
