@@ -235,7 +235,10 @@ def jaccard_components(docs: DataFrame, scratch: Scratch | None = None) -> DataF
     scratch.release()
     posts = sets.mapInArrow(_signature_rows(repeated), "node long, n long, d1 long, rare long, sig long")
     posts = scratch.keep(posts, "signatures")
-    shared = posts.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("sig")
+    # of signatures with the same members (by two hashes of the group) one is enough
+    members = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"members_{k}") for k in (1, 2)]
+    shared = posts.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high"), *members).where("low < high")
+    shared = shared.groupBy("members_1", "members_2").agg(F.min("sig").alias("sig")).select("sig")
     posts = scratch.keep(posts.join(shared.hint("shuffle_hash"), "sig").withColumn("comp", F.col("node")), "posts-0")
     scratch.drop("signatures")
     scratch.release()
