@@ -32,6 +32,8 @@ def clashes_of(candidates: DataFrame, elements: DataFrame, rules: Rules, with_po
         hard = hard_clashes(candidates, elements, with_point)
         out = hard_rows(hard if with_point else hard.withColumn("point", F.lit(None).cast("array<double>")))
     if rules.soft:
+        if rules.hard:
+            out = out.persist(StorageLevel.MEMORY_AND_DISK)  # read twice: as rows, and to leave its pairs out
         rest = candidates.join(out.select(*PAIR), PAIR, "left_anti") if rules.hard else candidates
         soft = clearance_rows(clearances(rest, elements, rules.gap_m, vertex_only))
         out = soft if out is None else out.unionByName(soft)

@@ -228,7 +228,7 @@ def clearance(spark, sf_dir):
 def _detected(rules: Rules):
     def run(spark, sf_dir):
         e = scenes.elements(spark, sf_dir)
-        return clashes_of(candidates_of(e, rules), e, rules, with_point=False).select("gi_a", "gi_b", "distance", "volume", "type")
+        return clashes_of(candidates_of(e, rules).persist(), e, rules, with_point=False).select("gi_a", "gi_b", "distance", "volume", "type")
 
     return run
 
@@ -246,7 +246,7 @@ ORACLE_SQL["detect_both"] = _with(
 @_query(_with("SELECT (SELECT count(*) FROM el) AS element_count, (SELECT count(*) FROM cand) AS candidate_pairs, (SELECT count(*) FROM hard) + (SELECT count(*) FROM near) AS clash_count", "boxes", *_BOTH))
 def detect_stats(spark, sf_dir):
     e = scenes.elements(spark, sf_dir)
-    cand = candidates_of(e, BOTH)
+    cand = candidates_of(e, BOTH).persist()
     counts = [df.agg(F.count("*").alias(n)) for df, n in ((e, "element_count"), (cand, "candidate_pairs"), (clashes_of(cand, e, BOTH, with_point=False), "clash_count"))]
     return counts[0].crossJoin(counts[1]).crossJoin(counts[2])  # one row each
 
