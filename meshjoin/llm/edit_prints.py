@@ -6,12 +6,13 @@ after an edit, so their outputs differ in few places. The fingerprint samples th
 random places, SAMPLES of them in each octave [2**o, 2**(o+1)), as one hex digit (a hash of the
 character) each; it ends where the output ends. Likeness is the Hamming likeness of two fingerprints, where
 each digit counts for as many places as it stands for, up to the end of the longer one. Bands of sampled
-digits find candidate pairs.
+digits, and blocks of all digits where a text has too few for a band, find candidate pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import kernels as K
+from .components import connected_components
 from .scratch import Scratch
 
 SAMPLES = 32
@@ -32,6 +34,7 @@ BATCH = 2_000_000
 #: With fewer documents left to walk than this, each is finished on its own.
 FEW = 64
 BAND, BANDS_PER_OCTAVE = 8, 4
+STAR_ROUNDS = 3
 
 
 def _steps() -> np.ndarray:
@@ -135,6 +138,29 @@ def band_keys(fingerprint: str) -> list[int]:
     return out
 
 
+def _weight(fingerprint: str) -> float:
+    """How many places the digits stand for."""
+    octaves = 1
+    while len(places(octaves)[0]) < len(fingerprint):
+        octaves += 1
+    return float(places(octaves)[1][: len(fingerprint)].sum())
+
+
+def short_keys(fingerprint: str, least: float) -> list[int]:
+    """Keys of which two fingerprints with a likeness of `least` share one if the shorter has too few digits for a band.
+
+    Up to there a digit stands for one place. Of the shorter one's m digits at most (1 - least) * m differ, so of one block
+    more than that one is equal. Each fingerprint writes the blocks of its own length and of all shorter lengths that can be near.
+    """
+    out = []
+    for m in range(max(1, math.ceil(least * _weight(fingerprint) - 1e-6)), min(len(fingerprint), 2 * SAMPLES - 1) + 1):
+        blocks = int((1 - least) * m + 1e-6) + 1
+        for b in range(blocks):
+            key = f"short:{m}:{b}:" + fingerprint[b * m // blocks : (b + 1) * m // blocks]
+            out.append(int.from_bytes(hashlib.blake2b(key.encode(), digest_size=8).digest(), "big", signed=True))
+    return out
+
+
 def _codes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
 
@@ -239,30 +265,96 @@ def edited_prints(docs: DataFrame, partitions: int | None = None, scratch: Scrat
 
 
 def near_pairs(docs: DataFrame, least: float = 0.8, scratch: Scratch | None = None) -> DataFrame:
-    """Pairs (a, b, likeness) of documents (doc_id, text) whose fingerprints share a band and have a likeness of `least` or more.
+    """Pairs (a, b, likeness) of documents (doc_id, text) with a likeness of `least` or more whose fingerprints share a key (see
+    band_keys and short_keys): enough of them to link all documents that such pairs link, not each pair of a linked group.
 
-    Each distinct fingerprint stands for the documents that have it (its smallest doc_id), and each band's group is compared
-    with its smallest member, so groups of any size cost a row per member. Documents of under 32 outputs have no band.
+    Each distinct text stands for the documents that have it (its smallest doc_id); near_members has them all. Texts with
+    one fingerprint are paired with the smallest of them. Documents without an id are left out.
     """
     scratch = scratch or Scratch(docs.sparkSession, "edit-pairs")
+    rows = scratch.keep(_printed(docs.where("doc_id is not null")), "rows")
+    nodes, links, _ = _linked(rows, least, scratch)
+    texts = rows.groupBy("fingerprint", "digest").agg(F.min("doc_id").alias("b"))
+    same = texts.join(nodes.select("fingerprint", F.col("doc_id").alias("a")), "fingerprint").select("a", "b", F.lit(1.0).alias("likeness"))
+    ids = nodes.select("node", "doc_id")
+    apart = links.join(ids.select(F.col("node").alias("a"), F.col("doc_id").alias("x")), "a").join(ids.select(F.col("node").alias("b"), F.col("doc_id").alias("y")), "b")
+    apart = apart.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "likeness")
+    return same.unionByName(apart).where("a <> b")
+
+
+def near_members(docs: DataFrame, least: float = 0.8, scratch: Scratch | None = None) -> DataFrame:
+    """One row per row of `docs` (doc_id, text): doc_id, representative long, the smallest doc_id that near_pairs' links or
+    equal fingerprints reach. Rows without an id take part; a group of such rows only has a null representative.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "edit-members")
+    rows = scratch.keep(_printed(docs), "rows")
+    nodes, _, comp = _linked(rows, least, scratch)
+    nodes = nodes.select("fingerprint", "node", "doc_id").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    heads = nodes.groupBy("comp").agg(F.min("doc_id").alias("representative"))
+    return rows.join(nodes.select("fingerprint", "comp").join(heads, "comp"), "fingerprint").select("doc_id", "representative")
+
+
+def _printed(docs: DataFrame) -> DataFrame:
+    """doc_id, digest (of the text) and fingerprint of each row."""
 
     def kernel(batches):
         for batch in batches:
             for part in K.slices(batch):
-                prints = [p[0] for p in pairs(part.column("text").to_pylist(), prints_only=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(prints, pa.string()), pa.array([band_keys(p) for p in prints], pa.list_(pa.int64()))], names=["doc_id", "fingerprint", "bands"])
+                texts = part.column("text").to_pylist()
+                prints = [p[0] for p in pairs(texts, prints_only=True)]
+                digests = [hashlib.blake2b((t or "").encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digests, pa.string()), pa.array(prints, pa.string())], names=["doc_id", "digest", "fingerprint"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = source.mapInArrow(kernel, "doc_id long, fingerprint string, bands array<long>").where("doc_id is not null")
-    reps = scratch.keep(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "prints")
-    posts = reps.select("doc_id", F.explode("bands").alias("band"))
-    heads = posts.groupBy("band").agg(F.min("doc_id").alias("a"))
-    cand = posts.join(heads, "band").where("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    cand = cand.join(reps.select(F.col("doc_id").alias("a"), F.col("fingerprint").alias("fa")), "a").join(reps.select(F.col("doc_id").alias("b"), F.col("fingerprint").alias("fb")), "b")
+    return source.mapInArrow(kernel, "doc_id long, digest string, fingerprint string")
+
+
+def _linked(rows: DataFrame, least: float, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Distinct fingerprints (node, fingerprint, doc_id: the smallest), verified links (a, b, likeness) of nodes, and components (node, comp).
+
+    Each key's group is linked in stars: its members are verified against one leader, components are drawn, and only
+    groups that are still in several components meet another leader. What is left after STAR_ROUNDS is compared pair by pair.
+    """
+
+    def keyed(batches):
+        for batch in batches:
+            prints = batch.column("fingerprint").to_pylist()
+            keys = [[*band_keys(p), *short_keys(p, least)] for p in prints]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([_weight(p) for p in prints], pa.float64()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "weight", "keys"])
 
     def verify(batches):
         for batch in batches:
             like = [likeness(x, y) for x, y in zip(batch.column("fa").to_pylist(), batch.column("fb").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(like, pa.float64())], names=["a", "b", "likeness"])
 
-    return cand.select("a", "b", "fa", "fb").mapInArrow(verify, "a long, b long, likeness double").where(F.col("likeness") >= least)
+    nodes = scratch.keep(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    prints = nodes.select("node", "fingerprint")
+    posts = prints.mapInArrow(keyed, "node long, weight double, keys array<long>").select("node", "weight", F.explode(F.array_distinct("keys")).alias("key"))
+    posts = scratch.keep(posts.withColumn("comp", F.col("node")), "posts-0")
+    links = comp = None
+    for k in range(STAR_ROUNDS + 1):
+        order = F.struct(F.xxhash64(F.lit(k), "node").alias("draw"), "node", "weight", "comp")
+        mixed = posts.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(order).alias("lead")).where("lo < hi")
+        if k < STAR_ROUNDS:
+            other = mixed.select("key", F.col("lead.node").alias("b"), F.col("lead.weight").alias("weight_b"), F.col("lead.comp").alias("comp_b"))
+            found = posts.join(other, "key").where("comp <> comp_b")
+        else:
+            rest = posts.join(mixed.select("key"), "key")
+            other = rest.select("key", F.col("node").alias("b"), F.col("weight").alias("weight_b"), F.col("comp").alias("comp_b"))
+            found = rest.join(other, "key").where("comp < comp_b")
+        # equal places lie before the end of the shorter one
+        found = found.where(F.least("weight", "weight_b") >= least * F.greatest("weight", "weight_b") - 1e-6)
+        found = found.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+        found = found.join(prints.select(F.col("node").alias("a"), F.col("fingerprint").alias("fa")), "a").join(prints.select(F.col("node").alias("b"), F.col("fingerprint").alias("fb")), "b")
+        found = scratch.keep(found.select("a", "b", "fa", "fb").mapInArrow(verify, "a long, b long, likeness double").where(F.col("likeness") >= least), f"links-{k}")
+        links = found if links is None else links.unionByName(found)
+        comp = connected_components(links, scratch, f"star{k}")
+        if k < STAR_ROUNDS:
+            now = posts.drop("comp").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            now = scratch.keep(now, f"now-{k}")
+            mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+            posts = scratch.keep(now.join(mixed, "key"), f"posts-{k + 1}")
+            scratch.drop(f"now-{k}")
+            if posts.isEmpty():
+                break
+    return nodes, links, comp

@@ -421,6 +421,40 @@ def test_near_pairs(spark):
     assert got == {(1, 2)}
 
 
+def test_near_members_equal_brute_force(spark):
+    """A common opening that puts unlike texts into one band, copies, equal fingerprints of different texts, short texts, rows without an id."""
+    draw, least = random.Random(21), 0.8
+    opening = text(draw, 60)
+    rows = []
+    for i in range(12):
+        body = opening + " " + text(draw, 400)
+        rows += [(10 * i + 1, body), (10 * i + 2, body[:-12] + "YZ" + body[-12:]), (10 * i + 3, body)]
+    for i in range(12):
+        short = text(draw, 4 + i % 6)
+        rows += [(200 + 10 * i, short), (201 + 10 * i, short + "q"), (202 + 10 * i, short[:-1] + "Q"), (203 + 10 * i, short)]
+    rows += [(None, rows[0][1]), (None, "x" + text(draw, 50)), (400, ""), (401, None)]
+    draw.shuffle(rows)
+    prints = [p[0] for p in edit_prints.pairs([t for _, t in rows], True)]
+    bands = [set(edit_prints.band_keys(p)) for p in prints]
+    group = list(range(len(rows)))
+    short_links = 0
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        few = min(len(prints[a]), len(prints[b])) < 64
+        if prints[a] == prints[b] or ((few or bands[a] & bands[b]) and edit_prints.likeness(prints[a], prints[b]) >= least):
+            short_links += few and prints[a] != prints[b]
+            old, new = group[b], group[a]
+            group = [new if g == old else g for g in group]
+    heads = {g: min((rows[k][0] for k in range(len(rows)) if group[k] == g and rows[k][0] is not None), default=None) for g in set(group)}
+    expected = sorted(((i, heads[g]) for (i, _), g in zip(rows, group, strict=True)), key=str)
+    assert short_links and len(set(group)) > 12
+    docs = frame(spark, rows)
+    assert sorted(((r.doc_id, r.representative) for r in edit_prints.near_members(docs, least).collect()), key=str) == expected
+    got = edit_prints.near_pairs(docs, least).collect()
+    head = dict(expected)
+    assert got and all(r.likeness >= least and r.a < r.b and head[r.a] == head[r.b] for r in got)
+    assert edit_prints.near_members(empty(spark)).count() == 0
+
+
 # trained operators
 
 
