@@ -51,7 +51,10 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, scratch: Scratch
     text = [F.col("doc"), F.shiftright("place", 32)]
     in_order = Window.partitionBy(*text).orderBy("place")
     # the sides of unique keys are hashed, so that the long sides needn't be sorted
-    lines = lines.join(often.hint("shuffle_hash"), ["h1", "h2"]).withColumn("island", F.col("place") - F.row_number().over(in_order))
+    lines = lines.join(often.hint("shuffle_hash"), ["h1", "h2"])
+    # rows that repeat an id and a text have each place once
+    lines = lines.withColumn("same", F.lag("place").over(in_order)).withColumn("island", F.col("place") - F.dense_rank().over(in_order))
+    lines = lines.where("same is null or same <> place").drop("same")
     lines = scratch.keep(_with_runs(lines, text, min_words), "repeated")
     scratch.drop("lines")
     scratch.release()

@@ -179,6 +179,19 @@ def test_line_dedup_odd_rows(spark, odd):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
 
+def test_line_dedup_takes_repeated_rows_as_one(spark):
+    """A passage of seven lines in a doubled row, in a tripled row without an id, and pasted into other documents."""
+    draw = random.Random(22)
+    first, second = ("\n".join(text(draw, 10).capitalize() for _ in range(7)) for _ in range(2))
+    doubled, tripled = first + "\n" + text(draw, 8).capitalize(), second + "\n" + text(draw, 9).capitalize()
+    tails = [text(draw, 30).capitalize() for _ in range(3)]
+    rows = [(1, doubled), (1, doubled), (2, first + "\n" + tails[0]), (None, tripled), (None, tripled), (None, tripled), (3, second + "\n" + tails[1])]
+    rows += [(4, first + "\n" + tails[2]), (4, first + "\n" + tails[2])]
+    got = sorted(((r.doc_id, r.text, r.lines_deleted) for r in line_dedup.dedup_lines(frame(spark, rows)).collect()), key=str)
+    expected = [(1, doubled, 0)] * 2 + [(2, tails[0], 7), (3, tails[1], 7)] + [(None, tripled, 0)] * 3 + [(4, tails[2], 7)] * 2
+    assert got == sorted(expected, key=str)
+
+
 # sharding
 
 
