@@ -30,10 +30,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the n-gram Jaccard join: the one with the smallest doc_id. Documents without an id stay."""
-    linked = ngram_join.jaccard_components(docs)
-    gone = linked.where("component_id is not null and doc_id is not null and component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component of the n-gram Jaccard join: the one with the smallest doc_id (nulls last), of several the first."""
+    scratch = Scratch(spark, "near-duplicates")
+    # written, so that each reader sees the same row_id
+    rows = scratch.keep(docs.withColumn("row_id", F.monotonically_increasing_id()), "rows")
+    gone = ngram_join.jaccard_components(rows).where("row_id <> first_row").select("row_id")
+    return rows.join(gone, "row_id", "left_anti").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

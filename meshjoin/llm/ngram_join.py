@@ -62,7 +62,8 @@ def _key_rows(batches):
         for part in K.slices(batch):
             values, off = K.shingle_sets(part.column("text"))
             d1, d2 = _digests(values, off)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(off), pa.int64()), pa.array(d1), pa.array(d2)], names=["doc_id", "n", "d1", "d2"])
+            kept = [c for c in part.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(np.diff(off), pa.int64()), pa.array(d1), pa.array(d2)], names=[*kept, "n", "d1", "d2"])
 
 
 def _counted_rows(batches):
@@ -219,11 +220,14 @@ def jaccard_components(docs: DataFrame, scratch: Scratch | None = None) -> DataF
     Null or empty texts and texts without a word have n_shingles 0 and link with nothing. Rows with a
     null doc_id take part; a component of such rows only has a null component_id. Repeated rows are
     kept, one result row each. Texts of any length are processed whole; an empty table gives no rows.
+    With `row_id` long (unique), if given: also row_id and first_row, the row_id of the component's first row (by doc_id,
+    nulls last, then row_id).
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "ngram-join")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = scratch.keep(docs.mapInArrow(_key_rows, "doc_id long, n long, d1 long, d2 long"), "rows")
+    row_id = ["row_id"] if "row_id" in docs.columns else []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *row_id)
+    rows = scratch.keep(docs.mapInArrow(_key_rows, f"doc_id long, {'row_id long, ' if row_id else ''}n long, d1 long, d2 long"), "rows")
     repeated = spark.sparkContext.broadcast(_repeated(docs))
     survivors = docs.select("text").mapInArrow(_survivor_rows(repeated), "n long, d1 long, d2 long, spare long, tokens array<long>")
     first = scratch.keep(survivors.withColumn("node", F.monotonically_increasing_id()), "sets-1")
@@ -245,16 +249,20 @@ def jaccard_components(docs: DataFrame, scratch: Scratch | None = None) -> DataF
     comp = _linked(posts, sets.select("node", "n", "tokens"), scratch)
 
     # a class is all rows with one set; its documents and those of all classes in its component
-    classes = rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("min_doc"))
+    least = [F.min("doc_id").alias("component_id")]
+    if row_id:
+        least.append(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")).alias("first"))
+    classes = rows.where("n > 0").groupBy("n", "d1", "d2").agg(*least)
     drawn = sets.select("node", "n", "d1", "d2").join(comp, "node").groupBy("n", "d1", "d2").agg(F.min("comp").alias("comp"))
     drawn = scratch.keep(drawn.join(classes, ["n", "d1", "d2"]), "drawn")
-    smallest = drawn.groupBy("comp").agg(F.min("min_doc").alias("component_id"))
-    linked = drawn.join(smallest, "comp").select("n", "d1", "d2", "component_id")
-    alone = classes.join(linked.select("n", "d1", "d2"), ["n", "d1", "d2"], "left_anti").select("n", "d1", "d2", F.col("min_doc").alias("component_id"))
-    found = linked.unionByName(alone)
-    out = rows.join(found, ["n", "d1", "d2"], "left")
+    found = ["component_id", "first"] if row_id else ["component_id"]
+    smallest = drawn.groupBy("comp").agg(*[F.min(c).alias(c) for c in found])
+    linked = drawn.select("comp", "n", "d1", "d2").join(smallest, "comp").select("n", "d1", "d2", *found)
+    alone = classes.join(linked.select("n", "d1", "d2"), ["n", "d1", "d2"], "left_anti").select("n", "d1", "d2", *found)
+    out = rows.join(linked.unionByName(alone), ["n", "d1", "d2"], "left")
+    firsts = ["row_id", F.when(F.col("n") > 0, F.col("first.row_id")).otherwise(F.col("row_id")).alias("first_row")] if row_id else []
     return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *firsts
     )
 
 

@@ -22,3 +22,14 @@ def test_stages(spark):
     empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_near_duplicates_go_by_row(spark):
+    """Rows that repeat an id and a text, near copies without an id, and an id with a linked and a clean text."""
+    t = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(4)]
+    rows = [(1, t[0]), (1, t[0]), (5, t[0] + " end"), (5, t[1]), (None, t[2]), (None, t[2] + " end"), (None, t[2]), (7, t[3]), (None, t[3]), (8, ""), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pipeline.drop_near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    found = sorted(((r.doc_id, (r.text or "").removesuffix(" end")) for r in got.collect()), key=str)
+    assert found == sorted([(1, t[0]), (5, t[1]), (None, t[2]), (7, t[3]), (8, ""), (8, "")], key=str)
