@@ -35,6 +35,15 @@ def _place(column="text"):
     return F.shiftleft(F.crc32(F.encode(column, "UTF-8")).cast("long") - F.lit(1 << 31), 32)
 
 
+def _words(line):
+    """Runs without white space; where single spaces alone separate them, counted by those, which is cheaper."""
+    other = line.startswith(" ") | line.contains("  ")
+    for space in "\t\n\x0b\f\r":
+        other = other | line.contains(space)
+    spaces = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" ")))
+    return F.when(other | (line == ""), F.regexp_count(line, F.lit(r"\S+"))).otherwise(spaces + 1)
+
+
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, scratch: Scratch | None = None) -> DataFrame:
     """Lines to delete: doc_id, place long (of the text, see _place), dead array<int> (line positions); see dedup_lines."""
     spark = docs.sparkSession
@@ -43,7 +52,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, scratch: Scratch
     rows = docs.where(F.col("text") != "").select("doc", _place().alias("text_place"), F.posexplode(F.split("text", CUT, -1)).alias("pos", "line"))
     line = F.rtrim(F.col("line"), F.lit(_BLANK))
     lines = rows.select(
-        "doc", (F.col("text_place") + F.col("pos")).alias("place"), (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "))) + 1).alias("words"),
+        "doc", (F.col("text_place") + F.col("pos")).alias("place"), _words(line).alias("words"),
         F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("second"), line).alias("h2"),
     )
     lines = scratch.keep(lines, "lines")
@@ -61,7 +70,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, scratch: Scratch
 
     ranks = None
     now, keys = lines.select("doc", "place", "reach", "h1", "h2"), ["h1", "h2"]
-    top = max(0, min_words.bit_length() - 1)
+    top = max(0, _most_lines(min_words).bit_length() - 1)
     for k in range(top + 1):
         order = now.groupBy(*keys).count().where("count > 1").select(*keys)
         order = scratch.keep(order.orderBy(*keys).withColumn("rank", F.monotonically_increasing_id()), f"order-{k}")
@@ -90,19 +99,25 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, scratch: Scratch
     return dead.groupBy("doc", "place").agg(F.array_distinct(F.flatten(F.collect_list("run"))).alias("dead"))
 
 
+def _most_lines(min_words: int) -> int:
+    """Lines of a shortest run: lines without a word don't follow each other (see CUT), but for two at a text's end."""
+    return 2 * min_words + 1
+
+
 def _with_runs(lines: DataFrame, text: list, min_words: int) -> DataFrame:
     """Keeps islands (repeated neighbours) of min_words words or more and adds, in lines, the shortest run with min_words
     words that starts at a line (forth) and that ends there (back), 0 if there is none, and the longest of its island (reach).
 
-    A line has a word at least, so a run has min_words lines at most, and windows of that many sums tell its length.
+    Windows of as many sums as a run has lines at most tell its length.
     """
+    most = _most_lines(min_words)
     island = Window.partitionBy(*text, "island")
     along = island.orderBy("place")
     rows = lines.withColumn("total", F.sum("words").over(island)).where(F.col("total") >= min_words)
     rows = rows.withColumn("upto", F.sum("words").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("before", F.col("upto") - F.col("words"))
-    rows = rows.withColumn("ahead", F.collect_list("upto").over(along.rowsBetween(0, min_words - 1)))
-    rows = rows.withColumn("behind", F.collect_list("before").over(along.rowsBetween(1 - min_words, 0)))
+    rows = rows.withColumn("ahead", F.collect_list("upto").over(along.rowsBetween(0, most - 1)))
+    rows = rows.withColumn("behind", F.collect_list("before").over(along.rowsBetween(1 - most, 0)))
     forth = F.expr(f"size(filter(ahead, x -> x - before < {min_words})) + 1")
     back = F.expr(f"size(filter(behind, x -> upto - x < {min_words})) + 1")
     rows = rows.withColumn("forth", F.when(forth <= F.size("ahead"), forth).otherwise(0)).withColumn("back", F.when(back <= F.size("behind"), back).otherwise(0))

@@ -192,6 +192,23 @@ def test_line_dedup_takes_repeated_rows_as_one(spark):
     assert got == sorted(expected, key=str)
 
 
+def test_line_dedup_counts_words(spark):
+    """Blanks in a row aren't words, words between tabs are, and blank lines count for nothing."""
+    draw = random.Random(23)
+    few = "Total" + " " * 40 + "12"
+    many = "\t".join(text(draw, 50).split())
+    blank = "ok. \n\n".join(["Alpha"] + [w.capitalize() + " " for w in text(draw, 12).split()])
+    long = "".join(w.capitalize() + "k. \n\n" for w in text(draw, 40).split())
+    rows = []
+    for k, t in enumerate((few, many, blank, long)):
+        rows += [(10 * k + i, text(draw, 6).capitalize() + "\n" + t + "\n" + text(draw, 6).capitalize()) for i in (1, 2)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    before = dict(rows)
+    assert all(got[i] == before[i] for i in (1, 2, 11, 21, 22, 31))
+    assert many not in got[12] and len(got[12].split()) == 12
+    assert len(got[32].split()) == 12
+
+
 # sharding
 
 
