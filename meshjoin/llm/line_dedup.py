@@ -40,7 +40,7 @@ HOT = 1 / 1000
 #: Shortest runs of up to so many lines (a power of two) are found and named by plain columns, longer ones by array functions.
 NEAR = 8
 _BLANK = r" \n\r\t"
-_NO_ID = F.lit(-(1 << 63))
+_NO_ID = -(1 << 63)
 #: Never false. The optimizer can't push filters through a column that holds it, which would compute the column a second time below.
 _HELD = "monotonically_increasing_id() >= 0"
 
@@ -179,7 +179,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, scratch: Scratch
     """Lines to delete, by doc (doc_id; the least long for null) and text_key: words array<struct<word int, bits long>>, a bitmap of
     line positions; see dedup_lines."""
     scratch = scratch or Scratch(docs.sparkSession, "line-dedup")
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), _NO_ID).alias("doc"), F.col("text").cast("string").alias("_text"))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.col("text").cast("string").alias("_text"))
     texts = scratch.keep(_texts(docs), "texts")
     far = scratch.keep(_far_runs(texts, min_words), "far")
     names = _near_forth(texts, min_words).select("name").unionByName(far.where("name = h").select("name"))
@@ -236,7 +236,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, scratch: Scratch |
     names = [c for c in docs.columns if c != "lines_deleted"]
     text = F.col("text").cast("string")
     # the columns go as one, so that none of theirs can clash with ours
-    rows = docs.select(F.struct(*names).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), _NO_ID).alias("_id"), text.alias("_text"))
+    rows = docs.select(F.struct(*names).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_id"), text.alias("_text"))
     rows = rows.withColumn("_text_key", _text_key(F.col("_text"))).withColumn("_h", F.xxhash64("_id", "_text_key"))
     rows, marked = _marked(rows, "_h", bitmap, TEXT_BITS, "left")
     kept = [F.col("_text").alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in names]
