@@ -15,11 +15,19 @@ them.
 * Documents too small to reach the bound index single repeated tokens, too.
 
 The first count takes the tokens of all documents whose hash is below COUNTED of the range, the second one all tokens of
-those left. Repeated tokens are kept as a bitmap of fixed size; a false "repeated" costs work, never a link.
+those left. Repeated tokens are kept as a bitmap whose size follows the number of tokens, up to 2**BITMAP bits; a false
+"repeated" costs work, never a link.
 
 Groups of one signature aren't expanded into all pairs. Each group is linked in stars: the pairs with
 one leader (first the one with the fewest rare tokens, which edited copies have) are verified, components are drawn,
-and only members that are still in different components meet another leader; what is left after the star rounds is compared pair by pair.
+and only members that are still in different components meet another leader. A first star round takes each document's
+FIRST smallest signatures only, so that copies share a component before all signatures are written, and signatures
+whose documents are of one component aren't kept. Star rounds go on while the rest has many pairs; then the rest is compared pair
+by pair.
+
+Pairs are left out before verification if an exact bound rules a link out: sizes and rare tokens, or the parity sketches (one bit
+for each of 512 classes of tokens: whether a set holds an odd number of that class). Sketches differ in at most as many bits as
+the sets differ in tokens, and sets that link differ in at most a ninth of their sizes' sum.
 """
 
 from __future__ import annotations
@@ -35,11 +43,17 @@ from .scratch import Scratch
 
 #: Tokens with a hash below this share of the range are counted.
 COUNTED = 0.35
-#: Bits of the bitmap of repeated tokens, as a power of two: 8 MB whatever the corpus.
-BITMAP = 26
+#: Bits of the largest bitmap of repeated tokens, as a power of two: 32 MB.
+BITMAP = 28
 #: Tokens of the smaller document's tier to a class.
 CLASS_SIZE = 8
-STAR_ROUNDS = 3
+FIRST = 3
+#: Star rounds at least and at most, and the pairs to a posting up to which the rest is compared pair by pair.
+STAR_ROUNDS, MOST_ROUNDS, REST = 3, 10, 8
+#: Words of a parity sketch.
+SKETCH = [f"k{i}" for i in range(8)]
+#: Sets that a task remembers at once, to give copies of a set once.
+SEEN = 200_000
 
 _U = np.uint64
 _LIMIT = _U(int(COUNTED * 2**64))
@@ -74,29 +88,33 @@ def _counted_rows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(values[values < _LIMIT].astype(np.uint32).view(np.int32))], names=["token"])
 
 
-def _repeated(docs: DataFrame) -> np.ndarray:
-    """Bitmap of the counted tokens that occur in two documents or more."""
-    tokens = docs.select("text").mapInArrow(_counted_rows, "token int")
-    return _bitmap(tokens.groupBy("token").count().where("count > 1"))
+def _repeated(docs: DataFrame, tokens: int) -> np.ndarray:
+    """Bitmap of the counted tokens that occur in two documents or more; `tokens` is how many the documents have."""
+    counted = docs.select("text").mapInArrow(_counted_rows, "token int")
+    return _bitmap(counted.groupBy("token").count().where("count > 1"), int(COUNTED * tokens))
 
 
 def _repeated_among(sets: DataFrame) -> np.ndarray:
     """Bitmap of the tokens that occur in two different sets or more."""
     tokens = sets.select(F.explode("tokens").alias("token"), "d1").select(F.shiftright(F.shiftleft("token", 32), 32).cast("int").alias("token"), "d1")
-    return _bitmap(tokens.groupBy("token").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo < hi"))
+    count = sets.agg(F.sum("n")).first()[0] or 0
+    return _bitmap(tokens.groupBy("token").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo < hi"), count)
 
 
-def _bitmap(again: DataFrame) -> np.ndarray:
-    place = F.shiftrightunsigned("token", 32 - BITMAP)
-    words = again.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, shiftrightunsigned(token, {32 - BITMAP}) & 63)")).alias("bits"))
-    got = words.toArrow()  # 2 ** (BITMAP - 6) rows at most
-    out = np.zeros(1 << (BITMAP - 6), np.uint64)
+def _bitmap(again: DataFrame, tokens: int) -> np.ndarray:
+    """Bitmap of repeated ones among so many tokens: two bits for each, of which a fraction is repeated."""
+    power = min(BITMAP, max(16, (2 * tokens).bit_length()))
+    place = F.shiftrightunsigned("token", 32 - power)
+    words = again.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, shiftrightunsigned(token, {32 - power}) & 63)")).alias("bits"))
+    got = words.toArrow()  # 2 ** (power - 6) rows at most
+    out = np.zeros(1 << (power - 6), np.uint64)
     out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(_U)
     return out
 
 
 def _is_rare(tokens: np.ndarray, bitmap: np.ndarray, limit: np.uint64 | None = None) -> np.ndarray:
-    place = (tokens & _U(0xFFFFFFFF)) >> _U(32 - BITMAP)
+    power = len(bitmap).bit_length() - 1 + 6
+    place = (tokens & _U(0xFFFFFFFF)) >> _U(32 - power)
     seen = (bitmap[(place >> _U(6)).astype(np.int64)] >> (place & _U(63))) & _U(1)
     return seen == 0 if limit is None else (seen == 0) & (tokens < limit)
 
@@ -119,6 +137,8 @@ def _survivor_rows(repeated):
                     if key not in seen:
                         seen.add(key)
                         pick.append(i)
+                if len(seen) > SEEN:
+                    seen.clear()
                 pick = np.array(pick, np.int64)
                 at, cut = _segments(off[:-1][pick], n[pick])
                 yield pa.RecordBatch.from_arrays(
@@ -177,7 +197,21 @@ def _signatures(tokens: np.ndarray, n: int, spare: int) -> np.ndarray:
     return np.unique(np.concatenate(singles + pairs)) if singles or pairs else np.zeros(0, _U)
 
 
-def _signature_rows(repeated):
+def _sketches(values: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Parity sketches of sets, one row of len(SKETCH) words each."""
+    out = np.zeros((len(off) - 1, len(SKETCH)), _U)
+    bit = K.mix(values ^ _U(0x2545F4914F6CDD1D)) >> _U(55)
+    owner = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    np.bitwise_xor.at(out, (owner, (bit >> _U(6)).astype(np.int64)), _U(1) << (bit & _U(63)))
+    return out
+
+
+_POST = ["node", "n", "d1", "rare", "comp"]
+
+
+def _signature_rows(repeated, most: int | None = None):
+    """Signatures of sets with what a pair's bounds need; of each set the `most` smallest ones, or all."""
+
     def rows(batches):
         bitmap = repeated.value
         for batch in batches:
@@ -188,12 +222,14 @@ def _signature_rows(repeated):
             found = []
             for i in range(batch.num_rows):
                 x = flat[off[i] : off[i + 1]]
-                found.append(_signatures(x[~_is_rare(x, bitmap)], int(n[i]), int(spare[i])))
+                found.append(_signatures(x[~_is_rare(x, bitmap)], int(n[i]), int(spare[i]))[:most])
             size = [len(f) for f in found]
             if sum(size):
+                sketch = _sketches(flat[off[0] : off[-1]], off - off[0])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(np.asarray(batch.column(c)), size)) for c in ("node", "n", "d1", "rare")] + [pa.array(np.concatenate(found).view(np.int64))], names=["node", "n", "d1", "rare", "sig"]
-                )
+                    [pa.array(np.repeat(np.asarray(batch.column(c)), size)) for c in _POST] + [pa.array(np.repeat(sketch[:, i].view(np.int64), size)) for i in range(len(SKETCH))]
+                    + [pa.array(np.concatenate(found).view(np.int64))], names=[*_POST, *SKETCH, "sig"],
+                )
 
     return rows
 
@@ -207,10 +243,11 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _near(a: str, b: str) -> Column:
-    """Whether sizes and rare tokens of two documents (columns n{a}, rare{a} and n{b}, rare{b}) allow a link: they share no rare token."""
+    """Whether sizes, rare tokens and sketches of two documents (columns n{a}, rare{a}, ... and n{b}, ...) allow a link: they share no rare token."""
     col = lambda name, at: F.col(at.format(name))
     most = F.least(col("n", a) - col("rare", a), col("n", b) - col("rare", b))
-    return 100 * most >= 80 * (col("n", a) + col("n", b) - most)
+    apart = sum((F.bit_count(col(k, a).bitwiseXOR(col(k, b))) for k in SKETCH[1:]), F.bit_count(col(SKETCH[0], a).bitwiseXOR(col(SKETCH[0], b))))
+    return (100 * most >= 80 * (col("n", a) + col("n", b) - most)) & (9 * apart <= col("n", a) + col("n", b))
 
 
 def jaccard_components(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -228,25 +265,32 @@ def jaccard_components(docs: DataFrame, scratch: Scratch | None = None) -> DataF
     row_id = ["row_id"] if "row_id" in docs.columns else []
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *row_id)
     rows = scratch.keep(docs.mapInArrow(_key_rows, f"doc_id long, {'row_id long, ' if row_id else ''}n long, d1 long, d2 long"), "rows")
-    repeated = spark.sparkContext.broadcast(_repeated(docs))
+    repeated = spark.sparkContext.broadcast(_repeated(docs, rows.agg(F.sum("n")).first()[0] or 0))
     survivors = docs.select("text").mapInArrow(_survivor_rows(repeated), "n long, d1 long, d2 long, spare long, tokens array<long>")
     first = scratch.keep(survivors.withColumn("node", F.monotonically_increasing_id()), "sets-1")
     scratch.release()
+    repeated.destroy()
     repeated = spark.sparkContext.broadcast(_repeated_among(first))
     columns = "node long, n long, d1 long, d2 long, tokens array<long>, rare long, spare long"
     sets = scratch.keep(first.select("node", "n", "d1", "d2", "tokens").mapInArrow(_left_rows(repeated), columns), "sets")
     scratch.drop("sets-1")
     scratch.release()
-    posts = sets.mapInArrow(_signature_rows(repeated), "node long, n long, d1 long, rare long, sig long")
+    tokens, columns = sets.select("node", "n", "tokens"), ", ".join(f"{c} long" for c in [*_POST, *SKETCH, "sig"])
+    source = sets.select("node", "n", "d1", "rare", "spare", "tokens")
+    few = source.withColumn("comp", F.col("node")).mapInArrow(_signature_rows(repeated, FIRST), columns)
+    links = _star(scratch.keep(few, "first-signatures"), tokens, scratch, 0)
+    comp = connected_components(links, scratch, "star0")
+    posts = _with_comp(source, comp).mapInArrow(_signature_rows(repeated), columns)
     posts = scratch.keep(posts, "signatures")
     # of signatures with the same members (by two hashes of the group) one is enough
     members = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"members_{k}") for k in (1, 2)]
-    shared = posts.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high"), *members).where("low < high")
+    shared = posts.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), *members).where("low < high")
     shared = shared.groupBy("members_1", "members_2").agg(F.min("sig").alias("sig")).select("sig")
-    posts = scratch.keep(posts.join(shared.hint("shuffle_hash"), "sig").withColumn("comp", F.col("node")), "posts-0")
+    posts = scratch.keep(posts.join(shared.hint("shuffle_hash"), "sig"), "posts-1")
     scratch.drop("signatures")
     scratch.release()
-    comp = _linked(posts, sets.select("node", "n", "tokens"), scratch)
+    comp = _linked(posts, links, comp, tokens, scratch)
+    repeated.destroy()
 
     # a class is all rows with one set; its documents and those of all classes in its component
     least = [F.min("doc_id").alias("component_id")]
@@ -266,35 +310,50 @@ def jaccard_components(docs: DataFrame, scratch: Scratch | None = None) -> DataF
     )
 
 
-def _linked(posts: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """Components (node, comp) of all links inside the signatures' groups (node, n, d1, rare, sig, comp); see the module's text for the rounds."""
-    links = comp = None
-    for k in range(STAR_ROUNDS + 1):
-        order = F.struct((F.col("rare") if k == 0 else F.lit(0)).alias("rare"), F.xxhash64(F.lit(k), "node").alias("draw"), F.struct("node", "n", "d1", "rare", "comp").alias("at"))
-        mixed = posts.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(order).alias("lead")).where("lo < hi")
-        if k < STAR_ROUNDS:
-            pairs = posts.join(mixed.select("sig", "lead"), "sig").where((F.col("comp") != F.col("lead.at.comp")) & _near("{}", "lead.at.{}"))
-            pairs = pairs.select(F.col("lead.at.node").alias("a"), F.col("node").alias("b"), (F.col("d1") == F.col("lead.at.d1")).alias("equal"))
-        else:
-            rest = posts.join(mixed.select("sig"), "sig")
-            other = rest.select("sig", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("rare").alias("rare_b"), F.col("d1").alias("d1_b"), F.col("comp").alias("comp_b"))
-            pairs = rest.join(other, "sig").where((F.col("comp") < F.col("comp_b")) & _near("{}", "{}_b"))
-            pairs = pairs.select(F.col("node").alias("a"), "b", (F.col("d1") == F.col("d1_b")).alias("equal"))
-        pairs = scratch.keep(pairs.distinct(), f"pairs-{k}")
-        found = _verified(pairs.where("not equal"), sets).unionByName(pairs.where("equal").select("a", "b"))
-        found = scratch.keep(found, f"links-{k}")
+def _with_comp(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """Rows (node, ...) with the component of their node: itself where none is drawn."""
+    return rows.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
+def _star(posts: DataFrame, sets: DataFrame, scratch: Scratch, k: int) -> DataFrame:
+    """Links of each signature's members with its leader of round k, where they are of different components."""
+    at = F.struct("node", "n", "d1", "rare", "comp", *SKETCH).alias("at")
+    order = F.struct((F.col("rare") if k < 2 else F.lit(0)).alias("rare"), F.xxhash64(F.lit(k), "node").alias("draw"), at)
+    lead = posts.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(order).alias("lead")).where("lo < hi").select("sig", "lead")
+    pairs = posts.join(lead, "sig").where((F.col("comp") != F.col("lead.at.comp")) & _near("{}", "lead.at.{}"))
+    return _links(pairs.select(F.col("lead.at.node").alias("a"), F.col("node").alias("b"), (F.col("d1") == F.col("lead.at.d1")).alias("equal")), sets, scratch, k)
+
+
+def _rest(posts: DataFrame, sets: DataFrame, scratch: Scratch, k: int) -> DataFrame:
+    """Links of all members of a signature that are of different components."""
+    other = posts.select("sig", *[F.col(c).alias(f"{c}_b") for c in [*_POST, *SKETCH]])
+    pairs = posts.join(other, "sig").where((F.col("comp") < F.col("comp_b")) & _near("{}", "{}_b"))
+    return _links(pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b"), (F.col("d1") == F.col("d1_b")).alias("equal")), sets, scratch, k)
+
+
+def _links(pairs: DataFrame, sets: DataFrame, scratch: Scratch, k: int) -> DataFrame:
+    pairs = scratch.keep(pairs.distinct(), f"pairs-{k}")
+    found = scratch.keep(_verified(pairs.where("not equal"), sets).unionByName(pairs.where("equal").select("a", "b")), f"links-{k}")
+    scratch.release()
+    return found
+
+
+def _linked(posts: DataFrame, links: DataFrame, comp: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Components (node, comp) of all links inside the signatures' groups, given those found before; see the module's text for the rounds."""
+    for k in range(1, MOST_ROUNDS + 1):
+        size = posts.groupBy("sig").count().agg(F.sum("count"), F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()
+        if not size[0]:
+            break
+        last = k == MOST_ROUNDS or k >= STAR_ROUNDS and size[1] <= REST * size[0]
+        found = (_rest if last else _star)(posts, sets, scratch, k)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            comp = connected_components(links, scratch, f"star{k}")
+        if last:
+            break
+        now = scratch.keep(_with_comp(posts.drop("comp"), comp), f"now-{k}")
+        mixed = now.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
+        posts = scratch.keep(now.join(mixed, "sig"), f"posts-{k + 1}")
+        scratch.drop(f"now-{k}")
         scratch.release()
-        links = found if links is None else links.unionByName(found)
-        if comp is not None and found.isEmpty():
-            continue  # nothing new to draw; the next round takes other leaders
-        comp = connected_components(links, scratch, f"star{k}")
-        if k < STAR_ROUNDS:
-            now = posts.drop("comp").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            now = scratch.keep(now, f"now-{k}")
-            mixed = now.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
-            posts = scratch.keep(now.join(mixed, "sig").select("sig", "node", "n", "d1", "rare", "comp"), f"posts-{k + 1}")
-            scratch.drop(f"now-{k}")
-            scratch.release()
-            if posts.isEmpty():
-                break
     return comp
