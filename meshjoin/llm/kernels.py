@@ -13,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE = 1 << 20
+#: Rows of a slice at most, for kernels that keep a row of numbers for each text.
+ROWS = 1024
 SHINGLE = 5
 
 SPACE = np.zeros(256, bool)
@@ -42,13 +44,16 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
+    up, down = _powers.get("up", ()), _powers.get("down", ())
+    if len(up) < n:
         m = max(n, SLICE)
-        up = np.full(m, _BASE, _U)
-        down = np.full(m, pow(_BASE, -1, 1 << 64), _U)
+        up, down = np.full(m, _BASE, _U), np.full(m, pow(_BASE, -1, 1 << 64), _U)
         up[0] = down[0] = 1
-        _powers["up"], _powers["down"] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _powers["up"], _powers["down"]
+        up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+        # a single very long text's powers aren't kept
+        if m <= 2 * SLICE:
+            _powers["up"], _powers["down"] = up, down
+    return up, down
 
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -67,11 +72,11 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """Cuts a batch into runs of rows with at most `limit` bytes of text each (one row at least)."""
+    """Cuts a batch into runs of at most ROWS rows with at most `limit` bytes of text each (one row at least)."""
     off = utf8(batch.column(batch.schema.get_field_index(column)))[1]
     i = 0
     while i < batch.num_rows:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + limit, side="right")) - 1)
+        j = min(i + ROWS, max(i + 1, int(np.searchsorted(off, off[i] + limit, side="right")) - 1))
         yield batch.slice(i, j - i)
         i = j
 

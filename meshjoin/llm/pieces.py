@@ -25,7 +25,9 @@ from . import labelled
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
 LONG = 64
-SLICE = 4 << 20
+SLICE = 1 << 20
+#: Chunks solved together have so many places at most.
+CELLS = 1 << 18
 #: Below the lowest score of a piece by so much is the score of a character that no piece covers.
 UNKNOWN = 10.0
 
@@ -255,8 +257,8 @@ def encode(model: PieceModel, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     sizes = length[rep]
     for lo, hi in ((0, 4), (4, 8), (8, 12), (12, 20), (20, LONG)):
         some = np.flatnonzero((sizes > lo) & (sizes <= hi))
-        for s in range(0, len(some), 1 << 16):
-            at = some[s : s + (1 << 16)]
+        for s in range(0, len(some), CELLS // hi):
+            at = some[s : s + CELLS // hi]
             place = np.minimum(start[rep[at]][:, None] + np.arange(hi), len(data) - 1)
             text = np.where(np.arange(hi) < sizes[at][:, None], data[place], np.uint8(0))
             ids, o = viterbi(model, text, sizes[at])
