@@ -91,9 +91,7 @@ class Index:
         starts, ends, first = K.words(data, cut)
         shingles, off = K.shingles(K.word_hashes(data, starts, ends), first)
         words = np.diff(first)
-        size = np.where(words >= K.SHINGLE, np.diff(off), 0)  # shorter items can't be told from chance
-        place, off = _segments(off[:-1], size)
-        shingles = shingles[place]
+        size = np.diff(off)
         item = np.repeat(np.arange(len(ids)), size)
         order = np.argsort(shingles, kind="stable")
         sieve = np.zeros(1 << 20, bool)
@@ -178,7 +176,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id long, item_id, similarity, distance (of the SimHashes), first_word, n_words (of the best window): one row for each
     row of `docs` (doc_id, text) and benchmark item (item_id, text) that it holds.
 
-    Null and empty texts, and items with fewer than five words, match nothing; rows with a null item_id are left out.
+    Null and empty texts match nothing; rows with a null item_id are left out. An item of fewer than five words is one
+    shingle, which only a document of just these words has. Rows that repeat a document or an item each count; of
+    windows with equal similarity the first is given. An empty table gives no rows.
     Documents shorter than an item are compared as a whole. Texts of any length are processed whole.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -23,6 +23,8 @@ from . import labelled
 BUCKETS = 4096
 #: Labelled rows of a language, and of all, that the centroids are fitted on, at most.
 MOST_PER_LANGUAGE, MOST_LABELS = 500, 4000
+#: Parts that a language's rows are first ranked in.
+PARTS = 16
 CENTROIDS = 4
 ROUNDS = 12
 #: This share of a centroid's own texts is farther away than its bound; MARGIN is subtracted.
@@ -110,8 +112,11 @@ def fit(counts: np.ndarray, langs: np.ndarray, seed: int = 5) -> CentroidModel:
 def train(docs: DataFrame, usable: Column) -> CentroidModel:
     """Fits on up to MOST_PER_LANGUAGE texts of a language, the first by a hash of the id, among rows with id, lang and text."""
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & usable)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= MOST_PER_LANGUAGE)
+    draw = [F.xxhash64("doc_id"), F.col("doc_id")]
+    ids = rows.select("doc_id", "lang", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(PARTS)).alias("part"))
+    # first within parts of a language, so that a task then has PARTS * MOST_PER_LANGUAGE rows of a language at most
+    for by in (["lang", "part"], ["lang"]):
+        ids = ids.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(*draw))).where(F.col("k") <= MOST_PER_LANGUAGE)
     ids = ids.orderBy("k", "lang").limit(MOST_LABELS).select("doc_id").distinct()
     # at most MOST_LABELS ids, so the side is small by construction
     chosen = rows.select("doc_id", "lang", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
@@ -139,7 +144,9 @@ def train(docs: DataFrame, usable: Column) -> CentroidModel:
 def identify(docs: DataFrame, model: CentroidModel, keep: list[str] | None = None) -> DataFrame:
     """`docs` (the columns `keep`, or all) plus lang_pred string, lang_score double (cosine to the nearest centroid) and rejected boolean.
 
-    Null texts and texts without a letter are `und` with score 0 and rejected.
+    Null and empty texts and texts without a letter are `und` with score 0 and rejected; without centroids all are. Of equal
+    cosines the first centroid counts. Repeated rows each get a row; texts of any length are counted whole; an empty table
+    gives no rows. Columns of `docs` with the names of ours are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     extra = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
