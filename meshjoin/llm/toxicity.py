@@ -95,12 +95,13 @@ def fit(x: np.ndarray, y: np.ndarray, lexicon: np.ndarray) -> ToxicModel:
     return ToxicModel(lexicon, start, grown, trees.isotonic(raw, y))
 
 
-def toxicity_scores(docs: DataFrame, model: ToxicModel, keep: list[str] | None = None, reject: float | None = None) -> DataFrame:
-    """`docs` (the columns `keep`, or all) plus score double; with `reject`, only rows with a score below it.
+def toxicity_scores(docs: DataFrame, model: ToxicModel, keep: list[str] | None = None, reject: float | None = None, column: str = "score") -> DataFrame:
+    """`docs` (the columns `keep`, or all) plus the score as a double `column`; with `reject`, only rows with a score below it.
 
-    Null and empty texts have statistics of 0 and are scored like any other. A column score of `docs` is replaced.
+    Null and empty texts have statistics of 0 and are scored like any other. A column of `docs` with the name `column` is replaced.
+    Repeated rows and ties get equal scores, one row each; texts of any length are scored whole; an empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in (docs.columns if keep is None else keep) if c != "score"]
-    scored = labelled.with_columns(docs, T.StructType([T.StructField("score", T.DoubleType())]), lambda t: [pa.array(sent.value.scores(t))], keep)
-    return scored if reject is None else scored.where(F.col("score") < reject)
+    keep = [c for c in (docs.columns if keep is None else keep) if c != column]
+    scored = labelled.with_columns(docs, T.StructType([T.StructField(column, T.DoubleType())]), lambda t: [pa.array(sent.value.scores(t))], keep)
+    return scored if reject is None else scored.where(F.col(column) < reject)
