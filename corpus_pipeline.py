@@ -14,28 +14,38 @@ from meshjoin.llm.queries import table
 from meshjoin.llm.scratch import Scratch
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """`name`, lengthened until no column of docs has it."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below the threshold; the model is fitted on labelled rows of the documents table."""
     source = table(spark, sf_dir, "documents")
     model = toxicity.train(source, table(spark, sf_dir, "labels"), labelled.remainder(3) != 1)
-    return toxicity.toxicity_scores(docs, model, reject=toxicity.THRESHOLD).select(*docs.columns)
+    return toxicity.toxicity_scores(docs, model, reject=toxicity.THRESHOLD, column=_unused(docs, "score")).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of repeated runs of lines. A document that held nothing else goes; n_chars follows the text."""
+    """Documents without later copies of repeated runs of lines. A document that held nothing else goes; n_chars follows the text.
+    A column lines_deleted of docs gets the number of its lines that went."""
     edited = line_dedup.dedup_lines(docs)
     kept = edited.where((F.col("lines_deleted") == 0) | (F.trim(F.col("text"), F.lit(" \n\r\t")) != ""))
-    chars = F.when(F.col("lines_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return kept.withColumn("n_chars", chars).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(F.col("lines_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return kept.select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of the n-gram Jaccard join: the one with the smallest doc_id (nulls last), of several the first."""
-    scratch = Scratch(spark, "near-duplicates")
-    # written, so that each reader sees the same row_id
-    rows = scratch.keep(docs.withColumn("row_id", F.monotonically_increasing_id()), "rows")
-    gone = ngram_join.jaccard_components(rows).where("row_id <> first_row").select("row_id")
-    return rows.join(gone, "row_id", "left_anti").select(*docs.columns)
+    scratch, row = Scratch(spark, "near-duplicates"), _unused(docs, "row_id")
+    # written, so that each reader sees the same number of a row
+    rows = scratch.keep(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = ngram_join.jaccard_components(rows.select("doc_id", "text", F.col(row).alias("row_id")))
+    gone = found.where("row_id <> first_row").select(F.col("row_id").alias(row))
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +66,7 @@ STAGES = [
     ("sentencepiece", encode),
 ]
 
-#: SQL can't express these stages; tests/llm hold them against brute-force versions.
+#: SQL can't express these stages; tests/llm hold their operators against brute-force versions or held-out labels.
 ORACLE_SQL = None
 
 
