@@ -22,6 +22,11 @@ LEVELS = 24
 _SIDE = ["gi", "element_id", "model_id", "ifc_type", *BOX]
 
 
+def _side(elements: DataFrame) -> list[str]:
+    """Columns that a side needs; elements of several payloads pair within their own document."""
+    return [*_SIDE, "document"] if "document" in elements.columns else _SIDE
+
+
 def scope(elements: DataFrame, model: str) -> DataFrame:
     """All elements, or those of exactly one model."""
     return elements if model == "all" else elements.where(F.col("model_id") == model)
@@ -35,38 +40,36 @@ def same_set(a: DataFrame, b: DataFrame) -> bool:
     return row[0] == row[1] and not row[2]
 
 
-def type_pair_keys(pairs) -> list[str]:
-    """Sorted-type keys that rules block: a rule X:Y blocks both orders; one without exactly one colon stands for itself."""
-    keys = set()
-    for rule in pairs:
-        parts = rule.split(":")
-        keys |= {rule, f"{parts[1]}:{parts[0]}"} if len(parts) == 2 else {rule}
-    return sorted(keys)
+def blocked_types(pairs) -> list[str]:
+    """Sorted types, joined by a colon, that rules block. A rule of two types blocks the unordered pair, any other text only itself."""
+    two = {":".join(sorted(rule.split(":"))) for rule in pairs if rule.count(":") == 1}
+    return sorted(two.union(rule for rule in pairs if rule.count(":") != 1))
 
 
 def _sides(a: DataFrame, b: DataFrame, gap_m: float) -> tuple[DataFrame, DataFrame]:
-    left = a.select(*[F.col(c).alias(f"{c}_a") for c in _SIDE])
-    right = b.select(*[F.col(c).alias(f"{c}_b") for c in _SIDE])
+    left = a.select(*[F.col(c).alias(f"{c}_a") for c in _side(a)])
+    right = b.select(*[F.col(c).alias(f"{c}_b") for c in _side(b)])
     wide = {f"v{x}{e}_a": F.col(f"v{x}{e}_a") + F.lit(gap_m if e == "1" else -gap_m) for x in AXES for e in "01"}
     return (left.withColumns(wide) if gap_m else left), right
 
 
-def _pair_rule(rules: Rules, same: bool) -> Column:
-    tests = [(F.col(f"v{x}0_a") <= F.col(f"v{x}1_b")) & (F.col(f"v{x}0_b") <= F.col(f"v{x}1_a")) for x in AXES]
+def _pair_rule(rules: Rules, same: bool, documents: bool) -> Column:
+    tests = [F.col("document_a") == F.col("document_b")] if documents else []
+    tests += [(F.col(f"v{x}0_a") <= F.col(f"v{x}1_b")) & (F.col(f"v{x}0_b") <= F.col(f"v{x}1_a")) for x in AXES]
     if same:
         tests.append(F.col("gi_a") < F.col("gi_b"))
     elif rules.exclude_self:
         tests.append(~(F.col("model_id_a").eqNullSafe(F.col("model_id_b")) & F.col("element_id_a").eqNullSafe(F.col("element_id_b"))))
     if rules.exclude_type_pairs:
         key = F.array_join(F.array_sort(F.array("ifc_type_a", "ifc_type_b")), ":")
-        tests.append(~key.isin(type_pair_keys(rules.exclude_type_pairs)))
+        tests.append(~key.isin(blocked_types(rules.exclude_type_pairs)))
     return reduce(lambda p, q: p & q, tests)
 
 
 def theta_join(a: DataFrame, b: DataFrame, gap_m: float, rules: Rules, same: bool) -> DataFrame:
     """The join by its plain condition, the second side broadcast: only for a side of a checked size."""
     left, right = _sides(a, b, gap_m)
-    return left.join(F.broadcast(right), _pair_rule(rules, same)).select("gi_a", "gi_b")
+    return left.join(F.broadcast(right), _pair_rule(rules, same, "document" in a.columns)).select("gi_a", "gi_b")
 
 
 def cell_size(a: DataFrame, b: DataFrame, gap_m: float) -> float:
@@ -101,7 +104,10 @@ def grid_join(a: DataFrame, b: DataFrame, gap_m: float, rules: Rules, same: bool
     left, right = _cells(left, "a", cell, levels), _cells(right, "b", cell, levels)
     home_a, home_b = F.col("level_a") == F.col("grid"), F.col("level_b") == F.col("grid")
     on = ["grid", "cx", "cy", "cz"]
-    rule = _pair_rule(rules, same)
+    if "document" in a.columns:
+        left, right = (side.withColumn("document", F.col(f"document_{s}")) for side, s in ((left, "a"), (right, "b")))
+        on = ["document", *on]
+    rule = _pair_rule(rules, same, "document" in a.columns)
     for x in AXES:
         rule = rule & (F.col(f"c{x}") == F.greatest(f"first_{x}_a", f"first_{x}_b"))
     met = left.where(home_a).join(right, on).where(rule).select("gi_a", "gi_b")

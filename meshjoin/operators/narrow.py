@@ -1,22 +1,72 @@
 """Narrow phase: hard clashes by exact triangle tests, and clearances by point-to-surface distances.
 
 Candidates are joined with each side's triangles (or vertices), pruned against the other side's box before the two
-sides meet. The kernels run on Arrow batches and give back only hits and distances within the gap, which are then
-aggregated per pair.
+sides meet. Between large meshes they meet by cells of the region that both boxes share, as many as the larger mesh
+asks for, so that no pair of elements makes all pairs of triangles, and no pair is one task. The kernels run on Arrow
+batches and give back only hits and distances within the gap, which are then aggregated per pair.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.kernels import closest_kernel, hits_kernel
-from ..schema import DEPTH_SEMANTICS, MAX_POINTS, MESH_BOX
+from ..schema import BOX, DEPTH_SEMANTICS, MAX_POINTS, MESH_BOX
 from .geometry import AXES, boxes_meet, triangles, vertices
 
 PAIR = ["gi_a", "gi_b"]
 _CORNERS = [f"{k}{x}" for k in range(3) for x in AXES]
+#: Cells are used where the larger one of a pair's meshes has more parts (triangles or vertices) than this; about so many come to a cell
+#: of a surface.
+CELL_PARTS = 256
+MOST_CELLS = 64
+#: Cells are wider than needed by this share, so that rounding can't put close parts into different ones.
+SLACK = 1e-9
+
+
+def _has_large(elements: DataFrame) -> bool:
+    """Whether any mesh is large enough for cells."""
+    most = elements.agg(F.max(F.greatest("n_verts", "n_faces"))).first()[0]
+    return (most or 0) > CELL_PARTS
+
+
+def _with_region(candidates: DataFrame, elements: DataFrame, gap_m: float) -> DataFrame:
+    """Candidates with their grid: cells an axis (g; 1 for small meshes), and by axis the start (r{x}) and cell width (w{x}) of the region
+    that A's box, widened by the gap, shares with B's."""
+    side = lambda s: elements.select(F.col("gi").alias(f"gi_{s}"), F.greatest("n_verts", "n_faces").alias(f"n_{s}"), *[F.col(c).alias(f"{s}{c}") for c in BOX])
+    rows = candidates.select(*PAIR).join(side("a"), "gi_a").join(side("b"), "gi_b")
+    rows = rows.withColumn("g", F.when(F.greatest("n_a", "n_b") <= CELL_PARTS, 1).otherwise(F.least(F.ceil(F.sqrt(F.greatest("n_a", "n_b") / F.lit(CELL_PARTS // 8))), F.lit(MOST_CELLS))).cast("int"))
+    for x in AXES:
+        low, high = F.greatest(F.col(f"av{x}0"), F.col(f"bv{x}0")) - gap_m, F.least(F.col(f"av{x}1"), F.col(f"bv{x}1")) + gap_m
+        rows = rows.withColumn(f"r{x}", low).withColumn(f"w{x}", F.greatest((high - low) / F.col("g"), F.lit(2 * gap_m), F.lit(1e-9)))
+    return rows.select(*PAIR, "g", *[f"{c}{x}" for x in AXES for c in "rw"])
+
+
+def _cell(at: Column, x: str) -> Column:
+    """The cell of a coordinate on axis x, the first or last one beyond the region."""
+    return F.greatest(F.least(F.floor((at - F.col(f"r{x}")) / F.col(f"w{x}")), F.col("g") - 1), F.lit(0)).cast("int")
+
+
+def _in_region(rows: DataFrame, low: dict[str, Column], high: dict[str, Column]) -> DataFrame:
+    """The rows whose box meets the region; two parts within the gap of each other both do."""
+    for x in AXES:
+        slack = F.col(f"w{x}") * SLACK
+        rows = rows.where((high[x] >= F.col(f"r{x}") - slack) & (low[x] <= F.col(f"r{x}") + F.col("g") * F.col(f"w{x}") + slack))
+    return rows
+
+
+def _in_cells(rows: DataFrame, low: dict[str, Column], high: dict[str, Column]) -> DataFrame:
+    """One row for each cell (cx, cy, cz) that a box meets, with its first cell (fx, fy, fz)."""
+    for x in AXES:
+        slack = F.col(f"w{x}") * SLACK
+        rows = rows.withColumn(f"f{x}", _cell(low[x] - slack, x)).withColumn(f"c{x}", F.explode(F.sequence(f"f{x}", _cell(high[x] + slack, x))))
+    return rows
+
+
+_GRID = ["g", *[f"{c}{x}" for x in AXES for c in "rw"]]
+_AT = [f"c{x}" for x in AXES]
 
 
 def _mesh_side(elements: DataFrame, s: str) -> DataFrame:
@@ -26,6 +76,9 @@ def _mesh_side(elements: DataFrame, s: str) -> DataFrame:
 def triangle_pairs(candidates: DataFrame, elements: DataFrame) -> DataFrame:
     """Triangle pairs of candidate pairs with overlapping boxes: gi_a, gi_b, tri_a, tri_b, corners a0x .. b2z."""
     boxed = candidates.join(_mesh_side(elements, "a"), "gi_a").join(_mesh_side(elements, "b"), "gi_b")
+    large = _has_large(elements)
+    if large:
+        boxed = boxed.join(_with_region(candidates, elements, 0.0), PAIR)
     own, other = {}, {"a": "b", "b": "a"}
     for s, o in other.items():
         t = triangles(elements, s).withColumnsRenamed({"gi": f"gi_{s}", "tri_idx": f"tri_{s}"})
@@ -33,9 +86,16 @@ def triangle_pairs(candidates: DataFrame, elements: DataFrame) -> DataFrame:
         for x in AXES:
             test = (F.col(f"t{x}0") <= F.col(f"{o}f{x}1")) & (F.col(f"t{x}1") >= F.col(f"{o}f{x}0"))
             meets = test if meets is None else meets & test
-        rows = boxed.select(*PAIR, *[f"{o}{c}" for c in MESH_BOX]).join(t, f"gi_{s}").where(meets)
-        own[s] = rows.select(*PAIR, f"tri_{s}", *[f"{s}{c}" for c in _CORNERS], *[F.col(f"t{x}{e}").alias(f"{s}t{x}{e}") for x in AXES for e in "01"])
-    return own["a"].join(own["b"], PAIR).where(boxes_meet("at", "bt")).select(*PAIR, "tri_a", "tri_b", *[f"{s}{c}" for s in "ab" for c in _CORNERS])
+        rows = boxed.select(*PAIR, *[f"{o}{c}" for c in MESH_BOX], *(_GRID if large else [])).join(t, f"gi_{s}").where(meets)
+        if large:
+            rows = _in_cells(rows, *({x: F.col(f"t{x}{e}") for x in AXES} for e in "01")).withColumnsRenamed({f"f{x}": f"{s}first{x}" for x in AXES})
+        own[s] = rows.select(*PAIR, f"tri_{s}", *([*_AT, *[f"{s}first{x}" for x in AXES]] if large else []), *[f"{s}{c}" for c in _CORNERS], *[F.col(f"t{x}{e}").alias(f"{s}t{x}{e}") for x in AXES for e in "01"])
+    met = own["a"].join(own["b"], [*PAIR, *_AT] if large else PAIR)
+    if large:
+        # triangles that share several cells meet in the first of these only
+        for x in AXES:
+            met = met.where(F.col(f"c{x}") == F.greatest(f"afirst{x}", f"bfirst{x}"))
+    return met.where(boxes_meet("at", "bt")).select(*PAIR, "tri_a", "tri_b", *[f"{s}{c}" for s in "ab" for c in _CORNERS])
 
 
 def triangle_hits(pairs: DataFrame) -> DataFrame:
@@ -69,7 +129,14 @@ def vertex_pairs(candidates: DataFrame, elements: DataFrame, gap_m: float) -> Da
     for x in AXES:
         test = F.abs(F.col(f"a{x}") - F.col(f"b{x}")) <= gap_m
         near = test if near is None else near & test
-    rows = candidates.join(side("a"), "gi_a").join(side("b"), "gi_b").where(near)
+    if _has_large(elements):
+        grid = _with_region(candidates, elements, gap_m)
+        at = lambda s: {x: F.col(f"{s}{x}") for x in AXES}
+        own = _in_region(grid.join(side("a"), "gi_a"), at("a"), at("a")).withColumns({f"c{x}": _cell(F.col(f"a{x}"), x) for x in AXES}).drop(*_GRID)
+        other = _in_cells(_in_region(grid.join(side("b"), "gi_b"), at("b"), at("b")), *({x: F.col(f"b{x}") + d for x in AXES} for d in (-gap_m, gap_m)))
+        rows = own.join(other.select(*PAIR, *_AT, "v_b", *[f"b{x}" for x in AXES]), [*PAIR, *_AT]).where(near)
+    else:
+        rows = candidates.join(side("a"), "gi_a").join(side("b"), "gi_b").where(near)
     d = F.sqrt(sum(((F.col(f"a{x}") - F.col(f"b{x}")) * (F.col(f"a{x}") - F.col(f"b{x}")) for x in AXES[1:]), (F.col("ax") - F.col("bx")) * (F.col("ax") - F.col("bx"))))
     return rows.select(*PAIR, d.alias("d"), F.lit(0).alias("stage"), "v_a", "v_b", *[((F.col(f"a{x}") + F.col(f"b{x}")) / 2).alias(f"m{x}") for x in AXES])
 
@@ -83,7 +150,15 @@ def vertex_faces(candidates: DataFrame, elements: DataFrame, gap_m: float, point
     for x in AXES:
         test = (F.col(f"p{x}") >= F.col(f"t{x}0") - gap_m) & (F.col(f"p{x}") <= F.col(f"t{x}1") + gap_m)
         near = test if near is None else near & test
-    rows = candidates.select(*PAIR).join(v, f"gi_{points}").join(t, f"gi_{faces}").where(near)
+    if _has_large(elements):
+        grid = _with_region(candidates, elements, gap_m)
+        at = {x: F.col(f"p{x}") for x in AXES}
+        own = _in_region(grid.join(v, f"gi_{points}"), at, at).withColumns({f"c{x}": _cell(at[x], x) for x in AXES}).drop(*_GRID)
+        other = _in_region(grid.join(t, f"gi_{faces}"), *({x: F.col(f"t{x}{e}") for x in AXES} for e in "01"))
+        other = _in_cells(other, {x: F.col(f"t{x}0") - gap_m for x in AXES}, {x: F.col(f"t{x}1") + gap_m for x in AXES})
+        rows = own.join(other.select(*PAIR, *_AT, "v_b", *[f"t{c}" for c in _CORNERS], *[f"t{x}{e}" for x in AXES for e in "01"]), [*PAIR, *_AT]).where(near)
+    else:
+        rows = candidates.select(*PAIR).join(v, f"gi_{points}").join(t, f"gi_{faces}").where(near)
     keys = [*PAIR, "v_a", "v_b", "px", "py", "pz"]
     rows = rows.select(*keys, *[f"t{c}" for c in _CORNERS])
     found = rows.mapInArrow(closest_kernel(keys, gap_m), "gi_a long, gi_b long, v_a int, v_b int, px double, py double, pz double, dist double, qx double, qy double, qz double")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import threading
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
+from types import SimpleNamespace
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators.broadphase import broad_phase, same_set, scope
 from ..operators.narrow import PAIR, clearance_rows, clearances, hard_clashes, hard_rows
-from ..schema import CLASH, DEPTH_SEMANTICS, Rules
+from ..schema import CLASH, DEPTH_SEMANTICS, RULES_WIRE, Rules
 from ..sources.payload import explode_elements, parse_elements, payload_frame, payload_rules
 from ..sources.sinks import clash_dicts
 
@@ -43,9 +46,11 @@ def clashes_of(candidates: DataFrame, elements: DataFrame, rules: Rules, with_po
 def with_identity(clashes: DataFrame, elements: DataFrame, stable_ids: bool = False) -> DataFrame:
     """Result rows in wire names, with an id: eight random hex digits, or digits of a hash of the row's identity."""
     who = lambda s: elements.select(F.col("gi").alias(f"gi_{s}"), F.col("element_id").alias(f"element{s.upper()}"), F.col("model_id").alias(f"model{s.upper()}Id"))
-    rows = clashes.join(who("a"), "gi_a").join(who("b"), "gi_b").select(*CLASH.names)
+    document = ["document"] if "document" in elements.columns else []
+    rows = clashes.join(who("a").join(elements.select(F.col("gi").alias("gi_a"), *document), "gi_a") if document else who("a"), "gi_a")
+    rows = rows.join(who("b"), "gi_b").select(*document, *CLASH.names)
     key = F.sha2(F.concat_ws("\x1f", "modelAId", "elementA", "modelBId", "elementB", "type", F.col("distance").cast("string")), 256) if stable_ids else F.uuid()
-    return rows.select(F.upper(F.substring(key, 1, 8)).alias("id"), *CLASH.names)
+    return rows.select(F.upper(F.substring(key, 1, 8)).alias("id"), *rows.columns)
 
 
 @dataclass
@@ -60,6 +65,40 @@ class Detection:
     spark: SparkSession
     on_phase: Callable[[str], None] | None = None
     on_progress: Callable[[int, int], None] | None = None
+    on_complete: Callable[[dict], None] | None = None
+
+    def _count_clashes(self, pairs: int) -> int:
+        """Counts the clashes; meanwhile on_progress gets (pairs done, pairs), by the share of the running stages' tasks that have ended."""
+        if not self.on_progress:
+            return self.clashes.count()
+        context, group, found = self.spark.sparkContext, f"narrow-{uuid.uuid4().hex}", {}
+
+        def run():
+            context.setJobGroup(group, "narrow phase")
+            try:
+                found["count"] = self.clashes.count()
+            except Exception as e:  # noqa: BLE001  handed on below
+                found["error"] = e
+
+        work, told, ended = threading.Thread(target=run), 0, {}
+        work.start()
+        while work.is_alive():
+            work.join(PROGRESS_SECONDS)
+            tracker = context.statusTracker()
+            for job in tracker.getJobIdsForGroup(group):
+                for stage in (tracker.getJobInfo(job) or _NO_JOB).stageIds:
+                    if info := tracker.getStageInfo(stage):
+                        ended[stage] = (info.numCompletedTasks, info.numTasks)
+            tasks = sum(n for _, n in ended.values())
+            # later stages may be unknown yet, so the end is told only when it is reached
+            done = min(pairs - 1, pairs * sum(k for k, _ in ended.values()) // max(tasks, 1))
+            if done > told:
+                told = done
+                self.on_progress(told, pairs)
+        if "error" in found:
+            raise found["error"]
+        self.on_progress(pairs, pairs)
+        return found["count"]
 
     @cached_property
     def stats(self) -> dict:
@@ -67,15 +106,15 @@ class Detection:
         counts = {"elementCount": self.elements.count(), "candidatePairs": self.candidates.count()}
         if counts["candidatePairs"] and self.on_phase:
             self.on_phase("Narrow phase")
-        counts["clashCount"] = self.clashes.count() if counts["candidatePairs"] else 0
-        if counts["candidatePairs"]:
-            if self.on_progress:
-                self.on_progress(counts["candidatePairs"], counts["candidatePairs"])
-            if self.on_phase:
-                self.on_phase("Finalising")
-        return counts | {
+        counts["clashCount"] = self._count_clashes(counts["candidatePairs"]) if counts["candidatePairs"] else 0
+        if counts["candidatePairs"] and self.on_phase:
+            self.on_phase("Finalising")
+        stats = counts | {
             "duration_ms": round((time.time() - self.began) * 1000), "threads": self.spark.sparkContext.defaultParallelism, "backends": ["spark"], "depth_semantics": DEPTH_SEMANTICS,
         }
+        if self.on_complete:
+            self.on_complete(stats)
+        return stats
 
     def response(self) -> dict:
         """The wire form: clashes as dicts, and stats. Collects the clashes."""
@@ -87,10 +126,11 @@ class Detection:
             df.unpersist()
 
 
-def detect(spark: SparkSession, source: dict | str | DataFrame, rules: Rules | dict | None = None, on_progress=None, on_phase=None, strict: bool = True, method: str = "auto", stable_ids: bool = False) -> Detection:
+def detect(spark: SparkSession, source: dict | str | DataFrame, rules: Rules | dict | None = None, on_progress=None, on_phase=None, strict: bool = True, method: str = "auto", stable_ids: bool = False, on_complete=None) -> Detection:
     """Detects clashes in a payload (dict or JSON text), or in a frame of parsed elements with separate rules.
 
-    on_phase gets "Building BVH" (indexing; the name is part of the protocol), "Narrow phase" and "Finalising", on_progress (done, total).
+    on_phase gets "Building BVH" (indexing; the name is part of the protocol), "Narrow phase" and "Finalising", on_progress (done, total) as tasks end
+    (see percent), on_complete the statistics.
     strict: faulty elements fail the query; otherwise they are left out.
     """
     began = time.time()
@@ -106,9 +146,55 @@ def detect(spark: SparkSession, source: dict | str | DataFrame, rules: Rules | d
     if on_phase and not candidates.isEmpty():
         on_phase("Building BVH")
     clashes = with_identity(clashes_of(candidates, elements, rules), elements, stable_ids).persist(StorageLevel.MEMORY_AND_DISK)
-    return Detection(elements, candidates, clashes, rules, began, spark, on_phase, on_progress)
+    return Detection(elements, candidates, clashes, rules, began, spark, on_phase, on_progress, on_complete)
+
+
+def percent(done: int, total: int) -> int:
+    """Progress as a whole percentage; 0 for nothing to do."""
+    return round(100 * done / total) if total else 0
 
 
+def detect_documents(payloads: DataFrame, strict: bool = True, method: str = "auto", stable_ids: bool = True, with_point: bool = True) -> DataFrame:
+    """Clashes of several payloads (document, elements, rules), each under its own rules: document, id and the result columns.
+
+    Payloads of equal rules are one plan over all their documents; elements pair within their document only. Whether two scopes
+    are one set is decided by document. Absent rules take the defaults; payloads without elements give no rows.
+    """
+    elements = parse_elements(explode_elements(payloads), strict).persist(StorageLevel.MEMORY_AND_DISK)
+    # as many rows as there are different rules
+    groups = payloads.groupBy("rules").agg(F.min("document")).select("rules").collect()
+    out = None
+    for wire in (r["rules"] for r in groups):
+        rules = Rules.of(wire.asDict() if wire else None)
+        given = F.lit(None) if wire is None else F.struct(*[F.lit(wire[f.name]).cast(f.dataType).alias(f.name) for f in RULES_WIRE.fields])
+        own = elements.join(payloads.where(F.col("rules").eqNullSafe(given)).select("document").distinct(), "document", "left_semi")
+        for part, same in _by_sets(own, rules):
+            a, b = scope(part, rules.model_a), scope(part, rules.model_b)
+            candidates = broad_phase(a, b, rules.gap_m, rules, same, method).persist(StorageLevel.MEMORY_AND_DISK)
+            found = with_identity(clashes_of(candidates, part, rules, with_point), part, stable_ids)
+            out = found if out is None else out.unionByName(found)
+    if out is None:
+        none = candidates_of(elements, Rules(), method)
+        return with_identity(clashes_of(none, elements, Rules()), elements, stable_ids)
+    return out
+
+
+def _by_sets(elements: DataFrame, rules: Rules) -> list[tuple[DataFrame, bool]]:
+    """The documents whose two scopes are one set, and the others."""
+    if rules.model_a == rules.model_b:
+        return [(elements, True)]
+    side = lambda model, n: scope(elements, model).select("document", "model_id", "element_id", *[F.lit(int(k == n)).alias(f"in_{k}") for k in (1, 2)])
+    keys = side(rules.model_a, 1).unionByName(side(rules.model_b, 2)).groupBy("document", "model_id", "element_id").agg(F.sum("in_1").alias("p"), F.sum("in_2").alias("q"))
+    equal = keys.groupBy("document").agg(F.sum("p").alias("p"), F.sum("q").alias("q"), F.max((F.col("p") > 0) != (F.col("q") > 0)).alias("odd"))
+    equal = equal.where((F.col("p") == F.col("q")) & ~F.col("odd")).select("document")
+    return [(elements.join(equal, "document", "left_semi"), True), (elements.join(equal, "document", "left_anti"), False)]
+
+
+#: Seconds between looks at the running tasks.
+PROGRESS_SECONDS = 0.2
+VERSION = "0.2.0"
+_NO_JOB = SimpleNamespace(stageIds=())
+
 #: The advertised protocol.
 CAPABILITIES = {
     "protocolVersion": 1, "modelScope": "exact", "overlapVolume": False,
@@ -123,3 +209,8 @@ def capabilities(spark: SparkSession) -> DataFrame:
     """One row: protocol version, model scope, overlap volume, and the rules that are honoured. minGap is accepted without effect, so it is false."""
     rules = F.struct(*[F.lit(v).alias(k) for k, v in CAPABILITIES["rules"].items()])
     return spark.range(1).select(*[F.lit(CAPABILITIES[k]).alias(k) for k in ("protocolVersion", "modelScope", "overlapVolume")], rules.alias("rules"))
+
+
+def status(spark: SparkSession) -> dict:
+    """The status record: what runs here, and the advertised protocol."""
+    return {"status": "ready", "version": VERSION, "cores": spark.sparkContext.defaultParallelism, "backends": ["spark"], "protocolVersion": CAPABILITIES["protocolVersion"], "capabilities": {k: CAPABILITIES[k] for k in ("modelScope", "overlapVolume", "rules")}}

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.kernels import closest_kernel, hits_kernel
 from ..operators import broadphase, geometry, narrow
 from ..schema import BOX, DEPTH_SEMANTICS, MESH_BOX, Rules
-from ..sources.payload import parse_elements, payload_frame
+from ..sources.payload import parse_elements, payload_texts, explode_elements
 from . import scenes
 from .kernel_sql import closest_on_triangle, sql_stages, tri_tri
-from .detect import candidates_of, capabilities, clashes_of
+from .detect import CAPABILITIES, candidates_of, capabilities, clashes_of, detect_documents, with_identity
 
 GAP = Rules(max_gap=10.0)
 TYPES = Rules(exclude_type_pairs=("T0:T1", "T2:T2"))
@@ -251,13 +251,75 @@ def detect_stats(spark, sf_dir):
     return counts[0].crossJoin(counts[1]).crossJoin(counts[2])  # one row each
 
 
-@_query()
+_RULE_ROWS = ", ".join(f"('{k}', {str(v).lower()})" for k, v in CAPABILITIES["rules"].items())
+
+
+@_query(f"SELECT {CAPABILITIES['protocolVersion']} AS protocol_version, '{CAPABILITIES['modelScope']}' AS model_scope, {str(CAPABILITIES['overlapVolume']).lower()} AS overlap_volume, rule, honoured FROM (VALUES {_RULE_ROWS}) AS t(rule, honoured)")
 def capabilities_record(spark, sf_dir):
-    return capabilities(spark)
+    """The advertised protocol, one row for each rule; it depends on no table."""
+    record = capabilities(spark)
+    rules = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(f"rules.{k}").alias("honoured")) for k in CAPABILITIES["rules"]]))
+    return record.select(F.col("protocolVersion").alias("protocol_version"), F.col("modelScope").alias("model_scope"), F.col("overlapVolume").alias("overlap_volume"), rules.alias("r")).select("protocol_version", "model_scope", "overlap_volume", "r.*")
+
+
+def _wire_of(elements: DataFrame) -> DataFrame:
+    """Elements as wire structs: gi, e."""
+    flat = lambda c, names: f"flatten(transform({c}, p -> array({', '.join(f'p.{n}' for n in names)})))"
+    e = F.struct(
+        F.col("element_id").alias("id"), F.col("model_id").alias("modelId"), F.col("ifc_type").alias("ifcType"), F.expr(flat("verts", XYZ)).cast("array<float>").alias("vertices"),
+        F.expr(flat("faces", ("i0", "i1", "i2"))).alias("indices"),
+    )
+    return elements.select("gi", e.alias("e"))
+
+
+def _payloads(spark: SparkSession, sf_dir: str, key: str, rules: str) -> DataFrame:
+    """The boxes as JSON payloads, a document for each value of the key, with rules by SQL over the column k (the key)."""
+    wire = _wire_of(scenes.elements(spark, sf_dir)).withColumn("k", F.expr(key))
+    docs = wire.groupBy("k").agg(F.expr("transform(sort_array(collect_list(struct(gi, e))), x -> x.e)").alias("elements"))
+    return payload_texts(docs.select(F.concat(F.lit("d"), F.col("k")).alias("document"), F.to_json(F.struct("elements", F.expr(rules).alias("rules"))).alias("json")))
 
 
-@_query()
+@_query(_with(f"SELECT concat('d', gi % 40) AS document, element_id, model_id, CAST(8 AS INTEGER) AS n_verts, CAST(12 AS INTEGER) AS n_faces, {', '.join(BOX)} FROM box"))
 def payload_json_roundtrip(spark, sf_dir):
-    """A payload to JSON text and back to elements."""
-    mesh = {"id": 7, "modelId": "m", "vertices": [0, 0, 0, 1, 0, 0, 0, 1, 0], "indices": [0, 1, 2]}
-    return parse_elements(payload_frame(spark, {"elements": [mesh, {**mesh, "id": "a"}], "rules": {}}).select(F.posexplode("elements").alias("gi", "e")).select(F.col("gi").cast("long").alias("gi"), "e.*"))
+    """All boxes to JSON payloads, forty of them, and back to elements."""
+    back = parse_elements(explode_elements(_payloads(spark, sf_dir, "gi % 40", "named_struct('mode', 'hard')")))
+    return back.select("document", "element_id", "model_id", "n_verts", "n_faces", *BOX)
+
+
+_THREE = "CASE k WHEN 0 THEN named_struct('mode', 'hard', 'maxGap', 0D, 'modelA', 'all', 'modelB', 'all') WHEN 1 THEN named_struct('mode', 'soft', 'maxGap', 20D, 'modelA', 'all', 'modelB', 'all') ELSE named_struct('mode', 'hard', 'maxGap', 0D, 'modelA', 'm0', 'modelB', 'm1') END"
+_IN_DOCUMENT = lambda pairs, k: f"SELECT * FROM ({pairs}) AS d{k} WHERE gi_a % 3 = {k} AND gi_b % 3 = {k}"
+_HARD_PAIRS = f"{_IN_DOCUMENT(_pairs_sql(), 0)} UNION ALL {_IN_DOCUMENT(_pairs_sql(CROSS, False), 2)}"
+
+
+@_query(_with(
+    "SELECT concat('d', gi_a % 3) AS document, CAST(gi_a AS VARCHAR) AS element_a, CAST(gi_b AS VARCHAR) AS element_b, distance, type FROM"
+    " (SELECT gi_a, gi_b, distance, 'hard' AS type FROM hard UNION ALL SELECT gi_a, gi_b, distance, 'clearance' AS type FROM near) AS every",
+    "boxes", _hits(_HARD_PAIRS), _HARD, *_soft_parts(SOFT, _IN_DOCUMENT(_pairs_sql(SOFT), 1)),
+))
+def payload_documents(spark, sf_dir):
+    """Three JSON payloads at once, each with its own rules: hard, soft, and one model against another."""
+    found = detect_documents(_payloads(spark, sf_dir, "gi % 3", _THREE), with_point=False)
+    return found.select("document", F.col("elementA").alias("element_a"), F.col("elementB").alias("element_b"), "distance", "type")
+
+
+@_query(_with("SELECT upper(substr(sha256(concat_ws(chr(31), p.model_id, p.element_id, q.model_id, q.element_id, 'hard', CAST(distance AS VARCHAR))), 1, 8)) AS id, p.element_id AS element_a, q.element_id AS element_b FROM hard JOIN el p ON p.gi = gi_a JOIN el q ON q.gi = gi_b", "boxes", _hits(_pairs_sql()), _HARD))
+def clash_ids(spark, sf_dir):
+    """Stable ids of hard clashes."""
+    e = scenes.elements(spark, sf_dir)
+    found = with_identity(clashes_of(candidates_of(e, Rules()), e, Rules(), with_point=False), e, stable_ids=True)
+    return found.select("id", F.col("elementA").alias("element_a"), F.col("elementB").alias("element_b"))
+
+
+_MID = ", ".join(f"(a.{x} + b.{x}) / 2 AS m{x}" for x in XYZ)
+_APART = " + ".join(f"(a.{x} - b.{x}) * (a.{x} - b.{x})" for x in XYZ)
+
+
+@_query(_with(
+    "SELECT gi_a, gi_b, round(mx, 3) AS px, round(my, 3) AS py, round(mz, 3) AS pz FROM (SELECT *, row_number() OVER (PARTITION BY gi_a, gi_b ORDER BY d, v_a, v_b) AS n FROM"
+    f" (SELECT gi_a, gi_b, sqrt({_APART}) AS d, a.v_idx AS v_a, b.v_idx AS v_b, {_MID} FROM ({_pairs_sql(SOFT)}) AS pairs JOIN v a ON a.gi = gi_a JOIN v b ON b.gi = gi_b) AS every WHERE d <= {SOFT.gap_m!r}) AS ranked WHERE n = 1",
+))
+def clearance_points(spark, sf_dir):
+    """The middle between the closest vertices, the first ones of equally close ones."""
+    e = scenes.elements(spark, sf_dir)
+    found = narrow.clearances(candidates_of(e, SOFT), e, SOFT.gap_m, vertex_only=True)
+    return found.select("gi_a", "gi_b", *[F.round(F.col("point")[k], 3).alias(f"p{x}") for k, x in enumerate(XYZ)])

@@ -1,6 +1,7 @@
 """From payloads, JSON files and tables to elements.
 
-An element row has gi (its place in the input), element_id, model_id, ifc_type, name, storey, discipline,
+Several payloads at once have a key each (document) and their own rules. An element row has gi (its place in its payload; over
+several payloads, their number times 2**31 is added), element_id, model_id, ifc_type, name, storey, discipline,
 verts array<struct<x,y,z: double>> (float32 values), faces array<struct<i0,i1,i2: int>>, n_verts, n_faces, the box
 over all vertices (vx0 .. vz1) and the box over the vertices that faces use (fx0 .. fz1).
 """
@@ -11,15 +12,22 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..schema import ELEMENT_WIRE, PAYLOAD, Rules
 
 IDENTITY = ["gi", "element_id", "model_id", "ifc_type", "name", "storey", "discipline"]
 
 
-def read_payload(spark: SparkSession, path: str) -> DataFrame:
-    """JSON payload files ({elements, rules}), one document a file; malformed JSON fails the read."""
-    return spark.read.schema(PAYLOAD).option("multiLine", True).option("mode", "FAILFAST").json(path)
+def read_payload(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """JSON payload files ({elements, rules}), one document a file, with the file's path as document; malformed JSON fails the read."""
+    files = spark.read.text(path, wholetext=True)
+    return payload_texts(files.select(F.col("_metadata.file_path").alias("document"), F.col("value").alias("json")))
+
+
+def payload_texts(texts: DataFrame) -> DataFrame:
+    """Payloads of a frame (document string, unique; json string); malformed JSON fails the query."""
+    return texts.select("document", F.from_json("json", PAYLOAD, {"mode": "FAILFAST"}).alias("p")).select("document", "p.*")
 
 
 def payload_frame(spark: SparkSession, payload: dict | str) -> DataFrame:
@@ -29,14 +37,24 @@ def payload_frame(spark: SparkSession, payload: dict | str) -> DataFrame:
 
 
 def payload_rules(payloads: DataFrame) -> Rules:
-    """The rules of a one-payload frame."""
-    row = payloads.select("rules").first()
-    return Rules.of(row["rules"].asDict() if row and row["rules"] else None)
+    """The rules of a one-payload frame; more than one payload is refused."""
+    rows = payloads.select("rules").take(2)
+    if len(rows) > 1:
+        raise ValueError("several payloads have rules of their own; see detect_documents")
+    return Rules.of(rows[0]["rules"].asDict() if rows and rows[0]["rules"] else None)
 
 
 def explode_elements(payloads: DataFrame) -> DataFrame:
-    """Wire elements with their place gi; an absent or empty list gives no rows."""
-    return payloads.select(F.posexplode("elements").alias("gi", "e")).select(F.col("gi").cast("long").alias("gi"), "e.*")
+    """Wire elements with their place gi; an absent or empty list gives no rows.
+
+    Payloads with a key (document) are numbered in its order, so that gi is unique over all of them, and their elements keep it.
+    """
+    if "document" not in payloads.columns:
+        return payloads.select(F.posexplode("elements").alias("gi", "e")).select(F.col("gi").cast("long").alias("gi"), "e.*")
+    # one small row for each payload, ranked by one task
+    numbers = payloads.select("document").distinct().withColumn("number", F.row_number().over(Window.orderBy("document")) - 1)
+    rows = payloads.select("document", F.posexplode("elements").alias("at", "e")).join(numbers, "document")
+    return rows.select("document", (F.col("number").cast("long") * (1 << 31) + F.col("at")).alias("gi"), "e.*")
 
 
 def wire_frame(spark: SparkSession, elements: list[dict]) -> DataFrame:
@@ -64,17 +82,16 @@ def parse_elements(wire: DataFrame, strict: bool = True) -> DataFrame:
     Elements with fewer than 3 vertices or no face are dropped. Faulty elements (see quarantine) fail the query if strict,
     and are left out otherwise. Absent and null attributes take their defaults.
     """
-    w = wire.where((F.size("vertices") > 0) & (F.size("indices") > 0)).withColumn("fault", _fault())
-    if strict:
-        w = w.withColumn("vertices", F.when(F.col("fault").isNull(), F.col("vertices")).otherwise(F.raise_error(F.concat(F.lit("element "), F.coalesce("id", F.lit("0")), F.lit(": "), F.col("fault"))).cast("array<float>")))
-    else:
-        w = w.where(F.col("fault").isNull())
+    fault, enough = _fault(), (F.size("vertices") >= 9) & (F.size("indices") >= 3)
+    refused = F.raise_error(F.concat(F.lit("element "), F.coalesce("id", F.lit("0")), F.lit(": "), fault)).cast("boolean") if strict else F.lit(False)
+    # conditions on the wire's own columns only: pushed below the arrays of structs, others would make these anew for each entry
+    w = wire.where((F.size("vertices") > 0) & (F.size("indices") > 0)).where(F.when(fault.isNotNull(), refused).otherwise(enough))
     default = {"element_id": ("id", "0"), "model_id": ("modelId", ""), "ifc_type": ("ifcType", ""), "name": ("name", ""), "storey": ("storey", ""), "discipline": ("discipline", "other")}
     named = w.select(
-        "gi", *[F.coalesce(F.col(c), F.lit(d)).alias(n) for n, (c, d) in default.items()],
+        *(["document"] if "document" in w.columns else []), "gi", *[F.coalesce(F.col(c), F.lit(d)).alias(n) for n, (c, d) in default.items()],
         _triples("vertices", ("x", "y", "z"), "DOUBLE").alias("verts"), _triples("indices", ("i0", "i1", "i2"), "INT").alias("faces"),
     )
-    return with_boxes(named.where((F.size("verts") >= 3) & (F.size("faces") >= 1)))
+    return with_boxes(named)
 
 
 def quarantine(wire: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshjoin.functions.kernels import closest_on_triangle, tri_tri
-from meshjoin.operators import broadphase
-from meshjoin.plans.detect import CAPABILITIES, candidates_of, capabilities, clashes_of, detect
+from meshjoin.operators import broadphase, narrow
+from meshjoin.plans.detect import CAPABILITIES, candidates_of, capabilities, clashes_of, detect, detect_documents, percent, status
 from meshjoin.plans.scenes import FACES
 from meshjoin.schema import PAYLOAD, Rules
 from meshjoin.sources.payload import explode_elements, parse_elements, payload_frame, quarantine, read_payload, wire_frame
@@ -141,7 +141,7 @@ def test_excluded_types(spark):
     for order in (("IfcWall", "IfcDuct"), ("IfcDuct", "IfcWall")):
         e = [box(1, (0, 0, 0), 1, kind=order[0]), box(2, (0.5, 0, 0), 1, kind=order[1])]
         assert rows(found(spark, e, excludeTypePairs=["IfcWall:IfcDuct"])) == []
-    assert broadphase.type_pair_keys(["a:b", "x"]) == ["a:b", "b:a", "x"]
+    assert broadphase.blocked_types(["a:b", "b:a", "d:c", "x"]) == ["a:b", "c:d", "x"]
 
 
 def test_faulty_elements(spark):
@@ -187,7 +187,7 @@ def test_swapping_sides_keeps_hits_and_distances(spark):
 def test_json_files_and_capabilities(spark, tmp_path):
     (tmp_path / "p.json").write_text(json.dumps({"elements": [box(7, (0, 0, 0), 1), box("a", (0.5, 0, 0), 1)], "rules": {"mode": "hard"}}))
     p = read_payload(spark, str(tmp_path / "p.json"))
-    assert p.schema == PAYLOAD and parse_elements(explode_elements(p)).count() == 2
+    assert p.columns[0] == "document" and p.select(*PAYLOAD.names).schema == PAYLOAD and parse_elements(explode_elements(p)).count() == 2
     (tmp_path / "bad.json").write_text("{")
     with pytest.raises(Exception, match="(?i)malformed|failfast|json"):
         read_payload(spark, str(tmp_path / "bad.json")).collect()
@@ -215,3 +215,105 @@ def test_stream_increments(spark, tmp_path):
 def test_soft_mode_without_candidates(spark):
     a = parse_elements(wire_frame(spark, [box(1, (0, 0, 0), 1)]))
     assert clashes_of(candidates_of(a, Rules(mode="soft", max_gap=5)), a, Rules(mode="soft", max_gap=5)).count() == 0
+
+
+# several payloads
+
+
+def test_payload_files_each_with_own_rules(spark, tmp_path):
+    """Elements of different files don't meet, though their places, ids and coordinates are alike."""
+    pair = [box("p", (0, 0, 0), 1), box("q", (0.5, 0, 0), 1)]
+    near = [box("p", (0, 0, 0), 1), box("q", (2.01, 0, 0), 1)]
+    for name, payload in (("a", {"elements": pair}), ("b", {"elements": near, "rules": {"mode": "soft", "maxGap": 20}}), ("c", {"elements": near, "rules": {"mode": "hard"}}), ("d", {"elements": []})):
+        (tmp_path / f"{name}.json").write_text(json.dumps(payload))
+    payloads = read_payload(spark, str(tmp_path))
+    elements = parse_elements(explode_elements(payloads))
+    assert sorted(r.gi for r in elements.collect()) == sorted(k * (1 << 31) + i for k in range(3) for i in range(2))
+    got = sorted((r.document[-6:], r.elementA, r.elementB, r.type, r.distance) for r in detect_documents(payloads).collect())
+    assert got == [("a.json", "p", "q", "hard", -1500), ("b.json", "p", "q", "clearance", 10)]
+    with pytest.raises(ValueError, match="several payloads"):
+        from meshjoin.sources.payload import payload_rules
+
+        payload_rules(payloads)
+
+
+def test_documents_decide_on_their_own_whether_scopes_are_one_set(spark, tmp_path):
+    """All against m1: one set in a document that holds m1 only, two sets, with ordered and self-pairs, in the other one."""
+    m1 = [box("p", (0, 0, 0), 1, "m1"), box("q", (0.5, 0, 0), 1, "m1")]
+    rules = {"modelB": "m1"}
+    (tmp_path / "a.json").write_text(json.dumps({"elements": m1, "rules": rules}))
+    (tmp_path / "b.json").write_text(json.dumps({"elements": [*m1, box("far", (50, 0, 0), 1, "m2")], "rules": rules}))
+    for method in ("theta", "grid"):
+        got = sorted((r.document[-6], r.elementA, r.elementB) for r in detect_documents(read_payload(spark, str(tmp_path)), method=method).collect())
+        assert got == [("a", "p", "q"), ("b", "p", "p"), ("b", "p", "q"), ("b", "q", "p"), ("b", "q", "q")]
+
+
+def test_documents_without_rows(spark):
+    none = spark.createDataFrame([], "document string, json string")
+    from meshjoin.sources.payload import payload_texts
+
+    got = detect_documents(payload_texts(none))
+    assert got.count() == 0 and got.columns[0:2] == ["id", "document"]
+
+
+# events
+
+
+def test_progress_and_completion(spark):
+    phases, steps, ended = [], [], []
+    boxes = [box(i, (0.9 * i, 0, 0), 0.5) for i in range(40)]
+    d = detect(spark, {"elements": boxes, "rules": {}}, on_progress=lambda k, n: steps.append((k, n)), on_phase=phases.append, on_complete=ended.append)
+    stats = d.stats
+    d.unpersist()
+    assert phases == ["Building BVH", "Narrow phase", "Finalising"] and ended == [stats]
+    assert steps[-1] == (39, 39) and steps == sorted(set(steps)) and all(0 < k <= 39 for k, _ in steps)
+    assert [percent(k, n) for k, n in ((0, 0), (1, 3), (39, 39))] == [0, 33, 100]
+    record = status(spark)
+    assert record["status"] == "ready" and record["cores"] >= 1 and record["protocolVersion"] == CAPABILITIES["protocolVersion"] and record["capabilities"]["rules"] == CAPABILITIES["rules"]
+
+
+# large meshes
+
+
+def ball(i, centre, rings, radius=1.0):
+    """A sphere of 2 * rings * (rings - 1) triangles or so."""
+    lat, lon = np.meshgrid(np.linspace(0.02, np.pi - 0.02, rings), np.linspace(0, 2 * np.pi, rings, endpoint=False), indexing="ij")
+    v = np.stack((np.sin(lat) * np.cos(lon), np.sin(lat) * np.sin(lon), np.cos(lat)), axis=-1).reshape(-1, 3) * radius + centre
+    at = lambda r, c: r * rings + c % rings
+    f = [x for r in range(rings - 1) for c in range(rings) for x in (at(r, c), at(r + 1, c), at(r, c + 1), at(r, c + 1), at(r + 1, c), at(r + 1, c + 1))]
+    return {"id": i, "modelId": "m", "ifcType": "T", "vertices": v.reshape(-1).tolist(), "indices": f}
+
+
+def test_cells_change_no_result(spark, monkeypatch):
+    """Spheres that cross and that come close, and a box among them, with cells and without."""
+    scene = [ball("a", (0, 0, 0), 24), ball("b", (1.7, 0.1, 0), 24), ball("c", (0.1, 2.03, 0), 20), box("d", (0, 0, 1.2), 0.3), box("e", (3.03, 0, 0), 0.3)]
+    elements = parse_elements(wire_frame(spark, scene)).cache()
+    rules = Rules(mode="both", max_gap=50.0)
+    candidates = candidates_of(elements, rules).cache()
+    got = {}
+    for most in (10**9, 64):
+        monkeypatch.setattr(narrow, "CELL_PARTS", most)
+        got[most] = sorted((r.gi_a, r.gi_b, r.type, r.distance, tuple(round(x, 6) for x in r.point)) for r in clashes_of(candidates, elements, rules).collect())
+        near = narrow.clearances(candidates, elements, rules.gap_m, vertex_only=True)
+        got[most, "vertices"] = sorted((r.gi_a, r.gi_b, r.d) for r in near.collect())
+    assert got[64] == got[10**9] and got[64, "vertices"] == got[10**9, "vertices"]
+    assert {(a, b) for a, b, *_ in got[64]} >= {(0, 1), (0, 2), (0, 3), (1, 4)} and {t for _, _, t, *_ in got[64]} == {"hard", "clearance"}
+
+
+def test_large_meshes_meet_in_bounded_numbers(spark):
+    """Two meshes of 20,000 triangles: triangles of a cell meet, which are a small share of the 4e8 pairs."""
+    elements = parse_elements(wire_frame(spark, [ball("a", (0, 0, 0), 100), ball("b", (0.6, 0, 0), 100)])).cache()
+    candidates = candidates_of(elements, Rules())
+    assert [r.n_faces for r in elements.collect()] == [19_800] * 2
+    grid = narrow._with_region(candidates, elements, 0.0)
+    met = 1
+    for s in "ab":
+        t = narrow.triangles(elements, s).withColumnRenamed("gi", f"gi_{s}")
+        cells = narrow._in_cells(grid.join(t, f"gi_{s}"), *({x: F.col(f"t{x}{e}") for x in "xyz"} for e in "01"))
+        inside = narrow._in_region(cells, *({x: F.col(f"t{x}{e}") for x in "xyz"} for e in "01"))
+        counts = inside.groupBy("cx", "cy", "cz").agg(F.count("*").alias(f"n_{s}"))
+        met = counts if s == "a" else met.join(counts, ["cx", "cy", "cz"])
+    joined = met.agg(F.sum(F.col("n_a") * F.col("n_b"))).first()[0]
+    assert joined < 4_000_000
+    found = narrow.hard_clashes(candidates, elements).collect()
+    assert len(found) == 1 and found[0].hits > 100 and abs(found[0].depth - 1.4) < 0.01
