@@ -54,6 +54,8 @@ STAR_ROUNDS, MOST_ROUNDS, REST = 3, 10, 8
 SKETCH = [f"k{i}" for i in range(8)]
 #: Sets that a task remembers at once, to give copies of a set once.
 SEEN = 200_000
+#: Tokens that are worked on at once, but for a single set with more.
+TOKENS = 1 << 17
 
 _U = np.uint64
 _LIMIT = _U(int(COUNTED * 2**64))
@@ -149,21 +151,30 @@ def _survivor_rows(repeated):
     return rows
 
 
+def _parts(batches):
+    """Runs of rows with at most TOKENS tokens (one row at least), their tokens in a row and their offsets."""
+    for batch in batches:
+        off = np.asarray(batch.column("tokens").offsets).astype(np.int64)
+        i = 0
+        while i < batch.num_rows:
+            j = max(i + 1, int(np.searchsorted(off, off[i] + TOKENS, side="right")) - 1)
+            yield batch.slice(i, j - i), np.asarray(batch.column("tokens").values).view(_U)[off[i] : off[j]], off[i : j + 1] - off[i]
+            i = j
+
+
 def _left_rows(repeated):
-    """Of survivors' sets (node, n, d1, d2, tokens), those that can still link, with rare tokens counted anew: plus rare and spare."""
+    """Of survivors' sets (node, n, d1, d2, tokens), those that can still link, with rare tokens counted anew: plus rare, spare and the sketch."""
 
     def rows(batches):
         bitmap = repeated.value
-        for batch in batches:
-            lists = batch.column("tokens")
-            off = np.asarray(lists.offsets).astype(np.int64)
-            flat = np.asarray(lists.values).view(_U)[off[0] : off[-1]]
-            n = np.asarray(batch.column("n"))
-            rare = K.segment_sums(_is_rare(flat, bitmap).astype(np.int64), off - off[0])
-            spare = _missable(n) - rare
-            keep = pa.array(spare >= 0)
-            out = batch.select(["node", "n", "d1", "d2", "tokens"]).append_column("rare", pa.array(rare)).append_column("spare", pa.array(spare))
-            yield out.filter(keep)
+        for part, flat, off in _parts(batches):
+            rare = K.segment_sums(_is_rare(flat, bitmap).astype(np.int64), off)
+            spare = _missable(np.asarray(part.column("n"))) - rare
+            sketch = _sketches(flat, off)
+            more = [pa.array(rare), pa.array(spare), *[pa.array(sketch[:, i].view(np.int64)) for i in range(len(SKETCH))]]
+            names = ["node", "n", "d1", "d2", "tokens"]
+            out = pa.RecordBatch.from_arrays([*[part.column(c) for c in names], *more], names=[*names, "rare", "spare", *SKETCH])
+            yield out.filter(pa.array(spare >= 0))
 
     return rows
 
@@ -214,22 +225,18 @@ def _signature_rows(repeated, most: int | None = None):
 
     def rows(batches):
         bitmap = repeated.value
-        for batch in batches:
-            lists = batch.column("tokens")
-            off = np.asarray(lists.offsets).astype(np.int64)
-            flat = np.asarray(lists.values).view(_U)
-            n, spare = np.asarray(batch.column("n")), np.asarray(batch.column("spare"))
+        for part, flat, off in _parts(batches):
+            n, spare = np.asarray(part.column("n")), np.asarray(part.column("spare"))
+            again = ~_is_rare(flat, bitmap)
             found = []
-            for i in range(batch.num_rows):
+            for i in range(part.num_rows):
                 x = flat[off[i] : off[i + 1]]
-                found.append(_signatures(x[~_is_rare(x, bitmap)], int(n[i]), int(spare[i]))[:most])
+                found.append(_signatures(x[again[off[i] : off[i + 1]]], int(n[i]), int(spare[i]))[:most])
             size = [len(f) for f in found]
             if sum(size):
-                sketch = _sketches(flat[off[0] : off[-1]], off - off[0])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(np.asarray(batch.column(c)), size)) for c in _POST] + [pa.array(np.repeat(sketch[:, i].view(np.int64), size)) for i in range(len(SKETCH))]
-                    + [pa.array(np.concatenate(found).view(np.int64))], names=[*_POST, *SKETCH, "sig"],
-                )
+                    [pa.array(np.repeat(np.asarray(part.column(c)), size)) for c in _POST] + [pa.array(np.concatenate(found).view(np.int64))], names=[*_POST, "sig"]
+                )
 
     return rows
 
@@ -271,14 +278,15 @@ def jaccard_components(docs: DataFrame, scratch: Scratch | None = None) -> DataF
     scratch.release()
     repeated.destroy()
     repeated = spark.sparkContext.broadcast(_repeated_among(first))
-    columns = "node long, n long, d1 long, d2 long, tokens array<long>, rare long, spare long"
+    columns = "node long, n long, d1 long, d2 long, tokens array<long>, rare long, spare long, " + ", ".join(f"{k} long" for k in SKETCH)
     sets = scratch.keep(first.select("node", "n", "d1", "d2", "tokens").mapInArrow(_left_rows(repeated), columns), "sets")
     scratch.drop("sets-1")
     scratch.release()
-    tokens, columns = sets.select("node", "n", "tokens"), ", ".join(f"{c} long" for c in [*_POST, *SKETCH, "sig"])
+    tokens, columns = sets.select("node", "n", "tokens"), ", ".join(f"{c} long" for c in [*_POST, "sig"])
+    sketches = sets.select("node", *SKETCH)
     source = sets.select("node", "n", "d1", "rare", "spare", "tokens")
     few = source.withColumn("comp", F.col("node")).mapInArrow(_signature_rows(repeated, FIRST), columns)
-    links = _star(scratch.keep(few, "first-signatures"), tokens, scratch, 0)
+    links = _star(scratch.keep(few, "first-signatures").join(sketches, "node"), tokens, scratch, 0)
     comp = connected_components(links, scratch, "star0")
     posts = _with_comp(source, comp).mapInArrow(_signature_rows(repeated), columns)
     posts = scratch.keep(posts, "signatures")
@@ -286,7 +294,7 @@ def jaccard_components(docs: DataFrame, scratch: Scratch | None = None) -> DataF
     members = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"members_{k}") for k in (1, 2)]
     shared = posts.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), *members).where("low < high")
     shared = shared.groupBy("members_1", "members_2").agg(F.min("sig").alias("sig")).select("sig")
-    posts = scratch.keep(posts.join(shared.hint("shuffle_hash"), "sig"), "posts-1")
+    posts = scratch.keep(posts.join(shared.hint("shuffle_hash"), "sig").join(sketches, "node"), "posts-1")
     scratch.drop("signatures")
     scratch.release()
     comp = _linked(posts, links, comp, tokens, scratch)
