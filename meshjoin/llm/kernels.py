@@ -44,18 +44,34 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse. Those of a run longer than SLICE (a single word or chunk) aren't kept."""
     up, down = _powers.get("up", ()), _powers.get("down", ())
     if len(up) < n:
-        m = max(n, SLICE)
-        up, down = np.full(m, _BASE, _U), np.full(m, pow(_BASE, -1, 1 << 64), _U)
-        up[0] = down[0] = 1
-        up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        # a single very long text's powers aren't kept
-        if m <= 2 * SLICE:
+        up, down = (np.full(max(n, SLICE), x, _U) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+        for x in (up, down):
+            x[0] = 1
+            np.multiply.accumulate(x, out=x)
+        if n <= SLICE:
             _powers["up"], _powers["down"] = up, down
     return up, down
 
 
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of runs of bytes (in order, not overlapping), where code has the value of each byte; about SLICE bytes at once."""
+    out = np.zeros(len(starts), _U)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + SLICE, side="right")))
+        at, to = int(starts[i]), int(ends[j - 1])
+        up, down = _power(max(to - at, 1))
+        sums = np.zeros(to - at + 1, _U)
+        np.multiply(code[data[at:to]], up[: to - at], out=sums[1:])
+        np.cumsum(sums[1:], out=sums[1:])
+        out[i:j] = (sums[ends[i:j] - at] - sums[starts[i:j] - at]) * down[np.minimum(starts[i:j] - at, len(down) - 1)]
+        i = j
+    return out
+
+
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string array; nulls count as empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -103,11 +119,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """64-bit hashes of words with A-Z lower-cased: polynomial prefix sums, then mixed with the length."""
     if not len(starts):
         return np.zeros(0, _U)
-    up, down = _power(len(data))
-    sums = np.zeros(len(data) + 1, _U)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-    poly = (sums[ends] - sums[starts]) * down[starts]
-    return mix(poly + (ends - starts).astype(_U) * _U(0xA24BAED4963EE407))
+    return mix(run_hashes(data, starts, ends, _BYTE) + (ends - starts).astype(_U) * _U(0xA24BAED4963EE407))
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:

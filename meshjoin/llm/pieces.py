@@ -247,10 +247,7 @@ def encode(model: PieceModel, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     cut[1:] |= feed
     edge = np.flatnonzero(cut)
     start, length = edge[:-1], np.diff(edge)
-    up, down = K._power(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_CHUNK[data] * up[: len(data)], out=sums[1:])
-    key = K.mix((sums[edge[1:]] - sums[start]) * down[start] + length.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    key = K.mix(K.run_hashes(data, start, edge[1:], _CHUNK) + length.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
     _, rep, which = np.unique(key, return_index=True, return_inverse=True)
     where, count = np.zeros(len(rep), np.int64), np.zeros(len(rep), np.int64)
     found, total = [], 0
