@@ -208,7 +208,8 @@ def _finder(sent):
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs`, with all columns, that hold no benchmark item in the sense of `leaks`."""
+    """The rows of `docs`, with all columns whatever their names, that hold no benchmark item in the sense of `leaks`. Null and empty
+    texts stay; repeated rows stay or go together; without items all rows stay; an empty table gives no rows."""
     out = docs.withColumn("text", F.col("text").cast("string"))
     for index in _passes(benchmark):
         sent = docs.sparkSession.sparkContext.broadcast(index)

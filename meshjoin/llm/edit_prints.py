@@ -269,7 +269,8 @@ def near_pairs(docs: DataFrame, least: float = 0.8, scratch: Scratch | None = No
     band_keys and short_keys): enough of them to link all documents that such pairs link, not each pair of a linked group.
 
     Each distinct text stands for the documents that have it (its smallest doc_id); near_members has them all. Texts with
-    one fingerprint are paired with the smallest of them. Documents without an id are left out.
+    one fingerprint are paired with the smallest of them. Documents without an id are left out. Null texts count as empty, and
+    empty texts are alike. Repeated rows count once; more columns are ignored; texts of any length are walked whole; an empty table gives no rows.
     """
     scratch = scratch or Scratch(docs.sparkSession, "edit-pairs")
     rows = scratch.keep(_printed(docs.where("doc_id is not null")), "rows")
@@ -284,7 +285,8 @@ def near_pairs(docs: DataFrame, least: float = 0.8, scratch: Scratch | None = No
 
 def near_members(docs: DataFrame, least: float = 0.8, scratch: Scratch | None = None) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, representative long, the smallest doc_id that near_pairs' links or
-    equal fingerprints reach. Rows without an id take part; a group of such rows only has a null representative.
+    equal fingerprints reach. Rows without an id take part; a group of such rows only has a null representative. Null and empty
+    texts, repeated rows, long texts, more columns and empty tables as in near_pairs.
     """
     scratch = scratch or Scratch(docs.sparkSession, "edit-members")
     rows = scratch.keep(_printed(docs), "rows")

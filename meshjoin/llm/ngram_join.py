@@ -257,20 +257,20 @@ def _near(a: str, b: str) -> Column:
     return (100 * most >= 80 * (col("n", a) + col("n", b) - most)) & (9 * apart <= col("n", a) + col("n", b))
 
 
-def jaccard_components(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+def jaccard_components(docs: DataFrame, scratch: Scratch | None = None, row_id: str | None = None) -> DataFrame:
     """One row per row of `docs` (doc_id long, text string; more columns are ignored):
     doc_id, n_shingles long, component_id long (smallest doc_id that links reach).
 
     Null or empty texts and texts without a word have n_shingles 0 and link with nothing. Rows with a
     null doc_id take part; a component of such rows only has a null component_id. Repeated rows are
     kept, one result row each. Texts of any length are processed whole; an empty table gives no rows.
-    With `row_id` long (unique), if given: also row_id and first_row, the row_id of the component's first row (by doc_id,
-    nulls last, then row_id).
+    With the name of a column of unique longs as row_id: also row_id and first_row, the row_id of the component's first row (by
+    doc_id, nulls last, then row_id).
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "ngram-join")
-    row_id = ["row_id"] if "row_id" in docs.columns else []
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *row_id)
+    rows_of = [F.col(row_id).alias("row_id")] if row_id else []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *rows_of)
     rows = scratch.keep(docs.mapInArrow(_key_rows, f"doc_id long, {'row_id long, ' if row_id else ''}n long, d1 long, d2 long"), "rows")
     repeated = spark.sparkContext.broadcast(_repeated(docs, rows.agg(F.sum("n")).first()[0] or 0))
     survivors = docs.select("text").mapInArrow(_survivor_rows(repeated), "n long, d1 long, d2 long, spare long, tokens array<long>")

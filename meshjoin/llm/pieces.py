@@ -286,7 +286,9 @@ def decode(model: PieceModel, ids: np.ndarray, off: np.ndarray) -> tuple[np.ndar
 
 def encode_rows(docs: DataFrame, model: PieceModel, keep: list[str] | None = None) -> DataFrame:
     """`docs` (the columns `keep`, or all) plus ids array<int>, n_tokens int, n_byte_tokens int and round_trip boolean
-    (decoding gave back the text). A null or empty text has no tokens and round_trip true."""
+    (decoding gave back the text). A null or empty text has no tokens and round_trip true. Columns of `docs` with the names
+    of ours are replaced; repeated rows are encoded alike; texts of any length are encoded whole; of segmentations with equal scores that
+    with the longest last piece counts; an empty table gives no rows."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def kernel(texts):
@@ -313,7 +315,8 @@ def encode_rows(docs: DataFrame, model: PieceModel, keep: list[str] | None = Non
 
 
 def decode_rows(rows: DataFrame, model: PieceModel, column: str = "ids") -> DataFrame:
-    """`rows` with a column decoded string made of the ids; null ids give a null."""
+    """`rows` with a column decoded string made of the ids (in place of one of that name); null ids give a null, no ids an empty text.
+    Repeated rows are decoded alike, lists of any length whole; an empty table gives no rows."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
     names = [c for c in rows.columns if c != "decoded"]
 

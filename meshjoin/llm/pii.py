@@ -224,7 +224,8 @@ def _joined(spans) -> str:
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, counts and digest of the base kinds' spans, and all spans
-    as kind:start:end (code points, end exclusive). A null text counts as empty. Texts of any length are scanned whole."""
+    as kind:start:end (code points, end exclusive). A null text counts as empty. Texts of any length are scanned whole. Repeated
+    rows each get a row, null ids stay null, spans of different kinds may overlap and all count. An empty table gives no rows."""
 
     def kernel(batches):
         anchors = automaton()
@@ -243,7 +244,9 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[{kind}]") -> DataFrame:
-    """`docs` with every span of `text` replaced by a mark that names its kind; of overlapping spans the first counts."""
+    """`docs` with every span of `text` replaced by a mark that names its kind; of overlapping spans the first counts
+    (by start, then kind as listed). Null and empty texts stay, other columns are kept whatever their names; repeated rows are redacted
+    alike; texts of any length are scanned whole; an empty table gives no rows."""
     source = docs.withColumn("text", docs["text"].cast("string"))
     at = source.columns.index("text")
 

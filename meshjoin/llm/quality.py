@@ -68,7 +68,8 @@ def quality_scores(docs: DataFrame, model: RuleModel) -> DataFrame:
     """Columns of `docs` but for text, the statistics, and score double: one row per row.
 
     Null and empty texts have statistics of 0 and are scored like any other. A column of `docs` that has
-    the name of a statistic is replaced by it.
+    the name of a statistic is replaced by it, and so is a column score. Repeated rows and ties get equal scores, one row
+    each; texts of any length are scored whole; an empty table gives no rows.
     """
     keep = [c for c in docs.columns if c != "text" and c not in docstats.QUALITY]
     extra = T.StructType([T.StructField(n, T.DoubleType()) for n in docstats.QUALITY])

@@ -72,4 +72,32 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: The join by its definition: sets of shingles, pairs that share one, exact sizes of intersections, and reachability.
+_JACCARD = r"""
+WITH RECURSIVE
+spoken AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM documents),
+listed AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), lambda k: array_to_string(words[k:k + 4], ' ')) END) AS shingles
+  FROM spoken),
+sized AS (SELECT doc_id, len(shingles) AS n, hash(list_sort(shingles)) AS alike, shingles FROM listed),
+kinds AS (SELECT min(doc_id) AS kind, alike, n, any_value(shingles) AS shingles FROM sized WHERE n > 0 GROUP BY alike, n),
+tokens AS (SELECT kind, n, unnest(shingles) AS token FROM kinds),
+shared AS (SELECT token FROM tokens GROUP BY token HAVING count(*) > 1),
+left_over AS (SELECT kind, n, token FROM tokens WHERE token IN (FROM shared)),
+pairs AS (
+  SELECT a.kind AS a, b.kind AS b, a.n AS n_a, b.n AS n_b, count(*) AS common
+  FROM left_over a JOIN left_over b ON a.token = b.token AND a.kind < b.kind AND 100 * b.n >= 80 * a.n AND 100 * a.n >= 80 * b.n GROUP BY ALL),
+links AS (SELECT a, b FROM pairs WHERE 100 * common >= 80 * (n_a + n_b - common)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT kind AS a, kind AS b FROM kinds UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a),
+least AS (SELECT a AS kind, min(b) AS component_id FROM reach GROUP BY a)
+SELECT s.doc_id, CAST(s.n AS BIGINT) AS n_shingles, coalesce(least.component_id, s.doc_id) AS component_id
+FROM sized s LEFT JOIN kinds k ON k.alike = s.alike AND k.n = s.n LEFT JOIN least ON least.kind = k.kind
+"""
+
+#: The other queries have no SQL: hashes, trained models, finite machines and tokenizers can't be said in it; tests/llm hold them against
+#: brute-force versions, round trips or held-out labels.
+ORACLE_SQL: dict[str, str] = {"op9_ngram_jaccard_join": _JACCARD}

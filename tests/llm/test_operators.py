@@ -84,6 +84,30 @@ def test_ngram_join_equals_brute_force(spark):
     assert got == brute_components(rows)
 
 
+def test_ngram_join_of_a_large_group(spark):
+    """Three hundred near copies that don't all link: chains of edits, and copies too far from any leader."""
+    draw = random.Random(31)
+    rows, chain = [], text(draw, 130)
+    for i in range(300):
+        if i % 3 == 0:
+            chain = edited(draw, chain, 2)
+        rows.append((i, edited(draw, chain if i % 3 < 2 else rows[0][1], draw.randrange(0, 7))))
+    rows += [(300 + i, text(draw, 130)) for i in range(20)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(frame(spark, rows)).collect()}
+    expected = brute_components(rows)
+    assert got == expected and 25 < len({c for _, c in expected.values()}) < 280
+
+
+def test_sketches_bound_differences():
+    """Sketches of two sets differ in at most as many bits as the sets do in tokens."""
+    draw = np.random.default_rng(3)
+    for n, apart in ((50, 4), (300, 60), (5, 5), (1, 0)):
+        a = draw.integers(0, 2**63, n).astype(np.uint64)
+        b = np.concatenate((a[apart:], draw.integers(0, 2**63, apart).astype(np.uint64)))
+        x = ngram_join._sketches(np.concatenate((a, b)), np.array([0, n, 2 * n]))
+        assert np.bitwise_count(x[0] ^ x[1]).sum() <= 2 * apart
+
+
 def test_signatures_keep_every_link():
     """Any two sets that link share a signature, whatever is taken as rare."""
     draw = np.random.default_rng(3)
@@ -285,6 +309,19 @@ def test_shards(spark, odd, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).groupBy("shard").count().count() == 3 and spark.read.parquet(str(tmp_path / "out")).count() == n
 
 
+def test_written_shards_follow_the_plan(spark, tmp_path):
+    """Whole records in the plan's order, with columns named as ours, and an empty table."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({c: F.lit(f"own {c}") for c in ("shard", "slot", "row_id", "record", "key", "bucket")})
+    plan = sharding.shard_plan(docs, bucket_rows=100).select("doc_id", "shard", "slot")
+    got = sharding.write_shards(docs, str(tmp_path / "a"), bucket_rows=100)
+    assert {*got.columns} == {*docs.columns, "shard_", "slot_"}
+    assert {tuple(r) for r in got.select("doc_id", "shard", "slot").collect()} == {tuple(r) for r in plan.collect()}
+    assert got.select("shard_", "slot_", "row_id", "record", "key", "bucket").distinct().collect() == [("own shard", "own slot", "own row_id", "own record", "own key", "own bucket")]
+    texts = {r.doc_id: (r.text, r.lang, r.n_chars) for r in docs.collect()}
+    assert {r.doc_id: (r.text, r.lang, r.n_chars) for r in got.collect()} == texts
+    assert sharding.write_shards(empty(spark), str(tmp_path / "b")).count() == 0
+
+
 def test_shards_of_one_repeated_row(spark):
     docs = spark.range(3000).select(F.lit(7).alias("doc_id"), F.lit("same").alias("text"))
     got = sharding.shard_plan(docs, bucket_rows=200)
@@ -595,3 +632,41 @@ def test_rules_compile_to_the_same_scores(spark):
 def test_isotonic_is_monotone_and_averages():
     x, p = trees.isotonic(np.array([1.0, 2, 3, 4, 5, 6]), np.array([0, 1, 0, 1, 1, 1]))
     assert (np.diff(p) >= 0).all() and np.allclose(np.interp([1, 2, 3, 6], x, p), [0, 0.5, 0.5, 1])
+
+
+# all operators on one odd table
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Repeated rows of several lines, an id with two texts, rows without ids, nulls, and columns with the names that operators use inside."""
+    passage = "\n".join(text(random.Random(50 + k), 10).capitalize() for k in range(8))
+    names = ("_key", "_row", "_bits", "_lines", "_text", "_dead", "_doc", "key", "bucket", "record", "row_id", "node", "n", "sig", "comp", "rare", "tokens", "fingerprint", "digest", "ids", "words", "x", "label", "k", "part")
+    rows = [(1, passage), (1, passage), (1, passage + "\nNext"), (None, passage), (None, passage), (None, None), (2, None), (2, ""), (3, "a@b.co you idiot " * 40), (4, text(random.Random(9), 50_000))]
+    return frame(spark, [(*r, *names) for r in rows], names), names, len(rows)
+
+
+def test_clashing_columns(spark, clashing, tmp_path):
+    docs, names, n = clashing
+    kept = lambda got: all(r[c] == c for r in got.select(*names).collect() for c in names)
+    lines = line_dedup.dedup_lines(docs)
+    assert lines.count() == n and kept(lines) and {r.lines_deleted for r in lines.where("doc_id is null and text is not null").collect()} == {0}
+    joined = ngram_join.jaccard_components(docs)
+    assert joined.count() == n and joined.columns == ["doc_id", "n_shingles", "component_id"]
+    benchmark = spark.createDataFrame([(1, text(random.Random(77), 30)), (None, "x"), (2, None)], "item_id long, text string")
+    clean = decontaminate.clean(docs, benchmark)
+    assert clean.count() == n and kept(clean) and decontaminate.leaks(docs, benchmark).count() == 0
+    red = pii.redact(docs)
+    assert red.count() == n and kept(red) and "[email]" in red.where("doc_id = 3").first().text and pii.personal_data(docs).count() == n
+    found = language.identify(docs, language.CentroidModel(np.ones(language.BUCKETS), np.zeros((0, language.BUCKETS)), [], np.zeros(0)))
+    assert found.count() == n and kept(found) and {r.lang_pred for r in found.collect()} == {"und"}
+    prints = edit_prints.near_members(docs)
+    assert prints.count() == n and edit_prints.near_pairs(docs).where("a >= b").count() == 0
+    out = sharding.write_shards(docs, str(tmp_path / "out"), shards=3)
+    assert out.count() == n and kept(out)
+
+
+def test_short_items_match_equal_documents_only(spark):
+    docs = frame(spark, [(1, "Two words"), (2, "two words"), (3, "two words more of them here and there"), (4, "two"), (5, None)])
+    got = decontaminate.leaks(docs, spark.createDataFrame([(7, "two words")], "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(1, 7), (2, 7)]
