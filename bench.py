@@ -15,6 +15,26 @@ from pyspark.sql import SparkSession  # noqa: E402
 QUERIES = ["broad_all", "broad_grid", "hard_clashes", "hard_flush_lattice", "clearance", "detect_both"]
 
 
+def box_scene(spark: SparkSession, n: int = 10_000) -> tuple[float, int]:
+    """Seconds and clashes of hard detection over n boxes at hashed places, about as many candidates as boxes."""
+    from pyspark.sql import functions as F
+
+    from meshjoin.plans.detect import candidates_of, clashes_of
+    from meshjoin.plans.scenes import box_elements
+    from meshjoin.schema import Rules
+
+    place = lambda k: F.pmod(F.xxhash64("gi", F.lit(k)), F.lit(1_000_000)) / 1e6
+    rows = spark.range(n).select(
+        F.col("id").alias("gi"), F.col("id").cast("string").alias("element_id"), F.lit("m0").alias("model_id"), F.lit("T0").alias("ifc_type"),
+        *[(place(k) * 40).alias(c) for k, c in enumerate(("cx", "cy", "cz"))], (0.2 + 0.5 * place(3)).alias("h"),
+    )
+    began = time.time()
+    elements = box_elements(rows).persist()
+    found = clashes_of(candidates_of(elements, Rules()), elements, Rules(), with_point=False).count()
+    elements.unpersist()
+    return round(time.time() - began, 3), found
+
+
 def main() -> None:
     from meshjoin.plans import queries as engine
 
@@ -30,6 +50,7 @@ def main() -> None:
         began = time.time()
         rows[name] = engine.QUERIES[name](spark, sf_dir).count()
         times[name] = round(time.time() - began, 3)
+    times["detect_10k_boxes"], rows["detect_10k_boxes"] = box_scene(spark)
     boxes = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
     print(json.dumps({
         "metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")), "rows": rows,

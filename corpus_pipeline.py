@@ -43,7 +43,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     scratch, row = Scratch(spark, "near-duplicates"), _unused(docs, "row_id")
     # written, so that each reader sees the same number of a row
     rows = scratch.keep(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    found = ngram_join.jaccard_components(rows.select("doc_id", "text", F.col(row).alias("row_id")))
+    found = ngram_join.jaccard_components(rows, row_id=row)
     gone = found.where("row_id <> first_row").select(F.col("row_id").alias(row))
     return rows.join(gone, row, "left_anti").select(*docs.columns)
 

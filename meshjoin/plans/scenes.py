@@ -37,6 +37,11 @@ def elements(spark: SparkSession, sf_dir: str, scene: str = "boxes") -> DataFram
     name = "part" if scene == "lattice" else "embeddings"
     view = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     rows = spark.sql(_centres(scene, False).replace(f"FROM {name}", "FROM {source}"), source=view)
+    return box_elements(rows)
+
+
+def box_elements(rows: DataFrame) -> DataFrame:
+    """Elements that are boxes: gi, element_id, model_id, ifc_type, centre cx, cy, cz and half side h."""
     corner = [
         F.struct(*[(F.col(f"c{x}") + F.lit(2.0 * (k >> b & 1) - 1.0) * F.col("h")).cast("float").cast("double").alias(x) for b, x in enumerate("xyz")]) for k in range(8)
     ]

@@ -7,11 +7,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.broadphase import broad_phase, scope
+from ..operators.geometry import AXES
 from ..plans.detect import clashes_of, with_identity
 from ..schema import Rules
 from ..sources.payload import parse_elements
 
 
+def near_known(new: DataFrame, known: DataFrame, gap_m: float) -> DataFrame:
+    """The known elements whose box comes within the gap of the box around all new ones; the scan skips row groups beyond it."""
+    ends = new.agg(*[f(f"v{x}{e}").alias(f"{x}{e}") for x in AXES for e, f in (("0", F.min), ("1", F.max))]).first()
+    if ends["x0"] is None:
+        return known.where(F.lit(False))
+    for x in AXES:
+        known = known.where((F.col(f"v{x}0") <= ends[f"{x}1"] + 2 * gap_m) & (F.col(f"v{x}1") >= ends[f"{x}0"] - 2 * gap_m))
+    return known
+
+
 def detect_batch(new: DataFrame, known: DataFrame | None, rules: Rules) -> DataFrame:
     """Clashes among new elements and between new and known ones; gi is unique over both.
 
@@ -23,7 +34,7 @@ def detect_batch(new: DataFrame, known: DataFrame | None, rules: Rules) -> DataF
     pairs = broad_phase(fresh, fresh, rules.gap_m, rules, same=True)
     every = fresh
     if known is not None:
-        old = scope(known, rules.model_a)
+        old = near_known(fresh, scope(known, rules.model_a), rules.gap_m)
         pairs = pairs.unionByName(broad_phase(old, fresh, rules.gap_m, rules, same=False))
         every = old.unionByName(fresh)
     return with_identity(clashes_of(pairs, every, rules), every, stable_ids=True)
