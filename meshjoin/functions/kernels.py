@@ -57,6 +57,15 @@ def _crossing(p: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return first, second, sound & (odd >= 0)
 
 
+def may_meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The numbers of the pairs in which neither triangle lies on one side of the other's plane; only these can intersect."""
+    left = np.arange(len(a))
+    for on, of in ((b, a), (a, b)):
+        _, square, d = _plane(on[left], of[left])
+        left = left[(square >= DEGENERATE) & ~_aside(d)]
+    return left
+
+
 def tri_tri(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Triangle-triangle intersection (Moeller 1997): hit, point and the overlap's length on the line's axis (nan without a hit).
 
@@ -118,7 +127,11 @@ def hits_kernel(keys: list[str], a: str = "a", b: str = "b", only_hits: bool = T
 
     def kernel(batches):
         for batch in batches:
-            hit, point, _ = tri_tri(columns(batch, corners[a], (3, 3)), columns(batch, corners[b], (3, 3)))
+            one, other = (columns(batch, corners[s], (3, 3)) for s in (a, b))
+            if only_hits:
+                left = may_meet(one, other)
+                one, other, batch = one[left], other[left], batch.select(keys).take(pa.array(left))
+            hit, point, _ = tri_tri(one, other)
             cols = [batch.column(k) for k in keys] + ([] if only_hits else [pa.array(hit)]) + [pa.array(point[:, k], mask=~hit) for k in range(3)]
             out = pa.RecordBatch.from_arrays(cols, names=keys + ([] if only_hits else ["hit"]) + ["px", "py", "pz"])
             yield out.filter(pa.array(hit)) if only_hits else out

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from ..schema import BOX, Rules
 from .geometry import AXES
 
-#: At most so many boxes on the second side are broadcast.
-BROADCAST_BOXES = 4096
+#: At most so many boxes on the second side are broadcast, and only where both sides make at most so many pairs to test.
+BROADCAST_BOXES, BROADCAST_PAIRS = 4096, 1 << 25
 LEVELS = 24
 _SIDE = ["gi", "element_id", "model_id", "ifc_type", *BOX]
 
@@ -120,5 +120,7 @@ def broad_phase(a: DataFrame, b: DataFrame, gap_m: float = 0.0, rules: Rules | N
     rules = rules or Rules()
     same = same_set(a, b) if same is None else same
     if method == "auto":
-        method = "theta" if b.limit(BROADCAST_BOXES + 1).count() <= BROADCAST_BOXES else "grid"
+        few = b.limit(BROADCAST_BOXES + 1).count()
+        most = BROADCAST_PAIRS // max(few, 1)
+        method = "theta" if few <= BROADCAST_BOXES and a.limit(most + 1).count() <= most else "grid"
     return (theta_join if method == "theta" else grid_join)(a, b, gap_m, rules, same)
