@@ -46,7 +46,9 @@ _HELD = "monotonically_increasing_id() >= 0"
 
 
 def _lines(cut: str, again: str):
-    return F.expr(f"flatten(transform(split(_text, r'{cut}', -1), l -> IF(octet_length(l) > {LONG}, split(l, r'{again}', -1), array(l))))")
+    # without white space behind, a line is as long with the character of its cut as without
+    long = f"octet_length(l) > {LONG} AND octet_length(rtrim(' \\n', l)) > {LONG}"
+    return F.expr(f"flatten(transform(split(_text, r'{cut}', -1), l -> IF({long}, split(l, r'{again}', -1), array(l))))")
 
 
 def _text_key(text):

@@ -227,6 +227,23 @@ def test_line_dedup_ids_with_two_texts_and_without(spark):
     assert sum(b in t for t in none) in (1, 2) and len({t for t in none if b in t}) == 1 and (False, "") in got
 
 
+def test_line_dedup_lines_about_the_bound(spark):
+    """Lines within a few bytes of the length from which they are cut again keep their numbers."""
+    draw = random.Random(8)
+    rows = []
+    for k in range(-3, 5):
+        line = ""
+        while len(line) < line_dedup.LONG + k:
+            line += draw.choice(["an windward ", "lo notional ", "of ballasts "])
+        line = line[: line_dedup.LONG + k - 1] + "x"
+        tail = f"Own {k} " + text(draw, 5)
+        rows += [(100 * k + 1000 + i, f"First {i} {k}.\n{line}\n{tail} {i}\nend") for i in range(2)]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    for i, t in rows:
+        head, line, tail, end = t.split("\n")
+        assert got[i].text == (t if i % 2 == 0 else f"{head}\n{tail}\n{end}")
+
+
 def test_line_dedup_cuts_long_stretches(spark):
     """A passage in lower case without stops has cuts by its content."""
     draw = random.Random(3)
