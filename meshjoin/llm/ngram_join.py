@@ -49,7 +49,7 @@ BITMAP = 28
 CLASS_SIZE = 8
 FIRST = 3
 #: Star rounds at least and at most, and the pairs to a posting up to which the rest is compared pair by pair.
-STAR_ROUNDS, MOST_ROUNDS, REST = 3, 10, 8
+STAR_ROUNDS, MOST_ROUNDS, REST = 3, 6, 8
 #: Words of a parity sketch.
 SKETCH = [f"k{i}" for i in range(8)]
 #: Sets that a task remembers at once, to give copies of a set once.
@@ -217,11 +217,13 @@ def _sketches(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-_POST = ["node", "n", "d1", "rare", "comp"]
+_POST = ["node", "rare", "comp"]
+#: What bounds of a pair need of each set.
+_BOUND = ["n", "d1", "rare"]
 
 
 def _signature_rows(repeated, most: int | None = None):
-    """Signatures of sets with what a pair's bounds need; of each set the `most` smallest ones, or all."""
+    """Signatures of sets: node, rare, comp, sig; of each set the `most` smallest ones, or all."""
 
     def rows(batches):
         bitmap = repeated.value
@@ -283,10 +285,10 @@ def jaccard_components(docs: DataFrame, scratch: Scratch | None = None, row_id:
     scratch.drop("sets-1")
     scratch.release()
     tokens, columns = sets.select("node", "n", "tokens"), ", ".join(f"{c} long" for c in [*_POST, "sig"])
-    sketches = sets.select("node", *SKETCH)
-    source = sets.select("node", "n", "d1", "rare", "spare", "tokens")
+    bounds = sets.select("node", *_BOUND, *SKETCH)
+    source = sets.select("node", "n", "rare", "spare", "tokens")
     few = source.withColumn("comp", F.col("node")).mapInArrow(_signature_rows(repeated, FIRST), columns)
-    links = _star(scratch.keep(few, "first-signatures").join(sketches, "node"), tokens, scratch, 0)
+    links = _star(scratch.keep(few, "first-signatures"), bounds, tokens, scratch, 0)
     comp = connected_components(links, scratch, "star0")
     posts = _with_comp(source, comp).mapInArrow(_signature_rows(repeated), columns)
     posts = scratch.keep(posts, "signatures")
@@ -294,10 +296,10 @@ def jaccard_components(docs: DataFrame, scratch: Scratch | None = None, row_id:
     members = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"members_{k}") for k in (1, 2)]
     shared = posts.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), *members).where("low < high")
     shared = shared.groupBy("members_1", "members_2").agg(F.min("sig").alias("sig")).select("sig")
-    posts = scratch.keep(posts.join(shared.hint("shuffle_hash"), "sig").join(sketches, "node"), "posts-1")
+    posts = scratch.keep(posts.join(shared.hint("shuffle_hash"), "sig"), "posts-1")
     scratch.drop("signatures")
     scratch.release()
-    comp = _linked(posts, links, comp, tokens, scratch)
+    comp = _linked(posts, links, comp, bounds, tokens, scratch)
     repeated.destroy()
 
     # a class is all rows with one set; its documents and those of all classes in its component
@@ -323,37 +325,42 @@ def _with_comp(rows: DataFrame, comp: DataFrame) -> DataFrame:
     return rows.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def _star(posts: DataFrame, sets: DataFrame, scratch: Scratch, k: int) -> DataFrame:
+def _star(posts: DataFrame, bounds: DataFrame, sets: DataFrame, scratch: Scratch, k: int) -> DataFrame:
     """Links of each signature's members with its leader of round k, where they are of different components."""
-    at = F.struct("node", "n", "d1", "rare", "comp", *SKETCH).alias("at")
-    order = F.struct((F.col("rare") if k < 2 else F.lit(0)).alias("rare"), F.xxhash64(F.lit(k), "node").alias("draw"), at)
-    lead = posts.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(order).alias("lead")).where("lo < hi").select("sig", "lead")
-    pairs = posts.join(lead, "sig").where((F.col("comp") != F.col("lead.at.comp")) & _near("{}", "lead.at.{}"))
-    return _links(pairs.select(F.col("lead.at.node").alias("a"), F.col("node").alias("b"), (F.col("d1") == F.col("lead.at.d1")).alias("equal")), sets, scratch, k)
+    order = F.struct((F.col("rare") if k < 2 else F.lit(0)).alias("rare"), F.xxhash64(F.lit(k), "node").alias("draw"), "node", "comp")
+    lead = posts.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(order).alias("lead")).where("lo < hi")
+    lead = lead.select("sig", F.col("lead.node").alias("a"), F.col("lead.comp").alias("lead_comp"))
+    # signatures of one group have the same few leaders, so that few pairs are different
+    pairs = posts.join(lead, "sig").where("comp <> lead_comp").select("a", F.col("node").alias("b")).distinct()
+    for s in "ab":
+        pairs = pairs.join(bounds.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in [*_BOUND, *SKETCH]]), s)
+    pairs = pairs.where(_near("{}_a", "{}_b"))
+    return _links(pairs.select("a", "b", (F.col("d1_a") == F.col("d1_b")).alias("equal")), sets, scratch, k)
 
 
-def _rest(posts: DataFrame, sets: DataFrame, scratch: Scratch, k: int) -> DataFrame:
-    """Links of all members of a signature that are of different components."""
-    other = posts.select("sig", *[F.col(c).alias(f"{c}_b") for c in [*_POST, *SKETCH]])
-    pairs = posts.join(other, "sig").where((F.col("comp") < F.col("comp_b")) & _near("{}", "{}_b"))
-    return _links(pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b"), (F.col("d1") == F.col("d1_b")).alias("equal")), sets, scratch, k)
+def _rest(posts: DataFrame, bounds: DataFrame, sets: DataFrame, scratch: Scratch, k: int) -> DataFrame:
+    """Links of all members of a signature that are of different components; the bounds are part of the join."""
+    posts = posts.drop("rare").join(bounds, "node")
+    side = lambda s: posts.select("sig", *[F.col(c).alias(f"{c}_{s}") for c in ["node", "comp", *_BOUND, *SKETCH]])
+    pairs = side("a").join(side("b"), "sig").where((F.col("comp_a") < F.col("comp_b")) & _near("{}_a", "{}_b"))
+    return _links(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), (F.col("d1_a") == F.col("d1_b")).alias("equal")).distinct(), sets, scratch, k)
 
 
 def _links(pairs: DataFrame, sets: DataFrame, scratch: Scratch, k: int) -> DataFrame:
-    pairs = scratch.keep(pairs.distinct(), f"pairs-{k}")
+    pairs = scratch.keep(pairs, f"pairs-{k}")
     found = scratch.keep(_verified(pairs.where("not equal"), sets).unionByName(pairs.where("equal").select("a", "b")), f"links-{k}")
     scratch.release()
     return found
 
 
-def _linked(posts: DataFrame, links: DataFrame, comp: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+def _linked(posts: DataFrame, links: DataFrame, comp: DataFrame, bounds: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """Components (node, comp) of all links inside the signatures' groups, given those found before; see the module's text for the rounds."""
     for k in range(1, MOST_ROUNDS + 1):
         size = posts.groupBy("sig").count().agg(F.sum("count"), F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()
         if not size[0]:
             break
         last = k == MOST_ROUNDS or k >= STAR_ROUNDS and size[1] <= REST * size[0]
-        found = (_rest if last else _star)(posts, sets, scratch, k)
+        found = (_rest if last else _star)(posts, bounds, sets, scratch, k)
         if not found.isEmpty():
             links = links.unionByName(found)
             comp = connected_components(links, scratch, f"star{k}")
