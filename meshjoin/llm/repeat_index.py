@@ -10,8 +10,10 @@ the bytes of all later strings go, the first copy of each stays.
 3. Those are dealt to buckets of bounded size by name. Each bucket gets a run-length compressed Burrows-Wheeler transform
    with the text positions at the ends of its runs. From these samples each position's predecessor in suffix order and
    the length of its match with it are streamed in text order, and matches of a window or more link equal windows.
-4. Names with very many occurrences or contents, which would not fit a bucket, are decided by counting windows under two
-   hashes, combined before they are shuffled.
+4. Names with very many contents, which would not fit a bucket, get longer: their segments are halved by where the anchor
+   stands in a window, and each half is named by all that its windows have in common. That parts what only shares the
+   anchor; a half whose windows are all alike is one content. At most seven such rounds end it.
+5. Names that a good share of all documents have aren't shuffled by name before equal contents are combined.
 
 Nothing here is collected, but for a list of at most MOST_HOT names and some totals.
 """
@@ -34,9 +36,9 @@ from .scratch import Scratch
 WINDOW, GRAM = 100, 24
 #: Bytes of a bucket; contents of one name that a bucket may hold.
 BUCKET, WIDE = 1 << 20, 4096
-#: One document in SAMPLED shows which names are hot: those of HOT sampled segments or more, the MOST_HOT most frequent at most. Which names these are
-#: changes the way of a segment, never its result.
-SAMPLED, HOT, MOST_HOT = 32, 64, 4096
+#: One document in SAMPLED shows which names are hot: those that one in HOT of these and HOT_LEAST have, the MOST_HOT most frequent at most. Which
+#: names these are changes the way of a segment, never its result.
+SAMPLED, HOT, HOT_LEAST, MOST_HOT = 32, 25, 64, 4096
 
 _U = np.uint64
 _SPOT = _U((1 << 24) - 1)
@@ -197,7 +199,8 @@ def segment_rows(placed: DataFrame, hot: list[int]) -> DataFrame:
 def hot_names(placed: DataFrame) -> list[int]:
     """The names that many sampled documents have."""
     sampled = placed.where(F.pmod(F.xxhash64("anonymous", "key", F.lit("sample")), F.lit(SAMPLED)) == 0)
-    often = segment_rows(sampled, []).where(~F.col("seen")).groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") >= HOT)
+    least = max(HOT_LEAST, sampled.count() // HOT)
+    often = segment_rows(sampled, []).where(~F.col("seen")).groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     return [r["name"] for r in often.orderBy(F.desc("n"), "name").limit(MOST_HOT).collect()]
 
 
@@ -354,33 +357,65 @@ def later_windows(rows: pa.Table) -> pa.Table:
     return pa.table([pa.array(anonymous[segment]), _long(key[segment]), _int(start[segment]), _int(number("count")[segment]), pa.array(_check(body[segment].view(_U))), _int(low), _int(high)], names=_MARK.names)
 
 
-# windows of names that are too frequent for a bucket
+# names with more contents than a bucket holds
 
+_PIECE = T.StructType([*_CONTENT.fields, T.StructField("low", T.IntegerType()), T.StructField("high", T.IntegerType())])
+_WHO = [*PLACE, "start"]
 
-def window_rows(contents: DataFrame) -> DataFrame:
-    """All windows of segments: two hashes and the place."""
-    schema = T.StructType([T.StructField("one", T.LongType()), T.StructField("two", T.LongType()), *_PLACE_FIELDS, T.StructField("start", T.IntegerType())])
+
+def halves(contents: DataFrame) -> DataFrame:
+    """Both halves of segments whose windows have from low to below high bytes before their anchor, named by the bytes that all such windows share."""
 
     def kernel(batches):
         for batch in batches:
             for piece in K.slices(batch, "content", K.SLICE // 4):
                 data, off = K.utf8(_column(piece, "content"))
-                count = np.diff(off) - WINDOW + 1
-                row = np.repeat(np.arange(len(count)), count)
-                step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                at = off[row] + step
-                names = [K.mix(K.run_hashes(data, at, at + WINDOW, code)) for code in _CODES]
-                yield pa.RecordBatch.from_arrays(
-                    [*[_long(n) for n in names], pa.array(_numbers(piece, "anonymous")[row]), _long(_numbers(piece, "key")[row]), _int(_numbers(piece, "start")[row] + step)], names=schema.names
-                )
-
-    return contents.select(*PLACE, "start", "content").mapInArrow(kernel, schema)
+                spots, _ = window_anchors(data)
+                lead = spots[off[:-1]] - off[:-1]  # bytes before the anchor, in the first window
+                low, high, start, count = (_numbers(piece, c).astype(np.int64) for c in ("low", "high", "start", "count"))
+                middle = (low + high) // 2
+                out = []
+                for l, h in ((low, middle), (middle, high)):
+                    # window k has lead - k bytes before its anchor
+                    begin, end = np.maximum(lead - h + 1, 0), np.minimum(lead - l + 1, count)
+                    row = np.flatnonzero((begin < end) & (l < h))
+                    b, e, at = begin[row], end[row], off[row]
+                    name = K.mix(bodies(data, at + lead[row] - l[row], at + lead[row] + WINDOW - h[row] + 1) + K.mix((l[row] * WINDOW + h[row]).astype(_U)))
+                    body = bodies(data, at + b, at + e + WINDOW - 1)
+                    text = [data[x:y].tobytes() for x, y in zip(at + b, at + e + WINDOW - 1)]
+                    cols = [pa.array(_numbers(piece, "anonymous")[row]), _long(_numbers(piece, "key")[row]), _int(start[row] + b), _int(e - b), _long(name), _long(body), pa.array(text, pa.binary()), _int(l[row]), _int(h[row])]
+                    yield pa.RecordBatch.from_arrays(cols, names=_PIECE.names)
+
+    return contents.select(*_PIECE.names).mapInArrow(kernel, _PIECE)
+
+
+def firsts_of(rows: DataFrame) -> DataFrame:
+    """The first segment of each name and content."""
+    others = [c for c in rows.columns if c not in (*_WHO, "name", "body")]
+    return rows.groupBy("name", "body").agg(F.min(F.struct(*_WHO, *others)).alias("first")).select("name", "body", "first.*").select(*rows.columns)
+
+
+def parted(scratch: Scratch, rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Contents (firsts of their kind, with low and high) by names that have more than one and at most WIDE, and marks of segments that came out as copies
+    of earlier ones when those of more had been halved."""
+    narrow, later, level = None, None, rows
+    for depth in range(WINDOW.bit_length() + 1):
+        counted = level.join(level.groupBy("name").agg(F.count("*").alias("n")), "name")
+        few = counted.where((F.col("n") > 1) & (F.col("n") <= WIDE)).select(*_CONTENT.names)
+        narrow = few if narrow is None else narrow.unionByName(few)
+        wide = scratch.keep(counted.where(F.col("n") > WIDE).select(*_PIECE.names), f"wide-{depth}")
+        if wide.isEmpty():
+            break
+        pieces = scratch.keep(halves(wide), f"pieces-{depth}")
+        level = scratch.keep(firsts_of(pieces), f"level-{depth}")
+        first = level.select("name", "body", *[F.col(c).alias(f"first_{c}") for c in _WHO])
+        copies = _marks_of(pieces.join(first, ["name", "body"]).where(~_all_equal()))
+        later = copies if later is None else later.unionByName(copies)
+    return narrow, later
 
 
-def first_windows(contents: DataFrame) -> DataFrame:
-    """Places of the first occurrence of each window."""
-    rows = window_rows(contents).groupBy("one", "two").agg(F.min(F.struct(*PLACE, "start")).alias("first"))
-    return rows.select("first.*")
+def _all_equal() -> Column:
+    return (F.col("anonymous") == F.col("first_anonymous")) & (F.col("key") == F.col("first_key")) & (F.col("start") == F.col("first_start"))
 
 
 # the operator
@@ -435,25 +470,26 @@ def repeats(docs: DataFrame) -> DataFrame:
         F.collect_list(F.when(F.col("later"), spot)).alias("later"), F.collect_list(F.when(~F.col("later"), F.struct("start", "count", "name", "body"))).alias("open"),
     ), "flags")
     contents = scratch.keep(open_contents(placed, flags), "contents")
-    wide = contents.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") > WIDE).select("name")
-    narrow, frequent = contents, None
-    if not wide.isEmpty():
-        wide = scratch.keep(wide, "wide")
-        narrow, frequent = contents.join(wide, "name", "left_anti"), contents.join(wide, "name").select(*_CONTENT.names)
+    whole = lambda df: df.withColumns({"low": F.lit(0), "high": F.lit(WINDOW - GRAM + 1)})
+    narrow, marks = parted(scratch, whole(contents))
+    joined = placed.join(flags.select(*PLACE, "later"), PLACE, "left")
     if hot:
         often = scratch.keep(hot_contents(placed, hot), "hot")
-        frequent = often if frequent is None else frequent.unionByName(often)
+        first = scratch.keep(firsts_of(often), "hot-firsts")
+        few, copies = parted(scratch, whole(first))
+        narrow = narrow.unionByName(few)
+        marks = copies if marks is None else marks if copies is None else marks.unionByName(copies)
+        # all segments of hot names, of which those that are firsts stay but for their own marks
+        every = _by_document(_marks_of(often), "hot", ["start", "count", "check"])
+        joined = joined.join(every, PLACE, "left").join(_by_document(_marks_of(first), "firsts", ["start", "check"]), PLACE, "left")
+    else:
+        joined = joined.withColumns({"hot": F.lit(None).cast("array<struct<start:int,count:int,check:int>>"), "firsts": F.lit(None).cast("array<struct<start:int,check:int>>")})
     size = narrow.agg(F.sum(F.length("content"))).first()[0] or 0
     bucket = F.pmod(F.xxhash64("name"), F.lit(size // BUCKET + 1))
-    marks = narrow.groupBy(bucket.alias("bucket")).applyInArrow(later_windows, _MARK)
-    joined = placed.join(flags.select(*PLACE, "later"), PLACE, "left")
-    if frequent is not None:
-        marks = marks.unionByName(_marks_of(frequent))
-        joined = joined.join(_by_document(first_windows(frequent), "firsts", ["start"]), PLACE, "left")
-    else:
-        joined = joined.withColumn("firsts", F.lit(None).cast("array<struct<start:int>>"))
+    found = narrow.groupBy(bucket.alias("bucket")).applyInArrow(later_windows, _MARK)
+    marks = found if marks is None else found.unionByName(marks)
     joined = joined.join(_by_document(marks, "marks", ["start", "count", "check", "low", "high"]), PLACE, "left")
-    return joined.select("doc_id", "text", "later", "marks", "firsts").mapInArrow(_cut_batches, _RESULT)
+    return joined.select("doc_id", "text", "later", "hot", "firsts", "marks").mapInArrow(_cut_batches, _RESULT)
 
 
 def _listed(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -475,8 +511,14 @@ def _cut(piece: pa.RecordBatch) -> pa.RecordBatch:
     data, off = K.utf8(_column(piece, "text"))
     d1, (start, count, check) = _listed(piece, "later")
     d2, marks = _listed(piece, "marks")
-    doc = np.concatenate((d1, d2))
-    start, count, check, low, high = (np.concatenate(c) for c in zip((start, count, check, np.zeros_like(start), count), marks))
+    d3, often = _listed(piece, "hot")
+    d4, firsts = _listed(piece, "firsts")
+    named = lambda d, at, c: (off[d] + at) << 31 | c
+    stays = np.isin(named(d3, often[0], often[2]), named(d4, *firsts))
+    often = [c[~stays] for c in often]
+    doc = np.concatenate((d1, d3[~stays], d2))
+    whole = [np.concatenate(c) for c in zip((start, count, check), often)]
+    start, count, check, low, high = (np.concatenate(c) for c in zip((*whole, np.zeros_like(whole[0]), whole[1]), marks))
     order = np.lexsort((start, doc))
     doc, start, count, check, low, high = (c[order] for c in (doc, start, count, check, low, high))
     fits = off[doc] + start + count + WINDOW - 1 <= off[doc + 1]
@@ -485,14 +527,6 @@ def _cut(piece: pa.RecordBatch) -> pa.RecordBatch:
     own = _check(_bodies(data, at, at + count + WINDOW - 1)) == check
     doc, at, low, high = doc[own], at[own], low[own], high[own]
     first, last = at + low + doc, at + high + doc  # windows, a place apart between documents
-    d3, firsts = _listed(piece, "firsts")
-    if len(d3):
-        n = last - first
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        first, doc = np.repeat(first, n) + step, np.repeat(doc, n)
-        stays = np.isin(first, off[d3] + firsts[0] + d3)
-        first, doc = first[~stays], doc[~stays]
-        last = first + 1
     order = np.argsort(first, kind="stable")
     first, last = first[order], last[order] + WINDOW - 1
     reach = np.maximum.accumulate(last) if len(last) else last
