@@ -395,7 +395,7 @@ def firsts_of(rows: DataFrame) -> DataFrame:
     return rows.groupBy("name", "body").agg(F.min(F.struct(*_WHO, *others)).alias("first")).select("name", "body", "first.*").select(*rows.columns)
 
 
-def parted(scratch: Scratch, rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def parted(scratch: Scratch, rows: DataFrame, label: str) -> tuple[DataFrame, DataFrame | None]:
     """Contents (firsts of their kind, with low and high) by names that have more than one and at most WIDE, and marks of segments that came out as copies
     of earlier ones when those of more had been halved."""
     narrow, later, level = None, None, rows
@@ -403,11 +403,11 @@ def parted(scratch: Scratch, rows: DataFrame) -> tuple[DataFrame, DataFrame | No
         counted = level.join(level.groupBy("name").agg(F.count("*").alias("n")), "name")
         few = counted.where((F.col("n") > 1) & (F.col("n") <= WIDE)).select(*_CONTENT.names)
         narrow = few if narrow is None else narrow.unionByName(few)
-        wide = scratch.keep(counted.where(F.col("n") > WIDE).select(*_PIECE.names), f"wide-{depth}")
+        wide = scratch.keep(counted.where(F.col("n") > WIDE).select(*_PIECE.names), f"{label}-wide-{depth}")
         if wide.isEmpty():
             break
-        pieces = scratch.keep(halves(wide), f"pieces-{depth}")
-        level = scratch.keep(firsts_of(pieces), f"level-{depth}")
+        pieces = scratch.keep(halves(wide), f"{label}-pieces-{depth}")
+        level = scratch.keep(firsts_of(pieces), f"{label}-level-{depth}")
         first = level.select("name", "body", *[F.col(c).alias(f"first_{c}") for c in _WHO])
         copies = _marks_of(pieces.join(first, ["name", "body"]).where(~_all_equal()))
         later = copies if later is None else later.unionByName(copies)
@@ -471,12 +471,12 @@ def repeats(docs: DataFrame) -> DataFrame:
     ), "flags")
     contents = scratch.keep(open_contents(placed, flags), "contents")
     whole = lambda df: df.withColumns({"low": F.lit(0), "high": F.lit(WINDOW - GRAM + 1)})
-    narrow, marks = parted(scratch, whole(contents))
+    narrow, marks = parted(scratch, whole(contents), "open")
     joined = placed.join(flags.select(*PLACE, "later"), PLACE, "left")
     if hot:
         often = scratch.keep(hot_contents(placed, hot), "hot")
         first = scratch.keep(firsts_of(often), "hot-firsts")
-        few, copies = parted(scratch, whole(first))
+        few, copies = parted(scratch, whole(first), "hot")
         narrow = narrow.unionByName(few)
         marks = copies if marks is None else marks if copies is None else marks.unionByName(copies)
         # all segments of hot names, of which those that are firsts stay but for their own marks
