@@ -116,6 +116,32 @@ def closest_on_triangle(p: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.nd
         return q, np.sqrt(dot(q - p, q - p))
 
 
+def closest_between_segments(s: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places on segments s and t (n, 2 ends, 3) that are closest to each other, and their distances.
+
+    The best of the four ends, each with the other segment, and of the crossing of both lines where it lies inside both.
+    """
+    u, v, w = s[:, 1] - s[:, 0], t[:, 1] - t[:, 0], s[:, 0] - t[:, 0]
+    uu, uv, vv, uw, vw = dot(u, u), dot(u, v), dot(v, v), dot(u, w), dot(v, w)
+    on = lambda x, size: np.clip(x / np.where(size > 0, size, 1.0), 0.0, 1.0)
+    zero, one = np.zeros(len(s)), np.ones(len(s))
+    with np.errstate(all="ignore"):
+        steep = uu * vv - uv * uv
+        inner = [(uv * vw - vv * uw) / np.where(steep > 0, steep, 1.0), (uu * vw - uv * uw) / np.where(steep > 0, steep, 1.0)]
+        inside = (steep > 0) & (inner[0] >= 0) & (inner[0] <= 1) & (inner[1] >= 0) & (inner[1] <= 1)
+        ways = [(zero, on(vw, vv)), (one, on(vw + uv, vv)), (on(-uw, uu), zero), (on(uv - uw, uu), one), (np.where(inside, inner[0], 0.0), np.where(inside, inner[1], on(vw, vv)))]
+        best = None
+        for a, b in ways:
+            p, q = s[:, 0] + a[:, None] * u, t[:, 0] + b[:, None] * v
+            dist = np.sqrt(dot(p - q, p - q))
+            if best is None:
+                best = [p, q, dist]
+            else:
+                nearer = dist < best[2]
+                best = [np.where(nearer[:, None], p, best[0]), np.where(nearer[:, None], q, best[1]), np.where(nearer, dist, best[2])]
+    return best[0], best[1], best[2]
+
+
 def columns(batch: pa.RecordBatch, names: list[str], shape: tuple[int, ...]) -> np.ndarray:
     """Double columns of a batch as one array (rows, *shape)."""
     return np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names], axis=1).reshape(-1, *shape)

@@ -4,10 +4,14 @@ The grid join is an equi-join on cells. Boxes fall into size levels with doublin
 an axis at most on its own level and on every coarser one, however sizes vary. A pair is found on the level of
 its larger box, by joining that level's own boxes with its own and finer ones, and kept only in its reference
 cell, so nothing is found twice. Few boxes (checked by a count) are joined by broadcast instead.
+
+Rules are either one set for all elements, or columns: then each document's elements meet under its own rules, in one plan.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +23,8 @@ from .geometry import AXES
 #: At most so many boxes on the second side are broadcast, and only where both sides make at most so many pairs to test.
 BROADCAST_BOXES, BROADCAST_PAIRS = 4096, 1 << 25
 LEVELS = 24
+#: Narrower boxes count as this wide (metres).
+THIN = 1e-6
 _SIDE = ["gi", "element_id", "model_id", "ifc_type", *BOX]
 
 
@@ -46,72 +52,132 @@ def blocked_types(pairs) -> list[str]:
     return sorted(two.union(rule for rule in pairs if rule.count(":") != 1))
 
 
-def _sides(a: DataFrame, b: DataFrame, gap_m: float) -> tuple[DataFrame, DataFrame]:
-    left = a.select(*[F.col(c).alias(f"{c}_a") for c in _side(a)])
-    right = b.select(*[F.col(c).alias(f"{c}_b") for c in _side(b)])
-    wide = {f"v{x}{e}_a": F.col(f"v{x}{e}_a") + F.lit(gap_m if e == "1" else -gap_m) for x in AXES for e in "01"}
-    return (left.withColumns(wide) if gap_m else left), right
+def blocked_column(pairs: Column) -> Column:
+    """The same for a column of rules (array of texts; null for none)."""
+    key = lambda rule: F.when(F.size(F.split(rule, ":")) == 2, F.array_join(F.array_sort(F.split(rule, ":")), ":")).otherwise(rule)
+    return F.coalesce(F.transform(pairs, key), F.array().cast("array<string>"))
+
+
+def _sides(a: DataFrame, b: DataFrame, gap_m: float | str, carry: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with their columns named by side; a's boxes are widened by gap_m, a number or one of its columns."""
+    gap = F.col(gap_m) if isinstance(gap_m, str) else F.lit(float(gap_m))
+    box = lambda c: F.col(c) + (gap if c.endswith("1") else -gap)
+    widened = isinstance(gap_m, str) or gap_m != 0
+    left = a.select(*[(box(c) if widened and c in BOX else F.col(c)).alias(f"{c}_a") for c in _side(a)], *carry)
+    return left, b.select(*[F.col(c).alias(f"{c}_b") for c in _side(b)])
+
+
+def _overlap() -> list[Column]:
+    return [(F.col(f"v{x}0_a") <= F.col(f"v{x}1_b")) & (F.col(f"v{x}0_b") <= F.col(f"v{x}1_a")) for x in AXES]
+
+
+def _other_key() -> Column:
+    return ~(F.col("model_id_a").eqNullSafe(F.col("model_id_b")) & F.col("element_id_a").eqNullSafe(F.col("element_id_b")))
+
+
+def _type_key() -> Column:
+    return F.array_join(F.array_sort(F.array("ifc_type_a", "ifc_type_b")), ":")
+
+
+def _all(tests: list[Column]) -> Column:
+    return reduce(lambda p, q: p & q, tests)
 
 
-def _pair_rule(rules: Rules, same: bool, documents: bool) -> Column:
-    tests = [F.col("document_a") == F.col("document_b")] if documents else []
-    tests += [(F.col(f"v{x}0_a") <= F.col(f"v{x}1_b")) & (F.col(f"v{x}0_b") <= F.col(f"v{x}1_a")) for x in AXES]
+def _pair_rule(rules: Rules, same: bool) -> Column:
+    tests = _overlap()
     if same:
         tests.append(F.col("gi_a") < F.col("gi_b"))
     elif rules.exclude_self:
-        tests.append(~(F.col("model_id_a").eqNullSafe(F.col("model_id_b")) & F.col("element_id_a").eqNullSafe(F.col("element_id_b"))))
+        tests.append(_other_key())
     if rules.exclude_type_pairs:
-        key = F.array_join(F.array_sort(F.array("ifc_type_a", "ifc_type_b")), ":")
-        tests.append(~key.isin(blocked_types(rules.exclude_type_pairs)))
-    return reduce(lambda p, q: p & q, tests)
+        tests.append(~_type_key().isin(blocked_types(rules.exclude_type_pairs)))
+    return _all(tests)
 
 
-def theta_join(a: DataFrame, b: DataFrame, gap_m: float, rules: Rules, same: bool) -> DataFrame:
-    """The join by its plain condition, the second side broadcast: only for a side of a checked size."""
-    left, right = _sides(a, b, gap_m)
-    return left.join(F.broadcast(right), _pair_rule(rules, same, "document" in a.columns)).select("gi_a", "gi_b")
+def _pair_rule_by_columns() -> Column:
+    """The same where same, exclude_self and blocked are columns."""
+    order = F.when(F.col("same"), F.col("gi_a") < F.col("gi_b")).otherwise(~F.col("exclude_self") | _other_key())
+    return _all([*_overlap(), order, ~F.array_contains("blocked", _type_key())])
 
 
-def cell_size(a: DataFrame, b: DataFrame, gap_m: float) -> float:
-    """Cell side of the finest level: the tenth percentile of the boxes' longest sides, the gap included."""
-    side = F.greatest(*[F.col(f"v{x}1") - F.col(f"v{x}0") for x in AXES])
-    row = a.select(side.alias("s")).unionByName(b.select(side.alias("s"))).where("s > 0").agg(F.percentile_approx("s", 0.1, 1000)).first()
-    return max(row[0] or 0.0, 2 * gap_m, 1e-6)
+def _width(s: str) -> Column:
+    return F.greatest(*[F.col(f"v{x}1_{s}") - F.col(f"v{x}0_{s}") for x in AXES], F.lit(THIN))
 
 
-def _cells(side: DataFrame, s: str, cell: float, levels: list[int] | None) -> DataFrame:
-    """One row for each cell that a box meets on its own level (home) and on each coarser level in use."""
-    width = F.greatest(*[F.col(f"v{x}1_{s}") - F.col(f"v{x}0_{s}") for x in AXES])
-    level = F.least(F.greatest(F.ceil(F.log2(F.greatest(width, F.lit(cell)) / F.lit(cell))), F.lit(0)), F.lit(LEVELS)).cast("int")
-    leveled = side.withColumn(f"level_{s}", level)
-    if levels is None:
-        return leveled
-    rows = leveled.withColumn("grid", F.explode(F.filter(F.array(*[F.lit(k) for k in levels]), lambda k: k >= F.col(f"level_{s}"))))
-    step = F.lit(cell) * F.pow(F.lit(2.0), F.col("grid"))
+@dataclass(frozen=True)
+class Census:
+    """Numbers of boxes on both sides, the tenth percentile of their longest sides, and the powers of two up to which sides reach."""
+
+    a: int
+    b: int
+    side: float
+    powers: tuple[int, ...]
+
+
+def census(left: DataFrame, right: DataFrame) -> Census:
+    """Counts both sides and looks at their sizes, in one job."""
+    row = lambda df, s: df.select(*[(_width(s) if s == t else F.lit(None).cast("double")).alias(t) for t in "ab"])
+    power = lambda t: F.ceil(F.log2(t)).cast("int")
+    got = row(left, "a").unionByName(row(right, "b")).agg(
+        F.count("a").alias("a"), F.count("b").alias("b"), F.percentile_approx(F.coalesce("a", "b"), 0.1, 1000).alias("side"), F.collect_set(power(F.coalesce("a", "b"))).alias("powers"),
+    ).first()
+    return Census(got["a"], got["b"], got["side"] or THIN, tuple(sorted(got["powers"])))
+
+
+def in_cells(rows: DataFrame, low: dict[str, Column], high: dict[str, Column], step: Column, first: str) -> DataFrame:
+    """One row for each cell (cx, cy, cz; `step` wide) that a box meets, with its first cell ({first}x ..)."""
     for x in AXES:
-        lo, hi = F.floor(F.col(f"v{x}0_{s}") / step), F.floor(F.col(f"v{x}1_{s}") / step)
-        rows = rows.withColumn(f"first_{x}_{s}", lo).withColumn(f"c{x}", F.explode(F.sequence(lo, hi)))
+        lo, hi = F.floor(low[x] / step), F.floor(high[x] / step)
+        rows = rows.withColumn(f"{first}{x}", lo).withColumn(f"c{x}", F.explode(F.sequence(lo, hi)))
     return rows
 
 
-def grid_join(a: DataFrame, b: DataFrame, gap_m: float, rules: Rules, same: bool, cell: float | None = None) -> DataFrame:
-    cell = cell or cell_size(a, b, gap_m)
-    left, right = _sides(a, b, gap_m)
-    used = _cells(left, "a", cell, None).select(F.col("level_a").alias("k")).unionByName(_cells(right, "b", cell, None).select(F.col("level_b").alias("k"))).distinct()
-    levels = sorted(r[0] for r in used.collect())  # LEVELS + 1 at most
+def _cells(side: DataFrame, s: str, cell: float, levels: list[int]) -> DataFrame:
+    """One row for each cell that a box meets on its own level (home) and on each coarser level in use."""
+    level = F.least(F.greatest(F.ceil(F.log2(_width(s)) - F.lit(math.log2(cell))), F.lit(0)), F.lit(LEVELS)).cast("int")
+    rows = side.withColumn(f"level_{s}", level)
+    rows = rows.withColumn("grid", F.explode(F.filter(F.array(*[F.lit(k) for k in levels]), lambda k: k >= F.col(f"level_{s}"))))
+    ends = ({x: F.col(f"v{x}{e}_{s}") for x in AXES} for e in "01")
+    return in_cells(rows, *ends, F.lit(cell) * F.pow(F.lit(2.0), F.col("grid")), f"first_{s}_")
+
+
+def _grid_join(left: DataFrame, right: DataFrame, rule: Column, seen: Census, out: list[str], documents: bool, cell: float | None = None) -> DataFrame:
+    # a power of two, so that the levels in use follow from the census
+    cell = cell or 2.0 ** math.ceil(math.log2(max(seen.side, THIN)))
+    clip = lambda k: min(max(math.ceil(k - math.log2(cell)), 0), LEVELS)
+    levels = sorted({clip(k - back) for k in seen.powers for back in ((0,) if math.log2(cell).is_integer() else (0, 1))})
     if not levels:
-        return left.join(right, F.lit(False)).select("gi_a", "gi_b")
+        return left.join(right, F.lit(False)).select(*out)
     left, right = _cells(left, "a", cell, levels), _cells(right, "b", cell, levels)
     home_a, home_b = F.col("level_a") == F.col("grid"), F.col("level_b") == F.col("grid")
     on = ["grid", "cx", "cy", "cz"]
-    if "document" in a.columns:
+    if documents:
         left, right = (side.withColumn("document", F.col(f"document_{s}")) for side, s in ((left, "a"), (right, "b")))
         on = ["document", *on]
-    rule = _pair_rule(rules, same, "document" in a.columns)
-    for x in AXES:
-        rule = rule & (F.col(f"c{x}") == F.greatest(f"first_{x}_a", f"first_{x}_b"))
-    met = left.where(home_a).join(right, on).where(rule).select("gi_a", "gi_b")
-    return met.unionByName(left.where(~home_a).join(right.where(home_b), on).where(rule).select("gi_a", "gi_b"))
+    rule = _all([rule, *[F.col(f"c{x}") == F.greatest(f"first_a_{x}", f"first_b_{x}") for x in AXES]])
+    met = left.where(home_a).join(right, on).where(rule).select(*out)
+    return met.unionByName(left.where(~home_a).join(right.where(home_b), on).where(rule).select(*out))
+
+
+def _join(left: DataFrame, right: DataFrame, rule: Column, method: str, out: list[str], documents: bool, cell: float | None = None) -> DataFrame:
+    if method == "theta":
+        if documents:
+            rule = rule & (F.col("document_a") == F.col("document_b"))
+        return left.join(F.broadcast(right), rule).select(*out)
+    seen = census(left, right)
+    if method == "auto" and seen.b <= BROADCAST_BOXES and seen.a * max(seen.b, 1) <= BROADCAST_PAIRS:
+        return _join(left, right, rule, "theta", out, documents)
+    return _grid_join(left, right, rule, seen, out, documents, cell)
+
+
+def theta_join(a: DataFrame, b: DataFrame, gap_m: float, rules: Rules, same: bool) -> DataFrame:
+    """The join by its plain condition, the second side broadcast: only for a side of a checked size."""
+    return _join(*_sides(a, b, gap_m, []), _pair_rule(rules, same), "theta", ["gi_a", "gi_b"], "document" in a.columns)
+
+
+def grid_join(a: DataFrame, b: DataFrame, gap_m: float, rules: Rules, same: bool, cell: float | None = None) -> DataFrame:
+    """The join by cells; `cell` is the side of the finest ones, by default a power of two around the tenth percentile of the boxes' sides."""
+    return _join(*_sides(a, b, gap_m, []), _pair_rule(rules, same), "grid", ["gi_a", "gi_b"], "document" in a.columns, cell)
 
 
 def broad_phase(a: DataFrame, b: DataFrame, gap_m: float = 0.0, rules: Rules | None = None, same: bool | None = None, method: str = "auto") -> DataFrame:
@@ -119,8 +185,29 @@ def broad_phase(a: DataFrame, b: DataFrame, gap_m: float = 0.0, rules: Rules | N
     two sets give every ordered pair. method: auto, grid or theta."""
     rules = rules or Rules()
     same = same_set(a, b) if same is None else same
-    if method == "auto":
-        few = b.limit(BROADCAST_BOXES + 1).count()
-        most = BROADCAST_PAIRS // max(few, 1)
-        method = "theta" if few <= BROADCAST_BOXES and a.limit(most + 1).count() <= most else "grid"
-    return (theta_join if method == "theta" else grid_join)(a, b, gap_m, rules, same)
+    return _join(*_sides(a, b, gap_m, []), _pair_rule(rules, same), method, ["gi_a", "gi_b"], "document" in a.columns)
+
+
+#: Columns that rules give an element's document.
+RULE_COLUMNS = ["model_a", "model_b", "gap_m", "hard", "soft", "exclude_self", "blocked"]
+
+
+def with_scopes(ruled: DataFrame) -> DataFrame:
+    """Elements (with document and RULE_COLUMNS) with in_a and in_b, the scopes they belong to, and same: whether their document's two scopes are one set,
+    that is equally many elements with the same keys."""
+    within = lambda c: (F.col(c) == "all") | (F.col("model_id") == F.col(c))
+    rows = ruled.withColumns({"in_a": within("model_a"), "in_b": within("model_b")})
+    by_key = rows.where("model_a <> model_b").groupBy("document", "model_id", "element_id").agg(*[F.sum(F.col(f"in_{s}").cast("int")).alias(s) for s in "ab"])
+    unlike = by_key.groupBy("document").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.max((F.col("a") > 0) != (F.col("b") > 0)).alias("odd"))
+    unlike = unlike.where((F.col("a") != F.col("b")) | F.col("odd")).select("document", F.lit(False).alias("one"))
+    return rows.join(unlike, "document", "left").withColumn("same", F.coalesce("one", F.lit(True))).drop("one")
+
+
+def document_pairs(ruled: DataFrame, method: str = "auto") -> DataFrame:
+    """Candidate pairs of many documents, each under its own rules: gi_a, gi_b, hard and gap (metres; null: no clearance).
+
+    Scopes, gaps, exclusions and modes are columns of one plan, so its size and its jobs don't depend on how many rules there are.
+    """
+    rows = with_scopes(ruled).withColumn("gap", F.when(F.col("soft"), F.col("gap_m")))
+    left, right = _sides(rows.where("in_a"), rows.where("in_b"), "gap_m", ["same", "exclude_self", "blocked", "hard", "gap"])
+    return _join(left, right, _pair_rule_by_columns(), method, ["gi_a", "gi_b", "hard", "gap"], True)

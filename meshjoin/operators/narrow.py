@@ -1,188 +1,212 @@
 """Narrow phase: hard clashes by exact triangle tests, and clearances by point-to-surface distances.
 
-Candidates are joined with each side's triangles (or vertices), pruned against the other side's box before the two
-sides meet. Between large meshes they meet by cells of the region that both boxes share, as many as the larger mesh
-asks for, so that no pair of elements makes all pairs of triangles, and no pair is one task. The kernels run on Arrow
-batches and give back only hits and distances within the gap, which are then aggregated per pair.
+Each candidate pair says what to look for: hard (test for intersection) and gap (clearance in metres, or null). Pairs of small
+meshes get both meshes as flat arrays and are decided in one kernel, with no shuffle behind it. Meshes with more parts
+are cut into blocks of parts alike in size and place; blocks meet by cells, on the level of the larger one, as boxes do in the
+broad phase, so a block makes eight rows a level at most, however sizes vary, and no pair of meshes is one task. Blocks, and what is
+known after each step about pairs of such meshes, are written to the checkpoint folder.
+
+Work ends early: a pair leaves the kernel when it has its hits, at most 24 hits of a pair leave a batch, and distances are looked
+for only below a bound, the best one known so far (of large meshes first that of the blocks' first points).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.kernels import closest_kernel, hits_kernel
+from ..functions.meshes import BLOCKS, FOUND, HITS, KINDS, NEAR, block_distance_kernel, block_hits_kernel, blocks_kernel, pair_kernel
 from ..schema import BOX, DEPTH_SEMANTICS, MAX_POINTS, MESH_BOX
-from .geometry import AXES, boxes_meet, triangles, vertices
+from .broadphase import THIN, in_cells
+from .geometry import AXES
+from .lineage import cut
 
 PAIR = ["gi_a", "gi_b"]
-_CORNERS = [f"{k}{x}" for k in range(3) for x in AXES]
-#: Cells are used where the larger one of a pair's meshes has more parts (triangles or vertices) than this; about so many come to a cell
-#: of a surface.
-CELL_PARTS = 256
-MOST_CELLS = 64
-#: Cells are wider than needed by this share, so that rounding can't put close parts into different ones.
-SLACK = 1e-9
+#: Meshes with more parts (triangles or vertices) than this meet by blocks.
+SMALL_PARTS = 256
+_ENDS = [f"{x}{e}" for e in "01" for x in AXES]
 
 
 def _has_large(elements: DataFrame) -> bool:
-    """Whether any mesh is large enough for cells."""
+    """Whether any mesh is too large to be taken whole."""
     most = elements.agg(F.max(F.greatest("n_verts", "n_faces"))).first()[0]
-    return (most or 0) > CELL_PARTS
+    return (most or 0) > SMALL_PARTS
 
 
-def _with_region(candidates: DataFrame, elements: DataFrame, gap_m: float) -> DataFrame:
-    """Candidates with their grid: cells an axis (g; 1 for small meshes), and by axis the start (r{x}) and cell width (w{x}) of the region
-    that A's box, widened by the gap, shares with B's."""
-    side = lambda s: elements.select(F.col("gi").alias(f"gi_{s}"), F.greatest("n_verts", "n_faces").alias(f"n_{s}"), *[F.col(c).alias(f"{s}{c}") for c in BOX])
-    rows = candidates.select(*PAIR).join(side("a"), "gi_a").join(side("b"), "gi_b")
-    rows = rows.withColumn("g", F.when(F.greatest("n_a", "n_b") <= CELL_PARTS, 1).otherwise(F.least(F.ceil(F.sqrt(F.greatest("n_a", "n_b") / F.lit(CELL_PARTS // 8))), F.lit(MOST_CELLS))).cast("int"))
-    for x in AXES:
-        low, high = F.greatest(F.col(f"av{x}0"), F.col(f"bv{x}0")) - gap_m, F.least(F.col(f"av{x}1"), F.col(f"bv{x}1")) + gap_m
-        rows = rows.withColumn(f"r{x}", low).withColumn(f"w{x}", F.greatest((high - low) / F.col("g"), F.lit(2 * gap_m), F.lit(1e-9)))
-    return rows.select(*PAIR, "g", *[f"{c}{x}" for x in AXES for c in "rw"])
+def _parts() -> Column:
+    return F.greatest("n_verts", "n_faces")
 
 
-def _cell(at: Column, x: str) -> Column:
-    """The cell of a coordinate on axis x, the first or last one beyond the region."""
-    return F.greatest(F.least(F.floor((at - F.col(f"r{x}")) / F.col(f"w{x}")), F.col("g") - 1), F.lit(0)).cast("int")
+def _meshes(elements: DataFrame, s: str) -> DataFrame:
+    """Meshes as flat arrays: gi_{s}, {s}_xyz (coordinates are float32 values), {s}_faces."""
+    flat = lambda c, names, kind: F.expr(f"flatten(transform({c}, p -> array({', '.join(f'cast(p.{n} as {kind})' for n in names)})))")
+    return elements.select(F.col("gi").alias(f"gi_{s}"), flat("verts", AXES, "float").alias(f"{s}_xyz"), flat("faces", ("i0", "i1", "i2"), "int").alias(f"{s}_faces"))
 
 
-def _in_region(rows: DataFrame, low: dict[str, Column], high: dict[str, Column]) -> DataFrame:
-    """The rows whose box meets the region; two parts within the gap of each other both do."""
-    for x in AXES:
-        slack = F.col(f"w{x}") * SLACK
-        rows = rows.where((high[x] >= F.col(f"r{x}") - slack) & (low[x] <= F.col(f"r{x}") + F.col("g") * F.col(f"w{x}") + slack))
-    return rows
+def tested(candidates: DataFrame, elements: DataFrame, hard: bool | Column, gap: float | Column | None, with_point: bool = True, stages: int = 3) -> DataFrame:
+    """The clashes of candidate pairs: gi_a, gi_b, is_hard, d (metres), px, py, pz.
 
+    hard: whether a pair is tested for intersection; d is then the depth, the least overlap of the mesh boxes, and the point the mean of the
+    first 24 hits by triangle numbers (null unless with_point). gap: pairs that don't intersect, or aren't tested for it, and come so near; d is the
+    distance and the point the middle between the closest places. stages: 1 for vertices only, 3 with vertices to triangles both ways, 4 with
+    edges too, which gives the exact distance of surfaces that don't intersect. Earlier stages win ties, then smaller numbers.
+    """
+    hard, gap = (c if isinstance(c, Column) else F.lit(c) for c in (hard, gap))
+    pairs = candidates.select(*PAIR, hard.alias("hard"), gap.cast("double").alias("gap")).where(F.col("hard") | F.col("gap").isNotNull())
+    large = _has_large(elements)
+    small = elements.where(_parts() <= SMALL_PARTS) if large else elements
+    whole = pairs.join(_meshes(small, "a"), "gi_a").join(_meshes(small, "b"), "gi_b").mapInArrow(pair_kernel(with_point, stages, MAX_POINTS), FOUND)
+    return whole.unionByName(_tested_by_blocks(pairs, elements, with_point, stages)) if large else whole
 
-def _in_cells(rows: DataFrame, low: dict[str, Column], high: dict[str, Column]) -> DataFrame:
-    """One row for each cell (cx, cy, cz) that a box meets, with its first cell (fx, fy, fz)."""
-    for x in AXES:
-        slack = F.col(f"w{x}") * SLACK
-        rows = rows.withColumn(f"f{x}", _cell(low[x] - slack, x)).withColumn(f"c{x}", F.explode(F.sequence(f"f{x}", _cell(high[x] + slack, x))))
-    return rows
 
+# meshes by blocks
 
-_GRID = ["g", *[f"{c}{x}" for x in AXES for c in "rw"]]
-_AT = [f"c{x}" for x in AXES]
 
+def mesh_blocks(elements: DataFrame, with_edges: bool = False) -> DataFrame:
+    """Blocks of the parts of meshes: gi, kind (see KINDS), block, its box x0 .. z1, its first point, and its parts (ids, xyz)."""
+    meshes = _meshes(elements, "m").withColumnRenamed("gi_m", "gi")
+    return meshes.mapInArrow(blocks_kernel(with_edges), BLOCKS)
 
-def _mesh_side(elements: DataFrame, s: str) -> DataFrame:
-    return elements.select(F.col("gi").alias(f"gi_{s}"), *[F.col(c).alias(f"{s}{c}") for c in MESH_BOX])
 
+def with_boxes_of(pairs: DataFrame, elements: DataFrame, box: list[str] = BOX) -> DataFrame:
+    """Pairs with both elements' boxes (a{column}, b{column})."""
+    side = lambda s: elements.select(F.col("gi").alias(f"gi_{s}"), *[F.col(c).alias(f"{s}{c}") for c in box])
+    return pairs.join(side("a"), "gi_a").join(side("b"), "gi_b")
 
-def triangle_pairs(candidates: DataFrame, elements: DataFrame) -> DataFrame:
-    """Triangle pairs of candidate pairs with overlapping boxes: gi_a, gi_b, tri_a, tri_b, corners a0x .. b2z."""
-    boxed = candidates.join(_mesh_side(elements, "a"), "gi_a").join(_mesh_side(elements, "b"), "gi_b")
-    large = _has_large(elements)
-    if large:
-        boxed = boxed.join(_with_region(candidates, elements, 0.0), PAIR)
-    own, other = {}, {"a": "b", "b": "a"}
-    for s, o in other.items():
-        t = triangles(elements, s).withColumnsRenamed({"gi": f"gi_{s}", "tri_idx": f"tri_{s}"})
-        meets = None
-        for x in AXES:
-            test = (F.col(f"t{x}0") <= F.col(f"{o}f{x}1")) & (F.col(f"t{x}1") >= F.col(f"{o}f{x}0"))
-            meets = test if meets is None else meets & test
-        rows = boxed.select(*PAIR, *[f"{o}{c}" for c in MESH_BOX], *(_GRID if large else [])).join(t, f"gi_{s}").where(meets)
-        if large:
-            rows = _in_cells(rows, *({x: F.col(f"t{x}{e}") for x in AXES} for e in "01")).withColumnsRenamed({f"f{x}": f"{s}first{x}" for x in AXES})
-        own[s] = rows.select(*PAIR, f"tri_{s}", *([*_AT, *[f"{s}first{x}" for x in AXES]] if large else []), *[f"{s}{c}" for c in _CORNERS], *[F.col(f"t{x}{e}").alias(f"{s}t{x}{e}") for x in AXES for e in "01"])
-    met = own["a"].join(own["b"], [*PAIR, *_AT] if large else PAIR)
-    if large:
-        # triangles that share several cells meet in the first of these only
-        for x in AXES:
-            met = met.where(F.col(f"c{x}") == F.greatest(f"afirst{x}", f"bfirst{x}"))
-    return met.where(boxes_meet("at", "bt")).select(*PAIR, "tri_a", "tri_b", *[f"{s}{c}" for s in "ab" for c in _CORNERS])
-
-
-def triangle_hits(pairs: DataFrame) -> DataFrame:
-    """The pairs (triangle_pairs) that intersect: gi_a, gi_b, tri_a, tri_b, px, py, pz."""
-    return pairs.mapInArrow(hits_kernel([*PAIR, "tri_a", "tri_b"]), "gi_a long, gi_b long, tri_a int, tri_b int, px double, py double, pz double")
 
+def with_powers(blocks: DataFrame) -> DataFrame:
+    """Blocks with the powers of two up to which the boxes of their mesh and kind reach (powers)."""
+    width = F.greatest(*[F.col(f"{x}1") - F.col(f"{x}0") for x in AXES], F.lit(THIN))
+    powers = blocks.groupBy("gi", "kind").agg(F.collect_set(F.ceil(F.log2(width)).cast("int")).alias("powers"))
+    return blocks.join(powers, ["gi", "kind"])
 
-def hard_clashes(candidates: DataFrame, elements: DataFrame, with_point: bool = True) -> DataFrame:
-    """One row for each candidate pair with a triangle hit: gi_a, gi_b, depth (metres, the least overlap of the mesh boxes), hits, point.
 
-    The point is the mean of the first 24 hits by triangle numbers; leave it out to spare their ranking.
+def _levels(width: Column) -> Column:
+    return F.ceil(F.log2(width)).cast("int")
+
+
+def block_pairs(pairs: DataFrame, blocks: DataFrame, left: tuple[str, str], right: tuple[str, str], carry: list[str]) -> DataFrame:
+    """Pairs of blocks (see with_powers) whose boxes come within the reach (a column of pairs, metres) of each other, for each pair of elements.
+
+    pairs: gi_a, gi_b, reach and both elements' boxes. left, right: a side and a kind of parts. The result has the left block's columns as a_*, the
+    right one's as b_*. A block is written to the cells of its own level and of the other mesh's coarser levels.
     """
-    found = triangle_hits(triangle_pairs(candidates, elements))
+    power = lambda p: F.pow(F.lit(2.0), p)
+    rows = {}
+    for (s, kind), (o, other_kind), name in ((left, right, "a"), (right, left, "b")):
+        own = blocks.where(F.col("kind") == KINDS[kind]).select(F.col("gi").alias(f"gi_{s}"), *[F.col(c).alias(f"{name}_{c}") for c in blocks.columns if c not in ("gi", "kind", "powers")])
+        others = blocks.where(F.col("kind") == KINDS[other_kind]).groupBy(F.col("gi").alias(f"gi_{o}")).agg(F.first("powers").alias("powers"))
+        r = pairs.join(own, f"gi_{s}").join(others, f"gi_{o}")
+        # away from the other element's box nothing is near
+        r = r.where(reduce(lambda p, q: p & q, [(F.col(f"{name}_{x}0") - F.col("reach") <= F.col(f"{o}v{x}1")) & (F.col(f"{name}_{x}1") + F.col("reach") >= F.col(f"{o}v{x}0")) for x in AXES]))
+        slack = F.col("reach") if name == "a" else F.lit(0.0)
+        low, high = ({x: F.col(f"{name}_{x}{e}") + d for x in AXES} for e, d in (("0", -slack), ("1", slack)))
+        level = _levels(F.greatest(*[high[x] - low[x] for x in AXES], F.lit(THIN)))
+        # where the left boxes are widened, those of one power come to two levels at most
+        wide = F.lit(0.0) if name == "a" else 2 * F.col("reach")
+        reached = F.flatten(F.transform("powers", lambda p: F.array(_levels(power(p - 1) + wide), _levels(power(p) + wide))))
+        r = r.withColumns({**{f"{name}w{x}{e}": c[x] for x in AXES for e, c in (("0", low), ("1", high))}, f"{name}level": level, "reached": reached})
+        grid = F.concat(F.array(f"{name}level"), F.filter(F.array_distinct("reached"), lambda k: k > F.col(f"{name}level")))
+        r = r.withColumn("grid", F.explode(grid)).drop("powers", "reached")
+        r = in_cells(r, *({x: F.col(f"{name}w{x}{e}") for x in AXES} for e in "01"), power(F.col("grid")), f"{name}first")
+        keep = [c for c in r.columns if c.startswith(name) and c[1] != "v"]
+        rows[name] = r.select(*PAIR, "grid", "cx", "cy", "cz", *keep, *(carry if name == "a" else []))
+    met = rows["a"].join(rows["b"], [*PAIR, "grid", "cx", "cy", "cz"])
+    tests = [(F.col("alevel") == F.col("grid")) | (F.col("blevel") == F.col("grid"))]
+    for x in AXES:
+        tests += [F.col(f"c{x}") == F.greatest(f"afirst{x}", f"bfirst{x}"), F.col(f"aw{x}0") <= F.col(f"bw{x}1"), F.col(f"bw{x}0") <= F.col(f"aw{x}1")]
+    met = met.where(reduce(lambda p, q: p & q, tests))
+    return met.select(*PAIR, *carry, *[c for c in met.columns if c[:2] in ("a_", "b_")])
+
+
+_GEOMETRY = [f"{s}_{c}" for s in "ab" for c in ("ids", "xyz")]
+
+
+def triangle_hits(candidates: DataFrame, elements: DataFrame, most: int | None = None) -> DataFrame:
+    """Triangle pairs of candidate pairs that intersect: gi_a, gi_b, tri_a, tri_b, px, py, pz; all, or at least the first `most` of each pair."""
+    pairs = with_boxes_of(candidates.select(*PAIR), elements).withColumn("reach", F.lit(0.0))
+    return _hits_by_blocks(pairs, with_powers(mesh_blocks(elements)), most)
+
+
+def _hits_by_blocks(pairs: DataFrame, blocks: DataFrame, most: int | None) -> DataFrame:
+    met = block_pairs(pairs, blocks, ("a", "triangles"), ("b", "triangles"), [])
+    return met.select(*PAIR, *_GEOMETRY).mapInArrow(block_hits_kernel(most), HITS)
+
+
+def _tested_by_blocks(pairs: DataFrame, elements: DataFrame, with_point: bool, stages: int) -> DataFrame:
+    sizes = lambda s: elements.select(F.col("gi").alias(f"gi_{s}"), _parts().alias(f"n_{s}"))
+    pairs = pairs.join(sizes("a"), "gi_a").join(sizes("b"), "gi_b").where(F.greatest("n_a", "n_b") > SMALL_PARTS).drop("n_a", "n_b")
+    used = pairs.select(F.col("gi_a").alias("gi")).unionByName(pairs.select(F.col("gi_b").alias("gi"))).distinct()
+    # used by every step from here on; written once
+    blocks = cut(with_powers(mesh_blocks(elements.join(used, "gi", "left_semi"), stages == 4)))
+    pairs = cut(with_boxes_of(pairs, elements))
+    hits = _hits_by_blocks(pairs.where("hard").withColumn("reach", F.lit(0.0)), blocks, MAX_POINTS if with_point else 1)
     if with_point:
-        found = found.withColumn("rank", F.row_number().over(Window.partitionBy(*PAIR).orderBy("tri_a", "tri_b")))
-        mean = [F.avg(F.when(F.col("rank") <= MAX_POINTS, F.col(f"p{x}"))) for x in AXES]
-        rows = found.groupBy(*PAIR).agg(F.count("*").alias("hits"), F.array(*mean).alias("point"))
+        hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy(*PAIR).orderBy("tri_a", "tri_b"))).where(F.col("rank") <= MAX_POINTS)
+        struck = hits.groupBy(*PAIR).agg(*[F.avg(f"p{x}").alias(f"p{x}") for x in AXES])
     else:
-        rows = found.groupBy(*PAIR).agg(F.count("*").alias("hits"))
-    boxes = rows.join(_mesh_side(elements, "a"), "gi_a").join(_mesh_side(elements, "b"), "gi_b")
+        struck = hits.select(*PAIR).distinct().withColumns({f"p{x}": F.lit(None).cast("double") for x in AXES})
+    struck = cut(struck)
     over = [F.greatest(F.least(F.col(f"af{x}1"), F.col(f"bf{x}1")) - F.greatest(F.col(f"af{x}0"), F.col(f"bf{x}0")), F.lit(0.0)) for x in AXES]
-    out = [*PAIR, F.least(*over).alias("depth"), "hits"]
-    return boxes.select(*out, *(["point"] if with_point else []))
+    out = with_boxes_of(struck, elements, MESH_BOX).select(*PAIR, F.lit(True).alias("is_hard"), F.least(*over).alias("d"), "px", "py", "pz")
+    soft = pairs.where(F.col("gap").isNotNull()).join(struck.select(*PAIR), PAIR, "left_anti")
+    near = _nearest_by_blocks(soft, blocks, stages)
+    return out.unionByName(near.select(*PAIR, F.lit(False).alias("is_hard"), "d", *[F.col(f"m{x}").alias(f"p{x}") for x in AXES]))
 
 
-def vertex_pairs(candidates: DataFrame, elements: DataFrame, gap_m: float) -> DataFrame:
-    """Stage 0: distances between the pairs' vertices within the gap on each axis."""
-    v = vertices(elements)
-    side = lambda s: v.select(F.col("gi").alias(f"gi_{s}"), F.col("v_idx").alias(f"v_{s}"), *[F.col(x).alias(f"{s}{x}") for x in AXES])
-    near = None
-    for x in AXES:
-        test = F.abs(F.col(f"a{x}") - F.col(f"b{x}")) <= gap_m
-        near = test if near is None else near & test
-    if _has_large(elements):
-        grid = _with_region(candidates, elements, gap_m)
-        at = lambda s: {x: F.col(f"{s}{x}") for x in AXES}
-        own = _in_region(grid.join(side("a"), "gi_a"), at("a"), at("a")).withColumns({f"c{x}": _cell(F.col(f"a{x}"), x) for x in AXES}).drop(*_GRID)
-        other = _in_cells(_in_region(grid.join(side("b"), "gi_b"), at("b"), at("b")), *({x: F.col(f"b{x}") + d for x in AXES} for d in (-gap_m, gap_m)))
-        rows = own.join(other.select(*PAIR, *_AT, "v_b", *[f"b{x}" for x in AXES]), [*PAIR, *_AT]).where(near)
-    else:
-        rows = candidates.join(side("a"), "gi_a").join(side("b"), "gi_b").where(near)
-    d = F.sqrt(sum(((F.col(f"a{x}") - F.col(f"b{x}")) * (F.col(f"a{x}") - F.col(f"b{x}")) for x in AXES[1:]), (F.col("ax") - F.col("bx")) * (F.col("ax") - F.col("bx"))))
-    return rows.select(*PAIR, d.alias("d"), F.lit(0).alias("stage"), "v_a", "v_b", *[((F.col(f"a{x}") + F.col(f"b{x}")) / 2).alias(f"m{x}") for x in AXES])
+def _nearest_by_blocks(pairs: DataFrame, blocks: DataFrame, stages: int) -> DataFrame:
+    """Distances of pairs up to their gap, in two steps: the first points of near blocks bound a pair's distance, then parts are compared below it."""
+    firsts = block_pairs(pairs.withColumn("reach", F.col("gap")), blocks.drop("ids", "xyz"), ("a", "vertices"), ("b", "vertices"), [])
+    apart = F.sqrt(sum(((F.col(f"a_f{x}") - F.col(f"b_f{x}")) * (F.col(f"a_f{x}") - F.col(f"b_f{x}")) for x in AXES[1:]), (F.col("a_fx") - F.col("b_fx")) * (F.col("a_fx") - F.col("b_fx"))))
+    bound = firsts.groupBy(*PAIR).agg(F.min(apart).alias("known"))
+    pairs = cut(pairs.join(bound, PAIR, "left").withColumn("reach", F.least("gap", F.coalesce("known", "gap"))))
+    out = None
+    for stage, (left, right) in enumerate([(("a", "vertices"), ("b", "vertices")), (("a", "vertices"), ("b", "triangles")), (("b", "vertices"), ("a", "triangles")), (("a", "edges"), ("b", "edges"))][:stages]):
+        met = block_pairs(pairs, blocks, left, right, ["reach"]).select(*PAIR, F.col("reach").alias("bound"), *_GEOMETRY)
+        found = met.mapInArrow(block_distance_kernel(stage), NEAR)
+        out = found if out is None else out.unionByName(found)
+    best = out.groupBy(*PAIR).agg(F.min(F.struct("d", "stage", "v_a", "v_b", "mx", "my", "mz")).alias("best"))
+    return best.select(*PAIR, "best.*")
 
 
-def vertex_faces(candidates: DataFrame, elements: DataFrame, gap_m: float, points: str = "a") -> DataFrame:
-    """Stages 1 and 2: distances of one side's vertices from the other side's triangles, where the triangle's box is within the gap."""
-    faces = "b" if points == "a" else "a"
-    v = vertices(elements).select(F.col("gi").alias(f"gi_{points}"), F.col("v_idx").alias("v_a"), *[F.col(x).alias(f"p{x}") for x in AXES])
-    t = triangles(elements, "t").withColumnsRenamed({"gi": f"gi_{faces}", "tri_idx": "v_b"})
-    near = None
-    for x in AXES:
-        test = (F.col(f"p{x}") >= F.col(f"t{x}0") - gap_m) & (F.col(f"p{x}") <= F.col(f"t{x}1") + gap_m)
-        near = test if near is None else near & test
-    if _has_large(elements):
-        grid = _with_region(candidates, elements, gap_m)
-        at = {x: F.col(f"p{x}") for x in AXES}
-        own = _in_region(grid.join(v, f"gi_{points}"), at, at).withColumns({f"c{x}": _cell(at[x], x) for x in AXES}).drop(*_GRID)
-        other = _in_region(grid.join(t, f"gi_{faces}"), *({x: F.col(f"t{x}{e}") for x in AXES} for e in "01"))
-        other = _in_cells(other, {x: F.col(f"t{x}0") - gap_m for x in AXES}, {x: F.col(f"t{x}1") + gap_m for x in AXES})
-        rows = own.join(other.select(*PAIR, *_AT, "v_b", *[f"t{c}" for c in _CORNERS], *[f"t{x}{e}" for x in AXES for e in "01"]), [*PAIR, *_AT]).where(near)
-    else:
-        rows = candidates.select(*PAIR).join(v, f"gi_{points}").join(t, f"gi_{faces}").where(near)
-    keys = [*PAIR, "v_a", "v_b", "px", "py", "pz"]
-    rows = rows.select(*keys, *[f"t{c}" for c in _CORNERS])
-    found = rows.mapInArrow(closest_kernel(keys, gap_m), "gi_a long, gi_b long, v_a int, v_b int, px double, py double, pz double, dist double, qx double, qy double, qz double")
-    return found.select(*PAIR, F.col("dist").alias("d"), F.lit(1 if points == "a" else 2).alias("stage"), "v_a", "v_b", *[((F.col(f"p{x}") + F.col(f"q{x}")) / 2).alias(f"m{x}") for x in AXES])
+# results
 
 
-def clearances(candidates: DataFrame, elements: DataFrame, gap_m: float, vertex_only: bool = False) -> DataFrame:
+def hard_clashes(candidates: DataFrame, elements: DataFrame, with_point: bool = True) -> DataFrame:
+    """One row for each candidate pair with a triangle hit: gi_a, gi_b, depth (metres, the least overlap of the mesh boxes) and point, the mean of the first
+    24 hits by triangle numbers; leave it out and the first hit decides a pair."""
+    found = tested(candidates, elements, True, None, with_point)
+    return found.select(*PAIR, F.col("d").alias("depth"), *([F.array("px", "py", "pz").alias("point")] if with_point else []))
+
+
+def clearances(candidates: DataFrame, elements: DataFrame, gap_m: float, vertex_only: bool = False, exact: bool = False) -> DataFrame:
     """Pairs whose distance is the gap at most: gi_a, gi_b, d (metres), point (the middle between the closest places).
 
-    The distance is the least of vertex to vertex, A's vertices to B's triangles, and B's to A's; an earlier stage
-    wins ties. With vertex_only only the first counts.
+    The distance is the least of vertex to vertex, A's vertices to B's triangles, and B's to A's; with vertex_only only the first counts, and
+    with exact edges are held against edges too.
     """
-    rows = vertex_pairs(candidates, elements, gap_m)
-    if not vertex_only:
-        for s in "ab":
-            rows = rows.unionByName(vertex_faces(candidates, elements, gap_m, s))
-    best = rows.groupBy(*PAIR).agg(F.min(F.struct("d", "stage", "v_a", "v_b", "mx", "my", "mz")).alias("best"))
-    return best.where(F.col("best.d") <= gap_m).select(*PAIR, F.col("best.d").alias("d"), F.array("best.mx", "best.my", "best.mz").alias("point"))
+    found = tested(candidates, elements, False, gap_m, stages=1 if vertex_only else 4 if exact else 3)
+    return found.select(*PAIR, "d", F.array("px", "py", "pz").alias("point"))
+
+
+def result_rows(found: DataFrame) -> DataFrame:
+    """Result columns of tested pairs. A hard clash's distance is minus the depth, a clearance's the distance, in whole millimetres (half to even)."""
+    hard, mm = F.col("is_hard"), F.rint(F.col("d") * 1000)
+    return found.select(
+        *PAIR, F.when(F.col("px").isNotNull(), F.array("px", "py", "pz")).alias("point"), F.when(hard, -mm).otherwise(mm).cast("long").alias("distance"),
+        F.when(~hard, F.lit(0.0)).alias("volume"), F.when(hard, F.lit(DEPTH_SEMANTICS)).alias("depth_semantics"), F.when(hard, F.lit("hard")).otherwise(F.lit("clearance")).alias("type"),
+    )
 
 
 def hard_rows(found: DataFrame) -> DataFrame:
-    """Result columns of hard clashes: the distance is minus the depth in whole millimetres (half to even)."""
-    return found.select(*PAIR, "point", (-F.rint(F.col("depth") * 1000)).cast("long").alias("distance"), F.lit(None).cast("double").alias("volume"), F.lit(DEPTH_SEMANTICS).alias("depth_semantics"), F.lit("hard").alias("type"))
+    """Result columns of hard clashes (see hard_clashes)."""
+    point = [F.col("point")[k] if "point" in found.columns else F.lit(None).cast("double") for k in range(3)]
+    return result_rows(found.select(*PAIR, F.lit(True).alias("is_hard"), F.col("depth").alias("d"), *[p.alias(f"p{x}") for p, x in zip(point, AXES)]))
 
 
 def clearance_rows(found: DataFrame) -> DataFrame:
-    return found.select(*PAIR, "point", F.rint(F.col("d") * 1000).cast("long").alias("distance"), F.lit(0.0).alias("volume"), F.lit(None).cast("string").alias("depth_semantics"), F.lit("clearance").alias("type"))
+    """Result columns of clearances (see clearances)."""
+    return result_rows(found.select(*PAIR, F.lit(False).alias("is_hard"), "d", *[F.col("point")[k].alias(f"p{x}") for k, x in enumerate(AXES)]))

@@ -14,9 +14,10 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.broadphase import broad_phase, same_set, scope
-from ..operators.narrow import PAIR, clearance_rows, clearances, hard_clashes, hard_rows
-from ..schema import CLASH, DEPTH_SEMANTICS, RULES_WIRE, Rules
+from ..operators.broadphase import RULE_COLUMNS, blocked_column, broad_phase, document_pairs, same_set, scope
+from ..operators.lineage import cut
+from ..operators.narrow import result_rows, tested
+from ..schema import CLASH, DEPTH_SEMANTICS, Rules
 from ..sources.payload import explode_elements, parse_elements, payload_frame, payload_rules
 from ..sources.sinks import clash_dicts
 
@@ -28,19 +29,13 @@ def candidates_of(elements: DataFrame, rules: Rules, method: str = "auto") -> Da
     return broad_phase(a, b, rules.gap_m, rules, same, method)
 
 
-def clashes_of(candidates: DataFrame, elements: DataFrame, rules: Rules, with_point: bool = True, vertex_only: bool = False) -> DataFrame:
-    """Clashes by pair: gi_a, gi_b and the result columns. A pair with a hard clash isn't tested for clearance."""
-    out = None
-    if rules.hard:
-        hard = hard_clashes(candidates, elements, with_point)
-        out = hard_rows(hard if with_point else hard.withColumn("point", F.lit(None).cast("array<double>")))
-    if rules.soft:
-        if rules.hard:
-            out = out.persist(StorageLevel.MEMORY_AND_DISK)  # read twice: as rows, and to leave its pairs out
-        rest = candidates.join(out.select(*PAIR), PAIR, "left_anti") if rules.hard else candidates
-        soft = clearance_rows(clearances(rest, elements, rules.gap_m, vertex_only))
-        out = soft if out is None else out.unionByName(soft)
-    return clearance_rows(clearances(candidates.where(F.lit(False)), elements, 0.0)) if out is None else out
+def clashes_of(candidates: DataFrame, elements: DataFrame, rules: Rules | None = None, with_point: bool = True, vertex_only: bool = False, exact: bool = False) -> DataFrame:
+    """Clashes by pair: gi_a, gi_b and the result columns. A pair with a hard clash isn't tested for clearance.
+
+    Without rules the candidates' own columns hard and gap say what each pair is tested for.
+    """
+    hard, gap = (F.col("hard"), F.col("gap")) if rules is None else (rules.hard, rules.gap_m if rules.soft else None)
+    return result_rows(tested(candidates, elements, hard, gap, with_point, 1 if vertex_only else 4 if exact else 3))
 
 
 def with_identity(clashes: DataFrame, elements: DataFrame, stable_ids: bool = False) -> DataFrame:
@@ -154,40 +149,29 @@ def percent(done: int, total: int) -> int:
     return round(100 * done / total) if total else 0
 
 
+def rules_table(payloads: DataFrame) -> DataFrame:
+    """The rules of payloads as columns (RULE_COLUMNS), a row for each document; absent and null entries take their defaults."""
+    rule = lambda name, default: F.coalesce(F.col(f"rules.{name}"), F.lit(default))
+    mode, gap = rule("mode", "hard"), rule("maxGap", 0.0)
+    soft = mode.isin("soft", "both")
+    values = [
+        rule("modelA", "all"), rule("modelB", "all"), F.when(soft, gap / 1000.0).otherwise(0.0), mode != "soft", soft & (gap > 0), rule("excludeSelf", False),
+        blocked_column(F.col("rules.excludeTypePairs")),
+    ]
+    return payloads.select("document", *[v.alias(n) for v, n in zip(values, RULE_COLUMNS)])
+
+
 def detect_documents(payloads: DataFrame, strict: bool = True, method: str = "auto", stable_ids: bool = True, with_point: bool = True) -> DataFrame:
     """Clashes of several payloads (document, elements, rules), each under its own rules: document, id and the result columns.
 
-    Payloads of equal rules are one plan over all their documents; elements pair within their document only. Whether two scopes
-    are one set is decided by document. Absent rules take the defaults; payloads without elements give no rows.
+    Rules are data: a table with a row for each document that is joined to its elements, so scopes, gaps, exclusions and modes are columns of one
+    plan, whose jobs don't depend on the number of documents or of different rules. Elements pair within their document only; whether its two
+    scopes are one set is decided by document. Absent rules take the defaults; payloads without elements give no rows. Document keys that are
+    null or repeated fail the query.
     """
-    elements = parse_elements(explode_elements(payloads), strict).persist(StorageLevel.MEMORY_AND_DISK)
-    # as many rows as there are different rules
-    groups = payloads.groupBy("rules").agg(F.min("document")).select("rules").collect()
-    out = None
-    for wire in (r["rules"] for r in groups):
-        rules = Rules.of(wire.asDict() if wire else None)
-        given = F.lit(None) if wire is None else F.struct(*[F.lit(wire[f.name]).cast(f.dataType).alias(f.name) for f in RULES_WIRE.fields])
-        own = elements.join(payloads.where(F.col("rules").eqNullSafe(given)).select("document").distinct(), "document", "left_semi")
-        for part, same in _by_sets(own, rules):
-            a, b = scope(part, rules.model_a), scope(part, rules.model_b)
-            candidates = broad_phase(a, b, rules.gap_m, rules, same, method).persist(StorageLevel.MEMORY_AND_DISK)
-            found = with_identity(clashes_of(candidates, part, rules, with_point), part, stable_ids)
-            out = found if out is None else out.unionByName(found)
-    if out is None:
-        none = candidates_of(elements, Rules(), method)
-        return with_identity(clashes_of(none, elements, Rules()), elements, stable_ids)
-    return out
-
-
-def _by_sets(elements: DataFrame, rules: Rules) -> list[tuple[DataFrame, bool]]:
-    """The documents whose two scopes are one set, and the others."""
-    if rules.model_a == rules.model_b:
-        return [(elements, True)]
-    side = lambda model, n: scope(elements, model).select("document", "model_id", "element_id", *[F.lit(int(k == n)).alias(f"in_{k}") for k in (1, 2)])
-    keys = side(rules.model_a, 1).unionByName(side(rules.model_b, 2)).groupBy("document", "model_id", "element_id").agg(F.sum("in_1").alias("p"), F.sum("in_2").alias("q"))
-    equal = keys.groupBy("document").agg(F.sum("p").alias("p"), F.sum("q").alias("q"), F.max((F.col("p") > 0) != (F.col("q") > 0)).alias("odd"))
-    equal = equal.where((F.col("p") == F.col("q")) & ~F.col("odd")).select("document")
-    return [(elements.join(equal, "document", "left_semi"), True), (elements.join(equal, "document", "left_anti"), False)]
+    elements = cut(parse_elements(explode_elements(payloads), strict))  # parsed once for all steps
+    candidates = document_pairs(elements.join(rules_table(payloads), "document"), method)
+    return with_identity(clashes_of(candidates, elements, with_point=with_point), elements, stable_ids)
 
 
 #: Seconds between looks at the running tasks.

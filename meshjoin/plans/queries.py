@@ -15,7 +15,7 @@ from . import scenes
 from .kernel_sql import closest_on_triangle, sql_stages, tri_tri
 from .detect import CAPABILITIES, candidates_of, capabilities, clashes_of, detect_documents, with_identity
 
-GAP = Rules(max_gap=10.0)
+GAP = Rules(mode="both", max_gap=10.0)
 TYPES = Rules(exclude_type_pairs=("T0:T1", "T2:T2"))
 CROSS = Rules(model_a="m0", model_b="m1")
 ONE = Rules(model_b="m1")
@@ -165,7 +165,7 @@ _HARD = f"hard AS (SELECT gi_a, gi_b, CAST(-round_even({_DEPTH} * 1000, 0) AS BI
 
 def _hard(spark, sf_dir, scene):
     e = scenes.elements(spark, sf_dir, scene)
-    rows = narrow.hard_rows(narrow.hard_clashes(candidates_of(e, Rules()), e, with_point=False).withColumn("point", F.lit(None).cast("array<double>")))
+    rows = narrow.hard_rows(narrow.hard_clashes(candidates_of(e, Rules()), e, with_point=False))
     return rows.select("gi_a", "gi_b", "distance", "depth_semantics", "type")
 
 
@@ -228,7 +228,7 @@ def clearance(spark, sf_dir):
 def _detected(rules: Rules):
     def run(spark, sf_dir):
         e = scenes.elements(spark, sf_dir)
-        return clashes_of(candidates_of(e, rules).persist(), e, rules, with_point=False).select("gi_a", "gi_b", "distance", "volume", "type")
+        return clashes_of(candidates_of(e, rules), e, rules, with_point=False).select("gi_a", "gi_b", "distance", "volume", "type")
 
     return run
 

@@ -57,7 +57,8 @@ class Rules:
 
     @property
     def gap_m(self) -> float:
-        return self.max_gap / 1000.0
+        """Metres by which boxes are widened; only modes that look for clearances have a gap."""
+        return self.max_gap / 1000.0 if self.mode in ("soft", "both") else 0.0
 
     @property
     def hard(self) -> bool:

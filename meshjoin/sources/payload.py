@@ -12,6 +12,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..schema import ELEMENT_WIRE, PAYLOAD, Rules
@@ -19,15 +20,53 @@ from ..schema import ELEMENT_WIRE, PAYLOAD, Rules
 IDENTITY = ["gi", "element_id", "model_id", "ifc_type", "name", "storey", "discipline"]
 
 
-def read_payload(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """JSON payload files ({elements, rules}), one document a file, with the file's path as document; malformed JSON fails the read."""
+def payload_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Texts of JSON payload files: document (the file's path) and json."""
     files = spark.read.text(path, wholetext=True)
-    return payload_texts(files.select(F.col("_metadata.file_path").alias("document"), F.col("value").alias("json")))
+    return files.select(F.col("_metadata.file_path").alias("document"), F.col("value").alias("json"))
 
 
-def payload_texts(texts: DataFrame) -> DataFrame:
-    """Payloads of a frame (document string, unique; json string); malformed JSON fails the query."""
-    return texts.select("document", F.from_json("json", PAYLOAD, {"mode": "FAILFAST"}).alias("p")).select("document", "p.*")
+def read_payload(spark: SparkSession, path: str | list[str], strict: bool = True) -> DataFrame:
+    """JSON payload files ({elements, rules}), one document a file, with the file's path as document. Malformed JSON fails the read if strict; otherwise
+    such files are left out (see unreadable)."""
+    return payload_texts(payload_files(spark, path), strict)
+
+
+_CORRUPT = "_corrupt"
+_READ = T.StructType([*PAYLOAD.fields, T.StructField(_CORRUPT, T.StringType())])
+
+
+def _parsed(texts: DataFrame) -> DataFrame:
+    """document and p, the payload with the text of one that can't be read as _corrupt."""
+    return texts.select("document", F.from_json("json", _READ, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}).alias("p"), "json")
+
+
+def _unreadable() -> Column:
+    """Why a document can't be used, or null."""
+    shapeless = F.trim("json").rlike(r"^[^{]") | (F.trim("json") == "")
+    return F.when(F.col("json").isNull(), "no text").when(F.col(f"p.{_CORRUPT}").isNotNull() | shapeless | F.col("p").isNull(), "not a JSON payload")
+
+
+def payload_texts(texts: DataFrame, strict: bool = True) -> DataFrame:
+    """Payloads of a frame (document string, unique; json string). Malformed JSON fails the query if strict; otherwise such documents, and those whose
+    key is null or repeated, are left out (see unreadable)."""
+    if strict:
+        return texts.select("document", F.from_json("json", PAYLOAD, {"mode": "FAILFAST"}).alias("p")).select("document", "p.*")
+    return _parsed(_unique(texts)).where(_unreadable().isNull()).select("document", *[f"p.{n}" for n in PAYLOAD.names])
+
+
+def _unique(texts: DataFrame) -> DataFrame:
+    """The documents with a key of their own."""
+    alone = texts.where("document IS NOT NULL").groupBy("document").agg(F.count("*").alias("payloads")).where("payloads = 1").select("document")
+    return texts.join(alone, "document", "left_semi")
+
+
+def unreadable(texts: DataFrame) -> DataFrame:
+    """The documents that payload_texts(strict=False) leaves out: document and fault. A repeated key is told once."""
+    keys = texts.groupBy("document").agg(F.count("*").alias("payloads"))
+    key_fault = F.when(F.col("document").isNull(), "no document key").when(F.col("payloads") > 1, "repeated document key")
+    by_key = keys.select("document", key_fault.alias("fault")).where("fault IS NOT NULL")
+    return by_key.unionByName(_parsed(_unique(texts)).select("document", _unreadable().alias("fault")).where("fault IS NOT NULL"))
 
 
 def payload_frame(spark: SparkSession, payload: dict | str) -> DataFrame:
@@ -47,14 +86,18 @@ def payload_rules(payloads: DataFrame) -> Rules:
 def explode_elements(payloads: DataFrame) -> DataFrame:
     """Wire elements with their place gi; an absent or empty list gives no rows.
 
-    Payloads with a key (document) are numbered in its order, so that gi is unique over all of them, and their elements keep it.
+    Payloads with a key (document) are numbered in its order, so that gi is unique over all of them, and their elements keep it. Keys that are null or
+    repeated fail the query, as elements of different payloads would be taken for one's.
     """
     if "document" not in payloads.columns:
         return payloads.select(F.posexplode("elements").alias("gi", "e")).select(F.col("gi").cast("long").alias("gi"), "e.*")
     # one small row for each payload, ranked by one task
-    numbers = payloads.select("document").distinct().withColumn("number", F.row_number().over(Window.orderBy("document")) - 1)
-    rows = payloads.select("document", F.posexplode("elements").alias("at", "e")).join(numbers, "document")
-    return rows.select("document", (F.col("number").cast("long") * (1 << 31) + F.col("at")).alias("gi"), "e.*")
+    keys = payloads.groupBy("document").agg(F.count("*").alias("payloads")).withColumn("number", F.row_number().over(Window.orderBy("document")) - 1)
+    keys = keys.select(F.col("document").alias("key"), "payloads", "number")
+    rows = payloads.select("document", F.posexplode("elements").alias("at", "e")).join(keys, F.col("document").eqNullSafe(F.col("key")))
+    faulty = F.col("document").isNull() | (F.col("payloads") > 1)
+    refused = F.raise_error(F.concat(F.lit("null or repeated document key: "), F.coalesce("document", F.lit("null")))).cast("long")
+    return rows.select("document", F.when(faulty, refused).otherwise(F.col("number").cast("long") * (1 << 31) + F.col("at")).alias("gi"), "e.*")
 
 
 def wire_frame(spark: SparkSession, elements: list[dict]) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meshjoin.functions.kernels import closest_on_triangle, tri_tri
+from meshjoin.functions.kernels import closest_between_segments, closest_on_triangle, tri_tri
 from meshjoin.operators import broadphase, narrow
 from meshjoin.plans.detect import CAPABILITIES, candidates_of, capabilities, clashes_of, detect, detect_documents, percent, status
 from meshjoin.plans.scenes import FACES
@@ -284,36 +284,174 @@ def ball(i, centre, rings, radius=1.0):
     return {"id": i, "modelId": "m", "ifcType": "T", "vertices": v.reshape(-1).tolist(), "indices": f}
 
 
-def test_cells_change_no_result(spark, monkeypatch):
-    """Spheres that cross and that come close, and a box among them, with cells and without."""
+def test_blocks_change_no_result(spark, monkeypatch):
+    """Spheres that cross and that come close, and boxes among them, by blocks and whole."""
     scene = [ball("a", (0, 0, 0), 24), ball("b", (1.7, 0.1, 0), 24), ball("c", (0.1, 2.03, 0), 20), box("d", (0, 0, 1.2), 0.3), box("e", (3.03, 0, 0), 0.3)]
     elements = parse_elements(wire_frame(spark, scene)).cache()
     rules = Rules(mode="both", max_gap=50.0)
     candidates = candidates_of(elements, rules).cache()
     got = {}
     for most in (10**9, 64):
-        monkeypatch.setattr(narrow, "CELL_PARTS", most)
-        got[most] = sorted((r.gi_a, r.gi_b, r.type, r.distance, tuple(round(x, 6) for x in r.point)) for r in clashes_of(candidates, elements, rules).collect())
+        monkeypatch.setattr(narrow, "SMALL_PARTS", most)
+        for exact in (False, True):
+            rows = clashes_of(candidates, elements, rules, exact=exact).collect()
+            got[most, exact] = sorted((r.gi_a, r.gi_b, r.type, r.distance, tuple(round(x, 6) for x in r.point)) for r in rows)
         near = narrow.clearances(candidates, elements, rules.gap_m, vertex_only=True)
         got[most, "vertices"] = sorted((r.gi_a, r.gi_b, r.d) for r in near.collect())
-    assert got[64] == got[10**9] and got[64, "vertices"] == got[10**9, "vertices"]
-    assert {(a, b) for a, b, *_ in got[64]} >= {(0, 1), (0, 2), (0, 3), (1, 4)} and {t for _, _, t, *_ in got[64]} == {"hard", "clearance"}
+        quick = clashes_of(candidates, elements, rules, with_point=False).collect()
+        assert sorted((r.gi_a, r.gi_b, r.type, r.distance) for r in quick) == [r[:4] for r in got[most, False]]
+    for kind in (False, True, "vertices"):
+        assert got[64, kind] == got[10**9, kind]
+    assert {(a, b) for a, b, *_ in got[64, False]} >= {(0, 1), (0, 2), (0, 3), (1, 4)} and {t for _, _, t, *_ in got[64, False]} == {"hard", "clearance"}
+
+
+def brute_hits(elements, a, b):
+    """All pairs of triangles of two elements through the kernel."""
+    rows = {r.gi: r for r in elements.collect()}
+    corners = lambda r: np.array([[tuple(r.verts[i]) for i in f] for f in r.faces])
+    ta, tb = corners(rows[a]), corners(rows[b])
+    out = set()
+    for i in range(len(ta)):
+        hit = tri_tri(np.repeat(ta[i : i + 1], len(tb), axis=0), tb)[0]
+        out |= {(i, int(j)) for j in np.flatnonzero(hit)}
+    return out
+
+
+def test_first_hits_and_all_hits(spark):
+    """All hits by blocks equal those of every pair of triangles; the first 24 are the first by their numbers."""
+    elements = parse_elements(wire_frame(spark, [ball("a", (0, 0, 0), 16), ball("b", (0.9, 0.2, 0), 16)])).cache()
+    candidates = candidates_of(elements, Rules())
+    want = brute_hits(elements, 0, 1)
+    found = narrow.triangle_hits(candidates, elements).collect()
+    assert {(r.tri_a, r.tri_b) for r in found} == want and len(found) == len(want) > 24
+    first = sorted((r.tri_a, r.tri_b, r.px, r.py, r.pz) for r in found)[:24]
+    point = narrow.hard_clashes(candidates, elements).first().point
+    assert np.allclose(point, np.mean([r[2:] for r in first], axis=0))
+    assert narrow.triangle_hits(candidates, elements, 1).count() >= 1
 
 
 def test_large_meshes_meet_in_bounded_numbers(spark):
-    """Two meshes of 20,000 triangles: triangles of a cell meet, which are a small share of the 4e8 pairs."""
+    """Two meshes of 20,000 triangles: triangles of blocks that meet are a small share of the 4e8 pairs."""
     elements = parse_elements(wire_frame(spark, [ball("a", (0, 0, 0), 100), ball("b", (0.6, 0, 0), 100)])).cache()
     candidates = candidates_of(elements, Rules())
     assert [r.n_faces for r in elements.collect()] == [19_800] * 2
-    grid = narrow._with_region(candidates, elements, 0.0)
-    met = 1
-    for s in "ab":
-        t = narrow.triangles(elements, s).withColumnRenamed("gi", f"gi_{s}")
-        cells = narrow._in_cells(grid.join(t, f"gi_{s}"), *({x: F.col(f"t{x}{e}") for x in "xyz"} for e in "01"))
-        inside = narrow._in_region(cells, *({x: F.col(f"t{x}{e}") for x in "xyz"} for e in "01"))
-        counts = inside.groupBy("cx", "cy", "cz").agg(F.count("*").alias(f"n_{s}"))
-        met = counts if s == "a" else met.join(counts, ["cx", "cy", "cz"])
-    joined = met.agg(F.sum(F.col("n_a") * F.col("n_b"))).first()[0]
-    assert joined < 4_000_000
+    pairs = narrow.with_boxes_of(candidates, elements).withColumn("reach", F.lit(0.0))
+    met = narrow.block_pairs(pairs, narrow.with_powers(narrow.mesh_blocks(elements)), ("a", "triangles"), ("b", "triangles"), [])
+    joined, made = met.agg(F.count("*"), F.sum(F.size("a_ids") * F.size("b_ids"))).first()
+    assert joined < 10_000 and made < 5_000_000
     found = narrow.hard_clashes(candidates, elements).collect()
-    assert len(found) == 1 and found[0].hits > 100 and abs(found[0].depth - 1.4) < 0.01
+    assert len(found) == 1 and abs(found[0].depth - 1.4) < 0.01
+    assert narrow.triangle_hits(candidates, elements).count() > 100
+
+
+def test_uneven_triangles_write_few_rows(spark):
+    """A slab of twelve long triangles against a sphere of 100,000: blocks write at most eight rows a level, and few pairs of blocks meet."""
+    slab = box("slab", (0, 0, 0), 1.0)
+    slab["vertices"] = [c * s for c, s in zip(slab["vertices"], [40.0, 0.01, 0.5] * 8)]
+    elements = parse_elements(wire_frame(spark, [slab, ball("ball", (0, 0, 0), 224)])).cache()
+    blocks = narrow.with_powers(narrow.mesh_blocks(elements)).cache()
+    counted = {(r.gi, r.kind): r for r in blocks.groupBy("gi", "kind").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("parts")).collect()}
+    assert counted[0, 1].parts == 12 and counted[1, 1].parts == 2 * 224 * 223 and counted[1, 1].n < 1.2 * counted[1, 1].parts / 32 + 40
+    assert {tuple(sorted(r.ids)) for r in blocks.where("kind = 1 and gi = 0").collect()}  # every part is in one block
+    assert blocks.where("kind = 1 and gi = 1").select(F.explode("ids").alias("i")).distinct().count() == counted[1, 1].parts
+    candidates = candidates_of(elements, Rules())
+    pairs = narrow.with_boxes_of(candidates, elements).withColumn("reach", F.lit(0.0))
+    met = narrow.block_pairs(pairs, blocks, ("a", "triangles"), ("b", "triangles"), [])
+    assert 0 < met.count() <= counted[0, 1].n * counted[1, 1].n
+    level = F.ceil(F.log2(F.greatest(*[F.col(f"{x}1") - F.col(f"{x}0") for x in "xyz"])))
+    cells = lambda x, k: F.floor(F.col(f"{x}1") / F.pow(F.lit(2.0), k)) - F.floor(F.col(f"{x}0") / F.pow(F.lit(2.0), k)) + 1
+    assert blocks.where("kind = 1").select((cells("x", level) * cells("y", level) * cells("z", level)).alias("rows")).agg(F.max("rows")).first()[0] <= 8
+    hard = narrow.hard_clashes(candidates, elements, with_point=False).collect()
+    assert len(hard) == 1 and abs(hard[0].depth - 0.02) < 1e-6
+
+
+# exact distances
+
+
+def test_segments_against_sampling():
+    draw = np.random.default_rng(6)
+    s, t = draw.normal(size=(2, 400, 2, 3))
+    s[:20, 1] = s[:20, 0]  # points
+    t[10:30, 1] = t[10:30, 0] + (s[10:30, 1] - s[10:30, 0]) * 2  # parallel ones
+    p, q, d = closest_between_segments(s, t)
+    w = np.linspace(0, 1, 201)
+    on = lambda g: g[:, 0, None] + w[None, :, None] * (g[:, 1] - g[:, 0])[:, None]
+    best = np.array([np.linalg.norm(x[:, None] - y[None], axis=2).min() for x, y in zip(on(s), on(t))])
+    assert (d <= best + 1e-9).all() and (best - d < 0.05).all() and np.allclose(np.linalg.norm(p - q, axis=1), d)
+
+
+def test_crossing_bars_have_their_true_distance(spark):
+    """Two long bars that cross at a distance: their corners are far apart, their edges aren't."""
+    bars = []
+    for i, (axis, z) in enumerate(((0, 0.0), (1, 0.0))):
+        b = box(i, (0, 0, 0), 1.0)
+        v = np.array(b["vertices"]).reshape(-1, 3)
+        v[:, axis] *= 10
+        v[:, 1 - axis] *= 0.05
+        v[:, 2] = v[:, 2] * 0.05
+        if i:  # a quarter turn about its own axis, so that an edge points at the other bar, which is turned likewise
+            v[:, 2] += 0.3
+        turn = np.pi / 4
+        y, zc = 1 - axis, v[:, 2].mean()
+        c, s_ = v[:, y].copy(), v[:, 2] - zc
+        v[:, y], v[:, 2] = c * np.cos(turn) - s_ * np.sin(turn), zc + c * np.sin(turn) + s_ * np.cos(turn)
+        b["vertices"] = v.reshape(-1).tolist()
+        bars.append(b)
+    elements = parse_elements(wire_frame(spark, bars)).cache()
+    rules = Rules(mode="both", max_gap=1000.0)
+    candidates = candidates_of(elements, rules)
+    true = 0.3 - 2 * 0.05 * np.sqrt(2)
+    exact = narrow.clearances(candidates, elements, rules.gap_m, exact=True).first()
+    assert abs(exact.d - true) < 1e-6 and np.allclose(exact.point, (0, 0, 0.15), atol=1e-6)
+    assert narrow.clearances(candidates, elements, rules.gap_m).count() == 0 or narrow.clearances(candidates, elements, rules.gap_m).first().d > true + 0.01
+
+
+# rules as data
+
+
+def test_many_rule_sets_in_one_plan(spark):
+    """Five hundred payloads of five hundred different rules: the jobs are as many as for two, and each document's clashes are its own rules'."""
+    from meshjoin.sources.payload import payload_texts
+
+    near = lambda d: [box("p", (0, 0, 0), 1, "m0", "A"), box("q", (2.0 + d, 0, 0), 1, "m1", "B"), box("r", (0.5, 0, 0), 1, "m1", "A")]
+
+    def payload(k):
+        rules = {"mode": ("hard", "soft", "both")[k % 3], "maxGap": 10 + k, "excludeTypePairs": [["A:B"], [], ["B:B", f"x{k}"]][k % 3]}
+        if k % 4 == 1:
+            rules |= {"modelA": "m0", "modelB": "m1", "excludeSelf": bool(k % 8 == 1)}
+        return {"elements": near(k / 1000), "rules": rules}
+
+    def jobs(numbers):
+        texts = spark.createDataFrame([(f"d{k:03}", json.dumps(payload(k))) for k in numbers], "document string, json string").repartition(4).cache()
+        spark.sparkContext.setJobGroup(f"rules-{len(numbers)}", "")
+        got = sorted((r.document, r.elementA, r.elementB, r.type, r.distance) for r in detect_documents(payload_texts(texts), method="grid").collect())
+        return got, len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"rules-{len(numbers)}"))
+
+    many, n_many = jobs(range(500))
+    few, n_few = jobs(range(2))
+    spark.sparkContext._jsc.clearJobGroup()
+    # adaptive plans start a few more or less jobs by the sizes they meet
+    assert n_many <= n_few + 8 and {r[0] for r in many} <= {f"d{k:03}" for k in range(500)}
+    for k in (0, 1, 2, 5, 9, 333, 497):
+        alone = found(spark, payload(k)["elements"], **payload(k)["rules"])
+        assert [r[1:] for r in many if r[0] == f"d{k:03}"] == rows(alone), k
+
+
+def test_gap_counts_in_modes_with_clearance_only(spark):
+    apart = [box(1, (0, 0, 0), 1), box(2, (2.05, 0, 0), 1)]
+    assert found(spark, apart, mode="hard", maxGap=100)["stats"]["candidatePairs"] == 0
+    assert found(spark, apart, mode="both", maxGap=100)["stats"]["candidatePairs"] == 1
+
+
+def test_document_keys_are_checked(spark):
+    from meshjoin.sources.payload import payload_texts, unreadable
+
+    good = json.dumps({"elements": [box("p", (0, 0, 0), 1), box("q", (0.5, 0, 0), 1)]})
+    texts = spark.createDataFrame([("a", good), ("a", good), (None, good), ("b", "{"), ("c", good), ("d", None), ("e", ""), ("f", "[1]"), ("g", '{"elements": 3}')], "document string, json string")
+    for part in ([("a", good), ("a", good)], [(None, good)]):
+        with pytest.raises(Exception, match="null or repeated document key"):
+            detect_documents(payload_texts(spark.createDataFrame(part, "document string, json string"))).collect()
+    kept = detect_documents(payload_texts(texts, strict=False)).collect()
+    assert [(r.document, r.elementA, r.elementB) for r in kept] == [("c", "p", "q")]
+    faults = {r.document: r.fault for r in unreadable(texts).collect()}
+    assert faults == {"a": "repeated document key", None: "no document key", "b": "not a JSON payload", "d": "no text", "e": "not a JSON payload", "f": "not a JSON payload", "g": "not a JSON payload"}
