@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..schema import BOX, Rules
 from .geometry import AXES
+from .lineage import cut
 
 #: At most so many boxes on the second side are broadcast, and only where both sides make at most so many pairs to test.
 BROADCAST_BOXES, BROADCAST_PAIRS = 4096, 1 << 25
@@ -33,6 +34,11 @@ def _side(elements: DataFrame) -> list[str]:
     return [*_SIDE, "document"] if "document" in elements.columns else _SIDE
 
 
+def thin(elements: DataFrame) -> DataFrame:
+    """What the broad phase needs of elements: identities and boxes, without meshes."""
+    return elements.select(*_side(elements))
+
+
 def scope(elements: DataFrame, model: str) -> DataFrame:
     """All elements, or those of exactly one model."""
     return elements if model == "all" else elements.where(F.col("model_id") == model)
@@ -208,6 +214,7 @@ def document_pairs(ruled: DataFrame, method: str = "auto") -> DataFrame:
 
     Scopes, gaps, exclusions and modes are columns of one plan, so its size and its jobs don't depend on how many rules there are.
     """
-    rows = with_scopes(ruled).withColumn("gap", F.when(F.col("soft"), F.col("gap_m")))
+    # read by both sides, the census and the join
+    rows = cut(with_scopes(ruled.select(*_side(ruled), *RULE_COLUMNS))).withColumn("gap", F.when(F.col("soft"), F.col("gap_m")))
     left, right = _sides(rows.where("in_a"), rows.where("in_b"), "gap_m", ["same", "exclude_self", "blocked", "hard", "gap"])
     return _join(left, right, _pair_rule_by_columns(), method, ["gi_a", "gi_b", "hard", "gap"], True)

@@ -56,6 +56,9 @@ def tested(candidates: DataFrame, elements: DataFrame, hard: bool | Column, gap:
     """
     hard, gap = (c if isinstance(c, Column) else F.lit(c) for c in (hard, gap))
     pairs = candidates.select(*PAIR, hard.alias("hard"), gap.cast("double").alias("gap")).where(F.col("hard") | F.col("gap").isNotNull())
+    # the kernel's work is out of proportion to the bytes of pairs, by which adaptive plans would put them together
+    context, session = elements.sparkSession.sparkContext, elements.sparkSession.conf
+    pairs = pairs.repartition(max(2 * context.defaultParallelism, int(session.get("spark.sql.shuffle.partitions"))), "gi_a")
     large = _has_large(elements)
     small = elements.where(_parts() <= SMALL_PARTS) if large else elements
     whole = pairs.join(_meshes(small, "a"), "gi_a").join(_meshes(small, "b"), "gi_b").mapInArrow(pair_kernel(with_point, stages, MAX_POINTS), FOUND)

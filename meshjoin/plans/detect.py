@@ -14,7 +14,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.broadphase import RULE_COLUMNS, blocked_column, broad_phase, document_pairs, same_set, scope
+from ..operators.broadphase import RULE_COLUMNS, blocked_column, broad_phase, document_pairs, same_set, scope, thin
 from ..operators.lineage import cut
 from ..operators.narrow import result_rows, tested
 from ..schema import CLASH, DEPTH_SEMANTICS, Rules
@@ -24,7 +24,8 @@ from ..sources.sinks import clash_dicts
 
 def candidates_of(elements: DataFrame, rules: Rules, method: str = "auto") -> DataFrame:
     """Candidate pairs under the rules' scopes, gap and exclusions. Equal scopes are one set; others are compared by their keys."""
-    a, b = scope(elements, rules.model_a), scope(elements, rules.model_b)
+    boxes = cut(thin(elements))
+    a, b = scope(boxes, rules.model_a), scope(boxes, rules.model_b)
     same = rules.model_a == rules.model_b or same_set(a, b)
     return broad_phase(a, b, rules.gap_m, rules, same, method)
 
