@@ -42,6 +42,19 @@ def sweep_axis(a: DataFrame, b: DataFrame) -> DataFrame:
     return v.withColumn("axis", axis)
 
 
+def centroids(elements: DataFrame) -> DataFrame:
+    """gi, tri_idx, the centroid cx, cy, cz of each triangle and its radius, the largest distance of a corner from there."""
+    t = triangles(elements)
+    rows = t.withColumns({f"c{x}": (F.col(f"t0{x}") + F.col(f"t1{x}") + F.col(f"t2{x}")) / 3 for x in AXES})
+    away = [F.sqrt(sum(((F.col(f"t{k}{x}") - F.col(f"c{x}")) * (F.col(f"t{k}{x}") - F.col(f"c{x}")) for x in AXES), F.lit(0.0))) for k in range(3)]
+    return rows.select("gi", "tri_idx", *[f"c{x}" for x in AXES], F.greatest(*away).alias("radius"))
+
+
+def mesh_radii(elements: DataFrame) -> DataFrame:
+    """gi, n_triangles, the mean of the centroids (cx, cy, cz) and the largest radius: how far a search by centroids has to reach beyond its own bound."""
+    return centroids(elements).groupBy("gi").agg(F.count("*").alias("n_triangles"), *[F.avg(f"c{x}").alias(f"c{x}") for x in AXES], F.max("radius").alias("radius"))
+
+
 def bbox_mm(elements: DataFrame) -> DataFrame:
     """gi and the box's size in whole millimetres by axis."""
     return elements.select("gi", *[F.rint((F.col(f"v{x}1") - F.col(f"v{x}0")) * 1000).cast("long").alias(f"size_{x}_mm") for x in AXES])

@@ -36,6 +36,12 @@ def _has_large(elements: DataFrame) -> bool:
     return (most or 0) > SMALL_PARTS
 
 
+def _spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows over enough partitions: a kernel's work is out of proportion to the bytes, by which adaptive plans would put them together."""
+    context, session = rows.sparkSession.sparkContext, rows.sparkSession.conf
+    return rows.repartition(max(2 * context.defaultParallelism, int(session.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def _parts() -> Column:
     return F.greatest("n_verts", "n_faces")
 
@@ -54,15 +60,14 @@ def tested(candidates: DataFrame, elements: DataFrame, hard: bool | Column, gap:
     distance and the point the middle between the closest places. stages: 1 for vertices only, 3 with vertices to triangles both ways, 4 with
     edges too, which gives the exact distance of surfaces that don't intersect. Earlier stages win ties, then smaller numbers.
     """
+    wanted = hard is not False, gap is not None
     hard, gap = (c if isinstance(c, Column) else F.lit(c) for c in (hard, gap))
     pairs = candidates.select(*PAIR, hard.alias("hard"), gap.cast("double").alias("gap")).where(F.col("hard") | F.col("gap").isNotNull())
-    # the kernel's work is out of proportion to the bytes of pairs, by which adaptive plans would put them together
-    context, session = elements.sparkSession.sparkContext, elements.sparkSession.conf
-    pairs = pairs.repartition(max(2 * context.defaultParallelism, int(session.get("spark.sql.shuffle.partitions"))), "gi_a")
+    pairs = _spread(pairs, "gi_a")
     large = _has_large(elements)
     small = elements.where(_parts() <= SMALL_PARTS) if large else elements
     whole = pairs.join(_meshes(small, "a"), "gi_a").join(_meshes(small, "b"), "gi_b").mapInArrow(pair_kernel(with_point, stages, MAX_POINTS), FOUND)
-    return whole.unionByName(_tested_by_blocks(pairs, elements, with_point, stages)) if large else whole
+    return whole.unionByName(_tested_by_blocks(pairs, elements, with_point, stages, wanted)) if large else whole
 
 
 # meshes by blocks
@@ -125,6 +130,7 @@ def block_pairs(pairs: DataFrame, blocks: DataFrame, left: tuple[str, str], righ
     return met.select(*PAIR, *carry, *[c for c in met.columns if c[:2] in ("a_", "b_")])
 
 
+_BLOCKS = [*PAIR, "a_block", "b_block"]
 _GEOMETRY = [f"{s}_{c}" for s in "ab" for c in ("ids", "xyz")]
 
 
@@ -136,16 +142,18 @@ def triangle_hits(candidates: DataFrame, elements: DataFrame, most: int | None =
 
 def _hits_by_blocks(pairs: DataFrame, blocks: DataFrame, most: int | None) -> DataFrame:
     met = block_pairs(pairs, blocks, ("a", "triangles"), ("b", "triangles"), [])
-    return met.select(*PAIR, *_GEOMETRY).mapInArrow(block_hits_kernel(most), HITS)
+    return _spread(met.select(*PAIR, "a_block", "b_block", *_GEOMETRY), *_BLOCKS).select(*PAIR, *_GEOMETRY).mapInArrow(block_hits_kernel(most), HITS)
 
 
-def _tested_by_blocks(pairs: DataFrame, elements: DataFrame, with_point: bool, stages: int) -> DataFrame:
+def _tested_by_blocks(pairs: DataFrame, elements: DataFrame, with_point: bool, stages: int, wanted: tuple[bool, bool]) -> DataFrame:
     sizes = lambda s: elements.select(F.col("gi").alias(f"gi_{s}"), _parts().alias(f"n_{s}"))
     pairs = pairs.join(sizes("a"), "gi_a").join(sizes("b"), "gi_b").where(F.greatest("n_a", "n_b") > SMALL_PARTS).drop("n_a", "n_b")
     used = pairs.select(F.col("gi_a").alias("gi")).unionByName(pairs.select(F.col("gi_b").alias("gi"))).distinct()
     # used by every step from here on; written once
     blocks = cut(with_powers(mesh_blocks(elements.join(used, "gi", "left_semi"), stages == 4)))
     pairs = cut(with_boxes_of(pairs, elements))
+    if not wanted[0]:
+        return _clearance_columns(_nearest_by_blocks(pairs, blocks, stages))
     hits = _hits_by_blocks(pairs.where("hard").withColumn("reach", F.lit(0.0)), blocks, MAX_POINTS if with_point else 1)
     if with_point:
         hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy(*PAIR).orderBy("tri_a", "tri_b"))).where(F.col("rank") <= MAX_POINTS)
@@ -155,9 +163,14 @@ def _tested_by_blocks(pairs: DataFrame, elements: DataFrame, with_point: bool, s
     struck = cut(struck)
     over = [F.greatest(F.least(F.col(f"af{x}1"), F.col(f"bf{x}1")) - F.greatest(F.col(f"af{x}0"), F.col(f"bf{x}0")), F.lit(0.0)) for x in AXES]
     out = with_boxes_of(struck, elements, MESH_BOX).select(*PAIR, F.lit(True).alias("is_hard"), F.least(*over).alias("d"), "px", "py", "pz")
+    if not wanted[1]:
+        return out
     soft = pairs.where(F.col("gap").isNotNull()).join(struck.select(*PAIR), PAIR, "left_anti")
-    near = _nearest_by_blocks(soft, blocks, stages)
-    return out.unionByName(near.select(*PAIR, F.lit(False).alias("is_hard"), "d", *[F.col(f"m{x}").alias(f"p{x}") for x in AXES]))
+    return out.unionByName(_clearance_columns(_nearest_by_blocks(soft, blocks, stages)))
+
+
+def _clearance_columns(near: DataFrame) -> DataFrame:
+    return near.select(*PAIR, F.lit(False).alias("is_hard"), "d", *[F.col(f"m{x}").alias(f"p{x}") for x in AXES])
 
 
 def _nearest_by_blocks(pairs: DataFrame, blocks: DataFrame, stages: int) -> DataFrame:
@@ -168,7 +181,7 @@ def _nearest_by_blocks(pairs: DataFrame, blocks: DataFrame, stages: int) -> Data
     pairs = cut(pairs.join(bound, PAIR, "left").withColumn("reach", F.least("gap", F.coalesce("known", "gap"))))
     out = None
     for stage, (left, right) in enumerate([(("a", "vertices"), ("b", "vertices")), (("a", "vertices"), ("b", "triangles")), (("b", "vertices"), ("a", "triangles")), (("a", "edges"), ("b", "edges"))][:stages]):
-        met = block_pairs(pairs, blocks, left, right, ["reach"]).select(*PAIR, F.col("reach").alias("bound"), *_GEOMETRY)
+        met = _spread(block_pairs(pairs, blocks, left, right, ["reach"]).select(*_BLOCKS, F.col("reach").alias("bound"), *_GEOMETRY), *_BLOCKS)
         found = met.mapInArrow(block_distance_kernel(stage), NEAR)
         out = found if out is None else out.unionByName(found)
     best = out.groupBy(*PAIR).agg(F.min(F.struct("d", "stage", "v_a", "v_b", "mx", "my", "mz")).alias("best"))

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import closest_kernel, hits_kernel
 from ..operators import broadphase, geometry, narrow
+from ..operators.lineage import cut
 from ..schema import BOX, DEPTH_SEMANTICS, MESH_BOX, Rules
-from ..sources.payload import parse_elements, payload_texts, explode_elements
+from ..sources.payload import explode_elements, parse_elements, payload_texts, unreadable
 from . import scenes
-from .kernel_sql import closest_on_triangle, sql_stages, tri_tri
+from .kernel_sql import closest_between_segments, closest_on_triangle, sql_stages, tri_tri
 from .detect import CAPABILITIES, candidates_of, capabilities, clashes_of, detect_documents, with_identity
 
 GAP = Rules(mode="both", max_gap=10.0)
@@ -254,12 +255,20 @@ def detect_stats(spark, sf_dir):
 _RULE_ROWS = ", ".join(f"('{k}', {str(v).lower()})" for k, v in CAPABILITIES["rules"].items())
 
 
-@_query(f"SELECT {CAPABILITIES['protocolVersion']} AS protocol_version, '{CAPABILITIES['modelScope']}' AS model_scope, {str(CAPABILITIES['overlapVolume']).lower()} AS overlap_volume, rule, honoured FROM (VALUES {_RULE_ROWS}) AS t(rule, honoured)")
+@_query(
+    f"SELECT {CAPABILITIES['protocolVersion']} AS protocol_version, '{CAPABILITIES['modelScope']}' AS model_scope, {str(CAPABILITIES['overlapVolume']).lower()} AS overlap_volume, rule, honoured, "
+    "(SELECT count(DISTINCT vec_id % 40) FROM embeddings WHERE rule = 'mode' OR rule = 'maxGap' OR rule = 'excludeTypePairs' AND vec_id % 40 % 5 = 0 OR rule = 'excludeSelf' AND vec_id % 40 % 8 = 1) AS requests "
+    f"FROM (VALUES {_RULE_ROWS}) AS t(rule, honoured)"
+)
 def capabilities_record(spark, sf_dir):
-    """The advertised protocol, one row for each rule; it depends on no table."""
+    """The advertised protocol, one row for each rule, with the number of payloads (see payload_rule_sets) that set it."""
     record = capabilities(spark)
     rules = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(f"rules.{k}").alias("honoured")) for k in CAPABILITIES["rules"]]))
-    return record.select(F.col("protocolVersion").alias("protocol_version"), F.col("modelScope").alias("model_scope"), F.col("overlapVolume").alias("overlap_volume"), rules.alias("r")).select("protocol_version", "model_scope", "overlap_volume", "r.*")
+    record = record.select(F.col("protocolVersion").alias("protocol_version"), F.col("modelScope").alias("model_scope"), F.col("overlapVolume").alias("overlap_volume"), rules.alias("r")).select("protocol_version", "model_scope", "overlap_volume", "r.*")
+    sets = _payloads(spark, sf_dir, "gi % 40", _FORTY).select("rules.*")
+    named = sets.select(F.explode(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in sets.columns])).alias("rule")).where("rule IS NOT NULL")
+    used = named.groupBy("rule").agg(F.count("*").alias("requests"))
+    return record.join(used, "rule", "left").withColumn("requests", F.coalesce("requests", F.lit(0)).cast("long"))
 
 
 def _wire_of(elements: DataFrame) -> DataFrame:
@@ -286,6 +295,47 @@ def payload_json_roundtrip(spark, sf_dir):
     return back.select("document", "element_id", "model_id", "n_verts", "n_faces", *BOX)
 
 
+#: Forty rule sets: modes in turn, gaps of their own, scopes and exclusions now and then; k is the document's number.
+_FORTY = (
+    "named_struct('mode', element_at(array('hard', 'soft', 'both'), cast(k % 3 + 1 as int)), 'maxGap', cast(200 + 20 * k as double), 'modelA', if(k % 4 = 1, 'm0', null), 'modelB', if(k % 4 = 1, 'm1', null), "
+    "'excludeSelf', if(k % 8 = 1, true, null), 'excludeTypePairs', if(k % 5 = 0, array('T0:T1', 'T3:T2', 'T4:T4'), null))"
+)
+_FORTY_SQL = (
+    "r AS (SELECT k, k % 3 <> 1 AS hard, CASE WHEN k % 3 > 0 THEN (200 + 20 * k) / 1000e0 ELSE 0e0 END AS gap, k % 4 = 1 AS split, k % 5 = 0 AS excludes FROM range(40) AS t(k)), "
+    "cand AS (SELECT a.gi AS gi_a, b.gi AS gi_b, k, hard, gap FROM box a JOIN box b ON a.gi % 40 = b.gi % 40 JOIN r ON k = a.gi % 40 WHERE "
+    + " AND ".join(f"a.v{x}0 - gap <= b.v{x}1 AND b.v{x}0 <= a.v{x}1 + gap" for x in "xyz")
+    + " AND CASE WHEN split THEN a.model_id = 'm0' AND b.model_id = 'm1' ELSE a.gi < b.gi END"
+    " AND NOT (excludes AND concat(least(a.ifc_type, b.ifc_type), ':', greatest(a.ifc_type, b.ifc_type)) IN ('T0:T1', 'T2:T3', 'T4:T4')))"
+)
+
+
+@_query(_with(
+    "SELECT concat('d', k) AS document, CAST(gi_a AS VARCHAR) AS element_a, CAST(gi_b AS VARCHAR) AS element_b, distance, type FROM (SELECT gi_a, gi_b, distance, 'hard' AS type FROM hard UNION ALL"
+    " SELECT gi_a, gi_b, CAST(round_even(min(d) * 1000, 0) AS BIGINT) AS distance, 'clearance' AS type FROM (SELECT * FROM nn UNION ALL SELECT * FROM face_a UNION ALL SELECT * FROM face_b) AS every"
+    " JOIN cand USING (gi_a, gi_b) GROUP BY gi_a, gi_b, gap HAVING min(d) <= gap) AS rows JOIN cand USING (gi_a, gi_b)",
+    "boxes", _FORTY_SQL, _hits("SELECT * FROM cand WHERE hard"), _HARD,
+    *[f("SELECT * FROM (SELECT * FROM cand WHERE gap > 0) AS soft ANTI JOIN hard USING (gi_a, gi_b)", *more) for f, *more in ((_vertex_sql, 0.0), (_face_sql, "a", "b"), (_face_sql, "b", "a"))],
+))
+def payload_rule_sets(spark, sf_dir):
+    """Forty JSON payloads with forty different rule sets, in one plan."""
+    found = detect_documents(_payloads(spark, sf_dir, "gi % 40", _FORTY), with_point=False)
+    return found.select("document", F.col("elementA").alias("element_a"), F.col("elementB").alias("element_b"), "distance", "type")
+
+
+@_query(_with(
+    "SELECT concat('d', k) AS document, CASE WHEN k % 8 = 5 THEN 'not a JSON payload' WHEN k % 8 = 6 THEN 'repeated document key' END AS fault,"
+    " CASE WHEN k % 8 NOT IN (5, 6) THEN n END AS elements FROM (SELECT gi % 40 AS k, count(*) AS n FROM el GROUP BY 1) AS documents",
+))
+def payload_unreadable(spark, sf_dir):
+    """Forty JSON payloads of which some are cut off and some come twice: what is read, and what is put aside, with the reason."""
+    wire = _wire_of(scenes.elements(spark, sf_dir)).withColumn("k", F.expr("gi % 40"))
+    texts = wire.groupBy("k").agg(F.to_json(F.struct(F.collect_list("e").alias("elements"))).alias("json"))
+    texts = texts.withColumn("json", F.expr("if(k % 8 = 5, substring(json, 1, length(json) - 40), json)"))
+    texts = texts.unionByName(texts.where("k % 8 = 6")).select(F.concat(F.lit("d"), F.col("k")).alias("document"), "json")
+    kept = explode_elements(payload_texts(texts, strict=False)).groupBy("document").agg(F.lit(None).cast("string").alias("fault"), F.count("*").alias("elements"))
+    return kept.unionByName(unreadable(texts).select("document", "fault", F.lit(None).cast("long").alias("elements")))
+
+
 _THREE = "CASE k WHEN 0 THEN named_struct('mode', 'hard', 'maxGap', 0D, 'modelA', 'all', 'modelB', 'all') WHEN 1 THEN named_struct('mode', 'soft', 'maxGap', 20D, 'modelA', 'all', 'modelB', 'all') ELSE named_struct('mode', 'hard', 'maxGap', 0D, 'modelA', 'm0', 'modelB', 'm1') END"
 _IN_DOCUMENT = lambda pairs, k: f"SELECT * FROM ({pairs}) AS d{k} WHERE gi_a % 3 = {k} AND gi_b % 3 = {k}"
 _HARD_PAIRS = f"{_IN_DOCUMENT(_pairs_sql(), 0)} UNION ALL {_IN_DOCUMENT(_pairs_sql(CROSS, False), 2)}"
@@ -323,3 +373,46 @@ def clearance_points(spark, sf_dir):
     e = scenes.elements(spark, sf_dir)
     found = narrow.clearances(candidates_of(e, SOFT), e, SOFT.gap_m, vertex_only=True)
     return found.select("gi_a", "gi_b", *[F.round(F.col("point")[k], 3).alias(f"p{x}") for k, x in enumerate(XYZ)])
+
+
+_EDGES = (
+    "edge AS (SELECT e.gi, " + ", ".join(f"{p}.{x} AS s{k}{x}" for k, p in enumerate("pq") for x in XYZ) + " FROM (SELECT DISTINCT gi, least(i, j) AS i, greatest(i, j) AS j FROM el,"
+    " (SELECT i0 AS i, i1 AS j FROM face UNION SELECT i1, i2 FROM face UNION SELECT i0, i2 FROM face) AS sides) AS e JOIN v p ON p.gi = e.gi AND p.v_idx = i JOIN v q ON q.gi = e.gi AND q.v_idx = j)"
+)
+
+
+def _edge_sql(pairs: str) -> str:
+    source = f"SELECT gi_a, gi_b, {', '.join(f'{e}.s{k}{x} AS {s}{k}{x}' for s, e in (('s', 'a'), ('t', 'b')) for k in range(2) for x in XYZ)} FROM ({pairs}) AS pairs JOIN edge a ON a.gi = gi_a JOIN edge b ON b.gi = gi_b"
+    return f"edges AS (SELECT gi_a, gi_b, dist AS d FROM ({sql_stages(source, closest_between_segments('s', 't'))}) AS found)"
+
+
+@_query(_with("SELECT gi_a, gi_b, distance FROM near", "boxes", *_soft_parts(SOFT, _pairs_sql(SOFT))[:3], _EDGES, _edge_sql(_pairs_sql(SOFT)), _clear("near", ["nn", "face_a", "face_b", "edges"], SOFT.gap_m)))
+def clearance_exact(spark, sf_dir):
+    """Clearances with edges held against edges too."""
+    e = scenes.elements(spark, sf_dir)
+    return narrow.clearance_rows(narrow.clearances(candidates_of(e, SOFT), e, SOFT.gap_m, exact=True)).select("gi_a", "gi_b", "distance")
+
+
+@_query(_with("SELECT gi, count(*) AS n_triangles, round(max(radius), 6) AS radius, " + ", ".join(f"round(avg(c{x}), 6) AS c{x}" for x in XYZ) + " FROM (SELECT *, greatest(" + ", ".join(
+    "sqrt(" + " + ".join(f"(t{k}{x} - c{x}) * (t{k}{x} - c{x})" for x in XYZ) + ")" for k in range(3)) + ") AS radius FROM (SELECT *, " + ", ".join(f"(t0{x} + t1{x} + t2{x}) / 3 AS c{x}" for x in XYZ) + " FROM tri) AS centred) AS measured GROUP BY gi", "lattice"))
+def triangle_radii(spark, sf_dir):
+    """Of each mesh the mean of its triangles' centroids, and the largest distance of a corner from its triangle's centroid."""
+    found = geometry.mesh_radii(scenes.elements(spark, sf_dir, "lattice"))
+    return found.select("gi", "n_triangles", *[F.round(c, 6).alias(c) for c in ("radius", "cx", "cy", "cz")])
+
+
+def _large_pairs() -> str:
+    return "SELECT a.gi AS gi_a, b.gi AS gi_b FROM box a JOIN box b ON a.gi < b.gi AND " + " AND ".join(f"a.v{x}0 <= b.v{x}1 AND b.v{x}0 <= a.v{x}1" for x in XYZ)
+
+
+@_query("WITH " + ", ".join([scenes.sql_large(), _hits(_large_pairs()), _HARD]) + (
+    " SELECT gi_a, gi_b, n AS hits, distance, px, py, pz FROM hard JOIN (SELECT gi_a, gi_b, count(*) AS n FROM hits GROUP BY ALL) AS counted USING (gi_a, gi_b) JOIN (SELECT gi_a, gi_b, "
+    + ", ".join(f"round(avg(p{x}), 3) AS p{x}" for x in XYZ) + " FROM (SELECT *, row_number() OVER (PARTITION BY gi_a, gi_b ORDER BY tri_a, tri_b) AS n FROM hits) AS ranked WHERE n <= 24 GROUP BY gi_a, gi_b) AS placed USING (gi_a, gi_b)"
+))
+def large_meshes(spark, sf_dir):
+    """Four meshes of all rows' triangles, long and short ones mixed: all hits, depth, and the mean of the first 24."""
+    e = cut(scenes.large_meshes(spark, sf_dir))
+    pairs = candidates_of(e, Rules())
+    all_hits = narrow.triangle_hits(pairs, e).groupBy("gi_a", "gi_b").agg(F.count("*").alias("hits"))
+    rows = narrow.hard_rows(narrow.hard_clashes(pairs, e)).join(all_hits, ["gi_a", "gi_b"])
+    return rows.select("gi_a", "gi_b", "hits", "distance", *[F.round(F.col("point")[k], 3).alias(f"p{x}") for k, x in enumerate(XYZ)])

@@ -66,6 +66,33 @@ def sql_scene(scene: str = "boxes") -> str:
     )
 
 
+#: Large meshes: seven triangles of each row's numbers, in the mesh that the row's id says; every sixteenth row's are 32 times as large.
+LARGE_MESHES, LARGE_TRIANGLES = 4, 7
+
+
+def large_meshes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements that are meshes of all rows' triangles, which share no corners, in the order of ids; their sizes grow with the table."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    scale = F.when(F.col("vec_id") % 16 == 0, 4.0).otherwise(0.125)
+    point = [F.struct(*[(F.col("embedding")[3 * k + j].cast("double") * scale).alias(x) for j, x in enumerate("xyz")]) for k in range(3 * LARGE_TRIANGLES)]
+    rows = e.groupBy((F.col("vec_id") % LARGE_MESHES).alias("gi")).agg(F.sort_array(F.collect_list(F.struct("vec_id", F.array(*point).alias("at")))).alias("rows"))
+    rows = rows.withColumn("verts", F.flatten(F.col("rows.at")))
+    faces = F.expr("transform(sequence(0, size(verts) DIV 3 - 1), k -> named_struct('i0', 3 * k, 'i1', 3 * k + 1, 'i2', 3 * k + 2))")
+    named = {"element_id": F.col("gi").cast("string"), "model_id": F.lit("m0"), "ifc_type": F.lit("T0"), "name": F.lit(""), "storey": F.lit(""), "discipline": F.lit("other")}
+    return with_boxes(rows.select("gi", *[c.alias(n) for n, c in named.items()], "verts", faces.alias("faces")))
+
+
+def sql_large() -> str:
+    """The same as common table expressions: tri and box."""
+    numbers = ", ".join(f"CAST(embedding[{9} * j + {3 * k + a + 1}] AS DOUBLE) * CASE WHEN vec_id % 16 = 0 THEN 4e0 ELSE 0.125e0 END AS t{k}{x}" for k in range(3) for a, x in enumerate("xyz"))
+    ends = ", ".join(f"{f}(t0{x}, t1{x}, t2{x}) AS t{x}{e}" for x in "xyz" for e, f in (("0", "least"), ("1", "greatest")))
+    sides = ", ".join(f"{f}(t{x}{e}) AS v{x}{e}" for x in "xyz" for e, f in (("0", "min"), ("1", "max")))
+    return (
+        f"flat AS (SELECT vec_id % {LARGE_MESHES} AS gi, CAST(row_number() OVER (PARTITION BY vec_id % {LARGE_MESHES} ORDER BY vec_id, j) - 1 AS INTEGER) AS tri_idx, {numbers} FROM embeddings, range({LARGE_TRIANGLES}) AS t(j)), "
+        f"tri AS (SELECT *, {ends} FROM flat), box AS (SELECT gi, {sides} FROM tri GROUP BY gi)"
+    )
+
+
 SOUP_REACH = 20
 _CORNERS = [f"{s}{k}{x}" for s in "ab" for k in range(3) for x in "xyz"]
 
