@@ -118,13 +118,15 @@ def url_at(text: str, mark: int, least: int) -> tuple[int, int] | None:
     start = mark
     while start > least and text[start - 1] in _ALPHA:
         start -= 1
+    # scheme and host first: a mark without them mustn't scan on to the next stop, as many marks may come before it
+    if start == mark or "." not in text[mark + 3 : _run(text, mark + 3, _LABEL | frozenset("."))].strip("."):
+        return None
     end, n = mark + 3, len(text)
     while end < n and text[end] not in _URL_STOP:
         end += 1
     while end > mark + 3 and text[end - 1] in ".,;:!?)]":
         end -= 1
-    host = text[mark + 3 : _run(text, mark + 3, _LABEL | frozenset(".")) if end > mark + 3 else mark + 3]
-    return (start, end) if start < mark and "." in host.strip(".") else None
+    return start, end
 
 
 def account_after(text: str, at: int) -> tuple[int, int] | None:

@@ -687,3 +687,14 @@ def test_short_items_match_equal_documents_only(spark):
     docs = frame(spark, [(1, "Two words"), (2, "two words"), (3, "two words more of them here and there"), (4, "two"), (5, None)])
     got = decontaminate.leaks(docs, spark.createDataFrame([(7, "two words")], "item_id long, text string"))
     assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(1, 7), (2, 7)]
+
+
+@pytest.mark.parametrize("text", ["a://" * 50_000, "9://a.b" * 30_000, "http://a.b/" + "a://" * 50_000, "x@" * 50_000, "1 " * 50_000, "+1" * 50_000], ids=["schemes", "no schemes", "one url", "signs", "digits", "plus"])
+def test_personal_data_in_linear_time(text):
+    import time
+
+    anchors = pii.automaton()
+    began = time.process_time()
+    whole = pii.find(text, anchors)
+    assert time.process_time() - began < 1.5
+    assert len(whole) <= len(text)
