@@ -14,6 +14,8 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -165,11 +167,80 @@ def _grid_join(left: DataFrame, right: DataFrame, rule: Column, seen: Census, ou
     return met.unionByName(left.where(~home_a).join(right.where(home_b), on).where(rule).select(*out))
 
 
+# sweep along one axis
+
+
+#: About so many boxes of both sides come to a range of the axis, and so many pairs are tested at once.
+RANGE_BOXES, MOST_RANGES, SWEEP_PAIRS = 1 << 14, 2048, 1 << 20
+
+
+def _sweep_kernel(batches):
+    """For mapInArrow over boxes of ranges (slab, side, row, low, high of the axis; slab_low), sorted by slab and low: pairs of rows of both sides that meet on the axis.
+
+    A running set of the boxes that may still be met is carried from batch to batch; a pair is told in the range in which its later start lies.
+    """
+    open_rows: dict[str, np.ndarray] | None = None
+    names = ["slab", "side", "row", "low", "high", "slab_low"]
+    for batch in batches:
+        new = {c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names}
+        for slab in np.unique(new["slab"]):
+            mine = new["slab"] == slab
+            fresh = {c: v[mine] for c, v in new.items()}
+            kept = {c: v[:0] for c, v in fresh.items()} if open_rows is None or not len(open_rows["slab"]) or open_rows["slab"][0] != slab else open_rows
+            rows = {c: np.concatenate((kept[c], fresh[c])) for c in names}
+            first_new = len(kept["slab"])
+            # every new box against those before it that end no earlier than it starts: both are in order of their starts
+            for begin in range(first_new, len(rows["low"]), SWEEP_PAIRS >> 8):
+                later = np.arange(begin, min(begin + (SWEEP_PAIRS >> 8), len(rows["low"])))
+                active = np.flatnonzero(rows["high"][: later[-1] + 1] >= rows["low"][later[0]])
+                for some in np.array_split(later, max(1, len(later) * len(active) // SWEEP_PAIRS)):
+                    i, j = np.meshgrid(active, some, indexing="ij")
+                    meet = (i < j) & (rows["high"][i] >= rows["low"][j]) & (rows["side"][i] != rows["side"][j]) & (rows["low"][j] >= rows["slab_low"][j])
+                    i, j = i[meet], j[meet]
+                    a, b = np.where(rows["side"][i] == 0, i, j), np.where(rows["side"][i] == 0, j, i)
+                    yield pa.RecordBatch.from_arrays([pa.array(rows["row"][a]), pa.array(rows["row"][b])], names=["row_a", "row_b"])
+            stay = rows["high"] >= rows["low"][-1]
+            open_rows = {c: v[stay] for c, v in rows.items()}
+
+
+def _sweep_join(left: DataFrame, right: DataFrame, rule: Column, out: list[str], documents: bool) -> DataFrame:
+    """The join by a sweep along the axis on which centres vary most: boxes go to the ranges that they reach into, and meet there in order of their starts.
+
+    Where boxes are flat in the other axes, or long in them, cells are many; ranges are as many as boxes need.
+    """
+    sides = {"a": left, "b": right}
+    centre = lambda s: sides[s].select(*[((F.col(f"v{x}0_{s}") + F.col(f"v{x}1_{s}")) / 2).alias(x) for x in AXES])
+    spread = centre("a").unionByName(centre("b")).agg(*[F.var_pop(x).alias(x) for x in AXES], F.count("*").alias("n")).first()
+    if not spread["n"]:
+        return left.join(right, F.lit(False)).select(*out)
+    axis = max(AXES, key=lambda x: spread[x])
+    low = lambda s: F.col(f"v{axis}0_{s}")
+    parts = min(max(spread["n"] // RANGE_BOXES, 1), MOST_RANGES)
+    ends = [k / parts for k in range(1, parts)]
+    starts = left.select(low("a").alias("at")).unionByName(right.select(low("b").alias("at")))
+    cuts = sorted(set(starts.agg(F.percentile_approx("at", ends, 10 * parts)).first()[0])) if ends else []
+    bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
+    # the number of cuts at or below a place is its range
+    slab = lambda at: F.size(F.filter(bounds, lambda c: c <= at))
+    rows = None
+    for number, s in enumerate("ab"):
+        r = sides[s].select(F.col(f"gi_{s}").alias("row"), low(s).alias("low"), F.col(f"v{axis}1_{s}").alias("high"), F.lit(number).alias("side"))
+        r = r.withColumn("slab", F.explode(F.sequence(slab(F.col("low")), slab(F.greatest("high", "low")))))
+        rows = r if rows is None else rows.unionByName(r)
+    rows = rows.withColumn("slab_low", F.when(F.col("slab") > 0, F.get(bounds, F.col("slab") - 1)).otherwise(F.lit(float("-inf"))))
+    ordered = rows.repartition(parts, "slab").sortWithinPartitions("slab", "low", "side", "row")
+    met = ordered.select("slab", "side", "row", "low", "high", "slab_low").mapInArrow(_sweep_kernel, "row_a long, row_b long")
+    pairs = met.join(left, F.col("row_a") == F.col("gi_a")).join(right, F.col("row_b") == F.col("gi_b"))
+    return pairs.where(rule & (F.col("document_a") == F.col("document_b")) if documents else rule).select(*out)
+
+
 def _join(left: DataFrame, right: DataFrame, rule: Column, method: str, out: list[str], documents: bool, cell: float | None = None) -> DataFrame:
     if method == "theta":
         if documents:
             rule = rule & (F.col("document_a") == F.col("document_b"))
         return left.join(F.broadcast(right), rule).select(*out)
+    if method == "sweep":
+        return _sweep_join(left, right, rule, out, documents)
     seen = census(left, right)
     if method == "auto" and seen.b <= BROADCAST_BOXES and seen.a * max(seen.b, 1) <= BROADCAST_PAIRS:
         return _join(left, right, rule, "theta", out, documents)
@@ -188,7 +259,7 @@ def grid_join(a: DataFrame, b: DataFrame, gap_m: float, rules: Rules, same: bool
 
 def broad_phase(a: DataFrame, b: DataFrame, gap_m: float = 0.0, rules: Rules | None = None, same: bool | None = None, method: str = "auto") -> DataFrame:
     """Candidate pairs (gi_a, gi_b). One set against itself gives each pair once, the earlier element first, and no self-pairs;
-    two sets give every ordered pair. method: auto, grid or theta."""
+    two sets give every ordered pair. method: auto, grid, theta or sweep."""
     rules = rules or Rules()
     same = same_set(a, b) if same is None else same
     return _join(*_sides(a, b, gap_m, []), _pair_rule(rules, same), method, ["gi_a", "gi_b"], "document" in a.columns)

@@ -68,7 +68,7 @@ def _broad(rules: Rules, method: str = "auto"):
 for _name, _rules, _same, _method in (
     ("broad_all", Rules(), True, "auto"), ("broad_gap", GAP, True, "auto"), ("broad_cross_models", CROSS, False, "auto"), ("broad_all_vs_one", ONE, False, "auto"),
     ("broad_exclude_types", TYPES, True, "auto"), ("broad_exclude_self", ONE_SELF, False, "auto"), ("broad_grid", Rules(), True, "grid"), ("broad_grid_gap", GAP, True, "grid"),
-    ("broad_grid_cross_models", CROSS, False, "grid"), ("broad_theta", Rules(), True, "theta"),
+    ("broad_grid_cross_models", CROSS, False, "grid"), ("broad_theta", Rules(), True, "theta"), ("broad_sweep", GAP, True, "sweep"), ("broad_sweep_all_vs_one", ONE, False, "sweep"),
 ):
     QUERIES[_name] = _broad(_rules, _method)
     ORACLE_SQL[_name] = _with(_pairs_sql(_rules, _same))

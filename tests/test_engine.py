@@ -177,6 +177,28 @@ def test_grid_equals_theta(spark):
     assert sorted(map(tuple, broadphase.grid_join(a, a, 0.1, Rules(), False).collect())) == want
 
 
+def test_sweep_equals_theta(spark, monkeypatch):
+    """Flat boxes, long ones among them, in one range and in many; small batches carry the boxes that are still open."""
+    draw = np.random.default_rng(15)
+    e = [box(i, tuple(draw.uniform(-3, 3, 3)), float(draw.choice([0.05, 0.3, 4.0], p=[0.6, 0.35, 0.05]))) for i in range(120)]
+    for b in e[::2]:
+        b["vertices"][2::3] = [0.0] * 8
+    e += [dict(b, id=f"again {b['id']}") for b in e[:10]]
+    a = parse_elements(wire_frame(spark, e)).cache()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        for ranges in (1 << 14, 20):
+            monkeypatch.setattr(broadphase, "RANGE_BOXES", ranges)
+            for gap, rules, same in ((0.0, Rules(), True), (0.2, Rules(), False), (0.1, Rules(exclude_self=True), False)):
+                want = sorted(map(tuple, broadphase.theta_join(a, a, gap, rules, same).collect()))
+                got = sorted(map(tuple, broadphase.broad_phase(a, a, gap, rules, same, "sweep").collect()))
+                assert got == want and len(set(got)) == len(got)
+        none = a.where("gi < 0")
+        assert broadphase.broad_phase(none, none, 0.0, Rules(), True, "sweep").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_swapping_sides_keeps_hits_and_distances(spark):
     e = [box(1, (0, 0, 0), 1), box(2, (1.2, 0.3, 0.1), 1), box(3, (3.3, 0, 0), 1)]
     back = [e[2], e[1], e[0]]
@@ -212,6 +234,38 @@ def test_stream_increments(spark, tmp_path):
     assert sorted(map(tuple, got.select("elementA", "elementB", "type", F.col("distance")).collect())) == want
 
 
+def test_store_by_place_reads_only_near_folders(spark, tmp_path):
+    """Two new elements far apart: of a store along the way between them only the folders near them are read."""
+    e = [box(i, (100.0 * i, 0, 0), 0.4) for i in range(40)] + [box("wide", (2000, 0, 0), 300.0)]
+    stored = increments.with_place(parse_elements(wire_frame(spark, e)))
+    stored.write.partitionBy("place").parquet(str(tmp_path / "store"))
+    known = spark.read.parquet(str(tmp_path / "store"))
+    new = parse_elements(wire_frame(spark, [box("p", (0.3, 0, 0), 0.4), box("q", (3900.3, 0, 0), 0.4)]))
+    near = increments.near_known(new, known, 0.05)
+    # the one before the last lies in the next place
+    assert sorted(r.element_id for r in near.collect()) == ["0", "38", "39"]
+    files = near.select(F.input_file_name().alias("f")).distinct().count()
+    assert files <= 3 and "PartitionFilters: [(place" in near._jdf.queryExecution().toString()
+    beside = parse_elements(wire_frame(spark, [box("r", (2301.0, 0, 0), 1.5)]))
+    assert {r.element_id for r in increments.near_known(beside, known, 0.05).collect()} == {"23", "wide"}
+
+
+def test_stream_replaces_changed_elements(spark, tmp_path):
+    """An element that comes again, moved, is matched at its new place only, and its older clashes are no longer current."""
+    first = [box("a", (0, 0, 0), 0.5), box("b", (0.8, 0, 0), 0.5), box("c", (200, 0, 0), 0.5)]
+    second = [box("b", (200.8, 0, 0), 0.5), box("d", (0.8, 0, 0), 0.4)]
+    args = [str(tmp_path / n) for n in ("elements", "clashes", "checkpoint")]
+    src = str(tmp_path / "src")
+    for k, part in enumerate((first, second)):
+        wire = wire_frame(spark, part).withColumn("gi", F.col("gi") + 10 * k)
+        wire.coalesce(1).write.mode("append").parquet(src)
+        increments.start(spark, spark.readStream.schema(wire.schema).parquet(src), *args, Rules()).awaitTermination(120)
+    clashes = spark.read.parquet(args[1])
+    pairs = lambda df: sorted(tuple(sorted((r.elementA, r.elementB))) for r in df.collect())
+    assert pairs(clashes) == [("a", "b"), ("a", "d"), ("b", "c")]
+    assert pairs(increments.current_clashes(clashes, spark.read.parquet(args[0] + "-keys"))) == [("a", "d"), ("b", "c")]
+
+
 def test_soft_mode_without_candidates(spark):
     a = parse_elements(wire_frame(spark, [box(1, (0, 0, 0), 1)]))
     assert clashes_of(candidates_of(a, Rules(mode="soft", max_gap=5)), a, Rules(mode="soft", max_gap=5)).count() == 0
