@@ -52,21 +52,25 @@ def _meshes(elements: DataFrame, s: str) -> DataFrame:
     return elements.select(F.col("gi").alias(f"gi_{s}"), flat("verts", AXES, "float").alias(f"{s}_xyz"), flat("faces", ("i0", "i1", "i2"), "int").alias(f"{s}_faces"))
 
 
-def tested(candidates: DataFrame, elements: DataFrame, hard: bool | Column, gap: float | Column | None, with_point: bool = True, stages: int = 3) -> DataFrame:
+def tested(candidates: DataFrame, elements: DataFrame, hard: bool | Column, gap: float | Column | None, with_point: bool = True, stages: int = 3, buckets: int | None = None) -> DataFrame:
     """The clashes of candidate pairs: gi_a, gi_b, is_hard, d (metres), px, py, pz.
 
     hard: whether a pair is tested for intersection; d is then the depth, the least overlap of the mesh boxes, and the point the mean of the
     first 24 hits by triangle numbers (null unless with_point). gap: pairs that don't intersect, or aren't tested for it, and come so near; d is the
     distance and the point the middle between the closest places. stages: 1 for vertices only, 3 with vertices to triangles both ways, 4 with
-    edges too, which gives the exact distance of surfaces that don't intersect. Earlier stages win ties, then smaller numbers.
+    edges too, which gives the exact distance of surfaces that don't intersect. Earlier stages win ties, then smaller numbers. buckets: how many
+    the elements are stored in by gi (see sources.store); pairs are then dealt likewise, and meshes aren't shuffled.
     """
     wanted = hard is not False, gap is not None
     hard, gap = (c if isinstance(c, Column) else F.lit(c) for c in (hard, gap))
     pairs = candidates.select(*PAIR, hard.alias("hard"), gap.cast("double").alias("gap")).where(F.col("hard") | F.col("gap").isNotNull())
-    pairs = _spread(pairs, "gi_a")
+    pairs = pairs.repartition(buckets, "gi_a") if buckets else _spread(pairs, "gi_a")
     large = _has_large(elements)
     small = elements.where(_parts() <= SMALL_PARTS) if large else elements
-    whole = pairs.join(_meshes(small, "a"), "gi_a").join(_meshes(small, "b"), "gi_b").mapInArrow(pair_kernel(with_point, stages, MAX_POINTS), FOUND)
+    whole = pairs.join(_meshes(small, "a"), "gi_a")
+    # a row of the first join has one mesh already; the second one's comes to it, or it goes to the buckets
+    whole = (whole.repartition(buckets, "gi_b") if buckets else whole).join(_meshes(small, "b"), "gi_b")
+    whole = whole.select(*PAIR, "hard", "gap", *[f"{s}_{c}" for s in "ab" for c in ("xyz", "faces")]).mapInArrow(pair_kernel(with_point, stages, MAX_POINTS), FOUND)
     return whole.unionByName(_tested_by_blocks(pairs, elements, with_point, stages, wanted)) if large else whole
 
 

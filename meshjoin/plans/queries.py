@@ -247,7 +247,7 @@ ORACLE_SQL["detect_both"] = _with(
 @_query(_with("SELECT (SELECT count(*) FROM el) AS element_count, (SELECT count(*) FROM cand) AS candidate_pairs, (SELECT count(*) FROM hard) + (SELECT count(*) FROM near) AS clash_count", "boxes", *_BOTH))
 def detect_stats(spark, sf_dir):
     e = scenes.elements(spark, sf_dir)
-    cand = candidates_of(e, BOTH).persist()
+    cand = cut(candidates_of(e, BOTH))  # counted, and read by the narrow phase
     counts = [df.agg(F.count("*").alias(n)) for df, n in ((e, "element_count"), (cand, "candidate_pairs"), (clashes_of(cand, e, BOTH, with_point=False), "clash_count"))]
     return counts[0].crossJoin(counts[1]).crossJoin(counts[2])  # one row each
 

@@ -460,6 +460,30 @@ def test_crossing_bars_have_their_true_distance(spark):
     assert narrow.clearances(candidates, elements, rules.gap_m).count() == 0 or narrow.clearances(candidates, elements, rules.gap_m).first().d > true + 0.01
 
 
+def test_stored_meshes_are_not_shuffled(spark, tmp_path):
+    """With elements in buckets only pairs, and rows of the first join, go through an exchange."""
+    from meshjoin.sources.store import store
+
+    draw = np.random.default_rng(8)
+    e = parse_elements(wire_frame(spark, [box(i, tuple(draw.uniform(0, 4, 3)), 0.3) for i in range(60)])).cache()
+    candidates = candidates_of(e, Rules())
+    want = sorted(map(tuple, narrow.tested(candidates, e, True, 0.1).collect()))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS stored LOCATION '{tmp_path / 'stored'}'")
+    try:
+        stored = store(e, "stored.elements", 4)
+        found = narrow.tested(candidates, stored, True, 0.1, buckets=4)
+        assert sorted(map(tuple, found.collect())) == want and want
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        # the exchanges: pairs to the buckets of gi_a, rows of the first join to those of gi_b
+        exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert plan.count("Bucketed: true") == 2 and [x.split("hashpartitioning(")[1].split("#")[0] for x in exchanges] == ["gi_b", "gi_a"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("DROP DATABASE stored CASCADE")
+
+
 # rules as data
 
 
