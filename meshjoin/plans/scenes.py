@@ -66,15 +66,19 @@ def sql_scene(scene: str = "boxes") -> str:
     )
 
 
-#: Large meshes: seven triangles of each row's numbers, in the mesh that the row's id says; every sixteenth row's are 32 times as large.
+#: Large meshes: seven triangles of each row's numbers, in the mesh that the row's id says; every sixteenth row's are 32 times as large. Four rows in a
+#: sequence, one of each mesh, lie at one place of a lattice eight metres wide, so that hits grow with the table and not with its square.
 LARGE_MESHES, LARGE_TRIANGLES = 4, 7
+_LARGE_AT = {"x": "8e0 * (({row} // 4) % 64)", "y": "8e0 * (({row} // 256) % 64)", "z": "8e0 * ({row} // 16384)"}
 
 
 def large_meshes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements that are meshes of all rows' triangles, which share no corners, in the order of ids; their sizes grow with the table."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     scale = F.when(F.col("vec_id") % 16 == 0, 4.0).otherwise(0.125)
-    point = [F.struct(*[(F.col("embedding")[3 * k + j].cast("double") * scale).alias(x) for j, x in enumerate("xyz")]) for k in range(3 * LARGE_TRIANGLES)]
+    at = {x: F.expr(text.format(row="vec_id").replace("//", "DIV")) for x, text in _LARGE_AT.items()}
+    place = lambda k, j, x: (F.col("embedding")[3 * k + j].cast("double") * scale + at[x]).cast("float").cast("double").alias(x)
+    point = [F.struct(*[place(k, j, x) for j, x in enumerate("xyz")]) for k in range(3 * LARGE_TRIANGLES)]
     rows = e.groupBy((F.col("vec_id") % LARGE_MESHES).alias("gi")).agg(F.sort_array(F.collect_list(F.struct("vec_id", F.array(*point).alias("at")))).alias("rows"))
     rows = rows.withColumn("verts", F.flatten(F.col("rows.at")))
     faces = F.expr("transform(sequence(0, size(verts) DIV 3 - 1), k -> named_struct('i0', 3 * k, 'i1', 3 * k + 1, 'i2', 3 * k + 2))")
@@ -84,7 +88,8 @@ def large_meshes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sql_large() -> str:
     """The same as common table expressions: tri and box."""
-    numbers = ", ".join(f"CAST(embedding[{9} * j + {3 * k + a + 1}] AS DOUBLE) * CASE WHEN vec_id % 16 = 0 THEN 4e0 ELSE 0.125e0 END AS t{k}{x}" for k in range(3) for a, x in enumerate("xyz"))
+    size = "CASE WHEN vec_id % 16 = 0 THEN 4e0 ELSE 0.125e0 END"
+    numbers = ", ".join(f"CAST(CAST(CAST(embedding[{9} * j + {3 * k + a + 1}] AS DOUBLE) * {size} + {_LARGE_AT[x].format(row='vec_id')} AS FLOAT) AS DOUBLE) AS t{k}{x}" for k in range(3) for a, x in enumerate("xyz"))
     ends = ", ".join(f"{f}(t0{x}, t1{x}, t2{x}) AS t{x}{e}" for x in "xyz" for e, f in (("0", "least"), ("1", "greatest")))
     sides = ", ".join(f"{f}(t{x}{e}) AS v{x}{e}" for x in "xyz" for e, f in (("0", "min"), ("1", "max")))
     return (
