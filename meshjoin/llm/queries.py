@@ -144,6 +144,20 @@ SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS ke
   CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM told
 """
 
+#: All windows of 100 bytes, those that start earlier elsewhere, and what they leave. Ids are taken to be each row's own.
+_REPEATS = r"""
+WITH
+b AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS t, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT r, doc_id, s, md5(t[s + 1:s + 100]) AS h FROM (SELECT r, doc_id, t, unnest(range(n - 99)) AS s FROM b WHERE n >= 100) AS places),
+later AS (SELECT r, s FROM (SELECT r, s, row_number() OVER (PARTITION BY h ORDER BY doc_id, s) AS turn FROM w) AS ranked WHERE turn > 1),
+starts AS (SELECT r, s, CASE WHEN s <= lag(s) OVER (PARTITION BY r ORDER BY s) + 100 THEN 0 ELSE 1 END AS fresh FROM later),
+spans AS (SELECT r, min(s) AS a, max(s) + 100 AS z FROM (SELECT r, s, sum(fresh) OVER (PARTITION BY r ORDER BY s) AS span FROM starts) AS numbered GROUP BY r, span),
+cuts AS (SELECT r, a, z FROM spans UNION ALL SELECT r, n, n FROM b),
+pieces AS (SELECT r, a, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a, z), 0) AS since FROM cuts),
+kept AS (SELECT r, string_agg(hex(t[since + 1:a]), '' ORDER BY a) AS bytes, sum(a - since) AS n_kept, count(*) - 1 AS n_spans FROM pieces JOIN b USING (r) GROUP BY r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(n - n_kept AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans, sha256(unhex(bytes)) AS kept_sha256 FROM kept JOIN b USING (r)
+"""
+
 #: Lines by the pattern, cuts by their ranks, and the text rebuilt from the output at its markers.
 _MIDDLE = r"""
 WITH
@@ -161,4 +175,4 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST
 
 #: The other queries have no SQL: hashes, trained models, finite machines and tokenizers can't be said in it; tests/llm hold them against
 #: brute-force versions, round trips or held-out labels.
-ORACLE_SQL: dict[str, str] = {"op9_ngram_jaccard_join": _JACCARD, "op12_filter_audit": _AUDIT, "op13_fill_in_middle": _MIDDLE}
+ORACLE_SQL: dict[str, str] = {"op9_ngram_jaccard_join": _JACCARD, "op11_suffix_array_dedup": _REPEATS, "op12_filter_audit": _AUDIT, "op13_fill_in_middle": _MIDDLE}

@@ -255,7 +255,7 @@ def test_middle_rate_and_share(spark):
     assert fill_middle.fill_in_middle(frame(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op12_filter_audit", "op13_fill_in_middle"])
+@pytest.mark.parametrize("name", ["op11_suffix_array_dedup", "op12_filter_audit", "op13_fill_in_middle"])
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "labels"):
