@@ -64,7 +64,7 @@ def tested(candidates: DataFrame, elements: DataFrame, hard: bool | Column, gap:
     wanted = hard is not False, gap is not None
     hard, gap = (c if isinstance(c, Column) else F.lit(c) for c in (hard, gap))
     pairs = candidates.select(*PAIR, hard.alias("hard"), gap.cast("double").alias("gap")).where(F.col("hard") | F.col("gap").isNotNull())
-    pairs = pairs.repartition(buckets, "gi_a") if buckets else _spread(pairs, "gi_a")
+    pairs = pairs.repartition(buckets, "gi_a") if buckets else _spread(pairs, *PAIR)  # by both, as one element may be in very many pairs
     large = _has_large(elements)
     small = elements.where(_parts() <= SMALL_PARTS) if large else elements
     whole = pairs.join(_meshes(small, "a"), "gi_a")
