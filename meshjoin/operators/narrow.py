@@ -144,9 +144,17 @@ def triangle_hits(candidates: DataFrame, elements: DataFrame, most: int | None =
     return _hits_by_blocks(pairs, with_powers(mesh_blocks(elements)), most)
 
 
+def _met_blocks(pairs: DataFrame, blocks: DataFrame, left: tuple[str, str], right: tuple[str, str], carry: list[str]) -> DataFrame:
+    """Pairs of blocks with their parts. Boxes alone go through the cells; parts are fetched for the blocks that have met."""
+    met = block_pairs(pairs, blocks.drop("ids", "xyz"), left, right, carry).select(*_BLOCKS, *carry)
+    for (s, kind), name in ((left, "a"), (right, "b")):
+        parts = blocks.where(F.col("kind") == KINDS[kind]).select(F.col("gi").alias(f"gi_{s}"), F.col("block").alias(f"{name}_block"), F.col("ids").alias(f"{name}_ids"), F.col("xyz").alias(f"{name}_xyz"))
+        met = met.join(parts, [f"gi_{s}", f"{name}_block"])
+    return met.select(*PAIR, *carry, *_GEOMETRY)
+
+
 def _hits_by_blocks(pairs: DataFrame, blocks: DataFrame, most: int | None) -> DataFrame:
-    met = block_pairs(pairs, blocks, ("a", "triangles"), ("b", "triangles"), [])
-    return _spread(met.select(*PAIR, "a_block", "b_block", *_GEOMETRY), *_BLOCKS).select(*PAIR, *_GEOMETRY).mapInArrow(block_hits_kernel(most), HITS)
+    return _met_blocks(pairs, blocks, ("a", "triangles"), ("b", "triangles"), []).mapInArrow(block_hits_kernel(most), HITS)
 
 
 def _tested_by_blocks(pairs: DataFrame, elements: DataFrame, with_point: bool, stages: int, wanted: tuple[bool, bool]) -> DataFrame:
@@ -185,7 +193,7 @@ def _nearest_by_blocks(pairs: DataFrame, blocks: DataFrame, stages: int) -> Data
     pairs = cut(pairs.join(bound, PAIR, "left").withColumn("reach", F.least("gap", F.coalesce("known", "gap"))))
     out = None
     for stage, (left, right) in enumerate([(("a", "vertices"), ("b", "vertices")), (("a", "vertices"), ("b", "triangles")), (("b", "vertices"), ("a", "triangles")), (("a", "edges"), ("b", "edges"))][:stages]):
-        met = _spread(block_pairs(pairs, blocks, left, right, ["reach"]).select(*_BLOCKS, F.col("reach").alias("bound"), *_GEOMETRY), *_BLOCKS)
+        met = _met_blocks(pairs, blocks, left, right, ["reach"]).withColumnRenamed("reach", "bound")
         found = met.mapInArrow(block_distance_kernel(stage), NEAR)
         out = found if out is None else out.unionByName(found)
     best = out.groupBy(*PAIR).agg(F.min(F.struct("d", "stage", "v_a", "v_b", "mx", "my", "mz")).alias("best"))
