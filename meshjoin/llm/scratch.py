@@ -34,9 +34,9 @@ class Scratch:
         self.kept: list[str] = []
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").options(**options).parquet(path)
         self.kept.append(name)
         self.release()
         return self.spark.read.schema(df.schema).parquet(path)

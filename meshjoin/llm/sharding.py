@@ -65,7 +65,10 @@ def _scattered(rows: DataFrame, buckets: int, seed: int) -> DataFrame:
     differ by row_id; the counting is combined before it is shuffled."""
     again = rows.groupBy("doc_id", "text_crc32").count().where((F.col("count") > 1) | F.col("doc_id").isNull())
     again = again.select(F.col("doc_id").alias("d"), F.col("text_crc32").alias("c"), F.lit(True).alias("again"))
-    marked = rows.join(again, rows["doc_id"].eqNullSafe(again["d"]) & rows["text_crc32"].eqNullSafe(again["c"]), "left").drop("d", "c")
+    if again.isEmpty():  # the usual case: no join that would shuffle the rows
+        marked = rows.withColumn("again", F.lit(False))
+    else:
+        marked = rows.join(again, rows["doc_id"].eqNullSafe(again["d"]) & rows["text_crc32"].eqNullSafe(again["c"]), "left").drop("d", "c")
     key = F.xxhash64(F.lit(seed), "doc_id", "text_crc32", F.when(F.col("again"), F.col("row_id")).otherwise(F.lit(0)))
     return marked.withColumn("key", key).withColumn("bucket", F.pmod("key", F.lit(buckets))).drop("again")
 
@@ -83,10 +86,10 @@ def _shuffled(rows: DataFrame, buckets: int, seed: int, columns: list[str]) -> D
 
 def _placed(shuffled: DataFrame, n: int, shards: int) -> DataFrame:
     """Adds shard int and slot long."""
-    # one row for each bucket
+    # one row for each bucket, that is for each BUCKET_BYTES or BUCKET_ROWS of input
     starts = shuffled.groupBy("bucket").agg(F.count("*").alias("rows"))
     starts = starts.select("bucket", (F.sum("rows").over(Window.orderBy("bucket")) - F.col("rows")).alias("start"))
-    out = shuffled.join(starts, "bucket").withColumn("shard", F.expr(f"CAST(({shards} * (start + at)) DIV {max(n, 1)} AS INT)"))
+    out = shuffled.join(F.broadcast(starts), "bucket").withColumn("shard", F.expr(f"CAST(({shards} * (start + at)) DIV {max(n, 1)} AS INT)"))
     return out.withColumn("slot", F.col("start") + F.col("at") - F.expr(f"(shard * {n}L + {shards - 1}) DIV {shards}"))
 
 
@@ -105,12 +108,19 @@ def write_shards(
     given = [F.col(c).alias(f"{c}_" if c.lower() in ("shard", "slot") else c) for c in docs.columns]
     # the columns go as one, so that none of theirs can clash with ours
     records = docs.select(*_handle(), F.struct(*given).alias("record")).withColumn("row_id", F.monotonically_increasing_id())
-    records = scratch.keep(records, "records")
     n, buckets = _extent(records, bucket_bytes, bucket_rows)
-    shuffled = scratch.keep(_shuffled(_scattered(records, buckets, seed), buckets, seed, ["record"]), "shuffled-records")
-    scratch.drop("records")
-    placed = _placed(shuffled, n, shards).repartition(min(buckets, 20_000), "bucket").sortWithinPartitions("shard", "slot")
+    # records are shuffled once, by their buckets; a file holds a bucket's rows in their order, so that a reading task meets few shards
+    shuffled = scratch.keep(_shuffled(_scattered(records, buckets, seed), buckets, seed, ["record"]), "shuffled-records", compression="zstd")
+    placed = _placed(shuffled, n, shards).sortWithinPartitions("shard", "slot")
     placed = placed.select("record.*", "slot", "shard")
-    placed.write.mode("overwrite").partitionBy("shard").parquet(path)
+    placed.write.mode("overwrite").option("compression", "zstd").partitionBy("shard").parquet(path)
     scratch.drop("shuffled-records")
     return spark.read.schema(placed.schema).parquet(path)
+
+
+def written_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, scratch: Scratch | None = None) -> DataFrame:
+    """Writes `docs` (doc_id, text) as shards to the shared folder and reads them again, a row for each record that lies there:
+    doc_id, size long, text_crc32 long, law, shard int, slot long, grown_shard int (null)."""
+    scratch = scratch or Scratch(docs.sparkSession, "sharding")
+    written = write_shards(docs.select("doc_id", "text"), f"{scratch.root}/shards", shards, seed, scratch=scratch)
+    return written.select(*_handle(), F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))

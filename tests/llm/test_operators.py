@@ -698,3 +698,18 @@ def test_personal_data_in_linear_time(text):
     whole = pii.find(text, anchors)
     assert time.process_time() - began < 1.5
     assert len(whole) <= len(text)
+
+
+def test_sharding_query_writes_the_records(spark, tmp_path):
+    """The query's rows are of records that were scattered, shuffled and written; before, only handles were planned."""
+    from meshjoin.llm.queries import op3_sharding
+    from meshjoin.llm.scratch import shared_folder
+
+    got = op3_sharding(spark, SF)
+    files = got.inputFiles()
+    assert files and all("/shards/shard=" in f and shared_folder(spark).split("file://")[-1] in f for f in files)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = sharding.shard_plan(docs).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in plan.collect()} and got.count() == docs.count()
+    assert got.schema == plan.schema or got.dtypes == plan.dtypes
+    assert {r.doc_id: r.text for r in spark.read.parquet(*files).collect()} == {r.doc_id: r.text for r in docs.collect()}
