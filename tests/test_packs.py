@@ -56,3 +56,13 @@ def test_large_meshes_go_by_pairs(spark, monkeypatch):
     want = sorted(map(tuple, found_in(e, Rules()).select("gi_a", "gi_b").collect()))
     monkeypatch.setattr(packs, "SMALL_PARTS", 4)
     assert sorted(map(tuple, found_in(e, Rules()).select("gi_a", "gi_b").collect())) == want != []
+
+
+def test_packs_of_a_long_scene_meet_few_others(spark):
+    """A lattice of 4 x 4 x 512 boxes: packs are as short as the scene is narrow; cut along all axes alike, they met some six others each."""
+    row = spark.range(8192).select(F.col("id").alias("gi"), F.col("id").cast("string").alias("element_id"), F.lit("m0").alias("model_id"), F.lit("T0").alias("ifc_type"),
+        (F.col("id") % 4).cast("double").alias("cx"), F.expr("id DIV 4 % 4").cast("double").alias("cy"), F.expr("id DIV 16").cast("double").alias("cz"), F.lit(0.5).alias("h"))
+    ruled = packs.with_rules(scenes.box_elements(row), Rules())
+    middle = {f"{x}{e}": f((F.col(f"v{x}0") + F.col(f"v{x}1")) / 2) for x in "xyz" for e, f in (("0", F.min), ("1", F.max))}
+    cut_up = packs._packs(ruled, ruled.agg(F.count("*").alias("n"), *[c.alias(n) for n, c in middle.items()]).first())
+    assert packs._met(cut_up).count() <= 3 * cut_up.count() > 60
