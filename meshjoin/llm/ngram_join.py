@@ -23,7 +23,7 @@ one leader (first the one with the fewest rare tokens, which edited copies have)
 and only members that are still in different components meet another leader. A first star round takes each document's
 FIRST smallest signatures only, so that copies share a component before all signatures are written, and signatures
 whose documents are of one component aren't kept. Star rounds go on while the rest has many pairs; then the rest is compared pair
-by pair.
+by pair, each pair by one of the signatures it shares and not by all.
 
 Pairs are left out before verification if an exact bound rules a link out: sizes and rare tokens, or the parity sketches (one bit
 for each of 512 classes of tokens: whether a set holds an odd number of that class). Sketches differ in at most as many bits as
@@ -50,6 +50,8 @@ CLASS_SIZE = 8
 FIRST = 3
 #: Star rounds at least and at most, and the pairs to a posting up to which the rest is compared pair by pair.
 STAR_ROUNDS, MOST_ROUNDS, REST = 3, 6, 8
+#: Of each set so many smallest signatures tell whether a pair was found by a smaller one.
+LOWEST = 16
 #: Words of a parity sketch.
 SKETCH = [f"k{i}" for i in range(8)]
 #: Sets that a task remembers at once, to give copies of a set once.
@@ -338,12 +340,23 @@ def _star(posts: DataFrame, bounds: DataFrame, sets: DataFrame, scratch: Scratch
     return _links(pairs.select("a", "b", (F.col("d1_a") == F.col("d1_b")).alias("equal")), sets, scratch, k)
 
 
+def _rest_pairs(posts: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Pairs of a signature's members that are of different components and within the bounds, which are part of the join.
+
+    Near sets share very many signatures, each of which would give the pair again: it is left to a smaller one where both sets have
+    that among their LOWEST. The smallest one that they share always gives it.
+    """
+    lowest = posts.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("sig")), 1, LOWEST).alias("low"))
+    posts = posts.drop("rare").join(bounds, "node").join(lowest, "node")
+    side = lambda s: posts.select("sig", *[F.col(c).alias(f"{c}_{s}") for c in ["node", "comp", *_BOUND, *SKETCH, "low"]])
+    here = F.coalesce(F.array_min(F.array_intersect("low_a", "low_b")), "sig") >= F.col("sig")
+    pairs = side("a").join(side("b"), "sig").where((F.col("comp_a") < F.col("comp_b")) & _near("{}_a", "{}_b") & here)
+    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), (F.col("d1_a") == F.col("d1_b")).alias("equal"))
+
+
 def _rest(posts: DataFrame, bounds: DataFrame, sets: DataFrame, scratch: Scratch, k: int) -> DataFrame:
-    """Links of all members of a signature that are of different components; the bounds are part of the join."""
-    posts = posts.drop("rare").join(bounds, "node")
-    side = lambda s: posts.select("sig", *[F.col(c).alias(f"{c}_{s}") for c in ["node", "comp", *_BOUND, *SKETCH]])
-    pairs = side("a").join(side("b"), "sig").where((F.col("comp_a") < F.col("comp_b")) & _near("{}_a", "{}_b"))
-    return _links(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), (F.col("d1_a") == F.col("d1_b")).alias("equal")).distinct(), sets, scratch, k)
+    """Links of all members of a signature that are of different components."""
+    return _links(_rest_pairs(posts, bounds).distinct(), sets, scratch, k)
 
 
 def _links(pairs: DataFrame, sets: DataFrame, scratch: Scratch, k: int) -> DataFrame:

@@ -131,6 +131,17 @@ def test_signatures_keep_every_link():
         assert len(np.intersect1d(*sigs)), (trial, len(a), len(common))
 
 
+def test_rest_gives_a_pair_once(spark):
+    """Pairs that share many signatures come from one of them (before: from each); those whose shared signatures are high ones aren't lost."""
+    most = ngram_join.LOWEST
+    sigs = {1: range(60), 2: range(60), 3: range(60), 4: [*range(100, 100 + most), 500, 501], 5: [*range(200, 200 + most), 500, 501], 6: [59, 700]}
+    posts = spark.createDataFrame([(n, 0, n, s) for n, own in sigs.items() for s in own], "node long, rare long, comp long, sig long")
+    bounds = spark.range(1, 7).select(F.col("id").alias("node"), F.lit(100).cast("long").alias("n"), F.col("id").alias("d1"), F.lit(0).cast("long").alias("rare"), *[F.lit(0).cast("long").alias(k) for k in ngram_join.SKETCH])
+    got = [(r.a, r.b) for r in ngram_join._rest_pairs(posts, bounds).collect()]
+    assert set(got) == {(a, b) for a, b in itertools.combinations(sigs, 2) if set(sigs[a]) & set(sigs[b])}
+    assert len(got) <= 10  # 3 of the first three sets, 3 of them with the sixth, 2 of the fourth and fifth; by each signature it is 185
+
+
 def test_ngram_join_odd_rows(spark, odd):
     docs, n = odd
     got = ngram_join.jaccard_components(docs).collect()
