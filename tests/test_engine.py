@@ -533,3 +533,16 @@ def test_document_keys_are_checked(spark):
     assert [(r.document, r.elementA, r.elementB) for r in kept] == [("c", "p", "q")]
     faults = {r.document: r.fault for r in unreadable(texts).collect()}
     assert faults == {"a": "repeated document key", None: "no document key", "b": "not a JSON payload", "d": "no text", "e": "not a JSON payload", "f": "not a JSON payload", "g": "not a JSON payload"}
+
+
+def test_large_meshes_test_blocks_once(spark, monkeypatch):
+    """All hits, depth and point come of one pass over the pairs of blocks (before: one for the count and one for the points), and agree with those of two."""
+    from meshjoin.plans import queries, scenes
+
+    passes, kernel = [], narrow.block_hits_kernel
+    monkeypatch.setattr(narrow, "block_hits_kernel", lambda *a, **k: passes.append(a) or kernel(*a, **k))
+    got = {(r.gi_a, r.gi_b): (r.hits, r.distance, r.px, r.py, r.pz) for r in queries.QUERIES["large_meshes"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(passes) == 1 and got
+    e = scenes.large_meshes(spark, "/root/testdata/sf0.001")
+    hits = narrow.triangle_hits(candidates_of(e, Rules()), e).groupBy("gi_a", "gi_b").count().collect()
+    assert {(r.gi_a, r.gi_b): r["count"] for r in hits} == {k: v[0] for k, v in got.items()}
