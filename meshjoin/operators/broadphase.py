@@ -5,6 +5,9 @@ an axis at most on its own level and on every coarser one, however sizes vary. A
 its larger box, by joining that level's own boxes with its own and finer ones, and kept only in its reference
 cell, so nothing is found twice. Few boxes (checked by a count) are joined by broadcast instead.
 
+The theta join holds all boxes of one side against all of the other by the plain condition, without cells: few boxes by broadcast,
+more in tiles, each of which takes a bounded number of boxes of both sides.
+
 Rules are either one set for all elements, or columns: then each document's elements meet under its own rules, in one plan.
 """
 
@@ -16,6 +19,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,7 +91,7 @@ def _type_key() -> Column:
     return F.array_join(F.array_sort(F.array("ifc_type_a", "ifc_type_b")), ":")
 
 
-def _all(tests: list[Column]) -> Column:
+def _all(tests: list) -> Column:
     return reduce(lambda p, q: p & q, tests)
 
 
@@ -268,22 +272,130 @@ def _sweep_join(left: DataFrame, right: DataFrame, rule: Column, out: list[str],
     return pairs.where(rule & (F.col("document_a") == F.col("document_b")) if documents else rule).select(*out)
 
 
-def _join(left: DataFrame, right: DataFrame, rule: Column, method: str, out: list[str], documents: bool, cell: float | None = None) -> DataFrame:
-    if method == "theta":
-        if documents:
-            rule = rule & (F.col("document_a") == F.col("document_b"))
-        return left.join(F.broadcast(right), rule).select(*out)
+# all against all in tiles
+
+
+#: Boxes of both sides that come to a place at most and at least, and tiles for each core where there are enough boxes.
+TILE_BOXES, LEAST_TILE, TILES = 1 << 18, 1 << 13, 4
+#: Boxes of a run, the other side's boxes that are held against a run at once, and bits of a place on the Morton curve, by axis.
+RUN, HELD, TILE_BITS = 64, 1 << 13, 10
+
+
+class _Runs:
+    """One side's boxes of a tile in runs of boxes alike in size and near each other, with each run's hull."""
+
+    def __init__(self, rows: pa.Table, carried: str):
+        ends = {c: rows.column(c).to_numpy() for c in BOX}
+        sides = [ends[f"v{x}1"] - ends[f"v{x}0"] for x in AXES]
+        middles = [(ends[f"v{x}0"] + ends[f"v{x}1"]) / 2 for x in AXES]
+        step = max(m.max() - m.min() for m in middles) / ((1 << TILE_BITS) - 1) or 1.0
+        code = np.zeros(rows.num_rows, np.int64)
+        for k, m in enumerate(middles):
+            cell = ((m - m.min()) / step).astype(np.int64)
+            for bit in range(TILE_BITS):
+                code |= (cell >> bit & 1) << (3 * bit + k)
+        order = np.lexsort((code, np.ceil(np.log2(np.maximum(np.max(sides, axis=0), THIN)))))
+        self.box = {c: v[order] for c, v in ends.items()}
+        self.gi = rows.column("gi").to_numpy()[order]
+        self.carried = rows.column(carried).combine_chunks().take(pa.array(order))
+        starts = np.arange(0, rows.num_rows, RUN)
+        self.hull = {c: (np.minimum if c.endswith("0") else np.maximum).reduceat(v, starts) for c, v in self.box.items()}
+
+    def near(self, hull: dict[str, float]) -> np.ndarray:
+        """Places of the boxes that meet a hull: runs are looked at first."""
+        meets = lambda box: _all([(box[f"v{x}0"] <= hull[f"v{x}1"]) & (hull[f"v{x}0"] <= box[f"v{x}1"]) for x in AXES])
+        at = (np.flatnonzero(meets(self.hull))[:, None] * RUN + np.arange(RUN)).ravel()
+        at = at[at < len(self.gi)]
+        return at[meets({c: v[at] for c, v in self.box.items()})]
+
+
+def _tile_kernel(carried: dict[str, str], ordered: bool):
+    """For mapInArrow over the boxes of one tile (side, gi, BOX, and each side's carried column): what the second side carries, by box, with a list of what
+    the first side's boxes that overlap it carry; ordered: only those of a lesser gi."""
+
+    def kernel(batches):
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        rows = pa.Table.from_batches(batches)
+        both = [rows.filter(pc.equal(rows.column("side"), k)) for k in (0, 1)]
+        if not all(r.num_rows for r in both):
+            return
+        a, b = (_Runs(r, carried[s]) for r, s in zip(both, "ab"))
+        mixed = ordered and a.gi.max() >= b.gi.min()
+        for run in range(len(b.hull[BOX[0]])):
+            at = slice(run * RUN, (run + 1) * RUN)
+            box = {c: v[at, None] for c, v in b.box.items()}
+            near = a.near({c: v[run] for c, v in b.hull.items()})
+            for some in np.array_split(near, math.ceil(len(near) / HELD)) if len(near) else ():
+                meet = a.gi[some] < b.gi[at, None] if mixed else np.ones((len(b.gi[at]), len(some)), bool)
+                for x in AXES:
+                    meet &= a.box[f"v{x}0"][some] <= box[f"v{x}1"]
+                    meet &= box[f"v{x}0"] <= a.box[f"v{x}1"][some]
+                hits = [np.flatnonzero(one) for one in meet]
+                ends = pa.array(np.cumsum([0, *map(len, hits)]), pa.int32())
+                found = a.carried.take(pa.array(some)).take(pa.array(np.concatenate(hits)))
+                yield pa.RecordBatch.from_arrays([b.carried[at], pa.ListArray.from_arrays(ends, found)], names=["b", "a"])
+
+    return kernel
+
+
+def _tile_join(left: DataFrame, right: DataFrame, rule: Column, seen: Census, out: list[str], documents: bool, plain: bool) -> DataFrame:
+    """The join by its plain condition where a side is too large for a broadcast: both sides fall into ranges of gi, and each range of one meets each of the
+    other in a tile, a task of its own. A box goes to as many tiles as there are ranges.
+
+    plain: the rule is that boxes overlap and that the first one's gi is less. Tiles of later ranges against earlier ones have no pairs then and aren't made;
+    the kernel's pairs are the result. Otherwise whole rows go through the kernel, and its pairs of overlapping boxes through the rule.
+    """
+    n, cores = seen.a + seen.b, left.sparkSession.sparkContext.defaultParallelism
+    tiles = lambda parts: parts * (parts + 1) // 2 if plain else parts * parts
+    parts = max(math.ceil(n / TILE_BOXES), 1)
+    while tiles(parts) < TILES * cores and n // (parts + 1) >= LEAST_TILE:
+        parts += 1
+    at = lambda s: F.col(f"gi_{s}").cast("double")
+    bounds = _ranges(left.select(at("a").alias("at")).unionByName(right.select(at("b").alias("at"))), parts)
+    place = lambda s: F.size(F.filter(bounds, lambda c: c <= at(s)))
+    # the columns that make up a result, as one: a pair is only made where its tile's list is unfolded
+    sides = []
+    for number, (s, side) in enumerate((("a", left), ("b", right))):
+        first, last = (place(s), F.lit(parts - 1)) if s == "a" else (F.lit(0), place(s))
+        others = F.sequence(first, last) if plain else F.sequence(F.lit(0), F.lit(parts - 1))
+        rows = side.where(_all([F.col(f"{c}_{s}").isNotNull() for c in BOX])).withColumns({"own": place(s), "other": F.explode(others)})
+        row, column = ("own", "other") if s == "a" else ("other", "own")
+        tile = F.expr(f"{column} * ({column} + 1) DIV 2 + {row}" if plain else f"{row} * {parts} + {column}").cast("int").alias("tile")
+        whole = [] if plain else [(F.struct(*side.columns) if t == s else F.lit(None)).cast(sch.schema.simpleString()).alias(t) for t, sch in (("a", left), ("b", right))]
+        sides.append(rows.select(tile, F.lit(number).alias("side"), F.col(f"gi_{s}").alias("gi"), *[F.col(f"{c}_{s}").alias(c) for c in BOX], *whole))
+    dealt = sides[0].unionByName(sides[1]).repartitionById(tiles(parts), "tile").drop("tile")
+    if plain:
+        met = dealt.mapInArrow(_tile_kernel({"a": "gi", "b": "gi"}, True), "b long, a array<long>")
+        return met.select(F.explode("a").alias("gi_a"), F.col("b").alias("gi_b")).select(*out)
+    met = dealt.mapInArrow(_tile_kernel({"a": "a", "b": "b"}, False), f"b {right.schema.simpleString()}, a array<{left.schema.simpleString()}>")
+    pairs = met.select("b.*", F.inline("a"))
+    return pairs.where(rule & (F.col("document_a") == F.col("document_b")) if documents else rule).select(*out)
+
+
+def _join(left: DataFrame, right: DataFrame, rule: Column, method: str, out: list[str], documents: bool, cell: float | None = None, plain: bool = False) -> DataFrame:
+    """plain: the rule is that boxes overlap and that the first one's gi is less, and nothing else."""
     if method == "sweep":
         return _sweep_join(left, right, rule, out, documents)
     seen = census(left, right)
-    if method == "auto" and seen.b <= BROADCAST_BOXES and seen.a * max(seen.b, 1) <= BROADCAST_PAIRS:
-        return _join(left, right, rule, "theta", out, documents)
+    if method != "grid" and seen.b <= BROADCAST_BOXES and seen.a * max(seen.b, 1) <= BROADCAST_PAIRS:
+        if documents:
+            rule = rule & (F.col("document_a") == F.col("document_b"))
+        return left.join(F.broadcast(right), rule).select(*out)
+    if method == "theta":
+        return _tile_join(left, right, rule, seen, out, documents, plain)
     return _grid_join(left, right, rule, seen, out, documents, cell)
 
 
+def _is_plain(a: DataFrame, rules: Rules, same: bool) -> bool:
+    """Whether _pair_rule is nothing but overlap and order."""
+    return same and not rules.exclude_type_pairs and "document" not in a.columns
+
+
 def theta_join(a: DataFrame, b: DataFrame, gap_m: float, rules: Rules, same: bool) -> DataFrame:
-    """The join by its plain condition, the second side broadcast: only for a side of a checked size."""
-    return _join(*_sides(a, b, gap_m, []), _pair_rule(rules, same), "theta", ["gi_a", "gi_b"], "document" in a.columns)
+    """The join by its plain condition, the second side broadcast where it is small and else in tiles."""
+    return broad_phase(a, b, gap_m, rules, same, "theta")
 
 
 def grid_join(a: DataFrame, b: DataFrame, gap_m: float, rules: Rules, same: bool, cell: float | None = None) -> DataFrame:
@@ -296,7 +408,7 @@ def broad_phase(a: DataFrame, b: DataFrame, gap_m: float = 0.0, rules: Rules | N
     two sets give every ordered pair. method: auto, grid, theta or sweep."""
     rules = rules or Rules()
     same = same_set(a, b) if same is None else same
-    return _join(*_sides(a, b, gap_m, []), _pair_rule(rules, same), method, ["gi_a", "gi_b"], "document" in a.columns)
+    return _join(*_sides(a, b, gap_m, []), _pair_rule(rules, same), method, ["gi_a", "gi_b"], "document" in a.columns, plain=_is_plain(a, rules, same))
 
 
 #: Columns that rules give an element's document.
