@@ -71,3 +71,14 @@ def test_tile_kernel_in_runs_and_steps(monkeypatch):
             meet &= a["gi"][:, None] < b["gi"]
         assert sorted(got) == [(i, j + first) for i, j in np.argwhere(meet).tolist()] != []
     assert not list(broadphase._tile_kernel({"a": "gi", "b": "gi"}, True)(iter([]))) and not list(broadphase._tile_kernel({"a": "gi", "b": "gi"}, True)(iter(batches[:3])))
+
+
+def test_rules_as_columns_go_through_tiles(spark, monkeypatch):
+    """Whole rows, with arrays among their columns, come out of the tiles as they went in."""
+    d = F.col("gi") % 3
+    rules = {"model_a": F.lit("all"), "model_b": F.when(d == 0, "m1").otherwise("all"), "gap_m": d / 10.0, "hard": d < 2, "soft": d > 0, "exclude_self": d == 0, "blocked": F.when(d == 1, F.array(F.lit("T0:T1"))).otherwise(F.array().cast("array<string>"))}
+    ruled = broadphase.thin(scenes.elements(spark, TESTDATA)).where("gi < 200").withColumns({"document": d.cast("string"), **rules}).cache()
+    told = lambda method: sorted(map(str, broadphase.document_pairs(ruled, method).collect()))
+    want = told("grid")
+    _small_tiles(monkeypatch)
+    assert told("theta") == want != []
