@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from meshjoin.operators import narrow, packs
 from meshjoin.plans import queries, scenes
-from meshjoin.plans.detect import candidates_of, found_in
+from meshjoin.plans.detect import candidates_of, counts_in, found_in
 from meshjoin.schema import Rules
 from meshjoin.sources.payload import with_boxes
 
@@ -66,3 +66,13 @@ def test_packs_of_a_long_scene_meet_few_others(spark):
     middle = {f"{x}{e}": f((F.col(f"v{x}0") + F.col(f"v{x}1")) / 2) for x in "xyz" for e, f in (("0", F.min), ("1", F.max))}
     cut_up = packs._packs(ruled, ruled.agg(F.count("*").alias("n"), *[c.alias(n) for n, c in middle.items()]).first())
     assert packs._met(cut_up).count() <= 3 * cut_up.count() > 60
+
+
+def test_counts_are_taken_in_packs(spark):
+    """Numbers of candidates and clashes without a row for each; before, the plan of detect_stats joined cells and counted rows of clashes."""
+    e = _mixed(spark, 40)
+    for rules in (Rules("both", 60.0), Rules("soft", 60.0, "m0", "m1"), Rules("soft")):
+        got = counts_in(e, rules).first()
+        assert (got["candidate_pairs"], got["clash_count"]) == (candidates_of(e, rules, "theta").count(), found_in(e, rules).count())
+    plan = queries.QUERIES["detect_stats"](spark, TESTDATA)._jdf.queryExecution().executedPlan().toString()
+    assert "candidate_pairs" in plan and "is_hard" not in plan and "grid" not in plan
